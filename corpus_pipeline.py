@@ -2,14 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from quarry.llm.common import stash, table, tokenizer_path
+from quarry.llm.decontaminate import contamination
+from quarry.llm.exact_dedup import deduplicate, squeezed_sha256
+from quarry.llm.language import UNKNOWN, predict, train_language_model
+from quarry.llm.packing import pack
+from quarry.llm.simhash import fingerprint, near_duplicates
+
+#: A text whose best language has less than this mean probability over its positions is rejected.
+LEAST_SCORE = 0.35
+
+
+def _key(*parts: Column) -> Column:
+    return F.concat_ws(":", *(F.coalesce(p.cast("string"), F.lit("-")) for p in parts))
+
+
+def _only(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose key is in kept (one column, ``__key``), one row for each key; the columns of docs."""
+    keyed = docs.withColumn("__key", key)
+    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without a letter and texts in no language that the labelled rows show."""
+    model = train_language_model(docs)
+    found = docs.withColumn("__language", predict(model, F.col("text")))
+    return found.where((F.col("__language.lang_pred") != UNKNOWN) & (F.col("__language.score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the longest original of equal texts, then the smallest doc_id."""
+    kept = deduplicate(docs).where("kept").select(_key(F.col("doc_id"), F.col("text_sha256"), F.col("keep_chars")).alias("__key"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return _only(docs, _key(F.col("doc_id"), squeezed_sha256(text), F.length(text)), kept)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates, the smallest doc_id."""
+    kept = near_duplicates(docs).where("stays").select(_key(F.col("doc_id"), F.col("fp")).alias("__key"))
+    return _only(docs, _key(F.col("doc_id"), fingerprint(F.col("text"))), kept)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold ten consecutive words (or all words of a shorter item) of the benchmark."""
+    found = docs.withColumn("__found", contamination(table(spark, sf_dir, "benchmark"), F.col("text")))
+    return found.where(F.col("__found.n_hit") == 0).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of 4096 tokens."""
+    return pack(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [("language", language), ("exact", exact), ("near", near), ("decontaminate", decontaminate), ("packing", packing)]
+
+#: No SQL: a trained network, XXH64 fingerprints and a tokenizer are among the stages. tests/llm has a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

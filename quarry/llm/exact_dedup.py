@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import require
@@ -33,6 +33,11 @@ WHITE = b" \t\n\x0b\x0c\r"
 FAN_BITS = 4
 
 
+def squeezed_sha256(text: Column) -> Column:
+    """The digest that deduplicate() gives, as a JVM expression."""
+    return F.sha2(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", ""), 256)
+
+
 def squeezed(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").translate(None, WHITE)
 
@@ -129,7 +134,7 @@ class _Group:
 
 
 def _resolve(records: Iterator[tuple], memory_bytes: int, level: int, folder: str) -> Iterator[tuple]:
-    """Records (h, content, best_chars, best_id, members) of one bucket -> (members, keep_id, size, place of the kept row or -1, digest).
+    """Records (h, content, best_chars, best_id, members) of one bucket -> (members, keep_id, size, place of the kept row or -1, its characters, digest).
 
     The member lists wait in a file, in the order of the records, until the bucket's groups are complete."""
     table, groups = ContentTable(), []
@@ -153,7 +158,7 @@ def _resolve(records: Iterator[tuple], memory_bytes: int, level: int, folder: st
             e, _, _, members = pickle.load(waiting)
             g = groups[e]
             kept = members.index(g.doc_id) if g.record == i else -1
-            yield members, g.doc_id, g.size, kept, hashlib.sha256(table.contents[e]).hexdigest()
+            yield members, g.doc_id, g.size, kept, g.chars, hashlib.sha256(table.contents[e]).hexdigest()
 
 
 def _spill(table: ContentTable, waiting, records: Iterator[tuple], memory_bytes: int, level: int, folder: str) -> Iterator[tuple]:
@@ -194,8 +199,8 @@ def _grace(memory_bytes: int, level: int = 0):
             yield from zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
 
     def pack(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int32(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["members", "keep_id", "group_size", "kept_at", "text_sha256"])
+        kinds = [pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["members", "keep_id", "group_size", "kept_at", "keep_chars", "text_sha256"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
@@ -213,7 +218,7 @@ def _grace(memory_bytes: int, level: int = 0):
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory_bytes: int = 48 << 20) -> DataFrame:
-    """One row per row of df: doc_id, keep_id, group_size, kept, text_sha256. Other columns of df are not touched.
+    """One row per row of df: doc_id, keep_id, group_size, kept, keep_chars (code points of the row that stays), text_sha256. Other columns of df are not touched.
 
     Null texts count as empty; empty texts form one group. In each group exactly one row has ``kept``: the longest
     original text in code points, then the smallest id (null ids last). Rows that repeat both id and text of the kept
@@ -222,9 +227,9 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     require(df, id_col, text_col)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     records = rows.mapInArrow(_combine(memory_bytes), "h long, content binary, best_chars long, best_id long, members array<long>")
-    decided = records.repartition("h").mapInArrow(_grace(memory_bytes), "members array<long>, keep_id long, group_size long, kept_at int, text_sha256 string")
+    decided = records.repartition("h").mapInArrow(_grace(memory_bytes), "members array<long>, keep_id long, group_size long, kept_at int, keep_chars long, text_sha256 string")
     return (
         decided.hint("rebalance")
-        .select("keep_id", "group_size", "kept_at", "text_sha256", F.posexplode("members").alias("at", "doc_id"))
-        .select("doc_id", "keep_id", "group_size", (F.col("at") == F.col("kept_at")).alias("kept"), "text_sha256")
+        .select("keep_id", "group_size", "kept_at", "keep_chars", "text_sha256", F.posexplode("members").alias("at", "doc_id"))
+        .select("doc_id", "keep_id", "group_size", (F.col("at") == F.col("kept_at")).alias("kept"), "keep_chars", "text_sha256")
     )

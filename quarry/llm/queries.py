@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import table
+from quarry.llm.common import table, tokenizer_path
 from quarry.llm.decontaminate import contamination
 from quarry.llm.exact_dedup import deduplicate
+from quarry.llm.language import identify
+from quarry.llm.packing import pack
 from quarry.llm.simhash import as_hex, near_duplicates
 
 
@@ -16,18 +18,26 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"), hold_out=(3, 1))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "benchmark"), F.col("text"), window=10)
     out = table(spark, sf_dir, "documents").select("doc_id", found.alias("found"))
     return out.select("doc_id", "found.n_words", "found.n_hit", "found.n_items", "found.items_sha256", (F.col("found.n_hit") > 0).alias("contaminated"))
 
 
+def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), limit=4096, end_id=1)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicate(table(spark, sf_dir, "documents"))
+    return deduplicate(table(spark, sf_dir, "documents")).drop("keep_chars")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op8_decontaminate, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_simhash, op2_language_id, op8_decontaminate, op9_pack, op10_exact_dedup)}
 
 
 #: DuckDB. Only what SQL expresses for whole tables.

@@ -295,11 +295,13 @@ def near_links(fps: DataFrame, distance: int, n: int) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, distance: int = 4) -> DataFrame:
-    """One row per row of df: doc_id, fp (signed long), component_id (the smallest id that links lead to, itself included).
+    """One row per row of df: doc_id, fp (signed long), component_id (the smallest id that links lead to, itself included)
+    and stays (true for one document of each component: the smallest id, then the smallest fingerprint).
 
     Null texts count as empty. Texts without words have fingerprint zero and are linked like any other. Rows that repeat
-    an id each get a row. Null ids are kept and are no component's smallest id unless all of its ids are null. An
-    empty table gives no rows. Other columns are not read.
+    an id each get a row; those that repeat id and fingerprint of the document that stays are all marked. Null ids
+    are kept and are no component's smallest id unless all of its ids are null. An empty table gives no rows. Other
+    columns are not read.
     """
     require(df, id_col, text_col)
     rows = stash(df.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), width, seed).alias("fp")), "simhash")
@@ -307,8 +309,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = stash(near_links(distinct.select("fp"), distance, distinct.count()), "simhash-links")
     roots = connected_components(links, "a", "b")
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "smallest", F.coalesce("root", "fp").alias("root"))
-    best = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    classes = stash(rooted.join(best, "root").select("fp", "component_id"), "simhash-classes")
+    first = F.min(F.struct(F.col("smallest").isNull().alias("none"), "smallest", "fp"))
+    best = rooted.groupBy("root").agg(first.alias("first"))
+    classes = rooted.join(best, "root").select("fp", F.col("first.smallest").alias("component_id"), (F.col("fp") == F.col("first.fp")).alias("first"))
+    classes = stash(classes, "simhash-classes")
     for old in (distinct, links, roots):
         discard(old)
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    stays = F.col("first") & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return rows.join(classes, "fp").select("doc_id", "fp", "component_id", stays.alias("stays"))
