@@ -9,6 +9,7 @@ from quarry.llm.common import table, tokenizer_path
 from quarry.llm.decontaminate import contamination
 from quarry.llm.exact_dedup import deduplicate
 from quarry.llm.language import identify
+from quarry.llm.licenses import scan as scan_licenses
 from quarry.llm.packing import pack
 from quarry.llm.simhash import as_hex, near_duplicates
 
@@ -22,6 +23,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), hold_out=(3, 1))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "benchmark"), F.col("text"), window=10)
     out = table(spark, sf_dir, "documents").select("doc_id", found.alias("found"))
@@ -37,7 +42,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_language_id, op8_decontaminate, op9_pack, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_simhash, op2_language_id, op7_licenses, op8_decontaminate, op9_pack, op10_exact_dedup)}
 
 
 #: DuckDB. Only what SQL expresses for whole tables.
