@@ -11,6 +11,8 @@ from quarry.llm.exact_dedup import deduplicate
 from quarry.llm.language import identify
 from quarry.llm.licenses import scan as scan_licenses
 from quarry.llm.packing import pack
+from quarry.llm.secrets import digests
+from quarry.llm.secrets import scan as scan_secrets
 from quarry.llm.simhash import as_hex, near_duplicates
 
 
@@ -23,6 +25,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), hold_out=(3, 1))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(scan_secrets(table(spark, sf_dir, "documents")))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -42,7 +48,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_language_id, op7_licenses, op8_decontaminate, op9_pack, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_simhash, op2_language_id, op4_secrets, op7_licenses, op8_decontaminate, op9_pack, op10_exact_dedup)}
 
 
 #: DuckDB. Only what SQL expresses for whole tables.
