@@ -14,7 +14,15 @@ import quarry.llm
 cloudpickle.register_pickle_by_value(quarry.llm)  # executors need no installed copy of this package
 
 
+#: Rows that go to a Python worker at once. Texts are long; the default of 10,000 rows makes workers large.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table by its name. Sets the size of Arrow batches, unless the session was configured with one."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import require, stash
 
-CACHE = 400_000  # words whose ids a task remembers
+CACHE = 250_000  # words whose ids a task remembers
 
 
 #: A word of letters with punctuation after it. ASCII punctuation makes one token run of its own in this vocabulary.
@@ -43,27 +44,28 @@ class Tokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer as Backend
 
-        self.backend, self.cache, self.letters = Backend.from_file(path), {}, _byte_letters()
+        self.backend, self.cache, self.parts, self.letters = Backend.from_file(path), {}, {}, _byte_letters()
+        self.model = self.backend.model
 
     def encode(self, text: str) -> list[bytes]:
         """The ids of each word as little-endian 32-bit words."""
         words = text.encode("utf-8", "replace").split()  # ASCII white space only: each part may hold more
-        cache = self.cache
-        try:
-            return [cache[w] for w in words]
-        except KeyError:
-            pass
-        if len(cache) > CACHE:
-            cache.clear()
-        return [cache.get(w) or self._add(w) for w in words]
+        found = list(map(self.cache.get, words))
+        if None in found:
+            if len(self.cache) > CACHE:
+                self.cache.clear()
+            found = [self._add(w) if ids is None else ids for w, ids in zip(words, found, strict=True)]
+        return found
 
     def _add(self, word: bytes) -> bytes:
+        if (ids := self.cache.get(word)) is not None:
+            return ids
         text = word.decode("utf-8")
         # Below U+0250 letters are in normal form and lower-case alike everywhere, but for U+0130.
-        if (m := _PLAIN.fullmatch(text)) and m[1].isalpha() and max(text) < "\u0250" and "\u0130" not in text:
+        if (m := _PLAIN.fullmatch(text)) and m[1].isalpha() and (text.isascii() or (max(text) < "\u0250" and "\u0130" not in text)):
             ids = self._known(m[1].lower()) + (self._known(m[2]) if m[2] else b"")
         else:
-            ids = np.array(self.backend.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = array("I", self.backend.encode(text, add_special_tokens=False).ids).tobytes()
         if len(word) <= 256:
             self.cache[word] = ids
         return ids
@@ -71,9 +73,11 @@ class Tokenizer:
     def _known(self, part: str) -> bytes:
         """Ids of one run of letters or punctuation, by the merges alone."""
         key = part.encode()
-        if (ids := self.cache.get(key)) is None:
-            tokens = self.backend.model.tokenize("".join([self.letters[b] for b in key]))
-            ids = self.cache[key] = np.array([t.id for t in tokens], "<u4").tobytes()
+        if (ids := self.parts.get(key)) is None:
+            if len(self.parts) > CACHE:
+                self.parts.clear()
+            tokens = self.model.tokenize(part if part.isascii() else "".join([self.letters[b] for b in key]))
+            ids = self.parts[key] = array("I", [t.id for t in tokens]).tobytes()
         return ids
 
 
