@@ -9,6 +9,7 @@ from quarry.llm.common import table, tokenizer_path
 from quarry.llm.decontaminate import contamination
 from quarry.llm.exact_dedup import deduplicate
 from quarry.llm.language import identify
+from quarry.llm.lattice import score_texts
 from quarry.llm.licenses import scan as scan_licenses
 from quarry.llm.packing import pack
 from quarry.llm.secrets import digests
@@ -29,6 +30,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op5_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), hold_out=(7, 2))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -48,7 +53,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_language_id, op4_secrets, op7_licenses, op8_decontaminate, op9_pack, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_simhash, op2_language_id, op4_secrets, op5_lattice, op7_licenses, op8_decontaminate, op9_pack, op10_exact_dedup)}
 
 
 #: DuckDB. Only what SQL expresses for whole tables.
