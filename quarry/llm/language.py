@@ -175,11 +175,15 @@ def train_language_model(
         F.col(label_col).cast("string").alias("label"), h.alias("h"),
         F.substring(F.col(text_col), (1 + F.pmod(h, F.greatest(F.length(text_col) - snippet, F.lit(1)))).cast("int"), F.lit(snippet)).alias("part"),
     )
-    n_labels = rows.select("label").distinct().count()
-    if not n_labels:
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    if not counts:
         return None
-    each = Window.partitionBy("label").orderBy("h", "part")
-    found = rows.withColumn("rank", F.row_number().over(each)).where(F.col("rank") <= max(8, sample_rows // n_labels)).toPandas().sort_values(["label", "rank"])
+    each = max(8, sample_rows // len(counts))
+    # about twice as many as needed of each label, by the hash alone; then exactly so many
+    share = F.create_map(*(F.lit(x) for label, n in sorted(counts.items()) for x in (label, min(1.0, 2 * (each + 20) / n))))
+    near = rows.where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < share[F.col("label")] * (1 << 30))
+    order = Window.partitionBy("label").orderBy("h", "part")
+    found = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each).toPandas().sort_values(["label", "rank"])
     labels = sorted(found["label"].unique())
     found = found[[has_letter(t) for t in found["part"]]]
     if not len(found):

@@ -15,6 +15,7 @@ from quarry.llm.packing import pack
 from quarry.llm.secrets import digests
 from quarry.llm.secrets import scan as scan_secrets
 from quarry.llm.simhash import as_hex, near_duplicates
+from quarry.llm.url_filter import judge_pages
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +27,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), hold_out=(3, 1))
 
 
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_pages(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(scan_secrets(table(spark, sf_dir, "documents")))
 
@@ -53,7 +58,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_language_id, op4_secrets, op5_lattice, op7_licenses, op8_decontaminate, op9_pack, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_simhash, op2_language_id, op3_urls, op4_secrets, op5_lattice, op7_licenses, op8_decontaminate, op9_pack, op10_exact_dedup)}
 
 
 #: DuckDB. Only what SQL expresses for whole tables.
