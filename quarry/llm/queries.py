@@ -16,6 +16,7 @@ from quarry.llm.secrets import digests
 from quarry.llm.secrets import scan as scan_secrets
 from quarry.llm.simhash import as_hex, near_duplicates
 from quarry.llm.url_filter import judge_pages
+from quarry.llm.warc import round_trip
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +40,10 @@ def op5_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), hold_out=(7, 2))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"), least_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -58,7 +63,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_language_id, op3_urls, op4_secrets, op5_lattice, op7_licenses, op8_decontaminate, op9_pack, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_simhash, op2_language_id, op3_urls, op4_secrets, op5_lattice, op6_warc, op7_licenses, op8_decontaminate, op9_pack, op10_exact_dedup)}
 
 
 #: DuckDB. Only what SQL expresses for whole tables.
