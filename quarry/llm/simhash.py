@@ -6,8 +6,8 @@ that the radii plus one add up to more than the distance; then any such pair agr
 that segment's radius. Every fingerprint is entered in each segment's table under its own value and looks up all
 values of the small Hamming ball around it. What a look-up fetches is verified over all 64 bits.
 
-Equal fingerprints are one entry. Inside a table bucket links are kept as spanning stars: a bucket of near copies
-gives as many links as it has members, not all of their pairs.
+Equal fingerprints are one entry. A bucket of near copies gives the links of a spanning
+tree, as many as it has members, not all of their pairs.
 """
 
 from __future__ import annotations
@@ -233,21 +233,21 @@ def _verify(distance: int):
             near = np.bitwise_count(a ^ b) <= distance
             yield a[near], b[near]
 
-    def large(fp: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def large(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Grows each group from a seed: a member is compared with what no group has reached yet, a vector at a time."""
-        todo, starred = fp, ([], [])
+        todo, tree = fp, ([], [])
         while len(todo):
-            seed, todo = todo[0], todo[1:]
-            queue = [seed]
+            queue, todo = [todo[0]], todo[1:]
             while queue and len(todo):
-                near = np.bitwise_count(todo ^ queue.pop()) <= distance
+                member = queue.pop()
+                near = np.bitwise_count(todo ^ member) <= distance
                 if near.any():
                     found, todo = todo[near], todo[~near]
-                    starred[0].append(np.full(len(found), seed))
-                    starred[1].append(found)
+                    tree[0].append(np.full(len(found), member))
+                    tree[1].append(found)
                     queue.extend(found)
         none = np.empty(0, np.uint64)
-        return np.concatenate(starred[0] or [none]), np.concatenate(starred[1] or [none])
+        return np.concatenate(tree[0] or [none]), np.concatenate(tree[1] or [none])
 
     def links(seg: np.ndarray, key: np.ndarray, fp: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(key):
@@ -257,7 +257,7 @@ def _verify(distance: int):
         bucket = np.repeat(np.arange(len(sizes)), sizes)
         keep = (sizes[bucket] > 1) & (sizes[bucket] <= SMALL)
         found = list(small(bucket[keep], fp[keep], own[keep]))
-        found += [large(fp[cuts[i] : cuts[i + 1]], own[cuts[i] : cuts[i + 1]]) for i in np.flatnonzero(sizes > SMALL)]
+        found += [large(fp[cuts[i] : cuts[i + 1]]) for i in np.flatnonzero(sizes > SMALL)]
         a, b = (np.concatenate([x[i] for x in found] or [np.empty(0, np.uint64)]).view(np.int64) for i in (0, 1))
         both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0)
         if len(both):
