@@ -50,21 +50,27 @@ B, I, O = range(3)
 BUCKETS = 1 << 12
 N_CONTEXT = 10
 FILE = 6
-_KEYWORD = re.compile("key|token|secret|passw|pwd|auth|cred|bearer|api|private", re.I)
+KEYWORDS = ("key", "token", "secret", "passw", "pwd", "auth", "cred", "bearer", "api", "private")
+_DIGITS = frozenset("0123456789")
 
 
-def context(token: str) -> int:
+def names_a_secret(token: str) -> bool:
+    low = token.lower()
+    return any([w in low for w in KEYWORDS])
+
+
+def context(token: str, keyword: bool | None = None) -> int:
     """What a token says about its neighbours."""
     if token in ("=", ":", ":=", "=>", "->"):
         return 1
     mark = token[-1] in "=:"
-    if _KEYWORD.search(token):
+    if names_a_secret(token) if keyword is None else keyword:
         return 3 if mark else 2
     if mark:
         return 4
     if token.isalpha():
         return 5 if token[0].islower() else 6
-    if any(c.isdigit() for c in token):
+    if not _DIGITS.isdisjoint(token):
         return 7 if len(token) < 16 else 8
     return 9
 
@@ -88,7 +94,7 @@ def outline(token: str) -> tuple:
     classes = token[:400].translate(_CLASSES)
     core = classes.strip(_EDGES)
     runs = _COLLAPSED.sub(lambda m: "a" if m[1] else "A" if m[2] else m[0][0], classes)
-    return runs[:24], len(runs), len(token) - len(classes) + len(core), core.count("0"), core.count("A") + core.count("E"), core.count("e") + core.count("E"), _KEYWORD.search(token) is not None
+    return runs[:24], len(runs), len(token) - len(classes) + len(core), core.count("0"), core.count("A") + core.count("E"), core.count("e") + core.count("E"), names_a_secret(token)
 
 
 def features(token: str) -> list[int]:
@@ -106,7 +112,7 @@ def _features(runs: str, n_runs: int, n: int, digits: int, upper: int, vowels: i
 
 
 def file_features(text: str, n_tokens: int) -> list[int]:
-    hint = _KEYWORD.search(text) is not None
+    hint = names_a_secret(text)
     return [0 + hint, 2 + (n_tokens > 200), 4 + ("=" in text)]
 
 
@@ -210,7 +216,7 @@ def trimmed(token: str) -> tuple[int, int]:
 class Scanner:
     """Applies a trained field to whole texts. Remembers what distinct tokens score, up to a bound."""
 
-    def __init__(self, field: Field, remember: int = 150_000, block: int = 1 << 17):
+    def __init__(self, field: Field, remember: int = 250_000, block: int = 1 << 17):
         self.field, self.remember, self.block = field, remember, block
         t = field.w["between"]
         self.certain = 2 * float(t.max() - t.min()) + 1e-6
@@ -228,7 +234,7 @@ class Scanner:
             if len(self.outlines) > 100_000:
                 self.outlines.clear()
             score = self.outlines[seen] = self.field.w["own"][_features(*seen)].sum(0)
-        self.scores[k], self.contexts[k] = score, context(token)
+        self.scores[k], self.contexts[k] = score, context(token, seen[-1])
         return k
 
     def runs(self, text: str) -> Iterator[tuple[int, np.ndarray]]:
