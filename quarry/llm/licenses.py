@@ -1,16 +1,21 @@
 """License detection by ordered signature rules, with DataFrame functions only.
 
-A text that holds none of the gate's keywords is done. For the others each rule whose own keyword occurs is matched;
-detections carry the place, the label, the rule's priority and its weight. Sorted by place, they are resolved in one
+A text that holds none of the gate's keywords is done. For the others each rule whose own keywords all occur is
+matched; detections carry the place, the label, the rule's priority and its weight. Sorted by place, they are resolved in one
 pass: a detection inside an earlier and longer one is suppressed, of two that overlap in part the higher priority
 stays. Everything is a projection: no row is multiplied, nothing is shuffled, no Python runs on the executors.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import functools
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import require
+
 #: Words are runs of ASCII letters and digits and of non-ASCII characters (A-Z counts as a-z). Fixed values of the contract.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -86,22 +91,34 @@ _VERSION = r"(?:v(?:ersion)?\.?_?)?({0})(?:\.0)*(?![0-9]|\.[0-9])"
 
 
 def _expand(pattern: str) -> str:
-    import re
-
     out = re.sub(r"V\(((?:[^()]|\([^()]*\))*)\)", lambda m: _VERSION.format(m[1]), pattern)
     return out.replace("_", r"[\s-]+").replace(r"[\s-]+?", r"[\s-]*")
 
 
-def rules() -> list[tuple[str, str, str, int, float]]:
-    """(label, keyword, regex, priority, weight), the most telling first: identifiers, addresses, names with a version, names."""
+def _literal(identifier: str) -> str:
+    """What every match of an identifier begins with, in lower case."""
+    return re.match(r"[\w-]*", identifier)[0].lower()
+
+
+def _keywords(pattern: str) -> list[str]:
+    """The words that every match of a name pattern holds: what stands outside groups, classes and optional letters."""
+    plain = re.sub(r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)\??", " ", pattern)
+    plain = re.sub(r"\[[^]]*\]|\\.(?:\{[^}]*\})?|.\?", " ", plain)
+    return sorted(set(re.findall(r"[a-z0-9]{2,}", plain)))
+
+
+def rules() -> list[tuple[str, list[str], str, int, float]]:
+    """(label, keywords that must all occur, regex, priority, weight), the most telling first: identifiers, addresses, names
+    with a version, names."""
     out = []
     for label, (keyword, names, ids, addresses) in SIGNATURES.items():
-        out += [(label, "spdx", rf"spdx-license-identifier:\s*\(?(?:{i})(?![\w.+-])", 1, 1.0) for i in ids]
-        out += [(label, "licen", rf"\blicen[sc]e\s*[:=]\s*[\"']?(?:{i})(?![\w.+-])", 2, 0.95) for i in ids]
-        out += [(label, a.partition(r"\.")[0], rf"{a}(?![\w])", 3, 0.95) for a in addresses]
+        out += [(label, ["spdx", _literal(i)], rf"spdx-license-identifier:\s*\(?(?:{i})(?![\w.+-])", 1, 1.0) for i in ids]
+        out += [(label, ["licen", _literal(i)], rf"\blicen[sc]e\s*[:=]\s*[\"']?(?:{i})(?![\w.+-])", 2, 0.95) for i in ids]
+        out += [(label, [a.partition("\\.")[0]], rf"{a}(?![\w])", 3, 0.95) for a in addresses]
         for n in names:
-            out.append((label, keyword, rf"\b(?:licensed|released|distributed|available|published)\s+under\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?{_expand(n)}", 4 if "V(" in n else 5, 0.9))
-            out.append((label, keyword, rf"\b{_expand(n)}(?![\w])", 6 if "V(" in n else 7, 0.7))
+            keys = _keywords(n) or [keyword]
+            out.append((label, [*keys, "under"], rf"\b(?:licensed|released|distributed|available|published)\s+under\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?{_expand(n)}", 4 if "V(" in n else 5, 0.9))
+            out.append((label, keys, rf"\b{_expand(n)}(?![\w])", 6 if "V(" in n else 7, 0.7))
     return out
 
 
@@ -109,11 +126,11 @@ def _phrase(words: str) -> str:
     return rf"(?<!{WORD}){words.replace(' ', GAP)}(?!{WORD})"
 
 
-def _detections(text: Column, low: Column, table: list) -> Column:
-    """array<struct<at, end, priority, label, weight>> of all rules whose keyword occurs."""
+def _detections(text: Column, keywords: Column, table: list) -> Column:
+    """array<struct<at, end, priority, label, weight>> of all rules whose keywords are all among those that occur."""
     fired = F.filter(
-        F.array(*(F.struct(F.lit(label).alias("label"), F.lit(keyword).alias("keyword"), F.lit("(?i)" + regex).alias("regex"), F.lit(priority).alias("priority"), F.lit(weight).alias("weight")) for label, keyword, regex, priority, weight in table)),
-        lambda r: F.contains(low, r["keyword"]),
+        F.array(*(F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, keys)).alias("keys"), F.lit("(?i)" + regex).alias("regex"), F.lit(priority).alias("priority"), F.lit(weight).alias("weight")) for label, keys, regex, priority, weight in table)),
+        lambda r: F.forall(r["keys"], lambda k: F.array_contains(keywords, k)),
     )
 
     def places(r: Column) -> Column:
@@ -155,40 +172,52 @@ def _resolved(found: Column) -> Column:
     return F.aggregate(ordered, start, step, lambda s: F.struct(add(s).alias("labels"), F.greatest(s["score"], s["weight"]).alias("score")))
 
 
-def license_columns(text: Column) -> dict[str, Column]:
-    """Columns n_words, n_base, first_word, last_word, base_labels, labels, score for a text column.
+#: The prefilter: a text without any of these is not matched against the rules.
+GATE = ("licen", "spdx", "gnu", "gpl", "cc0", "cc by", "cc-by", "creative", "public domain", "rights reserved", "opensource.org", "apache", "mozilla", "bsd", "mit/x11", "eula")
+
+
+def count_words(text: Column) -> Column:
+    """Pieces between separators, less the empty ones at the ends."""
+    pieces = F.split(text, GAP, -1)
+    edge = lambda i: F.when(F.element_at(pieces, i) == "", 1).otherwise(0)
+    return F.greatest(F.size(pieces) - edge(1) - edge(-1), F.lit(0)).cast("long")
+
+
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of df: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Null counts as empty. Base places are the fixed phrases as consecutive words; base labels always stay among the
-    labels. score is the largest weight of a rule that was kept, 1 if there is a base place, 0 without any label.
+    labels. score is the largest weight of a rule that was kept, 1 if there is a base place, 0 without any label. Rows
+    may repeat, ids may be null, other columns are not read; an empty table gives no rows.
     """
-    text = F.coalesce(text, F.lit(""))
+    require(df, id_col, text_col)
+    low = F.col("low")
+    has = lambda *keys: functools.reduce(Column.__and__, (F.contains(low, F.lit(k)) for k in keys))
+    either = lambda conditions: functools.reduce(Column.__or__, conditions)
     base = "(?i)(?:" + "|".join(_phrase(p) for p in BASE.values()) + ")"
-    count = lambda t: F.regexp_count(t, F.lit(WORD + "+")).cast("long")
-    may = text.rlike("(?i)gnu|apache|cc|mit")
-    n_base = F.when(may, F.regexp_count(text, F.lit(base))).otherwise(0).cast("long")
-    has = may & text.rlike(base)
-    before = lambda rx: F.when(has, count(F.regexp_extract(text, rx, 1)))
-    base_labels = F.when(has, F.filter(F.array(*(F.when(text.rlike("(?i)" + _phrase(p)), F.lit(label)) for label, p in BASE.items())), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
     table = rules()
-    # ASCII lower case is enough for keywords; rlike first, so that most texts are never copied
-    gate = text.rlike("(?i)licen[sc]|spdx|\\bcc\\b|\\bcc0|gnu|apache|\\bmit\\b|public domain|rights reserved|\\bgpl|creativecommons|opensource\\.org")
-    nothing = F.struct(F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("score"))
-    method = F.when(gate, _resolved(_detections(text, F.lower(text), table))).otherwise(nothing)
-    return {
-        "n_words": count(text), "n_base": n_base,
-        "first_word": before(rf"(?s)^(.*?){base}"), "last_word": before(rf"(?s)^(.*){base}"),
-        "base_labels": base_labels, "method": method,
-    }
-
-
-def scan(df, id_col: str = "doc_id", text_col: str = "text"):
-    """One row per row of df: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score. Rows may repeat, ids
-    may be null, other columns are not read; an empty table gives no rows."""
-    columns = license_columns(F.col(text_col))
-    out = df.select(F.col(id_col).alias("doc_id"), *(c.alias(k) for k, c in columns.items()))
+    keywords = sorted({k for r in table for k in r[1]})
+
+    # lower case of a text is made once, for keywords alone: it changes no ASCII letter into another
+    rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("low", F.lower("text"))
+    rows = rows.select(
+        "doc_id", "text", count_words(F.col("text")).alias("n_words"),
+        (either(has(*p.split(" ")) for p in BASE.values()) & F.col("text").rlike(base)).alias("has_base"),
+        F.when(either(has(k) for k in GATE), F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(low, k))).alias("keywords"),
+    )
+    text, none = F.col("text"), F.array().cast("array<string>")
+    before = lambda rx: F.when(F.col("has_base"), count_words(F.regexp_extract(text, rx, 1)))
+    labels = F.filter(F.array(*(F.when(text.rlike("(?i)" + _phrase(p)), F.lit(label)) for label, p in BASE.items())), lambda x: x.isNotNull())
+    nothing = F.struct(none.alias("labels"), F.lit(0.0).alias("score"))
+    rows = rows.select(
+        "doc_id", "n_words", F.when(F.col("has_base"), F.regexp_count(text, F.lit(base))).otherwise(0).cast("long").alias("n_base"),
+        before(rf"(?s)^(.*?){base}").alias("first_word"), before(rf"(?s)^(.*){base}").alias("last_word"),
+        F.when(F.col("has_base"), labels).otherwise(none).alias("base"),
+        F.when(F.col("keywords").isNotNull(), _resolved(_detections(text, F.col("keywords"), table))).otherwise(nothing).alias("method"),
+    )
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
-    return out.select(
-        "doc_id", "n_words", "n_base", "first_word", "last_word", joined(F.col("base_labels")).alias("base_labels"),
-        joined(F.concat("base_labels", "method.labels")).alias("labels"),
+    return rows.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", joined(F.col("base")).alias("base_labels"),
+        joined(F.concat("base", "method.labels")).alias("labels"),
         F.when(F.col("n_base") > 0, 1.0).otherwise(F.col("method.score")).alias("score"),
     )

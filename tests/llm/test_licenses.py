@@ -40,6 +40,18 @@ def test_rules_are_many_and_compile(spark):
     assert not any(row)
 
 
+def test_keywords_and_gate_miss_nothing(spark):
+    """A rule's literal words imply its keywords, and every keyword set implies a gate word or an address."""
+    for label, keys, regex, _, _ in rules():
+        assert keys and all(keys), (label, regex)
+        plain = re.sub(r"\\\\|[\[\]()?:|]", "", regex.lower())
+        assert all(k in plain for k in keys), (label, keys, regex)
+    said = {"cc0-1.0": "CC0 1.0 Universal", "mit": "mit/x11", "wtfpl": "do what the fuck you want to public license", "vim": "Vim License", "cc-by-nc-nd": "CC-BY-NC-ND 4.0", "python-2.0": "PSF License", "unlicense": "the Unlicense", "bsd": "Berkeley Software Distribution bsd", "apache-2.0": "ASL 2.0 apache", "ofl-1.1": "SIL Open Font License", "cc-by-nd": "creative commons attribution no derivs cc", "mpl-2.0": "https://mozilla.org/MPL/2.0", "isc": "License: ISC", "postgresql": "SPDX-License-Identifier: PostgreSQL", "odbl-1.0": "Open Database License"}
+    df = spark.createDataFrame(list(said.items()), "doc_id string, text string")
+    for r in scan(df).collect():
+        assert r.doc_id in r.labels.split(","), r
+
+
 def test_plan_has_no_python(spark):
     df = spark.createDataFrame([(1, "mit license")], "doc_id long, text string")
     plan = scan(df)._jdf.queryExecution().executedPlan().toString()
