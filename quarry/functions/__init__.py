@@ -1 +1 @@
-""""""
+"""Column functions: text, versions, vectors, classifiers."""

@@ -1 +1 @@
-""""""
+"""Operators: retrieval, relevance and metrics, change detection, ingestion, answers."""

@@ -1,9 +1,13 @@
 """The catalogue of queries and their SQL."""
 
+from __future__ import annotations
+
+from quarry.plans import changes, retrieval
+
 
 def queries() -> dict:
-    return {}
+    return {**retrieval.QUERIES, **changes.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**retrieval.SQL, **changes.SQL}

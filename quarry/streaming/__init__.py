@@ -1 +1 @@
-""""""
+"""Structured Streaming around the batch operators."""
