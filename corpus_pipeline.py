@@ -40,10 +40,14 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _only(docs, _key(F.col("doc_id"), squeezed_sha256(text), F.length(text)), kept)
 
 
+#: Near-duplicates: shingles of five words, fingerprints of 128 bits, at least 0.82 of them equal (105 of 128).
+NEAR = {"width": 5, "seed": 42, "words": 2, "distance": 23}
+
+
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates, the smallest doc_id."""
-    kept = near_duplicates(docs).where("stays").select(_key(F.col("doc_id"), F.col("fp")).alias("__key"))
-    return _only(docs, _key(F.col("doc_id"), fingerprint(F.col("text"))), kept)
+    kept = near_duplicates(docs, **NEAR).where("stays").select(_key(F.col("doc_id"), F.col("w0"), F.col("w1")).alias("__key"))
+    return _only(docs, _key(F.col("doc_id"), *(fingerprint(F.col("text"), NEAR["width"], NEAR["seed"] + i) for i in range(NEAR["words"]))), kept)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from quarry.llm.warc import round_trip
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"), width=4, seed=42, distance=4)
-    return out.select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+    return out.select("doc_id", as_hex(F.col("w0")).alias("fingerprint"), "component_id")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

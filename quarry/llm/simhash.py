@@ -1,13 +1,14 @@
 """SimHash near-deduplication by multi-index hashing.
 
-A fingerprint is the bitwise majority of the XXH64 values of a text's word shingles. Two fingerprints within
-``distance`` bits are found without comparing all of them: the 64 bits are cut into segments, each with a radius, so
-that the radii plus one add up to more than the distance; then any such pair agrees in at least one segment up to
-that segment's radius. Every fingerprint is entered in each segment's table under its own value and looks up all
-values of the small Hamming ball around it. What a look-up fetches is verified over all 64 bits.
-
-Equal fingerprints are one entry. A bucket of near copies gives the links of a spanning
-tree, as many as it has members, not all of their pairs.
+A fingerprint is the bitwise majority of the XXH64 values of a text's word shingles: one word of 64 bits, or several
+under successive seeds. Two fingerprints within ``distance`` bits are found without comparing all of them: the bits are cut
+into segments, each with a radius, so that the radii plus one add up to more than the distance; then any such pair agrees
+in at least one segment up to that segment's radius. Every fingerprint is entered in each segment's table under all
+values of a small Hamming ball around its own, of half the segment's radius: balls of two values meet exactly if the
+values are within the radius. What shares a table entry is verified over all bits.
+
+Equal fingerprints are one entry. A table bucket of near copies gives the links of a spanning tree, as many as it has
+members, not all of their pairs.
 """
 
 from __future__ import annotations
@@ -152,161 +153,177 @@ def as_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def plan_segments(n: int, distance: int) -> list[tuple[int, int, int]]:
-    """(first bit, bits, radius) of each segment for n distinct fingerprints. Every plan finds every pair.
-
-    Costs are the look-ups of a fingerprint plus what they are expected to fetch; two long segments with larger balls
-    win once tables of short keys fill up."""
+def plan_segments(n: int, distance: int, words: int = 1) -> list[tuple[int, int, int, int]]:
+    """(word, first bit, bits, ball) of each segment for n distinct fingerprints: a pair within ``distance`` differs by at most
+    2 * ball bits in some segment. Every plan finds every pair; the cheapest is chosen, by its look-ups and what they are
+    expected to meet. Longer segments with larger balls win once tables of short keys fill up."""
     from math import comb
 
-    plans = []
-    for k in range(2, distance // 2 + 2) if distance > 1 else (1, 2):  # so that most segments have a ball
-        radii = [distance // k] * k  # lowered from the end while the radii plus one still exceed the distance
-        for i in reversed(range(k)):
-            while radii[i] and sum(r + 1 for r in radii) - 1 > distance:
-                radii[i] -= 1
-        base, more = divmod(64, k)
-        bits = [base + (i < more) for i in range(k)]
-        if k > 1 and min(radii) < max(radii):  # an exact look-up is cheap and may use fewer bits
-            bits[-1] -= 2
-            bits[0] += 1
-            bits[1 if k > 2 else 0] += 1
-        at, plan, cost = 0, [], 0.0
-        for b, r in zip(bits, radii, strict=True):
-            ball = sum(comb(b, i) for i in range(r + 1))
-            plan.append((at, b, r))
-            cost += ball * (1 + n / 2**b * 0.05)
-            at += b
-        plans.append((cost, k, plan))
-    return min(plans)[2]
-
-
-def balls(plan: list[tuple[int, int, int]]) -> list[tuple[int, int, int, list[int]]]:
-    """(segment, first bit, mask, masks to flip) of each segment."""
+    best = None
+    for k in range(2, 6):  # segments of a word, each with a ball
+        for large in range(k + 1):
+            sizes = [2] * large + [1] * (k - large)
+            if words * sum(2 * x + 1 for x in sizes) <= distance:
+                continue
+            base, more = divmod(64, k)
+            bits = [base + (i < more) for i in range(k)]
+            keys = [sum(comb(b, i) for i in range(x + 1)) for b, x in zip(bits, sizes, strict=True)]
+            cost = sum(c * (1 + 0.02 * n * c / 2**b) for b, c in zip(bits, keys, strict=True))
+            plan = [(w, sum(bits[:i]), bits[i], sizes[i]) for w in range(words) for i in range(k)]
+            best = min(best or (cost, plan), (cost, plan))
+    if best is None:
+        raise ValueError(f"no plan for {distance} of {64 * words} bits")
+    return best[1]
+
+
+def balls(plan: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, np.ndarray]]:
+    """(word, first bit, mask, masks to flip) of each segment."""
     from itertools import combinations
 
-    out = []
-    for k, (at, bits, radius) in enumerate(plan):
-        flips = [sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(bits), r)]
-        out.append((k, at, (1 << bits) - 1, flips))
-    return out
+    return [(w, at, (1 << bits) - 1, np.array([sum(1 << i for i in c) for r in range(ball + 1) for c in combinations(range(bits), r)], np.uint64)) for w, at, bits, ball in plan]
+
+
+def _names(words: int) -> list[str]:
+    return [f"w{i}" for i in range(words)]
+
 
+def _schema(words: int, prefix: str = "") -> str:
+    return ", ".join(f"{prefix}{n} long" for n in _names(words))
 
-def look_ups(fps: DataFrame, plan: list[tuple[int, int, int]]) -> DataFrame:
-    """Rows (segment, key, fp, own): each fingerprint under its own segment values and those of its small balls."""
+
+def look_ups(fps: DataFrame, plan: list[tuple[int, int, int, int]], words: int) -> DataFrame:
+    """Rows (segment, key, words of the fingerprint): each fingerprint under the values of its balls."""
     table = balls(plan)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every = batch.column(0).to_numpy().view(np.uint64)
-            for at in range(0, len(every), 4096):
-                fp = every[at : at + 4096]
-                for k, first, mask, flips in table:
-                    own = (fp >> np.uint64(first)) & np.uint64(mask)
+            every = [batch.column(i).to_numpy().view(np.uint64) for i in range(words)]
+            for at in range(0, len(every[0]), 4096):
+                fp = [w[at : at + 4096] for w in every]
+                for k, (w, first, mask, flips) in enumerate(table):
+                    own = (fp[w] >> np.uint64(first)) & np.uint64(mask)
                     for f in range(0, len(flips), 64):
-                        flip = np.array(flips[f : f + 64], np.uint64)
+                        flip = flips[f : f + 64]
                         key = (own[:, None] ^ flip[None, :]).ravel().astype(np.int64)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(key), k, np.int8)), pa.array(key), pa.array(np.repeat(fp, len(flip)).view(np.int64)), pa.array(np.tile(flip == 0, len(fp)))],
-                            ["segment", "key", "fp", "own"],
-                        )
+                        columns = [pa.array(np.full(len(key), k, np.int8)), pa.array(key), *(pa.array(np.repeat(x, len(flip)).view(np.int64)) for x in fp)]
+                        yield pa.RecordBatch.from_arrays(columns, ["segment", "key", *_names(words)])
 
-    return fps.mapInArrow(run, "segment byte, key long, fp long, own boolean")
+    return fps.select(*_names(words)).mapInArrow(run, f"segment byte, key long, {_schema(words)}")
 
 
-SMALL = 48  # a bucket of at most so many rows is compared by shifting it against itself
+SMALL, SQUARE = 24, 1024  # buckets compared by shifting them against themselves, and as a square
 
 
-def _verify(distance: int):
-    """Rows sorted by (segment, key), each bucket in one partition -> links (a, b) that span each bucket's groups."""
+def _verify(distance: int, words: int):
+    """Rows sorted by (segment, key), each bucket in one partition -> links that span each bucket's groups."""
 
-    def small(key: np.ndarray, fp: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for d in range(1, SMALL):
-            if d >= len(key):
-                return
-            near = np.flatnonzero((key[d:] == key[:-d]) & (own[d:] | own[:-d]))
-            if not len(near):
-                if not (key[d:] == key[:-d]).any():
-                    return
-                continue
-            a, b = fp[near], fp[near + d]
-            near = np.bitwise_count(a ^ b) <= distance
-            yield a[near], b[near]
+    def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Differing bits; the last axis of a and b holds the words."""
+        return np.bitwise_count(a ^ b).astype(np.int16).sum(-1)
 
-    def large(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def small(bucket: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for d in range(1, min(SMALL, len(bucket))):
+            same = np.flatnonzero(bucket[d:] == bucket[:-d])
+            if not len(same):
+                return
+            near = same[apart(fp[same], fp[same + d]) <= distance]
+            yield fp[near], fp[near + d]
+
+    def square(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """All links of a bucket, unless they are so many that a tree says the same in fewer."""
+        total = np.zeros((len(fp), len(fp)), np.uint8)
+        for w in range(words):
+            total += np.bitwise_count(fp[:, None, w] ^ fp[None, :, w])
+        a, b = np.nonzero(np.triu(total <= distance, 1))
+        return (fp[a], fp[b]) if len(a) <= 4 * len(fp) else None
+
+    def tree(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Grows each group from a seed: a member is compared with what no group has reached yet, a vector at a time."""
-        todo, tree = fp, ([], [])
+        todo, links = fp, ([], [])
         while len(todo):
             queue, todo = [todo[0]], todo[1:]
             while queue and len(todo):
                 member = queue.pop()
-                near = np.bitwise_count(todo ^ member) <= distance
+                near = apart(todo, member) <= distance
                 if near.any():
                     found, todo = todo[near], todo[~near]
-                    tree[0].append(np.full(len(found), member))
-                    tree[1].append(found)
+                    links[0].append(np.broadcast_to(member, found.shape))
+                    links[1].append(found)
                     queue.extend(found)
-        none = np.empty(0, np.uint64)
-        return np.concatenate(tree[0] or [none]), np.concatenate(tree[1] or [none])
+        none = np.empty((0, words), np.uint64)
+        return np.concatenate(links[0] or [none]), np.concatenate(links[1] or [none])
 
-    def links(seg: np.ndarray, key: np.ndarray, fp: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not len(key):
-            return
+    def links(seg: np.ndarray, key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         cuts = np.concatenate(([0], np.flatnonzero((np.diff(key) != 0) | (np.diff(seg) != 0)) + 1, [len(key)]))
         sizes = np.diff(cuts)
         bucket = np.repeat(np.arange(len(sizes)), sizes)
         keep = (sizes[bucket] > 1) & (sizes[bucket] <= SMALL)
-        found = list(small(bucket[keep], fp[keep], own[keep]))
-        found += [large(fp[cuts[i] : cuts[i + 1]]) for i in np.flatnonzero(sizes > SMALL)]
-        a, b = (np.concatenate([x[i] for x in found] or [np.empty(0, np.uint64)]).view(np.int64) for i in (0, 1))
-        both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0)
-        if len(both):
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
+        found = list(small(bucket[keep], fp[keep]))
+        for i in np.flatnonzero(sizes > SMALL):
+            own = fp[cuts[i] : cuts[i + 1]]
+            found.append((square(own) if len(own) <= SQUARE else None) or tree(own))
+        a, b = (np.concatenate([x[i] for x in found] or [np.empty((0, words), np.uint64)]).view(np.int64) for i in (0, 1))
+        if len(a):
+            swap = np.zeros(len(a), bool)  # the smaller one first, word by word
+            tied = ~swap
+            for w in range(words):
+                swap |= tied & (a[:, w] > b[:, w])
+                tied &= a[:, w] == b[:, w]
+            a, b = np.where(swap[:, None], b, a), np.where(swap[:, None], a, b)
+            both = np.unique(np.concatenate((a, b), 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, i])) for i in range(2 * words)], [f"{side}{n}" for side in "ab" for n in _names(words)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
-        rows = 0
         for batch in batches:
-            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            now[2] = now[2].view(np.uint64)
-            if not len(now[0]):
+            if not batch.num_rows:
                 continue
-            last = np.flatnonzero((now[1] != now[1][-1]) | (now[0] != now[0][-1]))
-            whole = last[-1] + 1 if len(last) else 0  # what comes after may go on in the next batch
-            if not whole and held and (held[-1][0][-1], held[-1][1][-1]) != (now[0][0], now[1][0]):
-                yield from links(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                held, rows = [], 0
-            if whole:
+            seg, key, *fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2 + words))
+            now = [seg, key, np.stack(fp, 1).view(np.uint64)]
+            last = np.flatnonzero((key != key[-1]) | (seg != seg[-1]))
+            whole = int(last[-1]) + 1 if len(last) else 0  # what comes after may go on in the next batch
+            if held and (whole or (held[-1][0][-1], held[-1][1][-1]) != (seg[0], key[0])):
                 yield from links(*(np.concatenate(x) for x in zip(*held, [x[:whole] for x in now], strict=True)))
-                held, rows = [], 0
+                held = []
+            elif whole:
+                yield from links(*(x[:whole] for x in now))
             held.append([x[whole:] for x in now])
-            rows += len(now[0]) - whole
         if held:
             yield from links(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
 
-def near_links(fps: DataFrame, distance: int, n: int) -> DataFrame:
-    """Links (a, b), a < b, between distinct fingerprints: their components are those of all pairs within distance."""
-    rows = look_ups(fps, plan_segments(n, distance))
+def node(words: int, side: str = "") -> Column:
+    """A fingerprint as one long: itself, or a hash of its words."""
+    return F.col(f"{side}w0") if words == 1 else F.xxhash64(*(f"{side}{n}" for n in _names(words)))
+
+
+def near_links(fps: DataFrame, distance: int, n: int, words: int = 1) -> DataFrame:
+    """Links (a, b) between the nodes of distinct fingerprints (w0, ...): their components are those of all pairs within distance."""
+    rows = look_ups(fps, plan_segments(n, distance, words), words)
     sorted_rows = rows.repartition("segment", "key").sortWithinPartitions("segment", "key")
-    return sorted_rows.mapInArrow(_verify(distance), "a long, b long").distinct()
+    found = sorted_rows.mapInArrow(_verify(distance, words), f"{_schema(words, 'a')}, {_schema(words, 'b')}")
+    return found.select(node(words, "a").alias("a"), node(words, "b").alias("b")).distinct()
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, distance: int = 4) -> DataFrame:
-    """One row per row of df: doc_id, fp (signed long), component_id (the smallest id that links lead to, itself included)
-    and stays (true for one document of each component: the smallest id, then the smallest fingerprint).
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, distance: int = 4, words: int = 1) -> DataFrame:
+    """One row per row of df: doc_id, w0, ... (the fingerprint's words as signed longs), component_id (the smallest id that links
+    lead to, itself included) and stays (true for one document of each component: the smallest id, then the smallest
+    fingerprint).
 
+    Fingerprints have ``words`` words of 64 bits, with seeds from ``seed`` on, and link at up to ``distance`` differing bits.
     Null texts count as empty. Texts without words have fingerprint zero and are linked like any other. Rows that repeat
     an id each get a row; those that repeat id and fingerprint of the document that stays are all marked. Null ids
     are kept and are no component's smallest id unless all of its ids are null. An empty table gives no rows. Other
     columns are not read.
     """
     require(df, id_col, text_col)
-    rows = stash(df.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), width, seed).alias("fp")), "simhash")
-    distinct = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("smallest")), "simhash-distinct")
-    links = stash(near_links(distinct.select("fp"), distance, distinct.count()), "simhash-links")
+    names = _names(words)
+    made = df.select(F.col(id_col).alias("doc_id"), *(fingerprint(F.col(text_col), width, seed + i).alias(n) for i, n in enumerate(names)))
+    rows = stash(made.select("doc_id", *names, node(words).alias("fp")), "simhash")
+    distinct = stash(rows.groupBy("fp", *names).agg(F.min("doc_id").alias("smallest")), "simhash-distinct")
+    links = stash(near_links(distinct, distance, distinct.count(), words), "simhash-links")
     roots = connected_components(links, "a", "b")
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "smallest", F.coalesce("root", "fp").alias("root"))
     first = F.min(F.struct(F.col("smallest").isNull().alias("none"), "smallest", "fp"))
@@ -316,4 +333,4 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for old in (distinct, links, roots):
         discard(old)
     stays = F.col("first") & F.col("doc_id").eqNullSafe(F.col("component_id"))
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id", stays.alias("stays"))
+    return rows.join(classes, "fp").select("doc_id", *names, "component_id", stays.alias("stays"))

@@ -10,12 +10,12 @@ from quarry.llm import simhash
 from quarry.llm.components import connected_components
 
 
-def brute_fingerprint(text, width=4):
+def brute_fingerprint(text, width=4, seed=42):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
         return 0
     parts = [" ".join(words[i : i + width]) for i in range(len(words) - width + 1)] if len(words) >= width else [" ".join(words)]
-    hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    hashes = [xxhash.xxh64_intdigest(p.encode(), seed) for p in parts]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
@@ -53,50 +53,68 @@ def test_vectorised_hash_of_every_length():
         assert got.tolist() == [xxhash.xxh64_intdigest(data[s : s + n], 42) for s in starts.tolist()]
 
 
+@pytest.mark.parametrize("distance,words", [(4, 1), (8, 1), (3, 1), (23, 2)])
 @pytest.mark.parametrize("n", [100, 10**7, 10**11])
-def test_every_plan_finds_every_pair(n):
-    """Whatever four bits differ, some segment is within its radius."""
-    plan = simhash.plan_segments(n, 4)
-    assert sum(b for _, b, _ in plan) == 64 and sum(r + 1 for *_, r in plan) > 4
+def test_every_plan_finds_every_pair(n, distance, words):
+    """Whatever bits differ, the balls meet in some segment."""
+    plan = simhash.plan_segments(n, distance, words)
+    assert sum(bits for _, _, bits, _ in plan) == 64 * words
     rng = random.Random(2)
-    for _ in range(2000):
-        bits = rng.sample(range(64), 4)
-        assert any(sum(at <= b < at + width for b in bits) <= r for at, width, r in plan)
+    for _ in range(3000):
+        bits = rng.sample(range(64 * words), distance)
+        assert any(sum(64 * w + at <= b < 64 * w + at + width for b in bits) <= 2 * ball for w, at, width, ball in plan)
 
 
-def test_components_match_brute_force(spark):
+def test_balls_of_a_pair_meet():
+    for (_, _, mask, flips), bits in zip(simhash.balls([(0, 0, 10, 1), (0, 0, 12, 2)]), (10, 12), strict=True):
+        rng = random.Random(1)
+        for _ in range(200):
+            a = rng.getrandbits(bits) & mask
+            b = a
+            for i in rng.sample(range(bits), 2 * (2 if bits == 12 else 1)):
+                b ^= 1 << i
+            assert set((np.uint64(a) ^ flips).tolist()) & set((np.uint64(b) ^ flips).tolist())
+
+
+@pytest.mark.parametrize("distance,words", [(4, 1), (23, 2)])
+def test_components_match_brute_force(spark, distance, words):
     rng = random.Random(4)
-    base = [rng.getrandbits(64) for _ in range(25)]
+    size = 64 * words
+    base = [rng.getrandbits(size) for _ in range(25)]
     fps = []
     for i in range(900):
         f = base[i % 3] if i < 500 else rng.choice(base)
-        for b in rng.sample(range(64), rng.randrange(9)):
+        for b in rng.sample(range(size), rng.randrange(2 * distance)):
             f ^= 1 << b
         fps.append(f)
     ids = list(range(900))
-    signed = [f - 2**64 if f >= 2**63 else f for f in fps]
-    df = spark.createDataFrame(list(zip(ids, signed, strict=True)), "doc_id long, fp long")
-    links = simhash.near_links(df.select("fp").distinct(), 4, len(set(fps)))
-    assert all(((r.a ^ r.b) & (2**64 - 1)).bit_count() <= 4 and r.a < r.b for r in links.collect())
+    signed = [[(x - 2**64 if x >= 2**63 else x) for x in ((f >> 64 * w) & (2**64 - 1) for w in range(words))] for f in fps]
+    schema = "doc_id long, " + ", ".join(f"w{w} long" for w in range(words))
+    df = spark.createDataFrame([(i, *s) for i, s in zip(ids, signed, strict=True)], schema).withColumn("fp", simhash.node(words))
+    links = simhash.near_links(df.select("fp", *(f"w{w}" for w in range(words))).distinct(), distance, len(set(fps)), words)
+    by = {r["doc_id"]: r["fp"] for r in df.select("doc_id", "fp").collect()}
+    value = {by[i]: fps[i] for i in ids}
+    assert all((value[r.a] ^ value[r.b]).bit_count() <= distance and r.a != r.b for r in links.collect())
     roots = {r["node"]: r["root"] for r in connected_components(links, "a", "b").collect()}
-    want = brute_components(ids, fps)
+    want = brute_components(ids, fps, distance)
     got = {}
-    for i, s in zip(ids, signed, strict=True):
-        got.setdefault(roots.get(s, s), []).append(i)
-    assert [min(next(g for g in got.values() if i in g)) for i in ids] == want
+    for i in ids:
+        got.setdefault(roots.get(by[i], by[i]), []).append(i)
+    smallest = {i: min(g) for g in got.values() for i in g}
+    assert [smallest[i] for i in ids] == want
 
 
 def test_query_and_edge_cases(spark):
     text = " ".join(f"w{i}" for i in range(400))
     rows = [(5, text), (3, text + " more"), (9, text), (9, text), (7, None), (8, ""), (None, "lonely one two three four"), (1, "x y z"), (1, "p q r s t")]
     rows += [(100 + i, t) for i, t in enumerate(TEXTS)]
-    df = spark.createDataFrame([(*r, "h") for r in rows], "doc_id long, text string, fp string")
-    got = sorted(((r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(df).withColumn("fingerprint", simhash.as_hex(F.col("fp"))).collect()), key=repr)
+    df = spark.createDataFrame([(*r, "h") for r in rows], "doc_id long, text string, w0 string")
+    got = sorted(((r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(df).withColumn("fingerprint", simhash.as_hex(F.col("w0"))).collect()), key=repr)
     fps = [brute_fingerprint(t) for _, t in rows]
     want = sorted(((d, f"{f:016x}", c) for (d, _), f, c in zip(rows, fps, brute_components([d for d, _ in rows], fps), strict=True)), key=repr)
     assert got == want
     assert simhash.near_duplicates(df.limit(0)).count() == 0
-    stays = simhash.near_duplicates(df).where("stays").select("doc_id", "fp").distinct().count()
+    stays = simhash.near_duplicates(df).where("stays").select("doc_id", "w0").distinct().count()
     assert stays == len(set(brute_components(range(len(rows)), fps)))
 
 
