@@ -55,7 +55,7 @@ def is_ambiguous(text: Column) -> Column:
 
 def version_matches(expected: Column, retrieved: Column) -> Column:
     """Whether expected is among the comma-separated retrieved versions."""
-    there = F.array_contains(F.transform(F.split(retrieved, ","), F.trim), F.trim(expected))
+    there = F.array_contains(F.transform(F.split(retrieved, ","), lambda v: F.trim(v)), F.trim(expected))
     return F.when(F.coalesce(retrieved, F.lit("")).isin("", "none"), F.lit(False)).otherwise(F.coalesce(there, F.lit(False)))
 
 

@@ -39,7 +39,7 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
 def stage_latency_avg(spark: SparkSession, d: str) -> DataFrame:
     """Means of a day's stages: the value of an event is its total, and fixed shares of it are the stages."""
     e = table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), (F.col("value") * 0.7).alias("embedding_ms"), (F.col("value") * 0.3).alias("retrieval_ms"), F.col("value").alias("total_ms"))
-    return e.groupBy("day").agg(*(F.round(F.avg(c), 4).alias(c) for c in ("embedding_ms", "retrieval_ms", "total_ms")))
+    return e.groupBy("day").agg(*(F.round(F.avg(c), 9).alias(c) for c in ("embedding_ms", "retrieval_ms", "total_ms")))
 
 
 def classify_queries(spark: SparkSession, d: str) -> DataFrame:
@@ -121,7 +121,7 @@ SELECT conv_id, turn, round({_share("ws")}, 6) AS context_recall FROM c""",
 m AS (SELECT *, list_filter(nw, lambda w: NOT list_contains(rw, w)) AS mis FROM c)
 SELECT conv_id, turn, round(CASE WHEN len(mis) = 0 OR len(aw) = 0 THEN 0.0 ELSE len(list_intersect(aw, mis)) / len(aw) END, 6) AS noise_sensitivity FROM m""",
     "latency_percentiles": """SELECT event_type, round(quantile_cont(value, 0.5), 3) AS p50, round(quantile_cont(value, 0.95), 3) AS p95, round(quantile_cont(value, 0.99), 3) AS p99, round(avg(value), 3) AS mean, round(min(value), 3) AS min, round(max(value), 3) AS max, count(value) AS n FROM events GROUP BY event_type""",
-    "stage_latency_avg": "SELECT strftime(ts, '%Y-%m-%d') AS day, round(avg(value * 0.7), 4) AS embedding_ms, round(avg(value * 0.3), 4) AS retrieval_ms, round(avg(value), 4) AS total_ms FROM events GROUP BY 1",
+    "stage_latency_avg": "SELECT strftime(ts, '%Y-%m-%d') AS day, round(avg(value * 0.7), 9) AS embedding_ms, round(avg(value * 0.3), 9) AS retrieval_ms, round(avg(value), 9) AS total_ms FROM events GROUP BY 1",
     "classify_queries": _CLASSED + " SELECT query_id, category FROM cf",
     "category_distribution": _CLASSED + _SHARES.format("category", "cf"),
     "query_category_metrics": _CLASSED + """ SELECT category, count(*) AS number_of_queries, count(*) FILTER (good) AS successful_retrievals, round(100 * avg(good::INT), 1) AS retrieval_accuracy, round(100 * avg(temporal_leak::INT), 1) AS temporal_leakage_rate,

@@ -21,10 +21,15 @@ MOVIE = (
 COMMENT = "_id string, name string, email string, movie_id string, date string, text string"
 
 
+def file_name() -> Column:
+    """The name of the file that a row comes from; paths are percent-encoded."""
+    return F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))
+
+
 def markdown_files(spark: SparkSession, folder: str) -> DataFrame:
     """(source_file, text): one row per *.md file, decoded as UTF-8 with replacement."""
     files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md")
-    return files.select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text")).select(F.url_decode(F.replace("name", F.lit("+"), F.lit("%2B"))).alias("source_file"), "text")
+    return files.select(file_name().alias("source_file"), F.col("value").alias("text"))
 
 
 def markdown_chunks(files: DataFrame, limit: int = 800) -> DataFrame:
@@ -60,7 +65,7 @@ def pdf_pages(spark: SparkSession, folder: str) -> DataFrame:
                     yield pd.DataFrame(rows, columns=["source_file", "page", "text"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder)
-    return files.select(F.col("_metadata.file_name").alias("name"), "content").mapInPandas(run, "source_file string, page int, text string")
+    return files.select(file_name().alias("name"), "content").mapInPandas(run, "source_file string, page int, text string")
 
 
 def page_chunks(pages: DataFrame, limit: int = 800) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quarry.sources.readers import markdown_chunks
+from quarry.sources.readers import file_name, markdown_chunks
 from quarry.sources.store import Store
 
 
@@ -16,7 +16,7 @@ def ingest_stream(spark: SparkSession, folder: str, checkpoint: str, records: St
     """Reads new *.md files of a folder and upserts their chunks, each with its embedding. Ends when it has caught up; the
     checkpoint makes the next run go on from there, and upserts make a repeated batch harmless."""
     files = spark.readStream.schema("value string").option("wholetext", True).option("pathGlobFilter", "*.md").option("maxFilesPerTrigger", files_at_once).format("text").load(folder)
-    named = files.select(F.col("_metadata.file_name").alias("source_file"), F.col("value").alias("text"))
+    named = files.select(file_name().alias("source_file"), F.col("value").alias("text"))
 
     def upsert(batch: DataFrame, _: int) -> None:
         records.upsert(markdown_chunks(batch).withColumn("embedding", embed(F.col("text"))))
