@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,6 +29,24 @@ def ranked(df: DataFrame, k: int, *order: Column, key: str = "query_id") -> Data
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+class _Best:
+    """The k best (score, id) of each query so far, by score and then by id."""
+
+    def __init__(self, ids: list, k: int):
+        self.ids, self.k = ids, k
+        self.scores, self.rows = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
+
+    def add(self, scores: np.ndarray, rows: np.ndarray) -> None:
+        """scores: (queries, rows)."""
+        s = np.concatenate((self.scores, scores), 1)
+        i = np.concatenate((self.rows, np.broadcast_to(rows, scores.shape)), 1)
+        first = np.lexsort((i, -s), axis=1)[:, : self.k]
+        self.scores, self.rows = np.take_along_axis(s, first, 1), np.take_along_axis(i, first, 1)
+
+    def frame(self) -> pd.DataFrame:
+        return pd.DataFrame({"query_id": np.repeat(self.ids, self.rows.shape[1]), "id": self.rows.ravel(), "score": self.scores.ravel()})
+
+
 def _nearest(ids: list, matrix: np.ndarray, k: int, metric: str):
     """Batches of (id, embedding) -> the k best of each query in this task."""
     norms = np.linalg.norm(matrix, axis=1)
@@ -39,18 +58,13 @@ def _nearest(ids: list, matrix: np.ndarray, k: int, metric: str):
         return np.divide(matrix @ x.T, by, out=np.zeros_like(by), where=by > 0)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best_s, best_i = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
+        best = _Best(ids, k)
         for f in frames:
             for at in range(0, len(f), 1024):
                 part = f.iloc[at : at + 1024]
                 x = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-                s = np.concatenate((best_s, np.round(scores(x), 12)), 1)
-                i = np.concatenate((best_i, np.broadcast_to(part["id"].to_numpy(np.int64), (len(ids), len(part)))), 1)
-                first = np.lexsort((i, -s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, first, 1), np.take_along_axis(i, first, 1)
-        if best_s.shape[1]:
-            n = best_s.shape[1]
-            yield pd.DataFrame({"query_id": np.repeat(ids, n), "id": best_i.ravel(), "score": best_s.ravel()})
+                best.add(np.round(scores(x), 12), part["id"].to_numpy(np.int64))
+        yield best.frame()
 
     return run
 
@@ -78,26 +92,89 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosin
     return ranked(functools.reduce(DataFrame.unionAll, out), k, F.desc("score"), F.col("id"))
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """Lower-cased words between ASCII white space, in UTF-8: what functions.text.lower_words gives."""
+    return (text or "").lower().encode("utf-8", "replace").split()
+
+
+class _Places(dict):
+    """Where a word's count goes in a hashed vector. Remembers a bounded number of words."""
+
+    def __init__(self, dimensions: int):
+        super().__init__()
+        self.dimensions = dimensions
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = p = int(hashlib.md5(word).hexdigest()[:4], 16) % self.dimensions
+        return p
+
+
 def hashed_embedding(text: Column, dimensions: int = 64) -> Column:
     """The default embedder: counts of lower-cased words by a hash of the word. Any other is a column function like this."""
 
     @F.pandas_udf("array<double>")
     def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        place: dict[str, int] = {}
+        places = _Places(dimensions)
         for s in it:
             out = []
-            for words in s:
-                v = np.zeros(dimensions)
-                for w in words:
-                    if (p := place.get(w)) is None:
-                        if len(place) > 500_000:
-                            place.clear()
-                        p = place[w] = int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % dimensions
-                    v[p] += 1
-                out.append(v)
+            for t in s:
+                words = words_of(t)
+                out.append(np.bincount(np.fromiter(map(places.__getitem__, words), np.int64, len(words)), minlength=dimensions).astype(np.float64))
             yield pd.Series(out)
 
-    return run(lower_words(text))
+    return run(text)
+
+
+def _term_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(text) -> (term, df), combined over a task as far as memory allows, and a row without a term: documents and words."""
+    df, n, total = Counter(), 0, 0
+    for f in frames:
+        for text in f["text"]:
+            words = words_of(text)
+            n, total = n + 1, total + len(words)
+            df.update(set(words))
+            if len(df) > 300_000:
+                yield pd.DataFrame({"term": list(df), "df": list(df.values()), "words": 0})
+                df.clear()
+    yield pd.DataFrame({"term": [*df, None], "df": [*df.values(), n], "words": [0] * len(df) + [total]})
+
+
+def _okapi(ids: list, place: dict[bytes, int], weights: np.ndarray, mean: float, k: int, k1: float, b: float):
+    """Batches of (id, text) -> the k best of each query in this task. weights: (terms, queries), idf times how often the
+    query has the term."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best, rows, scores = _Best(ids, k), [], []
+        none = np.zeros(len(ids))
+
+        def pass_on() -> None:
+            best.add(np.round(np.stack(scores, 1), 9), np.array(rows, np.int64))
+            rows.clear()
+            scores.clear()
+
+        for f in frames:
+            for i, text in zip(f["id"], f["text"], strict=True):
+                words = words_of(text)
+                tf = Counter([p for w in words if (p := place.get(w)) is not None])
+                rows.append(i)
+                if tf:
+                    n = np.fromiter(tf.values(), np.float64, len(tf))
+                    scores.append((n * (k1 + 1) / (n + k1 * (1 - b + b * len(words) / mean))) @ weights[np.fromiter(tf, np.int64, len(tf))])
+                else:
+                    scores.append(none)
+                if len(rows) >= 1024:
+                    pass_on()
+        if rows:
+            pass_on()
+        yield best.frame()
+
+    return run
+
+
+#: Queries whose weights one task holds at once: a few MB.
+TEXT_QUERIES_AT_ONCE = 256
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, where: Column | None = None, statistics_of_all: bool = False) -> DataFrame:
@@ -106,28 +183,41 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.5, b: fl
 
     Terms are lower-cased white-space words; repeated query terms count again; negative idf become epsilon times the
     mean idf over all terms. Documents without a query term score 0 and still rank. ``where`` filters the documents, before
-    the statistics or, with ``statistics_of_all``, after them. Document-term counts are made before any shuffle of
-    occurrences; only the queries' terms meet the postings.
+    the statistics or, with ``statistics_of_all``, after them.
+
+    One pass counts in how many documents each term occurs, combined by task before the shuffle. A second one scores each
+    document where it lies against a block of queries, and keeps k of each query and task: postings are never shuffled,
+    and a frequent term costs no more than its occurrences. Queries of any number are taken in blocks.
     """
-    everything = docs.select("id", lower_words(F.col("text")).alias("words"), *([where.alias("wanted")] if where is not None else [F.lit(True).alias("wanted")]))
-    corpus = everything if statistics_of_all else everything.where("wanted")
-    sizes = corpus.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).first()
-    n, mean = sizes["n"], sizes["mean"] or 0.0
-    terms = corpus.select("id", "wanted", F.size("words").alias("size"), F.explode("words").alias("term")).groupBy("id", "wanted", "size", "term").agg(F.count("*").alias("tf"))
-    found = terms.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    floor = (found.agg(F.avg("idf")).first()[0] or 0.0) * epsilon
-    asked = queries.select("query_id", F.explode(lower_words(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    asked = asked.join(found.select("term", F.when(F.col("idf") < 0, floor).otherwise(F.col("idf")).alias("idf")), "term")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.lit(mean)))
-    scored = terms.where("wanted").join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
-    # documents without a query term: the first k by id that the query did not reach are among the first k + |reached| ones
-    first = everything.where("wanted").select("id").orderBy("id").limit(2 * k)
-    reached = scored.groupBy("query_id").agg(F.count("*").alias("reached"))
-    short = queries.select("query_id").distinct().join(reached, "query_id", "left").where(F.coalesce("reached", F.lit(0)) < k).select("query_id")
-    zero = short.join(F.broadcast(first)).join(scored.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("score", F.lit(0.0))
-    out = ranked(scored.unionByName(zero), k, F.desc("score"), F.col("id"))
+    wanted = docs if where is None else docs.where(where)
+    terms = (docs if statistics_of_all else wanted).select("text").mapInPandas(_term_counts, "term binary, df long, words long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words")).persist()
+    counted = terms.where("term is null").first()
+    n, mean = (counted["df"], counted["words"] / max(1, counted["df"]) or 1.0) if counted else (0, 1.0)
+    idf = terms.where("term is not null").withColumn("idf", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    floor = (idf.agg(F.avg("idf")).first()[0] or 0.0) * epsilon
+    n_queries = queries.count()
+    blocks = max(1, -(-2 * n_queries // TEXT_QUERIES_AT_ONCE)) if n_queries > TEXT_QUERIES_AT_ONCE else 1
+    out = []
+    for q in range(blocks):
+        own = (queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == q)).select(F.col("query_id").cast("long"), "text").orderBy("query_id").collect()
+        if not own:
+            continue
+        asked = [Counter(words_of(r["text"])) for r in own]
+        place = {w: i for i, w in enumerate(sorted({w for c in asked for w in c}))}
+        known = docs.sparkSession.createDataFrame([(bytearray(w),) for w in place], "term binary")
+        weights = np.zeros((max(1, len(place)), len(own)))
+        for r in idf.join(F.broadcast(known), "term").collect():  # at most the block's terms
+            w = bytes(r["term"])
+            for i, c in enumerate(asked):
+                if w in c:
+                    weights[place[w], i] = c[w] * (floor if r["idf"] < 0 else r["idf"])
+        out.append(wanted.select(F.col("id").cast("long"), "text").mapInPandas(_okapi([r["query_id"] for r in own], place, weights, mean, k, k1, b), "query_id long, id long, score double"))
+    terms.unpersist()
+    if not out:
+        return wanted.select(F.lit(0).cast("long").alias("query_id"), "id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"), F.lit(0.0).alias("normalised")).limit(0)
+    first = ranked(functools.reduce(DataFrame.unionAll, out), k, F.desc("score"), F.col("id"))
     best = F.max("score").over(Window.partitionBy("query_id"))
-    return out.withColumn("normalised", F.round(F.col("score") / F.when(best > 0, best).otherwise(1.0), 4))
+    return first.withColumn("normalised", F.round(F.col("score") / F.when(best > 0, best).otherwise(1.0), 4))
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, k: int = 5, alpha: str = "0.5") -> DataFrame:
