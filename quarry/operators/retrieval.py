@@ -29,6 +29,14 @@ def ranked(df: DataFrame, k: int, *order: Column, key: str = "query_id") -> Data
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def spread(df: DataFrame, bytes_a_core: int = 8 << 20) -> DataFrame:
+    """Deals the rows of a small input out to all cores: one small file is one row group, whatever the splits. Larger inputs come
+    in enough row groups and are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * bytes_a_core else df
+
+
 class _Best:
     """The k best (score, id) of each query so far, by score and then by id."""
 
@@ -190,7 +198,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.5, b: fl
     and a frequent term costs no more than its occurrences. Queries of any number are taken in blocks.
     """
     wanted = docs if where is None else docs.where(where)
-    terms = (docs if statistics_of_all else wanted).select("text").mapInPandas(_term_counts, "term binary, df long, words long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words")).persist()
+    terms = spread((docs if statistics_of_all else wanted).select("text")).mapInPandas(_term_counts, "term binary, df long, words long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words")).persist()
     counted = terms.where("term is null").first()
     n, mean = (counted["df"], counted["words"] / max(1, counted["df"]) or 1.0) if counted else (0, 1.0)
     idf = terms.where("term is not null").withColumn("idf", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
@@ -211,7 +219,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.5, b: fl
             for i, c in enumerate(asked):
                 if w in c:
                     weights[place[w], i] = c[w] * (floor if r["idf"] < 0 else r["idf"])
-        out.append(wanted.select(F.col("id").cast("long"), "text").mapInPandas(_okapi([r["query_id"] for r in own], place, weights, mean, k, k1, b), "query_id long, id long, score double"))
+        out.append(spread(wanted.where("id is not null").select(F.col("id").cast("long"), "text")).mapInPandas(_okapi([r["query_id"] for r in own], place, weights, mean, k, k1, b), "query_id long, id long, score double"))
     terms.unpersist()
     if not out:
         return wanted.select(F.lit(0).cast("long").alias("query_id"), "id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"), F.lit(0.0).alias("normalised")).limit(0)
@@ -256,7 +264,7 @@ def keyword_totals(docs: DataFrame, queries: DataFrame, at_once: int = 10_000) -
     keywords is one pass over the documents, with one partial count for each keyword and task."""
     n = queries.count()
     blocks = max(1, -(-2 * n // at_once)) if n > at_once else 1
-    keys, low = queries.select("query_id", "keyword"), docs.select(F.lower("text").alias("low"))
+    keys, low = queries.select("query_id", "keyword"), spread(docs.select("text")).select(F.lower("text").alias("low"))
     parts = [keys if blocks == 1 else keys.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
     counts = [low.join(F.broadcast(k), F.contains("low", "keyword")).groupBy("query_id").agg(F.count("*").alias("relevant")) for k in parts]
     return functools.reduce(DataFrame.unionAll, counts)

@@ -16,7 +16,7 @@ from quarry.plans.tables import CAL_SQL, CHUNKS_SQL, PAIRS_SQL, asked, bm25_sql,
 
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     """Every document cut into chunks, with ids and digests."""
-    cut = docs(spark, d).select("id", F.posexplode(chunk_markdown(F.col("text"))).alias("chunk_index", "text"))
+    cut = R.spread(docs(spark, d).select("id", "text")).select("id", F.posexplode(chunk_markdown(F.col("text"))).alias("chunk_index", "text"))
     return cut.select(V.markdown_chunk_id(F.concat(F.lit("doc"), F.col("id").cast("string")), F.lit("v1.0.0"), F.col("chunk_index")).alias("chunk_id"), "id", "chunk_index", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("checksum"))
 
 

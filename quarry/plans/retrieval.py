@@ -48,7 +48,7 @@ def bm25_topk_source(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sides(spark: SparkSession, d: str, pool: int) -> tuple[DataFrame, DataFrame]:
-    embedded = docs(spark, d).select("id", R.hashed_embedding(F.col("text")).alias("embedding"))
+    embedded = R.spread(docs(spark, d).select("id", "text")).select("id", R.hashed_embedding(F.col("text")).alias("embedding"))
     queries = asked(spark, d)
     dense = R.knn(embedded, queries.select("query_id", R.hashed_embedding(F.col("text")).alias("embedding")), pool)
     return dense, R.bm25(docs(spark, d), queries, pool)
