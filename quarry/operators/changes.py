@@ -79,12 +79,24 @@ def within_tolerance(detected: DataFrame, truth: DataFrame) -> DataFrame:
     return both.select("old", "new", "detected", actual.alias("actual"), right.alias("correct"))
 
 
-def change_scores(chunks: DataFrame, pairs: DataFrame, detected: Column) -> DataFrame:
+def embedding_changed(old: Column, new: Column, least: float = 0.95) -> Column:
+    """Whether two embeddings are less alike than ``least``; false for a missing one or a zero norm."""
+    from quarry.functions.vectors import dot
+
+    norms = dot(old, old) * dot(new, new)
+    return F.coalesce((norms > 0) & (dot(old, new) / F.sqrt(norms) < least), F.lit(False))
+
+
+def change_scores(chunks: DataFrame, pairs: DataFrame, detected: Column, embeddings: DataFrame | None = None) -> DataFrame:
     """Precision, recall and F1 of a detection flag against differing checksums, over chunks with the same (source_file, chunk_index)
-    in both versions of a pair; null for pairs without any. ``detected`` is over columns old_* and new_*."""
+    in both versions of a pair; null for pairs without any. ``detected`` is over columns old_* and new_*: id, sum, and e if
+    embeddings (chunk_id, embedding) are given."""
     rows = deduplicate_chunks(chunks).select("version", "source_file", "chunk_index", "chunk_id", "checksum")
     side = lambda s: rows.select(F.col("version").alias(s), "source_file", "chunk_index", F.col("chunk_id").alias(f"{s}_id"), F.col("checksum").alias(f"{s}_sum"))
     both = side("old").join(F.broadcast(pairs), "old").join(side("new"), ["new", "source_file", "chunk_index"])
+    if embeddings is not None:
+        for s in ("old", "new"):
+            both = both.join(embeddings.select(F.col("chunk_id").alias(f"{s}_id"), F.col("embedding").alias(f"{s}_e")), f"{s}_id", "left")
     flags = both.select("old", "new", detected.alias("d"), (F.col("old_sum") != F.col("new_sum")).alias("t"))
     n = flags.groupBy("old", "new").agg(F.count_if(F.expr("d and t")).alias("tp"), F.count_if(F.expr("d and not t")).alias("fp"), F.count_if(F.expr("not d and t")).alias("fn"))
     precision, recall = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0)), F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), F.lit(0.0))

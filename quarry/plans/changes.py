@@ -11,7 +11,7 @@ from quarry.functions.text import chunk_markdown
 from quarry.operators import changes as C
 from quarry.operators import relevance as M
 from quarry.operators import retrieval as R
-from quarry.plans.tables import CAL_SQL, CHUNKS_SQL, PAIRS_SQL, asked, bm25_sql, calendar_at, chunk_versions, docs, pairs, source_version, table
+from quarry.plans.tables import CAL_SQL, CHUNKS_SQL, PAIRS_SQL, WORDS, asked, bm25_sql, calendar_at, chunk_versions, docs, pairs, source_version, table
 
 
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -49,6 +49,14 @@ def change_f1(spark: SparkSession, d: str) -> DataFrame:
     return out.select("old", "new", "tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
 
 
+def embedding_change_f1(spark: SparkSession, d: str) -> DataFrame:
+    """The detection flag is a cosine below 0.95 of the chunks' embeddings; a missing vector or a zero norm detects nothing."""
+    chunks = chunk_versions(spark, d).withColumn("source_file", F.col("document_name"))
+    near = docs(spark, d).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("chunk_id"), R.hashed_embedding(F.col("text")).alias("embedding"))
+    out = C.change_scores(chunks, pairs(spark), C.embedding_changed(F.col("old_e"), F.col("new_e"), 0.95), near)
+    return out.select("old", "new", "tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
+
+
 def _truth(found: DataFrame) -> DataFrame:
     """A ground truth that differs from what is detected; the last pair has none."""
     off = lambda c: F.floor(F.col(c) * 1.15).cast("int").alias(c)
@@ -138,7 +146,7 @@ def cross_topics(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.format_string("q%d", "n").alias("query_id"), F.format_string("What %s changes were introduced or modified in %s?", "topic", "version").alias("query"), F.col("version").alias("expected_version"))
 
 
-QUERIES = {f.__name__: f for f in (chunk_documents, chunk_hash_dedupe, version_dates, file_names, detect_changes, change_f1, change_tolerance, change_accuracy, incremental_ingest_stats, update_efficiency, deleted_sources, latest_record, consecutive_pairs, history_retrieval, temporal_leakage, temporal_leakage_rate, embedding_cache, cross_topics)}
+QUERIES = {f.__name__: f for f in (chunk_documents, chunk_hash_dedupe, version_dates, file_names, detect_changes, change_f1, embedding_change_f1, change_tolerance, change_accuracy, incremental_ingest_stats, update_efficiency, deleted_sources, latest_record, consecutive_pairs, history_retrieval, temporal_leakage, temporal_leakage_rate, embedding_cache, cross_topics)}
 
 _CLEAN = CHUNKS_SQL + """,
 clean AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY version, chunk_index, checksum ORDER BY source_file, chunk_index, chunk_id) AS n FROM cv) WHERE n = 1)"""
@@ -185,6 +193,17 @@ cl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY version, chunk_i
 fl AS (SELECT "old", "new", substr(a.checksum, 1, 1) <> substr(b.checksum, 1, 1) AS d, a.checksum <> b.checksum AS t FROM pairs JOIN cl a ON a.version = "old" JOIN cl b ON b.version = "new" AND a.source_file = b.source_file AND a.chunk_index = b.chunk_index),
 n AS (SELECT "old", "new", count(*) FILTER (d AND t) AS tp, count(*) FILTER (d AND NOT t) AS fp, count(*) FILTER (NOT d AND t) AS fn FROM fl GROUP BY ALL),
 pr AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r FROM n)
+SELECT "old", "new", tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN tp IS NULL THEN NULL ELSE coalesce(2 * p * r / nullif(p + r, 0), 0) END, 6) AS f1 FROM pairs LEFT JOIN pr USING ("old", "new")""",
+    "embedding_change_f1": f"""WITH {PAIRS_SQL}, {CHUNKS_SQL},
+c2 AS (SELECT doc_id, version, document_name AS source_file, chunk_index, chunk_id, checksum FROM cv),
+cl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY version, chunk_index, checksum ORDER BY source_file, chunk_index, chunk_id) AS n FROM c2) WHERE n = 1),
+wv AS (SELECT doc_id, ('0x' || substr(md5(term), 1, 4))::INT % 64 AS b, count(*) AS c FROM (SELECT doc_id, unnest({WORDS.format("text")}) AS term FROM documents) GROUP BY ALL),
+nv AS (SELECT doc_id, sum(c * c) AS s FROM wv GROUP BY doc_id),
+pr0 AS (SELECT "old", "new", a.doc_id AS i, b.doc_id AS j, a.checksum <> b.checksum AS t FROM pairs JOIN cl a ON a.version = "old" JOIN cl b ON b.version = "new" AND a.source_file = b.source_file AND a.chunk_index = b.chunk_index),
+dt AS (SELECT i, j, sum(x.c * y.c) AS dot FROM (SELECT DISTINCT i, j FROM pr0) JOIN wv x ON x.doc_id = i JOIN wv y ON y.doc_id = j AND x.b = y.b GROUP BY ALL),
+fl AS (SELECT "old", "new", t, coalesce(coalesce(dot, 0) / sqrt(p.s * q.s) < 0.95, false) AS d FROM pr0 LEFT JOIN dt USING (i, j) LEFT JOIN nv p ON p.doc_id = i LEFT JOIN nv q ON q.doc_id = j),
+n AS (SELECT "old", "new", count(*) FILTER (d AND t) AS tp, count(*) FILTER (d AND NOT t) AS fp, count(*) FILTER (NOT d AND t) AS fn FROM fl GROUP BY ALL),
+pr AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r FROM n)
 SELECT "old", "new", tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN tp IS NULL THEN NULL ELSE coalesce(2 * p * r / nullif(p + r, 0), 0) END, 6) AS f1 FROM pairs LEFT JOIN pr USING ("old", "new")""",
     "change_tolerance": _TOLERANCE + " SELECT * FROM res",
     "change_accuracy": _TOLERANCE + " SELECT round(avg(correct::INT), 4) AS accuracy, count(*) AS pairs FROM res",

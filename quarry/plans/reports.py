@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.classify import ANCHORS, CHANGE_VERBS, COMPARISON, CROSS_VERSION, FEATURE_WORDS, NOTES, VERSION_WORDS, classify_query
+from quarry.functions.vectors import cosine
 from quarry.operators import answers as A
 from quarry.operators import relevance as M
-from quarry.plans.tables import FACTS_SQL, facts, table
+from quarry.operators.retrieval import hashed_embedding
+from quarry.plans.tables import FACTS_SQL, WORDS, facts, table
 
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
@@ -25,6 +27,13 @@ def context_recall(spark: SparkSession, d: str) -> DataFrame:
     return _turns(spark, d).where("answer is not null").select("conv_id", "turn", F.round(M.context_recall(F.col("question"), F.col("answer")), 6).alias("context_recall"))
 
 
+def answer_relevancy(spark: SparkSession, d: str) -> DataFrame:
+    """Cosine of the embeddings of question and answer; 0 for an empty answer."""
+    t = _turns(spark, d).where("answer is not null")
+    near = cosine(hashed_embedding(F.col("question")), hashed_embedding(F.col("answer")))
+    return t.select("conv_id", "turn", F.round(F.when(F.col("answer") == "", 0.0).otherwise(near), 6).alias("answer_relevancy"))
+
+
 def noise_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     """The question's text is the relevant document, the turn before it the noise."""
     t = _turns(spark, d).where("answer is not null")
@@ -93,7 +102,7 @@ def foreign_key_lookup(spark: SparkSession, d: str) -> DataFrame:
     return lines.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_orderkey").agg(F.count("*").alias("lines"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
-QUERIES = {f.__name__: f for f in (faithfulness, context_recall, noise_sensitivity, latency_percentiles, stage_latency_avg, classify_queries, category_distribution, query_category_metrics, classify_failures, failure_summary, llm_fallback_answer, parse_scores, set_ops, foreign_key_lookup)}
+QUERIES = {f.__name__: f for f in (faithfulness, context_recall, answer_relevancy, noise_sensitivity, latency_percentiles, stage_latency_avg, classify_queries, category_distribution, query_category_metrics, classify_failures, failure_summary, llm_fallback_answer, parse_scores, set_ops, foreign_key_lookup)}
 
 _TURNS = """WITH t AS (SELECT conv_id, turn, text AS question, lead(text) OVER w AS answer, lag(text) OVER w AS earlier FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"""
 _CONTENT = r"list_distinct(list_filter(regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z0-9]{{4,}}')))"
@@ -117,6 +126,13 @@ SQL = {
 SELECT conv_id, turn, round(CASE WHEN {_any("a", M.REFUSALS)} THEN 1.0 ELSE {_share("ws")} END, 6) AS faithfulness FROM c""",
     "context_recall": _TURNS + f""", c AS (SELECT conv_id, turn, lower(answer) AS ctx, {_less(_CONTENT.format("question"), M.TRUTH_STOP)} AS ws FROM t WHERE answer IS NOT NULL)
 SELECT conv_id, turn, round({_share("ws")}, 6) AS context_recall FROM c""",
+    "answer_relevancy": _TURNS + f""", p AS (SELECT conv_id, turn, question, answer FROM t WHERE answer IS NOT NULL),
+w AS (SELECT conv_id, turn, 'q' AS side, unnest({WORDS.format("question")}) AS term FROM p UNION ALL SELECT conv_id, turn, 'a', unnest({WORDS.format("answer")}) FROM p),
+v AS (SELECT conv_id, turn, side, ('0x' || substr(md5(term), 1, 4))::INT % 64 AS b, count(*) AS c FROM w GROUP BY ALL),
+n AS (SELECT conv_id, turn, side, sum(c * c) AS s FROM v GROUP BY ALL),
+d AS (SELECT x.conv_id, x.turn, sum(x.c * y.c) AS dot FROM v x JOIN v y USING (conv_id, turn, b) WHERE x.side = 'q' AND y.side = 'a' GROUP BY ALL)
+SELECT p.conv_id, p.turn, round(coalesce(CASE WHEN answer = '' THEN 0.0 ELSE dot / sqrt(nq.s * na.s) END, 0.0), 6) AS answer_relevancy
+FROM p LEFT JOIN d USING (conv_id, turn) LEFT JOIN n nq ON nq.conv_id = p.conv_id AND nq.turn = p.turn AND nq.side = 'q' LEFT JOIN n na ON na.conv_id = p.conv_id AND na.turn = p.turn AND na.side = 'a'""",
     "noise_sensitivity": _TURNS + f""", c AS (SELECT conv_id, turn, {_CONTENT.format("answer")} AS aw, {_CONTENT.format("question")} AS rw, {_CONTENT.format("earlier")} AS nw FROM t WHERE answer IS NOT NULL),
 m AS (SELECT *, list_filter(nw, lambda w: NOT list_contains(rw, w)) AS mis FROM c)
 SELECT conv_id, turn, round(CASE WHEN len(mis) = 0 OR len(aw) = 0 THEN 0.0 ELSE len(list_intersect(aw, mis)) / len(aw) END, 6) AS noise_sensitivity FROM m""",

@@ -148,7 +148,39 @@ def robustness(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, "query_id").select("query_id", F.round(M.robustness(F.col("ids"), F.col("bent")), 4).alias("robustness"))
 
 
-QUERIES = {f.__name__: f for f in (vector_topk_cosine, vector_topk_l2, vector_topk_filtered, knn_hit_precision_recall_mrr, bm25_topk, bm25_topk_source, dense_topk, hybrid_topk, hybrid_distance_topk, threshold_hybrid_topk, rerank_topk, hybrid_rerank_topk, threshold_rerank_topk, version_fallback_topk, jaccard_relevance, tier1_metrics, tier1_by_pipeline, keyword_metrics, context_precision_ap, robustness)}
+def keyword_by_method(spark: SparkSession, d: str) -> DataFrame:
+    """Keyword metrics of each method, averaged over all queries."""
+    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
+    queries = asked(spark, d).withColumn("keyword", F.get(words, F.lit(0)))
+    totals = R.keyword_totals(docs(spark, d), queries)
+    dense, sparse = (x.persist() for x in _sides(spark, d, 15))
+    runs = {"Vector": dense.where("rank <= 5"), "BM25": sparse.where("rank <= 5"), "Hybrid": R.fuse(dense, sparse, 5, "0.5")}
+    out = None
+    for name, results in runs.items():
+        found = results.select("query_id", "id", "rank").join(docs(spark, d).select("id", F.coalesce("text", F.lit("")).alias("document")), "id").join(queries.select("query_id", "keyword"), "query_id")
+        one = M.keyword_metrics(found, totals, 5).withColumn("method", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    mean = lambda c: F.round(F.avg(c), 4).alias(c)
+    return out.withColumn("hit", F.col("hit").cast("double")).groupBy("method").agg(*map(mean, ("hit", "precision", "recall", "mrr")))
+
+
+def collection_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, dimensions and labels of the vectors."""
+    return vectors(spark, d).agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("least_dimension"), F.max(F.size("embedding")).alias("most_dimension"), F.countDistinct("label").alias("labels"))
+
+
+def vectors_by_id(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors of all labelled documents that have one, by one join on the id."""
+    wanted = table(spark, d, "labels").select(F.col("doc_id").alias("id")).distinct()
+    return vectors(spark, d).join(wanted, "id").select("id", "label", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))
+
+
+def filtered_by_two(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by two equalities."""
+    return table(spark, d, "documents").where((F.col("lang") == "de") & (F.col("source") == "src3")).select("doc_id", "n_chars")
+
+
+QUERIES = {f.__name__: f for f in (vector_topk_cosine, vector_topk_l2, vector_topk_filtered, knn_hit_precision_recall_mrr, bm25_topk, bm25_topk_source, dense_topk, hybrid_topk, hybrid_distance_topk, threshold_hybrid_topk, rerank_topk, hybrid_rerank_topk, threshold_rerank_topk, version_fallback_topk, jaccard_relevance, tier1_metrics, tier1_by_pipeline, keyword_metrics, keyword_by_method, context_precision_ap, robustness, collection_stats, vectors_by_id, filtered_by_two)}
 
 _KNN = """WITH s AS (
   SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, q.label AS query_label, round({score}, 12) AS score
@@ -217,6 +249,18 @@ f AS (SELECT bm.query_id, rank, contains(lower(coalesce(text, '')), keyword) AS
 t AS (SELECT query_id, count(*) AS relevant FROM k JOIN documents ON contains(lower(text), keyword) GROUP BY query_id)
 SELECT query_id, bool_or(has) AS hit, round(count(*) FILTER (has) / least(5, count(*)), 6) AS precision, round(count(*) FILTER (has) / greatest(coalesce(any_value(relevant), 0), 1), 6) AS recall, round(coalesce(1 / min(rank) FILTER (has), 0.0), 6) AS mrr
 FROM f LEFT JOIN t USING (query_id) GROUP BY query_id""",
+    "keyword_by_method": _HYBRID + f""",
+k AS (SELECT item_id AS query_id, {WORDS.format("text")}[1] AS keyword FROM benchmark),
+t AS (SELECT query_id, count(*) AS relevant FROM k JOIN documents ON contains(lower(text), keyword) GROUP BY query_id),
+a AS (SELECT 'Vector' AS method, query_id, id, rank FROM dn WHERE rank <= 5 UNION ALL SELECT 'BM25', query_id, id, rank FROM bm WHERE rank <= 5 UNION ALL SELECT 'Hybrid', query_id, id, rank FROM hy),
+f AS (SELECT method, a.query_id, rank, contains(lower(coalesce(text, '')), keyword) AS has FROM a JOIN k USING (query_id) JOIN documents ON doc_id = id),
+m AS (
+  SELECT method, query_id, bool_or(has)::INT AS hit, count(*) FILTER (has) / least(5, count(*)) AS precision, count(*) FILTER (has) / greatest(coalesce(any_value(relevant), 0), 1) AS recall, coalesce(1 / min(rank) FILTER (has), 0.0) AS mrr
+  FROM f LEFT JOIN t USING (query_id) GROUP BY ALL)
+SELECT method, round(avg(hit), 4) AS hit, round(avg(precision), 4) AS precision, round(avg(recall), 4) AS recall, round(avg(mrr), 4) AS mrr FROM m GROUP BY method""",
+    "collection_stats": "SELECT count(*) AS n, min(len(embedding))::INT AS least_dimension, max(len(embedding))::INT AS most_dimension, count(DISTINCT label) AS labels FROM embeddings",
+    "vectors_by_id": "SELECT vec_id AS id, label, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels)",
+    "filtered_by_two": "SELECT doc_id, n_chars FROM documents WHERE lang = 'de' AND source = 'src3'",
     "context_precision_ap": _knn(k=10) + """, p AS (SELECT query_id, label = query_label AS fits, count(*) FILTER (label = query_label) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) / rank AS p FROM r)
 SELECT query_id, round(coalesce(avg(p) FILTER (fits), 0.0), 6) AS ap FROM p GROUP BY query_id""",
 }
