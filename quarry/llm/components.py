@@ -17,19 +17,22 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
 
     Alternates large stars (a node's greater neighbours move to its smallest neighbour) and small stars (its smaller
     neighbours and itself do) until nothing changes. Each step is one aggregation and one join on the node; the number
-    of links never grows. Each round ends in a table in the shared folder.
+    of links never grows. Each step's aggregate and result are tables in the shared folder: so both sides of the join are
+    plain scans, and adaptive execution can split the links of a hub.
     """
     u, v = F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
     stars = stash(links.where(F.col(a) != F.col(b)).select(u, v).distinct(), "links")
     state = _state(stars)
     while True:
         both = stars.unionAll(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        nearest = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "nearest")
+        large = both.where(F.col("v") > F.col("u")).join(nearest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stash(large, "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = stash(moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        discard(nearest)
+        nearest = stash(large.groupBy("u").agg(F.min("v").alias("m")), "nearest")
+        moved = large.join(nearest, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = stash(moved.unionAll(nearest.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        discard(nearest)
         discard(stars)
         discard(large)
         stars, before, state = small, state, _state(small)

@@ -25,12 +25,14 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import require, stash
 
-CACHE = 250_000  # words whose ids a task remembers
+CACHE = 400_000  # words whose ids a task remembers
 
 
 #: A word of letters with punctuation after it. ASCII punctuation makes one token run of its own in this vocabulary.
 _PLAIN = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
 
+_MARKS = frozenset((b"", b".", b",", b"!", b"?", b";", b":"))
+
 
 def _byte_letters() -> dict[int, str]:
     """How byte-level vocabularies write a byte: printable ones as themselves, the rest from U+0100 on."""
@@ -60,23 +62,26 @@ class Tokenizer:
     def _add(self, word: bytes) -> bytes:
         if (ids := self.cache.get(word)) is not None:
             return ids
-        text = word.decode("utf-8")
-        # Below U+0250 letters are in normal form and lower-case alike everywhere, but for U+0130.
-        if (m := _PLAIN.fullmatch(text)) and m[1].isalpha() and (text.isascii() or (max(text) < "\u0250" and "\u0130" not in text)):
-            ids = self._known(m[1].lower()) + (self._known(m[2]) if m[2] else b"")
+        core, mark = (word, b"") if word.isalpha() else (word[:-1], word[-1:])
+        if core.isalpha() and mark in _MARKS:  # ASCII letters, perhaps with one mark after them
+            ids = self._known(core.lower()) + (self._known(mark) if mark else b"")
         else:
-            ids = array("I", self.backend.encode(text, add_special_tokens=False).ids).tobytes()
+            text = word.decode("utf-8")
+            # Below U+0250 letters are in normal form and lower-case alike everywhere, but for U+0130.
+            if (m := _PLAIN.fullmatch(text)) and m[1].isalpha() and (text.isascii() or (max(text) < "\u0250" and "\u0130" not in text)):
+                ids = self._known(m[1].lower().encode()) + (self._known(m[2].encode()) if m[2] else b"")
+            else:
+                ids = array("I", self.backend.encode(text, add_special_tokens=False).ids).tobytes()
         if len(word) <= 256:
             self.cache[word] = ids
         return ids
 
-    def _known(self, part: str) -> bytes:
+    def _known(self, key: bytes) -> bytes:
         """Ids of one run of letters or punctuation, by the merges alone."""
-        key = part.encode()
         if (ids := self.parts.get(key)) is None:
             if len(self.parts) > CACHE:
                 self.parts.clear()
-            tokens = self.model.tokenize(part if part.isascii() else "".join([self.letters[b] for b in key]))
+            tokens = self.model.tokenize(key.decode() if key.isascii() else "".join([self.letters[b] for b in key]))
             ids = self.parts[key] = array("I", [t.id for t in tokens]).tobytes()
         return ids
 

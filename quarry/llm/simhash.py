@@ -325,12 +325,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     distinct = stash(rows.groupBy("fp", *names).agg(F.min("doc_id").alias("smallest")), "simhash-distinct")
     links = stash(near_links(distinct, distance, distinct.count(), words), "simhash-links")
     roots = connected_components(links, "a", "b")
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "smallest", F.coalesce("root", "fp").alias("root"))
+    rooted = stash(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "smallest", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
     first = F.min(F.struct(F.col("smallest").isNull().alias("none"), "smallest", "fp"))
-    best = rooted.groupBy("root").agg(first.alias("first"))
+    best = stash(rooted.groupBy("root").agg(first.alias("first")), "simhash-best")  # a table, so that a large group's rows can be split in the join
     classes = rooted.join(best, "root").select("fp", F.col("first.smallest").alias("component_id"), (F.col("fp") == F.col("first.fp")).alias("first"))
     classes = stash(classes, "simhash-classes")
-    for old in (distinct, links, roots):
+    for old in (distinct, links, roots, rooted, best):
         discard(old)
     stays = F.col("first") & F.col("doc_id").eqNullSafe(F.col("component_id"))
     return rows.join(classes, "fp").select("doc_id", *names, "component_id", stays.alias("stays"))
