@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stash, table, tokenizer_path
+from quarry.llm.common import small_batches, stash, table, tokenizer_path
 from quarry.llm.decontaminate import contamination
 from quarry.llm.exact_dedup import deduplicate, squeezed_sha256
 from quarry.llm.language import UNKNOWN, predict, train_language_model
@@ -28,6 +28,7 @@ def _only(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and texts in no language that the labelled rows show."""
+    small_batches(spark)
     model = train_language_model(docs)
     found = docs.withColumn("__language", predict(model, F.col("text")))
     return found.where((F.col("__language.lang_pred") != UNKNOWN) & (F.col("__language.score") >= LEAST_SCORE)).select(*docs.columns)
@@ -35,6 +36,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the longest original of equal texts, then the smallest doc_id."""
+    small_batches(spark)
     kept = deduplicate(docs).where("kept").select(_key(F.col("doc_id"), F.col("text_sha256"), F.col("keep_chars")).alias("__key"))
     text = F.coalesce(F.col("text"), F.lit(""))
     return _only(docs, _key(F.col("doc_id"), squeezed_sha256(text), F.length(text)), kept)
@@ -46,18 +48,21 @@ NEAR = {"width": 5, "seed": 42, "words": 2, "distance": 23}
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates, the smallest doc_id."""
+    small_batches(spark)
     kept = near_duplicates(docs, **NEAR).where("stays").select(_key(F.col("doc_id"), F.col("w0"), F.col("w1")).alias("__key"))
     return _only(docs, _key(F.col("doc_id"), *(fingerprint(F.col("text"), NEAR["width"], NEAR["seed"] + i) for i in range(NEAR["words"]))), kept)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold ten consecutive words (or all words of a shorter item) of the benchmark."""
+    small_batches(spark)
     found = docs.withColumn("__found", contamination(table(spark, sf_dir, "benchmark"), F.col("text")))
     return found.where(F.col("__found.n_hit") == 0).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 4096 tokens."""
+    small_batches(spark)
     return pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 

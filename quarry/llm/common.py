@@ -18,11 +18,15 @@ cloudpickle.register_pickle_by_value(quarry.llm)  # executors need no installed
 BATCH_ROWS = 1000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table by its name. Sets the size of Arrow batches, unless the session was configured with one."""
+def small_batches(spark: SparkSession) -> None:
+    """Sets the size of Arrow batches, unless the session was configured with one."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not spark.sparkContext.getConf().contains(key):
         spark.conf.set(key, BATCH_ROWS)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
