@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import require
+from quarry.llm.common import give_back, require
 
 #: Deleted before texts are compared. Fixed value of the contract.
 WHITE = b" \t\n\x0b\x0c\r"
@@ -122,6 +122,8 @@ def _combine(memory_bytes: int):
                     table, info = ContentTable(), []
         if info:
             yield flush(table, info)
+        del table, info
+        give_back()
 
     return run
 
@@ -213,11 +215,12 @@ def _grace(memory_bytes: int, level: int = 0):
                     rows, held = [], 0
         if rows:
             yield pack(rows)
+        give_back()
 
     return run
 
 
-def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory_bytes: int = 48 << 20) -> DataFrame:
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory_bytes: int = 32 << 20) -> DataFrame:
     """One row per row of df: doc_id, keep_id, group_size, kept, keep_chars (code points of the row that stays), text_sha256. Other columns of df are not touched.
 
     Null texts count as empty; empty texts form one group. In each group exactly one row has ``kept``: the longest

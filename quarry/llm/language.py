@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import crc_mod, require
+from quarry.llm.common import crc_mod, give_back, require
 
 PAD = 256
 UNKNOWN = "und"
@@ -211,6 +211,7 @@ def predict(model: BiGru | None, text: Column, width: int = 96) -> Column:
                 for i, k in zip(own, best.tolist(), strict=True):
                     lang[i] = model.labels[k]
             yield pd.DataFrame({"lang_pred": lang, "score": score})
+        give_back()
 
     return run(text)
 

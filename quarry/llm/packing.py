@@ -23,9 +23,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import require, stash
+from quarry.llm.common import give_back, require, stash
 
-CACHE = 400_000  # words whose ids a task remembers
+CACHE = 250_000  # words whose ids a task remembers
 
 
 #: A word of letters with punctuation after it. ASCII punctuation makes one token run of its own in this vocabulary.
@@ -101,6 +101,8 @@ def _pieces(path: str, end_id: int, limit: int):
                     rows.append((doc_id, piece, at // 4, n, zlib.crc32(own), task, ranks[n]))
                     ranks[n] += 1
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank_in_task"]).astype({"doc_id": "Int64"})
+        del tokenizer
+        give_back()
 
     return run
 

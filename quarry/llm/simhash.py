@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import discard, require, stash
+from quarry.llm.common import discard, give_back, require, stash
 from quarry.llm.components import connected_components
 
 #: XXH64's primes (fixed values).
@@ -145,6 +145,7 @@ def fingerprint(text: Column, width: int = 4, seed: int = 42) -> Column:
     def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in it:
             yield pd.Series(fingerprints(s.tolist(), width, seed).view(np.int64))
+        give_back()
 
     return run(text)
 
@@ -198,8 +199,8 @@ def look_ups(fps: DataFrame, plan: list[tuple[int, int, int, int]], words: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every = [batch.column(i).to_numpy().view(np.uint64) for i in range(words)]
-            for at in range(0, len(every[0]), 4096):
-                fp = [w[at : at + 4096] for w in every]
+            for at in range(0, len(every[0]), 1024):
+                fp = [w[at : at + 1024] for w in every]
                 for k, (w, first, mask, flips) in enumerate(table):
                     own = (fp[w] >> np.uint64(first)) & np.uint64(mask)
                     for f in range(0, len(flips), 64):
@@ -290,6 +291,8 @@ def _verify(distance: int, words: int):
             held.append([x[whole:] for x in now])
         if held:
             yield from links(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        held.clear()
+        give_back()
 
     return run
 
