@@ -1,7 +1,7 @@
 """License detection by ordered signature rules, with DataFrame functions only.
 
-A text that holds none of the gate's keywords is done. For the others each rule whose own keywords all occur is
-matched; detections carry the place, the label, the rule's priority and its weight. Sorted by place, they are resolved in one
+A text that no rule can match, by a gate made from the rules, is done. For the others each rule whose own keywords all
+occur is matched; detections carry the place, the label, the rule's priority and its weight. Sorted by place, they are resolved in one
 pass: a detection inside an earlier and longer one is suppressed, of two that overlap in part the higher priority
 stays. Everything is a projection: no row is multiplied, nothing is shuffled, no Python runs on the executors.
 """
@@ -172,8 +172,15 @@ def _resolved(found: Column) -> Column:
     return F.aggregate(ordered, start, step, lambda s: F.struct(add(s).alias("labels"), F.greatest(s["score"], s["weight"]).alias("score")))
 
 
-#: The prefilter: a text without any of these is not matched against the rules.
-GATE = ("licen", "spdx", "gnu", "gpl", "cc0", "cc by", "cc-by", "creative", "public domain", "rights reserved", "opensource.org", "apache", "mozilla", "bsd", "mit/x11", "eula")
+def gate() -> tuple[list[str], str]:
+    """The prefilter, made from the rules: (strings, regex). Whatever a rule matches holds one of the strings, in lower case,
+    or matches the regex. Most rules need "spdx" or "licen"; of the others, addresses are known by what they begin with,
+    names by their own pattern, so that white space is what the rules allow."""
+    needs = lambda pattern: any("licen" in k for k in _keywords(pattern))
+    addresses = [a for *_, some in SIGNATURES.values() for a in some if not needs(a)]
+    names = [n for _, some, *_ in SIGNATURES.values() for n in some if not needs(n)]
+    begins = {re.match(r"(?:(?:[\w/-]|\\\.)(?![?*{]))*", a)[0].replace("\\.", ".") for a in addresses}
+    return ["licen", "spdx", *sorted(begins)], r"(?i)\b(?:" + "|".join(dict.fromkeys(map(_expand, names))) + ")"
 
 
 def count_words(text: Column) -> Column:
@@ -197,13 +204,14 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     base = "(?i)(?:" + "|".join(_phrase(p) for p in BASE.values()) + ")"
     table = rules()
     keywords = sorted({k for r in table for k in r[1]})
+    strings, names = gate()
 
     # lower case of a text is made once, for keywords alone: it changes no ASCII letter into another
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("low", F.lower("text"))
     rows = rows.select(
         "doc_id", "text", count_words(F.col("text")).alias("n_words"),
         (either(has(*p.split(" ")) for p in BASE.values()) & F.col("text").rlike(base)).alias("has_base"),
-        F.when(either(has(k) for k in GATE), F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(low, k))).alias("keywords"),
+        F.when(either(has(k) for k in strings) | F.col("text").rlike(names), F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(low, k))).alias("keywords"),
     )
     text, none = F.col("text"), F.array().cast("array<string>")
     before = lambda rx: F.when(F.col("has_base"), count_words(F.regexp_extract(text, rx, 1)))

@@ -1,4 +1,5 @@
 import re
+import re._constants as sre
 
 import pytest
 
@@ -52,6 +53,43 @@ def test_keywords_and_gate_miss_nothing(spark):
         assert r.doc_id in r.labels.split(","), r
 
 
+def example(parsed, blank):
+    """A short text that a parsed pattern matches: first branches, least repeats, ``blank`` where white space may stand."""
+    out = ""
+    for op, arg in parsed:
+        if op is sre.LITERAL:
+            out += chr(arg)
+        elif op is sre.IN:
+            out += blank if (sre.CATEGORY, sre.CATEGORY_SPACE) in arg else next(chr(x if kind is sre.LITERAL else x[0]) for kind, x in [*arg, (sre.LITERAL, ord("x"))] if kind is not sre.CATEGORY)
+        elif op is sre.MAX_REPEAT:
+            out += example(arg[2], blank) * arg[0]
+        elif op is sre.SUBPATTERN:
+            out += example(arg[3], blank)
+        elif op is sre.BRANCH:
+            out += example(arg[1][0], blank)
+    return out
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "  ", "-"])
+def test_every_rule_matches_alone(spark, blank):
+    """Each name, address and identifier with nothing beside it, in capitals too."""
+    texts = [(regex, t) for _, _, regex, _, _ in rules() for own in [example(re._parser.parse(regex), blank)] if re.search(regex, own) for t in (own, own.upper())]
+    assert len(texts) > (700 if blank != "-" else 500)
+    missed = [r for r in scan(spark.createDataFrame(texts, "doc_id string, text string")).collect() if not r.labels or not r.score]
+    assert not missed, missed[:5]
+
+
+ALONE = {
+    "MPL 2.0": "mpl-2.0", "MPL 1.1": "mpl-1.1", "ASL 2.0": "apache-2.0", "MIT No Attribution": "mit-0", "Berkeley Software Distribution": "bsd", "proprietary and confidential": "proprietary",
+    "do what the f... you want to": "wtfpl", "eclipse.org/legal/epl-v10": "epl-1.0", "wtfpl.net": "wtfpl", "cecill.info": "cecill-2.1", "vimhelp.org/uganda": "vim", "scripts.sil.org/ofl": "ofl-1.1", "mariadb.com/bsl11": "busl-1.1",
+    "joinup.ec.europa.eu/x/eupl": "eupl-1.2", "to the public\ndomain": "public-domain", "all rights\nreserved": "proprietary", "CC  BY-NC": "cc-by,cc-by-nc", "simple example of the accbyte": "",
+}
+
+
+def test_names_and_addresses_without_padding(spark):
+    assert {r.doc_id: r.labels for r in scan(spark.createDataFrame([(t, t) for t in ALONE], "doc_id string, text string")).collect()} == ALONE
+
+
 def test_plan_has_no_python(spark):
     df = spark.createDataFrame([(1, "mit license")], "doc_id long, text string")
     plan = scan(df)._jdf.queryExecution().executedPlan().toString()
