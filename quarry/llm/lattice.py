@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -67,18 +67,6 @@ class Lattice:
             node[""] = p
         self.last, self.a = "", [0.0]
 
-    def arcs(self, s: str, end: int) -> list[tuple[int, float, bool]]:
-        """(start, log probability, whether it is a piece) of what may end at ``end``. A character without a piece of its
-        own is spelt in bytes."""
-        out, node, at = [], self.tree, end
-        while at and (node := node.get(s[at - 1])) is not None:
-            at -= 1
-            if (p := node.get("")) is not None:
-                out.append((at, p, True))
-        if not out or out[0][0] != end - 1:
-            out.append((end - 1, self.byte * len(s[end - 1].encode("utf-8", "replace")), False))
-        return out
-
     def forward(self, word: str) -> float:
         """Natural log of the word's marginal probability, in log space. What the last word's beginning gave is used again:
         words come sorted."""
@@ -106,20 +94,38 @@ class Lattice:
 
     def expected(self, word: str, times: float, into: dict[str, float]) -> None:
         """Adds the expected number of uses of each piece."""
-        s = MARK + word
-        n = len(s)
-        add = lambda x, y: (x if y == -math.inf else y if x == -math.inf else max(x, y) + math.log1p(math.exp(-abs(x - y))))
-        a, b = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
-        a[0] = b[n] = 0.0
-        every = [self.arcs(s, end) for end in range(1, n + 1)]
-        for end, arcs in enumerate(every, 1):
-            for start, p, _ in arcs:
-                a[end] = add(a[end], a[start] + p)
-        for end in range(n, 0, -1):
-            for start, p, real in every[end - 1]:
-                b[start] = add(b[start], b[end] + p)
-                if real:
-                    into[s[start:end]] = into.get(s[start:end], 0.0) + times * math.exp(a[start] + p + b[end] - a[n])
+        self.expected_of([(word, times)], into)
+
+    def expected_of(self, words: Iterable[tuple[str, float]], into: dict[str, float]) -> None:
+        """The same for many words with their counts. Words come sorted: what ends at a place of a shared beginning is gathered there
+        and passed on to earlier places once, when no later word shares it."""
+        last, g = "", [0.0]
+        for word, times in words:
+            s = MARK + word
+            same, most = 0, min(len(s), len(last))
+            while same < most and s[same] == last[same]:
+                same += 1
+            self._pass_on(last, g, same, into)
+            self.forward(word)
+            g += [0.0] * (len(s) - same)
+            g[-1] += times
+            last = s
+        self._pass_on(last, g, 0, into)
+
+    def _pass_on(self, s: str, g: list[float], least: int, into: dict[str, float]) -> None:
+        """Divides what ends at each place after ``least`` among the pieces that may end there, by their share in the place's sum."""
+        a, tree, exp = self.a, self.tree, math.exp
+        for end in range(len(g) - 1, least, -1):
+            mass, whole, node, at = g.pop(), a[end], tree, end
+            while at and (node := node.get(s[at - 1])) is not None:
+                at -= 1
+                if (p := node.get("")) is not None:
+                    uses = mass * exp(a[at] + p - whole)
+                    g[at] += uses
+                    piece = s[at:end]
+                    into[piece] = into.get(piece, 0.0) + uses
+            if "" not in tree.get(s[end - 1], _NONE):
+                g[end - 1] += mass * exp(a[end - 1] + self.byte * len(s[end - 1].encode("utf-8", "replace")) - whole)
 
 
 _NONE: dict = {}
@@ -153,10 +159,7 @@ def _expected(vocabulary: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = Vocabulary(vocabulary)
         lattice, into = Lattice(v.prior, v.byte), {}
-        for f in frames:
-            for word, c in zip(f["word"], f["c"], strict=True):
-                if word != END:
-                    lattice.expected(bytes(word).decode(), float(c), into)
+        lattice.expected_of(((bytes(w).decode(), float(c)) for f in frames for w, c in zip(f["word"], f["c"], strict=True)), into)
         if into:
             yield pd.DataFrame({"piece": list(into), "uses": list(into.values())})
 
@@ -216,14 +219,14 @@ def _at_most(words: DataFrame, column: str, most: int) -> DataFrame:
 
 
 def score_texts(
-    df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", hold_out: tuple[int, int] = (7, 2), frequent: int = 100_000, fit_words: int = 50_000
+    df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", hold_out: tuple[int, int] = (7, 2), frequent: int = 100_000
 ) -> DataFrame:
     """One row per row of df: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The base is the add-one unigram model over whole words. Null texts are empty: their one token is the end. Rows that
     repeat an id are texts of their own; null ids are in the training part; without training texts every count is 0. An
-    empty table gives no rows. Counts cover all texts. Piece probabilities are fitted on at most fit_words of the most frequent
-    training words (a documented bound; the prior covers the rest); ``frequent`` bounds the words known to each task.
+    empty table gives no rows. Counts cover all texts, piece probabilities are fitted on all training words; ``frequent``
+    bounds the words known to each task.
     """
     require(df, id_col, text_col)
     spark = df.sparkSession
@@ -234,16 +237,14 @@ def score_texts(
 
     # piece probabilities: at most as many rows as the vocabulary has pieces
     v = Vocabulary(vocabulary)
-    fit = _at_most(words, "c", fit_words)
-    uses = fit.repartition(spark.sparkContext.defaultParallelism).mapInPandas(_expected(vocabulary), "piece string, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
+    is_end = F.col("word") == F.lit(bytearray(END))
+    fit = words.where(F.col("c") > 0).where(~is_end).select("word", "c").sortWithinPartitions("word")  # so that words share beginnings
+    uses = fit.mapInPandas(_expected(vocabulary), "piece string, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
     got = {r["piece"]: r["uses"] for r in uses.collect()}
     total, weight = sum(got.values()), 5000.0  # the prior counts as so many uses
-    count_of = lambda df, keep: float(df.where(keep).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
-    is_end = F.col("word") == F.lit(bytearray(END))
-    ends, covered = count_of(words, is_end), count_of(fit, ~is_end)
-    # after each piece the text goes on or ends; pieces of words that were not fitted are taken to be as many a word
-    pieces = total * (n_train - ends) / covered if covered else 0.0
-    log_end = math.log((ends + 1) / (pieces + ends + 2))
+    ends = float(words.where(is_end).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
+    # after each piece the text goes on or ends
+    log_end = math.log((ends + 1) / (total + ends + 2))
     on = math.log1p(-math.exp(log_end))
     log_p = {p: on + math.log((got.get(p, 0.0) + weight * math.exp(q)) / (total + weight)) for p, q in v.prior.items()}
     sent = spark.sparkContext.broadcast((log_p, v.byte))

@@ -35,6 +35,41 @@ def test_forward_sums_all_segmentations():
     assert lattice.forward("a" * 5000) > -math.inf  # nothing underflows
 
 
+def test_expected_uses_of_many_words():
+    pieces = {MARK: -2.0, "a": -1.0, "b": -1.5, "ab": -0.7, MARK + "a": -1.2, "ba": -2.2, "aba": -3.0}
+    words = {"a": 3.0, "ab": 1.0, "aba": 2.0, "abab": 1.0, "abé": 4.0, "b": 1.0, "é": 2.0}
+    want = Counter()
+    for word, times in words.items():
+        s = MARK + word
+        for i in range(len(s)):
+            for j in range(i + 1, len(s) + 1):
+                if s[i:j] in pieces:
+                    around = every_segmentation(s[:i], pieces, -9.0) * math.exp(pieces[s[i:j]]) * every_segmentation(s[j:], pieces, -9.0)
+                    want[s[i:j]] += times * around / every_segmentation(s, pieces, -9.0)
+    for order in (sorted(words), list(words)[::-1]):
+        got = {}
+        Lattice(pieces, -9.0).expected_of([(w, words[w]) for w in order], got)
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+
+
+def test_every_training_word_is_fitted(spark):
+    """More than 50,000 words, each seen once, teach as much as any others."""
+    texts = [(1000 + i, " ".join(f"qq{i}zz{j}" for j in range(200))) for i in range(300)]
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    train = sorted(w for d, t in texts if not held(d) for w in t.split())
+    assert len(train) > 50_000
+    v, uses = Vocabulary(PATH), {}
+    Lattice(v.prior, v.byte).expected_of([(w, 1.0) for w in train], uses)
+    total, ends = sum(uses.values()), sum(not held(d) for d, _ in texts)
+    log_end = math.log((ends + 1) / (total + ends + 2))
+    on = math.log1p(-math.exp(log_end))
+    fitted = Lattice({p: on + math.log((uses.get(p, 0.0) + 5000 * math.exp(q)) / (total + 5000)) for p, q in v.prior.items()}, v.byte)
+    out = score_texts(spark.createDataFrame(texts, "doc_id long, text string"), PATH).where("doc_id < 1003").collect()
+    for r in out:
+        want = (sum(map(fitted.forward, texts[r.doc_id - 1000][1].split())) + log_end) / LN10
+        assert math.isclose(r.score, want, rel_tol=1e-9)
+
+
 def test_vocabulary_is_a_distribution():
     v = Vocabulary(PATH)
     assert math.isclose(sum(map(math.exp, v.prior.values())), 1.0, rel_tol=1e-9)
