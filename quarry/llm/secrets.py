@@ -90,11 +90,13 @@ _EDGES = "\"'`,;.()[]{}<>"
 
 
 def outline(token: str) -> tuple:
-    """All that features() depends on: runs of character classes, length, digits, capitals, vowels, a key word."""
-    classes = token[:400].translate(_CLASSES)
+    """All that features() depends on, from the whole token: its first runs of character classes, four signs, how many runs,
+    length, digits, capitals, vowels, a key word."""
+    classes = token.translate(_CLASSES)
     core = classes.strip(_EDGES)
     runs = _COLLAPSED.sub(lambda m: "a" if m[1] else "A" if m[2] else m[0][0], classes)
-    return runs[:24], len(runs), len(token) - len(classes) + len(core), core.count("0"), core.count("A") + core.count("E"), core.count("e") + core.count("E"), names_a_secret(token)
+    signs = ("=" in runs[:-1], "@" in runs, "://" in runs, chr(127) in runs)
+    return runs[:6], signs, len(runs), len(core), core.count("0"), core.count("A") + core.count("E"), core.count("e") + core.count("E"), names_a_secret(token)
 
 
 def features(token: str) -> list[int]:
@@ -102,11 +104,11 @@ def features(token: str) -> list[int]:
     return _features(*outline(token))
 
 
-def _features(runs: str, n_runs: int, n: int, digits: int, upper: int, vowels: int, keyword: bool) -> list[int]:
-    m = max(1, min(n, 400))
+def _features(start: str, signs: tuple[bool, ...], n_runs: int, n: int, digits: int, upper: int, vowels: int, keyword: bool) -> list[int]:
+    m = max(1, n)
     names = [
-        "s" + runs[:6], f"n{min(n // 4, 16)}", f"d{8 * digits // m}", f"r{min(n_runs, 14)}", f"u{4 * upper // m}", f"v{8 * vowels // m}", f"k{keyword}",
-        f"e{'=' in runs[:-1]}{'@' in runs}{'://' in runs}{chr(127) in runs}", f"j{min(n // 8, 6)}.{4 * digits // m}.{min(n_runs, 20) // 4}",
+        "s" + start, f"n{min(n // 4, 16)}", f"d{8 * digits // m}", f"r{min(n_runs, 14)}", f"u{4 * upper // m}", f"v{8 * vowels // m}", f"k{keyword}",
+        "e" + "".join(map(str, signs)), f"j{min(n // 8, 6)}.{4 * digits // m}.{min(n_runs, 20) // 4}",
     ]
     return [zlib.crc32(x.encode()) % BUCKETS for x in names]
 

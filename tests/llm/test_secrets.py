@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from quarry.llm import secrets
-from quarry.llm.secrets import B, O, Field, Scanner, base_spans, context, digests, examples, features, file_features, find, scan, train_field
+from quarry.llm.secrets import B, O, Field, Scanner, base_spans, context, digests, examples, features, file_features, find, outline, scan, train_field
 
 _E = lambda s: re.sub("[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", s)
 PLAIN = [
@@ -70,6 +70,16 @@ def test_decoding_is_exact(field):
         assert got == viterbi(field, text)
 
 
+def test_features_see_the_whole_token():
+    """What stands after 400 characters, or after 24 runs, counts as what stands before."""
+    plain = "a.b-" * 10
+    for sign in ("=x", "@x", "://x", "é"):
+        assert features(plain + sign + plain) != features(plain + "_" * len(sign) + plain), sign
+    long = outline("ab" * 250 + "0123456789" * 50 + "AB" * 250)
+    assert long[3:7] == (1500, 500, 500, 500) and long[2] == 3
+    assert features("x" * 400 + "9" * 1200) != features("x" * 1600) and features("x" * 400) != features("x" * 400 + ".1" * 400)
+
+
 def test_gradient_of_the_field():
     seqs = [([features(x) for x in t], [context(x) for x in t], file_features(" ".join(t), len(t)), y) for t, y in examples(np.random.default_rng(1), 12)]
     losses = []
