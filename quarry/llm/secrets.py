@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -382,12 +383,25 @@ def train_field(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     return field
 
 
+def uncovered(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The spans that base spans (by start), taken together, do not cover."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b, _ in base:
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return [(a, b) for a, b in spans if not (i := bisect_right(starts, a)) or ends[i - 1] < b]
+
+
 _SPANS = "array<struct<start:int,end:int,kind:int>>"
 
 
 def find(field: Field, text: Column) -> Column:
     """An array column of all spans (start, end, kind) of a text column, by start and then kind. Null texts have none. What the
-    field finds is added where no fixed pattern matched."""
+    field finds is added unless the fixed patterns' spans cover it."""
 
     @F.pandas_udf(_SPANS)
     def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -398,7 +412,7 @@ def find(field: Field, text: Column) -> Column:
                 texts = [t or "" for t in s.iloc[at : at + 256]]
                 for text, extra in zip(texts, scanner.spans(texts), strict=True):
                     base = base_spans(text)
-                    crf = [(a, b, 3) for a, b in extra if not any(x < b and a < y for x, y, _ in base)]
+                    crf = [(a, b, 3) for a, b in uncovered(extra, base)]
                     out.append([{"start": a, "end": b, "kind": k} for a, b, k in sorted(base + crf, key=lambda x: (x[0], x[2]))])
             yield pd.Series(out)
 

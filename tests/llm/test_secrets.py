@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from quarry.llm import secrets
-from quarry.llm.secrets import B, O, Field, Scanner, base_spans, context, digests, examples, features, file_features, find, outline, scan, train_field
+from quarry.llm.secrets import B, O, Field, Scanner, base_spans, context, digests, examples, features, file_features, find, outline, scan, train_field, uncovered
 
 _E = lambda s: re.sub("[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", s)
 PLAIN = [
@@ -103,6 +103,24 @@ def test_finds_planted_and_leaves_clean(field):
     assert hit > 0.95 * n and wrong < 0.03 * n
 
 
+def test_longer_spans_of_the_field_stay(spark, field):
+    base = [(2, 6, 2), (3, 5, 0), (6, 9, 2), (20, 30, 1)]
+    every = [(a, b) for a in range(32) for b in range(a + 1, 33)]
+    within = [{x for s, e, _ in base for x in range(s, e)} >= set(range(a, b)) for a, b in every]
+    assert uncovered(every, base) == [s for s, inside in zip(every, within, strict=True) if not inside] and uncovered(every, []) == every
+    secret = "ghp_Zk9Qx0123456789abcdefTy7WpLm3RvXs"
+    text = f"the value is api_key = {secret} and 0123456789abcdef0123"
+    a = text.index(secret)
+    assert (a, a + len(secret)) in Scanner(field).spans([text])[0]
+    df = spark.createDataFrame([(text,)], "text string")
+    spans = [tuple(s) for s in df.select(find(field, df["text"])).first()[0]]
+    assert [s for s in spans if s[2] < 3] == base_spans(text)
+    split = "Bearer " + secret
+    df = spark.createDataFrame([(split,)], "text string")
+    spans = [tuple(s) for s in df.select(find(field, df["text"])).first()[0]]
+    assert (7, 7 + len(secret), 3) in spans and [s for s in spans if s[2] < 3] == base_spans(split) and len(base_spans(split)) == 1
+
+
 def test_query_columns(spark):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(50, None), (3, TEXTS[0]), (3, TEXTS[0]), (None, "ghp_" + "aB3" * 12), (60, "plain words " * 40_000 + TEXTS[0])]
     df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, spans string")
