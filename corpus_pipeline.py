@@ -56,7 +56,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold ten consecutive words (or all words of a shorter item) of the benchmark."""
     small_batches(spark)
-    found = docs.withColumn("__found", contamination(table(spark, sf_dir, "benchmark"), F.col("text")))
+    found = docs.withColumn("__found", contamination(table(spark, sf_dir, "benchmark"), F.col("text"), null_ids=True))
     return found.where(F.col("__found.n_hit") == 0).select(*docs.columns)
 
 

@@ -72,25 +72,30 @@ def matchers(patterns: list[tuple[bytes, list]], block: int = 3) -> list[WuManbe
     return [WuManber(p, block) for p in by_length.values()]
 
 
+def _ids_first(item: str | None) -> tuple[bool, str]:
+    return item is None, item or ""
+
+
 def _windows(window: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = {(b" ".join(w), i) for i, t in zip(f["item"], f["text"], strict=True) for w in windows_of(words_of(t), window)}
-            yield pd.DataFrame(sorted(out), columns=["pattern", "item"])
+            out = {(b" ".join(w), i if isinstance(i, str) else None) for i, t in zip(f["item"], f["text"], strict=True) for w in windows_of(words_of(t), window)}
+            yield pd.DataFrame(sorted(out, key=lambda x: (x[0], _ids_first(x[1]))), columns=["pattern", "item"])
 
     return run
 
 
-def pattern_blocks(benchmark: DataFrame, window: int, patterns_at_once: int, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[bytes, list[str]]]]:
+def pattern_blocks(benchmark: DataFrame, window: int, patterns_at_once: int, id_col: str = "item_id", text_col: str = "text", null_ids: bool = False) -> Iterator[list[tuple[bytes, list[str | None]]]]:
     """The benchmark's distinct windows with the ids (as strings) of their items, in blocks of bounded size."""
     require(benchmark, id_col, text_col)
-    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null")
+    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text"))
+    items = items if null_ids else items.where("item is not null")
     rows = items.mapInPandas(_windows(window), "pattern binary, item string").distinct()
     n = rows.count()
     blocks = max(1, -(-2 * n // patterns_at_once)) if n > patterns_at_once else 1
     rows = rows.withColumn("block", F.pmod(F.xxhash64("pattern"), F.lit(blocks)))
     for k in range(blocks):
-        found: dict[bytes, list[str]] = defaultdict(list)
+        found: dict[bytes, list[str | None]] = defaultdict(list)
         for r in rows.where(F.col("block") == k).toLocalIterator():
             found[bytes(r["pattern"])].append(r["item"])
         yield sorted(found.items())
@@ -99,7 +104,7 @@ def pattern_blocks(benchmark: DataFrame, window: int, patterns_at_once: int, id_
 _HITS = "struct<n_words long, hits array<long>, items array<string>>"
 
 
-def _scan(spark: SparkSession, patterns: list[tuple[bytes, list[str]]], block: int):
+def _scan(spark: SparkSession, patterns: list[tuple[bytes, list[str | None]]], block: int):
     sent = spark.sparkContext.broadcast(patterns)  # at most patterns_at_once windows
 
     @F.pandas_udf(_HITS)
@@ -110,7 +115,7 @@ def _scan(spark: SparkSession, patterns: list[tuple[bytes, list[str]]], block: i
             for text in s:
                 words = words_of(text)
                 runs: list[int] = []  # start, end, start, end: merged
-                own: set[str] = set()
+                own: set[str | None] = set()
                 for m in search:
                     for first, owners in m.search(words):
                         own.update(owners)
@@ -120,7 +125,7 @@ def _scan(spark: SparkSession, patterns: list[tuple[bytes, list[str]]], block: i
                             runs += [first, first + m.length]
                 n_words.append(len(words))
                 hits.append(runs)
-                items.append(sorted(own))
+                items.append(sorted(own, key=_ids_first))
             yield pd.DataFrame({"n_words": n_words, "hits": hits, "items": items})
 
     return run
@@ -138,23 +143,25 @@ def _merge():
                 for a, b in runs:
                     hit += max(0, b - max(a, end))
                     end = max(end, b)
-                items = sorted({x for p in parts for x in p[2]})
-                rows.append((parts[0][0], hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), items))
+                own = {x for p in parts for x in p[2]}
+                items = sorted(own - {None})
+                rows.append((parts[0][0], hit, len(own), hashlib.sha256(",".join(items).encode()).hexdigest(), items))
             yield pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items_sha256", "items"])
 
     return run
 
 
-def contamination(benchmark: DataFrame, text: Column, window: int = 10, block: int = 3, patterns_at_once: int = 500_000) -> Column:
+def contamination(benchmark: DataFrame, text: Column, window: int = 10, block: int = 3, patterns_at_once: int = 500_000, null_ids: bool = False) -> Column:
     """A struct column (n_words, n_hit, n_items, items_sha256, items) for a text column.
 
     Words are runs of ASCII letters and digits and of all non-ASCII characters, A-Z lower-cased. A word is hit if it
     lies in an occurrence of any window. Null and empty texts have no words; items without words have no window; items
-    that repeat an id count once; null ids are left out. An empty benchmark hits nothing.
+    that repeat an id count once. Items with a null id are left out unless ``null_ids``: then their windows hit as any
+    others do, and together they count as one item that is not in the list. An empty benchmark hits nothing.
 
     The benchmark may be of any size: its windows are counted, and each block of at most about ``patterns_at_once`` is
     broadcast and searched for in the same pass over the texts; nothing is shuffled.
     """
     spark = benchmark.sparkSession
-    scans = [_scan(spark, p, block)(text) for p in pattern_blocks(benchmark, window, patterns_at_once)]
+    scans = [_scan(spark, p, block)(text) for p in pattern_blocks(benchmark, window, patterns_at_once, null_ids=null_ids)]
     return _merge()(*scans)

@@ -2,9 +2,12 @@ import hashlib
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+from quarry.llm import queries
 from quarry.llm.decontaminate import WuManber, contamination, windows_of, words_of
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -60,6 +63,23 @@ def test_matches_brute_force(spark, at_once):
     assert sorted(map(tuple, found.collect()), key=repr) == brute(DOCS, [i for i in ITEMS if i[0] is not None])
 
 
+def test_items_without_an_id_hit_as_in_the_sql(spark, tmp_path):
+    items = [*ITEMS, (None, "a text without an id"), (7, "a text without an id"), (None, " ".join(f"w{i}" for i in range(20)))]
+    docs = [d for i, d in enumerate(DOCS) if d[0] is not None and i != 4] + [(20, "here is a text without an id"), (21, "short item here and nobody owns this")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    for name in ("benchmark", "documents"):
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = sorted(duck.execute(queries.oracle_sql()["op8_decontaminate"]).fetchall())
+    assert sorted(map(tuple, queries.op8_decontaminate(spark, str(tmp_path)).collect())) == want
+    assert (11, 3, 3, 1, hashlib.sha256(b"").hexdigest(), True) in want
+    found = spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", contamination(spark.read.parquet(f"{tmp_path}/benchmark.parquet"), F.col("text"), patterns_at_once=30, null_ids=True).alias("c"))
+    assert sorted((*r, r[2] > 0) for r in found.select("doc_id", "c.n_words", "c.n_hit", "c.n_items", "c.items_sha256").collect()) == want
+    kept = corpus_pipeline.decontaminate(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [r[0] for r in want if not r[5]]
+
+
 def test_empty_tables(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     df = spark.createDataFrame(DOCS, "doc_id long, text string")
