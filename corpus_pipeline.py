@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import small_batches, stash, table, tokenizer_path
 from quarry.llm.decontaminate import contamination
 from quarry.llm.exact_dedup import deduplicate, squeezed_sha256
-from quarry.llm.language import UNKNOWN, predict, train_language_model
+from quarry.llm.language import UNKNOWN, has_letter, predict, train_language_model
 from quarry.llm.packing import pack
 from quarry.llm.simhash import fingerprint, near_duplicates
 
@@ -27,9 +27,12 @@ def _only(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter and texts in no language that the labelled rows show."""
+    """Drops texts without a letter and texts in no language that the labelled rows show. Without labels to learn from, only
+    texts without a letter are dropped."""
     small_batches(spark)
     model = train_language_model(docs)
+    if model is None:
+        return docs.where(F.pandas_udf(lambda s: s.map(has_letter), "boolean")(F.col("text")))
     found = docs.withColumn("__language", predict(model, F.col("text")))
     return found.where((F.col("__language.lang_pred") != UNKNOWN) & (F.col("__language.score") >= LEAST_SCORE)).select(*docs.columns)
 

@@ -1,4 +1,5 @@
 import re
+import zlib
 
 import corpus_pipeline
 from quarry.llm import queries
@@ -57,6 +58,16 @@ def test_stages_with_nulls_repeats_and_empty_tables(spark, small):
             assert out.count() == len(rows)
 
 
+def test_without_labels_only_texts_without_a_letter_go(spark, small):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    held = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 3 == 1)
+    rows = [(1, "plain words", None, "a", 1), (2, None, None, "a", 1), (3, "", None, "a", 1), (4, "1 2, 3", None, "a", 1), (5, "дом", None, None, None), (None, "é", None, "a", 1), (5, "дом", None, None, None)]
+    for more in ([], [(held, "in the held-out fold", "en", "a", 1)]):
+        out = corpus_pipeline.language(spark, spark.createDataFrame(rows + more, schema), small)
+        want = [r for r in rows + more if r[1] and any(map(str.isalpha, r[1]))]
+        assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_all_queries_are_registered():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
