@@ -1,9 +1,9 @@
 """Language-model scoring over a subword lattice.
 
 A word's probability is summed over all its segmentations into vocabulary pieces by the forward recursion in log space.
-The vocabulary is an existing one with a score for each piece, never trained here. Its scores rank pieces; with
-the counts of words in the training part of the corpus they give piece probabilities (expected counts over all
-segmentations of each training word, smoothed by the prior that the scores imply). A text's log10 probability is the
+The vocabulary is an existing one with a score for each piece, never trained here. Its scores weight the segmentations
+twice: as they are (vocabulary_score), and as the prior of piece probabilities learned from the training part of the corpus
+(score): expected counts over all segmentations of each training word, smoothed by that prior. A text's log10 probability is the
 sum over its words, and of one end token; pieces that begin a word carry its mark, so that a text is one sequence of pieces.
 
 What a text needs is a function of its words' counts. Frequent words, a bounded list, are known to every task; the
@@ -171,26 +171,31 @@ class _Head(dict):
         return -1
 
 
+#: What is summed over a text's tokens, with Spark types.
+SUMS = {"known": "long", "base": "double", "vocabulary": "double", "score": "double"}
+
+
 def _document_parts(head):
     """(doc_id, text, held_out) -> a row with what frequent words give, and one for each other word of a text."""
-    schema = [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("word", pa.binary()), ("k", pa.int64()), ("tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]
+    fixed = [("row", pa.int64()), ("held_out", pa.bool_()), ("word", pa.binary()), ("k", pa.int64()), ("tokens", pa.int64()), *((n, pa.int64() if t == "long" else pa.float64()) for n, t in SUMS.items())]
 
-    def pack(columns: dict) -> pa.RecordBatch:
-        n = len(columns["row"])
+    def pack(columns: dict, ids: pa.DataType) -> pa.RecordBatch:
+        n, schema = len(columns["row"]), [("doc_id", ids), *fixed]
         return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in schema], [k for k, _ in schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known, base, score = head.value
+        words, *values = head.value
         place, row = _Head(zip(words, range(len(words)), strict=True)), TaskContext.get().partitionId() << 40
-        known, base, score = (np.append(x, 0) for x in (known, base, score))  # the last is for words that are not frequent
+        values = [np.append(x, 0) for x in values]  # the last is for words that are not frequent
         for batch in batches:
+            id_type = batch.schema.field(0).type
             docs: list[tuple] = []
             rows, rare_words, times = [], [], []
             for text in batch.column(1):
                 tokens = words_of(text.as_py())
                 tokens.append(END)
                 ids = np.fromiter(map(place.__getitem__, tokens), np.int64, len(tokens))
-                docs.append((row, len(tokens), int(known[ids].sum()), float(base[ids].sum()), float(score[ids].sum())))
+                docs.append((row, len(tokens), *(v[ids].sum().item() for v in values)))
                 if len(rare := np.flatnonzero(ids < 0)):
                     for w, k in Counter([tokens[i] for i in rare.tolist()]).items():
                         rows.append(row)
@@ -198,12 +203,12 @@ def _document_parts(head):
                         times.append(k)
                 row += 1
                 if len(rows) > 100_000:
-                    yield pack({"row": rows, "word": rare_words, "k": times})
+                    yield pack({"row": rows, "word": rare_words, "k": times}, id_type)
                     rows, rare_words, times = [], [], []
             if rows:
-                yield pack({"row": rows, "word": rare_words, "k": times})
-            own = {k: [d[i] for d in docs] for i, k in enumerate(("row", "tokens", "known", "base", "score"))}
-            yield pack(own | {"doc_id": batch.column(0), "held_out": batch.column(2)})
+                yield pack({"row": rows, "word": rare_words, "k": times}, id_type)
+            own = {k: [d[i] for d in docs] for i, k in enumerate(("row", "tokens", *SUMS))}
+            yield pack(own | {"doc_id": batch.column(0), "held_out": batch.column(2)}, id_type)
 
     return run
 
@@ -221,12 +226,13 @@ def _at_most(words: DataFrame, column: str, most: int) -> DataFrame:
 def score_texts(
     df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", hold_out: tuple[int, int] = (7, 2), frequent: int = 100_000
 ) -> DataFrame:
-    """One row per row of df: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """One row per row of df: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, vocabulary_score, score.
 
-    The base is the add-one unigram model over whole words. Null texts are empty: their one token is the end. Rows that
-    repeat an id are texts of their own; null ids are in the training part; without training texts every count is 0. An
-    empty table gives no rows. Counts cover all texts, piece probabilities are fitted on all training words; ``frequent``
-    bounds the words known to each task.
+    The base is the add-one unigram model over whole words: (c + 1) / (N + V + 1) for each token. Null texts are empty: their
+    one token is the end. Rows that repeat an id are texts of their own; ids may be of any type, null ids are in the training
+    part; without training texts every count is 0. An empty table gives no rows; other columns are not read. A text may be of
+    any length: its score is a sum over its words, each of which is held by itself. Counts cover all texts, piece
+    probabilities are fitted on all training words; ``frequent`` bounds the words known to each task.
     """
     require(df, id_col, text_col)
     spark = df.sparkSession
@@ -247,26 +253,31 @@ def score_texts(
     log_end = math.log((ends + 1) / (total + ends + 2))
     on = math.log1p(-math.exp(log_end))
     log_p = {p: on + math.log((got.get(p, 0.0) + weight * math.exp(q)) / (total + weight)) for p, q in v.prior.items()}
-    sent = spark.sparkContext.broadcast((log_p, v.byte))
+    plain = {p: on + q for p, q in v.prior.items()}
+    sent = spark.sparkContext.broadcast((plain, log_p, v.byte))
 
     def known_scores(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lattice = Lattice(*sent.value)
+        *weights, byte = sent.value
+        lattices = [Lattice(w, byte) for w in weights]
         for f in frames:
-            yield f.assign(lp=[(log_end if w == END else lattice.forward(bytes(w).decode())) / LN10 for w in f["word"]])[["word", "c", "n", "lp"]]
+            words = [None if w == END else bytes(w).decode() for w in f["word"]]
+            found = [[(log_end if w is None else lattice.forward(w)) / LN10 for w in words] for lattice in lattices]
+            yield f.assign(vocabulary=found[0], score=found[1])
 
     # sorted, so that words share beginnings
-    scored = stash(words.sortWithinPartitions("word").mapInPandas(known_scores, "word binary, c long, n long, lp double"), "word-scores")
+    scored = stash(words.sortWithinPartitions("word").mapInPandas(known_scores, "word binary, c long, n long, vocabulary double, score double"), "word-scores")
     discard(words)
-    log_unit = math.log10((n_train + 1) * (n_words + 1))
-    top = _at_most(scored, "n", frequent).select("word", "c", "lp").toPandas()  # at most ``frequent`` words
-    c = top["c"].to_numpy(np.int64)
-    head = spark.sparkContext.broadcast(([bytes(w) for w in top["word"]], (c > 0).astype(np.int64), np.log10(c + 1.0) - log_unit, top["lp"].to_numpy(np.float64)))
-    parts = stash(
-        rows.select(F.col("doc_id").cast("long"), "text", "held_out").mapInArrow(_document_parts(head), "row long, doc_id long, held_out boolean, word binary, k long, tokens long, known long, base double, score double"), "parts"
-    )
-    rare = parts.where("word is not null").select("row", "word", "k").join(scored.select("word", "c", "lp"), "word")
-    rare = rare.select("row", (F.col("k") * (F.col("c") > 0).cast("long")).alias("known"), (F.col("k") * (F.log10(F.col("c") + 1) - log_unit)).alias("base"), (F.col("k") * F.col("lp")).alias("score"))
-    rare = rare.groupBy("row").agg(*(F.sum(x).alias(f"rare_{x}") for x in ("known", "base", "score")))
+    log_unit = math.log10(n_train + n_words + 1)
+    token = scored.select("word", "n", (F.col("c") > 0).cast("long").alias("known"), (F.log10(F.col("c") + 1) - log_unit).alias("base"), "vocabulary", "score")
+    top = _at_most(token, "n", frequent).toPandas()  # at most ``frequent`` words
+    head = spark.sparkContext.broadcast(([bytes(w) for w in top["word"]], *(top[x].to_numpy() for x in SUMS)))
+    made = rows.mapInArrow(_document_parts(head), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, row long, held_out boolean, word binary, k long, tokens long, " + ", ".join(map(" ".join, SUMS.items())))
+    parts = stash(made, "parts")
+    rare = parts.where("word is not null").select("row", "word", "k").join(token, "word")
+    rare = rare.groupBy("row").agg(*(F.sum(F.col("k") * F.col(x)).alias(f"rare_{x}") for x in SUMS))
     texts = parts.where("word is null").join(rare, "row", "left")
     plus = lambda x: F.col(x) + F.coalesce(f"rare_{x}", F.lit(0))
-    return texts.select("doc_id", "held_out", F.col("tokens").alias("n_tokens"), plus("known").alias("n_known"), F.lit(int(n_train)).cast("long").alias("train_tokens"), plus("base").alias("base_score"), plus("score").alias("score"))
+    return texts.select(
+        "doc_id", "held_out", F.col("tokens").alias("n_tokens"), plus("known").alias("n_known"), F.lit(int(n_train)).cast("long").alias("train_tokens"),
+        plus("base").alias("base_score"), plus("vocabulary").alias("vocabulary_score"), plus("score").alias("score"),
+    )

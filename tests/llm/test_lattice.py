@@ -75,14 +75,30 @@ def test_vocabulary_is_a_distribution():
     assert math.isclose(sum(map(math.exp, v.prior.values())), 1.0, rel_tol=1e-9)
 
 
-def brute_base(rows):
+def brute_base(rows, digits=6):
+    """The contract, word for word: each token adds log10((c+1)/(N+1*(V+1))), where 1*(V+1) is a product and N is added to it."""
+
     def tokens(t):
         return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [" end"]
 
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
     c = Counter(w for d, t in rows if not held(d) for w in tokens(t))
-    n, v = sum(c.values()), len(c)
-    return sorted(((d, held(d), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, round(sum(math.log10((c[w] + 1) / ((n + 1) * (v + 1))) for w in tokens(t)), 6)) for d, t in rows), key=repr)
+    N, V = sum(c.values()), len(c)
+    out = []
+    for d, t in rows:
+        score = sum(math.log10((c[w]+1)/(N+1*(V+1))) for w in tokens(t))
+        out.append((d, held(d), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), N, round(score, digits)))
+    return sorted(out, key=repr)
+
+
+def test_base_by_hand(spark):
+    """Training texts "a b a" and "a": N = 6 with two ends, V = 3. Text 1 is held out: a is seen 3 times, z never, the end twice."""
+    train = [d for d in range(50) if zlib.crc32(str(d).encode()) % 7 != 2][:2]
+    held = next(d for d in range(50) if zlib.crc32(str(d).encode()) % 7 == 2)
+    out = score_texts(spark.createDataFrame([(train[0], "a b A"), (train[1], "a"), (held, "a z")], "doc_id long, text string"), PATH).collect()
+    row = next(r for r in out if r.doc_id == held)
+    assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens) == (True, 3, 2, 6)
+    assert math.isclose(row.base_score, math.log10(4 / 10) + math.log10(1 / 10) + math.log10(3 / 10))
 
 
 ROWS = [(i, f"the word{i % 7} of rare{i}  The\tEND") for i in range(80)] + [(200, None), (201, ""), (202, "é É x\x1cy"), (3, "again again"), (3, "again again"), (None, "no id here"), (203, "long " * 30_000)]
@@ -105,9 +121,31 @@ def test_frequent_words_change_nothing(spark):
     assert a.keys() == b.keys() and all(math.isclose(a[k], b[k], rel_tol=1e-9) for k in a)
 
 
-def test_subwords_beat_whole_words_on_held_out_text(spark):
-    out = score_texts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), PATH).where("held_out and n_tokens > 50").collect()
-    assert len(out) > 60 and sum(r.score > r.base_score for r in out) > 0.9 * len(out)
+def test_whole_table(spark):
+    """The base on every row, and that learning from the corpus helps on texts it has not seen."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = score_texts(df, PATH).collect()
+    got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in out), key=repr)
+    assert got == brute_base([(r.doc_id, r.text) for r in df.collect()], 4)
+    unseen = [r for r in out if r.held_out and r.n_tokens > 50]
+    assert len(unseen) > 60 and sum(r.score > r.vocabulary_score for r in unseen) > 0.9 * len(unseen)
+
+
+def test_vocabulary_score_and_ids_of_any_type(spark):
+    """Without training texts the corpus adds nothing: both scores are the vocabulary's."""
+    held = [str(d) for d in range(200) if zlib.crc32(str(d).encode()) % 7 == 2][:3]
+    df = spark.createDataFrame([(d, f"some words {d} and é") for d in held], "doc_id string, text string")
+    out = score_texts(df, PATH).collect()
+    assert sorted(r.doc_id for r in out) == sorted(held)
+    v = Vocabulary(PATH)
+    for r in out:
+        assert r.held_out and r.n_known == r.train_tokens == 0 and math.isclose(r.score, r.vocabulary_score)
+        on = Lattice({p: math.log(0.5) + q for p, q in v.prior.items()}, v.byte)  # no count: a piece goes on or ends alike
+        assert math.isclose(r.vocabulary_score * LN10, sum(map(on.forward, words_of_text(df, r))) + math.log(0.5))
+
+
+def words_of_text(df, row):
+    return df.where(df.doc_id == row.doc_id).first().text.split()
 
 
 def test_bounds_and_empty_table(spark):
