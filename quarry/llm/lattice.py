@@ -2,7 +2,7 @@
 
 A word's probability is summed over all its segmentations into vocabulary pieces by the forward recursion in log space.
 The vocabulary is an existing one with a score for each piece, never trained here. Its scores weight the segmentations
-twice: as they are (vocabulary_score), and as the prior of piece probabilities learned from the training part of the corpus
+twice: as they are (vocabulary_score, to which the end, a token without a piece, adds nothing), and as the prior of piece probabilities learned from the training part of the corpus
 (score): expected counts over all segmentations of each training word, smoothed by that prior. A text's log10 probability is the
 sum over its words, and of one end token; pieces that begin a word carry its mark, so that a text is one sequence of pieces.
 
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import crc_mod, discard, require, stash
+from quarry.llm.common import crc_mod, discard, give_back, require, stash
 
 #: Stands for the end of a text among words; no word holds a blank.
 END = b" "
@@ -65,7 +65,7 @@ class Lattice:
             for c in reversed(piece):
                 node = node.setdefault(c, {})
             node[""] = p
-        self.last, self.a = "", [0.0]
+        self.last, self.a, self.g = "", [0.0], [0.0]
 
     def forward(self, word: str) -> float:
         """Natural log of the word's marginal probability, in log space. What the last word's beginning gave is used again:
@@ -92,31 +92,31 @@ class Lattice:
         self.last = s
         return a[-1]
 
-    def expected(self, word: str, times: float, into: dict[str, float]) -> None:
-        """Adds the expected number of uses of each piece."""
-        self.expected_of([(word, times)], into)
-
-    def expected_of(self, words: Iterable[tuple[str, float]], into: dict[str, float]) -> None:
-        """The same for many words with their counts. Words come sorted: what ends at a place of a shared beginning is gathered there
-        and passed on to earlier places once, when no later word shares it."""
-        last, g = "", [0.0]
-        for word, times in words:
-            s = MARK + word
-            same, most = 0, min(len(s), len(last))
-            while same < most and s[same] == last[same]:
-                same += 1
-            self._pass_on(last, g, same, into)
-            self.forward(word)
-            g += [0.0] * (len(s) - same)
-            g[-1] += times
-            last = s
-        self._pass_on(last, g, 0, into)
-
-    def _pass_on(self, s: str, g: list[float], least: int, into: dict[str, float]) -> None:
+    def use(self, word: str, times: float, into: dict[str, float]) -> float:
+        """The same as forward(), and adds the expected number of uses of each piece in so many occurrences; finish() adds what is
+        still held. Words come sorted: what ends at a place of a shared beginning is gathered there and passed on to earlier
+        places once, when no later word shares it."""
+        s, last = MARK + word, self.last
+        same, most = 0, min(len(s), len(last))
+        while same < most and s[same] == last[same]:
+            same += 1
+        self._pass_on(last, same, into)
+        whole = self.forward(word)
+        self.g += [0.0] * (len(s) - same)
+        self.g[-1] += times
+        return whole
+
+    def finish(self, into: dict[str, float]) -> None:
+        self._pass_on(self.last, 0, into)
+        self.last, self.a, self.g = "", [0.0], [0.0]
+
+    def _pass_on(self, s: str, least: int, into: dict[str, float]) -> None:
         """Divides what ends at each place after ``least`` among the pieces that may end there, by their share in the place's sum."""
-        a, tree, exp = self.a, self.tree, math.exp
+        a, g, tree, exp = self.a, self.g, self.tree, math.exp
         for end in range(len(g) - 1, least, -1):
             mass, whole, node, at = g.pop(), a[end], tree, end
+            if not mass:
+                continue
             while at and (node := node.get(s[at - 1])) is not None:
                 at -= 1
                 if (p := node.get("")) is not None:
@@ -153,15 +153,39 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rest.clear()
     if train or rest:
         yield out()
+    train.clear()
+    rest.clear()
+    give_back()
+
 
+def _by_vocabulary(sent):
+    """(word, c, n), sorted -> the same with its log10 probability under the vocabulary's own weights; at last rows (piece, uses): the
+    expected uses in training words."""
 
-def _expected(vocabulary: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = Vocabulary(vocabulary)
-        lattice, into = Lattice(v.prior, v.byte), {}
-        lattice.expected_of(((bytes(w).decode(), float(c)) for f in frames for w, c in zip(f["word"], f["c"], strict=True)), into)
+        lattice, into = Lattice(*sent.value), {}
+        for f in frames:
+            found = [0.0 if w == END else lattice.use(bytes(w).decode(), float(c), into) / LN10 for w, c in zip(f["word"], f["c"], strict=True)]
+            yield f.assign(vocabulary=found, piece=None, uses=None)
+        lattice.finish(into)
         if into:
-            yield pd.DataFrame({"piece": list(into), "uses": list(into.values())})
+            yield pd.DataFrame({"word": None, "c": None, "n": None, "vocabulary": None, "piece": list(into), "uses": list(into.values())})
+        del lattice, into
+        give_back()
+
+    return run
+
+
+def _by_corpus(sent):
+    """Adds the log10 probability under the learned weights."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        *weights, log_end = sent.value
+        lattice = Lattice(*weights)
+        for f in frames:
+            yield f.assign(score=[(log_end if w == END else lattice.forward(bytes(w).decode())) / LN10 for w in f["word"]])
+        del lattice
+        give_back()
 
     return run
 
@@ -209,6 +233,8 @@ def _document_parts(head):
                 yield pack({"row": rows, "word": rare_words, "k": times}, id_type)
             own = {k: [d[i] for d in docs] for i, k in enumerate(("row", "tokens", *SUMS))}
             yield pack(own | {"doc_id": batch.column(0), "held_out": batch.column(2)}, id_type)
+        del place, values, words
+        give_back()
 
     return run
 
@@ -241,32 +267,25 @@ def score_texts(
     words = stash(counts.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "words")
     n_train, n_words = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
 
-    # piece probabilities: at most as many rows as the vocabulary has pieces
+    # under the vocabulary's own weights; sorted, so that words share beginnings
     v = Vocabulary(vocabulary)
-    is_end = F.col("word") == F.lit(bytearray(END))
-    fit = words.where(F.col("c") > 0).where(~is_end).select("word", "c").sortWithinPartitions("word")  # so that words share beginnings
-    uses = fit.mapInPandas(_expected(vocabulary), "piece string, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
-    got = {r["piece"]: r["uses"] for r in uses.collect()}
+    word = "word binary, c long, n long, vocabulary double"
+    sent = spark.sparkContext.broadcast((v.prior, v.byte))
+    weighed = stash(words.sortWithinPartitions("word").mapInPandas(_by_vocabulary(sent), f"{word}, piece string, uses double"), "words-weighed")
+    discard(words)
+    # piece probabilities: at most as many rows as the vocabulary has pieces
+    got = {r["piece"]: r["uses"] for r in weighed.where("piece is not null").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()}
     total, weight = sum(got.values()), 5000.0  # the prior counts as so many uses
-    ends = float(words.where(is_end).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
+    is_end = F.col("word") == F.lit(bytearray(END))
+    ends = float(weighed.where(is_end).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
     # after each piece the text goes on or ends
     log_end = math.log((ends + 1) / (total + ends + 2))
     on = math.log1p(-math.exp(log_end))
     log_p = {p: on + math.log((got.get(p, 0.0) + weight * math.exp(q)) / (total + weight)) for p, q in v.prior.items()}
-    plain = {p: on + q for p, q in v.prior.items()}
-    sent = spark.sparkContext.broadcast((plain, log_p, v.byte))
-
-    def known_scores(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        *weights, byte = sent.value
-        lattices = [Lattice(w, byte) for w in weights]
-        for f in frames:
-            words = [None if w == END else bytes(w).decode() for w in f["word"]]
-            found = [[(log_end if w is None else lattice.forward(w)) / LN10 for w in words] for lattice in lattices]
-            yield f.assign(vocabulary=found[0], score=found[1])
-
-    # sorted, so that words share beginnings
-    scored = stash(words.sortWithinPartitions("word").mapInPandas(known_scores, "word binary, c long, n long, vocabulary double, score double"), "word-scores")
-    discard(words)
+    sent = spark.sparkContext.broadcast((log_p, v.byte, log_end))
+    ordered = weighed.where("word is not null").select("word", "c", "n", "vocabulary").sortWithinPartitions("word")
+    scored = stash(ordered.mapInPandas(_by_corpus(sent), f"{word}, score double"), "word-scores")
+    discard(weighed)
     log_unit = math.log10(n_train + n_words + 1)
     token = scored.select("word", "n", (F.col("c") > 0).cast("long").alias("known"), (F.log10(F.col("c") + 1) - log_unit).alias("base"), "vocabulary", "score")
     top = _at_most(token, "n", frequent).toPandas()  # at most ``frequent`` words

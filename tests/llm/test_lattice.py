@@ -30,11 +30,21 @@ def test_forward_sums_all_segmentations():
     for word in ["a", "ab", "aba", "abab", "é", "aéb", "bbbb", "abaab", "abaaba"]:
         assert math.isclose(lattice.forward(word), math.log(every_segmentation(MARK + word, pieces, -9.0)), rel_tol=1e-12)
     uses = {}
-    lattice.expected("abab", 2.0, uses)
+    lattice = Lattice(pieces, -9.0)
+    assert math.isclose(lattice.use("abab", 2.0, uses), math.log(every_segmentation(MARK + "abab", pieces, -9.0)))
+    lattice.finish(uses)
     assert math.isclose(sum(len(p) * u for p, u in uses.items()), 2.0 * 5)
     assert lattice.forward("a" * 5000) > -math.inf  # nothing underflows
 
 
+def expected(pieces, byte, words):
+    lattice, got = Lattice(pieces, byte), {}
+    for w, c in words:
+        lattice.use(w, c, got)
+    lattice.finish(got)
+    return got
+
+
 def test_expected_uses_of_many_words():
     pieces = {MARK: -2.0, "a": -1.0, "b": -1.5, "ab": -0.7, MARK + "a": -1.2, "ba": -2.2, "aba": -3.0}
     words = {"a": 3.0, "ab": 1.0, "aba": 2.0, "abab": 1.0, "abé": 4.0, "b": 1.0, "é": 2.0}
@@ -47,8 +57,7 @@ def test_expected_uses_of_many_words():
                     around = every_segmentation(s[:i], pieces, -9.0) * math.exp(pieces[s[i:j]]) * every_segmentation(s[j:], pieces, -9.0)
                     want[s[i:j]] += times * around / every_segmentation(s, pieces, -9.0)
     for order in (sorted(words), list(words)[::-1]):
-        got = {}
-        Lattice(pieces, -9.0).expected_of([(w, words[w]) for w in order], got)
+        got = expected(pieces, -9.0, [(w, words[w]) for w in order])
         assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
 
 
@@ -58,8 +67,8 @@ def test_every_training_word_is_fitted(spark):
     held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
     train = sorted(w for d, t in texts if not held(d) for w in t.split())
     assert len(train) > 50_000
-    v, uses = Vocabulary(PATH), {}
-    Lattice(v.prior, v.byte).expected_of([(w, 1.0) for w in train], uses)
+    v = Vocabulary(PATH)
+    uses = expected(v.prior, v.byte, [(w, 1.0) for w in train])
     total, ends = sum(uses.values()), sum(not held(d) for d, _ in texts)
     log_end = math.log((ends + 1) / (total + ends + 2))
     on = math.log1p(-math.exp(log_end))
@@ -132,20 +141,18 @@ def test_whole_table(spark):
 
 
 def test_vocabulary_score_and_ids_of_any_type(spark):
-    """Without training texts the corpus adds nothing: both scores are the vocabulary's."""
+    """Without training texts the corpus adds nothing but that a piece goes on or ends alike."""
     held = [str(d) for d in range(200) if zlib.crc32(str(d).encode()) % 7 == 2][:3]
     df = spark.createDataFrame([(d, f"some words {d} and é") for d in held], "doc_id string, text string")
     out = score_texts(df, PATH).collect()
     assert sorted(r.doc_id for r in out) == sorted(held)
     v = Vocabulary(PATH)
+    own, on = Lattice(v.prior, v.byte), Lattice({p: math.log(0.5) + q for p, q in v.prior.items()}, v.byte)
     for r in out:
-        assert r.held_out and r.n_known == r.train_tokens == 0 and math.isclose(r.score, r.vocabulary_score)
-        on = Lattice({p: math.log(0.5) + q for p, q in v.prior.items()}, v.byte)  # no count: a piece goes on or ends alike
-        assert math.isclose(r.vocabulary_score * LN10, sum(map(on.forward, words_of_text(df, r))) + math.log(0.5))
-
-
-def words_of_text(df, row):
-    return df.where(df.doc_id == row.doc_id).first().text.split()
+        words = f"some words {r.doc_id} and é".split()
+        assert r.held_out and r.n_known == r.train_tokens == 0
+        assert math.isclose(r.vocabulary_score * LN10, sum(map(own.forward, words)))
+        assert math.isclose(r.score * LN10, sum(map(on.forward, words)) + math.log(0.5))
 
 
 def test_bounds_and_empty_table(spark):
