@@ -67,6 +67,11 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def numbered(df: DataFrame, tag: str, *more: Column) -> DataFrame:
+    """A stashed table (n, row, *more): df's rows as structs, so that no names clash, each with a number of its own."""
+    return stash(df.select(F.monotonically_increasing_id().alias("n"), F.struct(*df.columns).alias("row"), *more), tag)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a stashed table that nothing reads any more."""
     spark = df.sparkSession

@@ -1,28 +1,33 @@
 """SimHash near-deduplication by multi-index hashing.
 
-A fingerprint is the bitwise majority of the XXH64 values of a text's word shingles: one word of 64 bits, or several
-under successive seeds. Two fingerprints within ``distance`` bits are found without comparing all of them: the bits are cut
-into segments, each with a radius, so that the radii plus one add up to more than the distance; then any such pair agrees
-in at least one segment up to that segment's radius. Every fingerprint is entered in each segment's table under all
-values of a small Hamming ball around its own, of half the segment's radius: balls of two values meet exactly if the
-values are within the radius. What shares a table entry is verified over all bits.
-
-Equal fingerprints are one entry. A table bucket of near copies gives the links of a spanning tree, as many as it has
-members, not all of their pairs.
+A fingerprint is the bitwise majority of the XXH64 values of a text's word shingles: one word of 64 bits, and further words from
+the same hashes mixed again. Two fingerprints within ``distance`` bits are found without comparing all of them: segments of the bits
+are the keys of tables, and every fingerprint is entered in each table under all values of a small Hamming ball around its own, so
+that two meet if the segment differs by at most twice the ball's radius. What shares a table entry is verified over all bits.
+
+Which segments: for few bits, as many as make sure that any pair within the distance agrees in one (plan_all). For a distance of
+many bits that would leave short keys, whose entries fill up with the number of texts; there segments grow with the logarithm
+of that number, and so many are taken, over several orders of the bits, that a pair at ``sought`` bits is met with the
+probability ``recall`` (plan_for). Closer pairs are met more surely, and groups have more than one link.
+
+Equal fingerprints are one entry. An entry gives the links of a spanning tree, as many as it has members, not all of their
+pairs. Entries of more than HOT members are split before any task gets them (dense_links).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, comb, log, log1p
+from random import Random
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import discard, give_back, require, stash
+from quarry.llm.common import discard, give_back, numbered, require, stash
 from quarry.llm.components import connected_components
 
 #: XXH64's primes (fixed values).
@@ -99,10 +104,21 @@ def bit_counts(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out.reshape(len(starts), 64)
 
 
-def fingerprints(texts: list[str | None], width: int = 4, seed: int = 42) -> np.ndarray:
-    """SimHash of each text as uint64. Memory beyond the texts and their word offsets is bounded by BLOCK shingles."""
+def mixed(h: np.ndarray, word: int) -> np.ndarray:
+    """The hashes for a further word: splitmix64's finaliser of h plus so many golden ratios; h itself for word 0."""
+    if not word:
+        return h
+    z = h + np.uint64(word * 0x9E3779B97F4A7C15 % 2**64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def fingerprints(texts: list[str | None], width: int = 4, seed: int = 42, words: int = 1) -> np.ndarray:
+    """SimHash of each text as uint64, of shape (texts, words). Memory beyond the texts and their word offsets is bounded by
+    BLOCK shingles, whatever a text's length."""
     joined = [b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()) for t in texts]
-    counts, totals = np.zeros((len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
+    counts, totals = np.zeros((words, len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
     group: list[int] = []
 
     def count(docs: list[int]) -> None:
@@ -121,7 +137,8 @@ def fingerprints(texts: list[str | None], width: int = 4, seed: int = 42) -> np.
             own = slice(at, at + BLOCK)
             h = hash_slices(buffer, starts[own], lengths[own], seed)
             runs = np.flatnonzero(np.diff(doc_of[own], prepend=-1))
-            counts[np.array(docs)[doc_of[own][runs]]] += bit_counts(h, runs)
+            for w in range(words):
+                counts[w, np.array(docs)[doc_of[own][runs]]] += bit_counts(mixed(h, w), runs)
         totals[docs] = n
 
     held = 0
@@ -135,16 +152,16 @@ def fingerprints(texts: list[str | None], width: int = 4, seed: int = 42) -> np.
     if group:
         count(group)
     bits = (2 * counts > totals[:, None]).astype(np.uint8)
-    return np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0]
+    return np.packbits(bits, axis=2, bitorder="little").view("<u8")[:, :, 0].T
 
 
-def fingerprint(text: Column, width: int = 4, seed: int = 42) -> Column:
-    """The SimHash of a text column as a signed long. Null counts as empty; a text without words has fingerprint 0."""
+def fingerprint(text: Column, width: int = 4, seed: int = 42, words: int = 1) -> Column:
+    """The SimHash of a text column as a struct of signed longs w0, ... Null counts as empty; a text without words has fingerprint 0."""
 
-    @F.pandas_udf("long")
-    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(f"struct<{', '.join(f'w{i}: long' for i in range(words))}>")
+    def run(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in it:
-            yield pd.Series(fingerprints(s.tolist(), width, seed).view(np.int64))
+            yield pd.DataFrame(fingerprints(s.tolist(), width, seed, words).view(np.int64), columns=_names(words))
         give_back()
 
     return run(text)
@@ -154,12 +171,15 @@ def as_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def plan_segments(n: int, distance: int, words: int = 1) -> list[tuple[int, int, int, int]]:
-    """(word, first bit, bits, ball) of each segment for n distinct fingerprints: a pair within ``distance`` differs by at most
-    2 * ball bits in some segment. Every plan finds every pair; the cheapest is chosen, by its look-ups and what they are
-    expected to meet. Longer segments with larger balls win once tables of short keys fill up."""
-    from math import comb
+#: A segment: which bits make the key, and the radius of the ball. Bit b is bit b % 64 of word b // 64.
+Plan = list[tuple[tuple[int, ...], int]]
+#: What a comparison of two fingerprints costs, in look-ups: both were measured.
+COMPARISON = 0.0075
 
+
+def plan_all(n: int, distance: int, words: int = 1) -> Plan:
+    """Disjoint segments for n distinct fingerprints: the radii are such that every pair within ``distance`` meets in some table. The
+    cheapest plan is chosen, by its look-ups and what they are expected to meet."""
     best = None
     for k in range(2, 6):  # segments of a word, each with a ball
         for large in range(k + 1):
@@ -168,20 +188,70 @@ def plan_segments(n: int, distance: int, words: int = 1) -> list[tuple[int, int,
                 continue
             base, more = divmod(64, k)
             bits = [base + (i < more) for i in range(k)]
-            keys = [sum(comb(b, i) for i in range(x + 1)) for b, x in zip(bits, sizes, strict=True)]
-            cost = sum(c * (1 + 0.02 * n * c / 2**b) for b, c in zip(bits, keys, strict=True))
-            plan = [(w, sum(bits[:i]), bits[i], sizes[i]) for w in range(words) for i in range(k)]
+            keys = [ball_size(b, x) for b, x in zip(bits, sizes, strict=True)]
+            cost = sum(c * (1 + COMPARISON * n * c / 2**b) for b, c in zip(bits, keys, strict=True))
+            plan = [(tuple(range(64 * w + sum(bits[:i]), 64 * w + sum(bits[: i + 1]))), sizes[i]) for w in range(words) for i in range(k)]
             best = min(best or (cost, plan), (cost, plan))
     if best is None:
         raise ValueError(f"no plan for {distance} of {64 * words} bits")
     return best[1]
 
 
-def balls(plan: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, np.ndarray]]:
-    """(word, first bit, mask, masks to flip) of each segment."""
+def ball_size(bits: int, radius: int) -> int:
+    return sum(comb(bits, i) for i in range(radius + 1))
+
+
+def meets(bits: int, differing: int, segment: int, ball: int) -> float:
+    """The probability that a segment of so many of the bits holds at most 2 * ball of the differing ones."""
+    return sum(comb(differing, i) * comb(bits - differing, segment - i) for i in range(min(2 * ball, segment) + 1)) / comb(bits, segment)
+
+
+def plan_for(n: int, words: int, sought: int, recall: float) -> Plan:
+    """Segments for n distinct fingerprints by which a pair that differs in ``sought`` bits meets with probability ``recall``. Of all
+    lengths and balls the cheapest is taken; keys become longer, and tables more, as n grows: look-ups and comparisons of a
+    fingerprint by about the fourth root of n."""
+    bits, best = 64 * words, None
+    for length in range(10, 45):
+        for ball in (1, 2):
+            p = meets(bits, sought, length, ball)
+            tables = ceil(log(1 - recall) / log1p(-p)) if p < 1 else 1
+            cost = tables * (ball_size(length, ball) + COMPARISON * n * ball_size(length, 2 * ball) / 2**length)
+            if tables < 1 << 14:
+                best = min(best or (cost, length, ball, tables), (cost, length, ball, tables))
+    _, length, ball, tables = best
+    order, plan, each = list(range(bits)), [], bits // length
+    rng = Random(17)
+    while len(plan) < tables:
+        plan += [(tuple(sorted(order[k * length : (k + 1) * length])), ball) for k in range(min(each, tables - len(plan)))]
+        rng.shuffle(order)
+    return plan
+
+
+def work(plan: Plan, n: int) -> tuple[int, float]:
+    """Look-ups of a fingerprint, and how many unlike ones of n it is expected to meet."""
+    return sum(ball_size(len(b), r) for b, r in plan), sum(n * ball_size(len(b), 2 * r) / 2 ** len(b) for b, r in plan)
+
+
+def segment_values(fp: np.ndarray, bits: tuple[int, ...]) -> np.ndarray:
+    """The segment's bits of fingerprints (n, words) as numbers."""
+    first = bits[0]
+    if bits == tuple(range(first, first + len(bits))) and first // 64 == bits[-1] // 64:
+        return (fp[:, first // 64] >> np.uint64(first % 64)) & np.uint64((1 << len(bits)) - 1)
+    out = np.zeros(len(fp), np.uint64)
+    for k, b in enumerate(bits):
+        out |= ((fp[:, b // 64] >> np.uint64(b % 64)) & np.uint64(1)) << np.uint64(k)
+    return out
+
+
+def ball(bits: int, radius: int) -> np.ndarray:
+    """The masks to flip."""
     from itertools import combinations
 
-    return [(w, at, (1 << bits) - 1, np.array([sum(1 << i for i in c) for r in range(ball + 1) for c in combinations(range(bits), r)], np.uint64)) for w, at, bits, ball in plan]
+    return np.array([sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(bits), r)], np.uint64)
+
+
+#: A table's number stands above its keys, which have at most 44 bits.
+TABLE = 48
 
 
 def _names(words: int) -> list[str]:
@@ -192,31 +262,55 @@ def _schema(words: int, prefix: str = "") -> str:
     return ", ".join(f"{prefix}{n} long" for n in _names(words))
 
 
-def look_ups(fps: DataFrame, plan: list[tuple[int, int, int, int]], words: int) -> DataFrame:
-    """Rows (segment, key, words of the fingerprint): each fingerprint under the values of its balls."""
-    table = balls(plan)
+def _batch(batch: pa.RecordBatch, words: int) -> np.ndarray:
+    return np.stack([batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(words)], 1)
+
+
+def look_ups(fps: DataFrame, plan: Plan, words: int) -> DataFrame:
+    """Rows (key, words of the fingerprint): each fingerprint under the values of its balls."""
+    flips = [ball(len(bits), radius) for bits, radius in plan]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every = [batch.column(i).to_numpy().view(np.uint64) for i in range(words)]
-            for at in range(0, len(every[0]), 1024):
-                fp = [w[at : at + 1024] for w in every]
-                for k, (w, first, mask, flips) in enumerate(table):
-                    own = (fp[w] >> np.uint64(first)) & np.uint64(mask)
-                    for f in range(0, len(flips), 64):
-                        flip = flips[f : f + 64]
-                        key = (own[:, None] ^ flip[None, :]).ravel().astype(np.int64)
-                        columns = [pa.array(np.full(len(key), k, np.int8)), pa.array(key), *(pa.array(np.repeat(x, len(flip)).view(np.int64)) for x in fp)]
-                        yield pa.RecordBatch.from_arrays(columns, ["segment", "key", *_names(words)])
+            every = _batch(batch, words)
+            for at in range(0, len(every), 1024):
+                fp = every[at : at + 1024]
+                for k, (bits, _) in enumerate(plan):
+                    own = segment_values(fp, bits) + np.uint64(k << TABLE)
+                    for f in range(0, len(flips[k]), 64):
+                        flip = flips[k][f : f + 64]
+                        key = (own[:, None] ^ flip[None, :]).ravel().view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(np.repeat(fp[:, w], len(flip)).view(np.int64)) for w in range(words))], ["key", *_names(words)])
+
+    return fps.select(*_names(words)).mapInArrow(run, f"key long, {_schema(words)}")
 
-    return fps.select(*_names(words)).mapInArrow(run, f"segment byte, key long, {_schema(words)}")
+
+def crowded(fps: DataFrame, plan: Plan, words: int, hot: int) -> DataFrame:
+    """The keys whose entries may hold more than ``hot`` fingerprints: those in the ball of a value that more than hot / (size of a
+    ball) fingerprints have, for no other entry can. Values are counted with one row a table, not one a look-up."""
+    least = hot / max(ball_size(len(bits), radius) for bits, radius in plan)
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = _batch(batch, words)
+            for k, (bits, _) in enumerate(plan):
+                yield pa.RecordBatch.from_arrays([pa.array((segment_values(fp, bits) + np.uint64(k << TABLE)).view(np.int64))], ["key"])
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key in batch.column(0).to_pylist():
+                bits, radius = plan[key >> TABLE]
+                yield pa.RecordBatch.from_arrays([pa.array((np.uint64(key) ^ ball(len(bits), radius)).view(np.int64))], ["key"])
+
+    many = fps.select(*_names(words)).mapInArrow(values, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > least)
+    return many.select("key").mapInArrow(around, "key long").distinct()
 
 
 SMALL, SQUARE = 24, 1024  # buckets compared by shifting them against themselves, and as a square
 
 
 def _verify(distance: int, words: int):
-    """Rows sorted by (segment, key), each bucket in one partition -> links that span each bucket's groups."""
+    """Rows sorted by key, each bucket in one partition -> links that span each bucket's groups."""
 
     def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Differing bits; the last axis of a and b holds the words."""
@@ -254,8 +348,8 @@ def _verify(distance: int, words: int):
         none = np.empty((0, words), np.uint64)
         return np.concatenate(links[0] or [none]), np.concatenate(links[1] or [none])
 
-    def links(seg: np.ndarray, key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        cuts = np.concatenate(([0], np.flatnonzero((np.diff(key) != 0) | (np.diff(seg) != 0)) + 1, [len(key)]))
+    def links(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)]))
         sizes = np.diff(cuts)
         bucket = np.repeat(np.arange(len(sizes)), sizes)
         keep = (sizes[bucket] > 1) & (sizes[bucket] <= SMALL)
@@ -279,11 +373,11 @@ def _verify(distance: int, words: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            seg, key, *fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2 + words))
-            now = [seg, key, np.stack(fp, 1).view(np.uint64)]
-            last = np.flatnonzero((key != key[-1]) | (seg != seg[-1]))
+            key, *fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1 + words))
+            now = [key, np.stack(fp, 1).view(np.uint64)]
+            last = np.flatnonzero(key != key[-1])
             whole = int(last[-1]) + 1 if len(last) else 0  # what comes after may go on in the next batch
-            if held and (whole or (held[-1][0][-1], held[-1][1][-1]) != (seg[0], key[0])):
+            if held and (whole or held[-1][0][-1] != key[0]):
                 yield from links(*(np.concatenate(x) for x in zip(*held, [x[:whole] for x in now], strict=True)))
                 held = []
             elif whole:
@@ -302,38 +396,145 @@ def node(words: int, side: str = "") -> Column:
     return F.col(f"{side}w0") if words == 1 else F.xxhash64(*(f"{side}{n}" for n in _names(words)))
 
 
-def near_links(fps: DataFrame, distance: int, n: int, words: int = 1) -> DataFrame:
-    """Links (a, b) between the nodes of distinct fingerprints (w0, ...): their components are those of all pairs within distance."""
-    rows = look_ups(fps, plan_segments(n, distance, words), words)
-    sorted_rows = rows.repartition("segment", "key").sortWithinPartitions("segment", "key")
-    found = sorted_rows.mapInArrow(_verify(distance, words), f"{_schema(words, 'a')}, {_schema(words, 'b')}")
-    return found.select(node(words, "a").alias("a"), node(words, "b").alias("b")).distinct()
+#: Members of a table entry that one task takes whole; more are split. Fingerprints that stand for such an entry.
+HOT, LEADERS = 8192, 64
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, distance: int = 4, words: int = 1) -> DataFrame:
-    """One row per row of df: doc_id, w0, ... (the fingerprint's words as signed longs), component_id (the smallest id that links
-    lead to, itself included) and stays (true for one document of each component: the smallest id, then the smallest
-    fingerprint).
-
-    Fingerprints have ``words`` words of 64 bits, with seeds from ``seed`` on, and link at up to ``distance`` differing bits.
-    Null texts count as empty. Texts without words have fingerprint zero and are linked like any other. Rows that repeat
-    an id each get a row; those that repeat id and fingerprint of the document that stays are all marked. Null ids
-    are kept and are no component's smallest id unless all of its ids are null. An empty table gives no rows. Other
-    columns are not read.
+def _verified(rows: DataFrame, distance: int, words: int) -> DataFrame:
+    """Links (a, b) of rows (key, words) that share a key."""
+    found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_verify(distance, words), f"{_schema(words, 'a')}, {_schema(words, 'b')}")
+    return found.select(node(words, "a").alias("a"), node(words, "b").alias("b"))
+
+
+def _joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(key, seen: the leaders that one member is near to, as masks by first leader) -> (key, leader, part): leaders that members join
+    are one part, named by its first leader."""
+    for f in frames:
+        rows = []
+        for key, seen in zip(f["key"], f["seen"], strict=True):
+            part: dict[int, int] = {}
+
+            def root(i: int, part: dict[int, int] = part) -> int:
+                while part.setdefault(i, i) != i:
+                    i = part[i]
+                return i
+
+            for s in seen:
+                mask = s["mask"] % (1 << 64)
+                for i in range(64):
+                    if mask >> i & 1:
+                        a, b = sorted((root(s["first"]), root(i)))
+                        part[b] = a
+            rows += [(key, i, root(i)) for i in part]
+        yield pd.DataFrame(rows, columns=["key", "leader", "part"])
+
+
+def dense_links(rows: DataFrame, distance: int, words: int, hot: int, leaders: int) -> DataFrame:
+    """Links that join the same fingerprints as all pairs within distance do, from rows (key, words) of entries with many members.
+
+    A few members lead each entry. Every member is compared with them, where it lies, and linked to the first one near it; leaders
+    that a member joins are one part of the entry. As a rule an entry is a family of copies, and ends up as one part. Otherwise
+    members of different parts, and members near no leader, are still to be compared: parts are cut into blocks, and each pair of
+    blocks that may hold a new link is a task's work. No task holds more than two blocks, no pairs are written.
     """
-    require(df, id_col, text_col)
     names = _names(words)
-    made = df.select(F.col(id_col).alias("doc_id"), *(fingerprint(F.col(text_col), width, seed + i).alias(n) for i, n in enumerate(names)))
-    rows = stash(made.select("doc_id", *names, node(words).alias("fp")), "simhash")
-    distinct = stash(rows.groupBy("fp", *names).agg(F.min("doc_id").alias("smallest")), "simhash-distinct")
-    links = stash(near_links(distinct, distance, distinct.count(), words), "simhash-links")
+    rows = stash(rows, "dense")
+    h = F.xxhash64(*names)
+    first = rows.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(h, *names))).where(F.col("rank") <= leaders)
+    led = stash(first.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rank", *names))).alias("leaders")), "dense-leaders")
+    apart = lambda x: sum((F.bit_count(x[n].bitwiseXOR(F.col(n))) for n in names[1:]), F.bit_count(x["w0"].bitwiseXOR(F.col("w0"))))
+    near = F.filter("leaders", lambda x: apart(x) <= distance)
+    seen = rows.join(led, "key").withColumn("near", near).select(
+        "key", *names, F.get("near", F.lit(0)).alias("lead"), F.aggregate("near", F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["rank"] - 1))).alias("mask"),
+    )
+    seen = stash(seen.withColumn("first", F.col("lead.rank") - 1), "dense-seen")
+    to_lead = seen.where("lead is not null").select(node(words).alias("a"), (F.col("lead.w0") if words == 1 else F.xxhash64(*(f"lead.{n}" for n in names))).alias("b"))
+    joins = seen.where("lead is not null").groupBy("key", "first").agg(F.bit_or("mask").alias("mask"))  # at most one row for each leader
+    parts = joins.groupBy("key").agg(F.collect_list(F.struct("first", "mask")).alias("seen")).mapInPandas(_joined, "key long, leader int, part int")
+    parts = stash(parts, "dense-parts")
+    name = lambda i: F.element_at("leaders", F.col(i) + 1)
+    ends = parts.where("leader <> part").join(led, "key").select(*(F.struct(*(name(i)[n].alias(n) for n in names)).alias(side) for side, i in (("x", "leader"), ("y", "part"))))
+    between = ends.select(*((F.col(f"{s}.w0") if words == 1 else F.xxhash64(*(f"{s}.{n}" for n in names))).alias(side) for s, side in (("x", "a"), ("y", "b"))))
+
+    # members by part; -1: near no leader
+    lone = F.lit(-1)
+    member = seen.join(parts.withColumnRenamed("leader", "first"), ["key", "first"], "left").select("key", *names, F.coalesce("part", lone).alias("part"))
+    member = stash(member, "dense-members")
+    sizes = member.groupBy("key", "part").agg(F.count("*").alias("n"))
+    open_keys = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.min("part").alias("least")).where((F.col("parts") > 1) | (F.col("least") == lone)).select("key")
+    size = max(2, hot // 2)
+    n_blocks = F.ceil(F.col("n") / size)
+    counted = stash(sizes.join(open_keys, "key").select("key", "part", n_blocks.alias("blocks")), "dense-blocks")
+    blocks = counted.select("key", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    side = lambda s: blocks.select("key", F.struct("part", "block").alias(s))
+    pairs = side("x").join(side("y"), "key").where((F.col("x") <= F.col("y")) & ((F.col("x.part") != F.col("y.part")) | (F.col("x.part") == lone)))
+    pairs = pairs.select("key", F.xxhash64("key", "x", "y").alias("pair"), F.explode(F.array_distinct(F.array("x", "y"))).alias("at"))
+    placed = member.join(counted, ["key", "part"]).select("key", *names, F.struct("part", F.pmod(h, F.col("blocks")).alias("block")).alias("at"))
+    rest = placed.join(pairs, ["key", "at"]).select(F.col("pair").alias("key"), *names)
+    out = stash(to_lead.unionAll(between).unionAll(_verified(rest, distance, words)).where("a <> b"), "dense-links")
+    for old in (rows, led, seen, parts, member, counted):
+        discard(old)
+    return out
+
+
+def near_links(fps: DataFrame, distance: int, plan: Plan, words: int = 1, hot: int = HOT, leaders: int = LEADERS) -> DataFrame:
+    """A stashed table of links (a, b) between the nodes of distinct fingerprints (w0, ...): their components are those of all pairs within
+    distance that the plan's tables bring together."""
+    rows, full = look_ups(fps, plan, words), stash(crowded(fps, plan, words, hot), "crowded")
+    if full.isEmpty():
+        return stash(_verified(rows, distance, words).distinct(), "simhash-links")
+    dense = dense_links(rows.join(full, "key", "left_semi"), distance, words, hot, leaders)
+    out = stash(_verified(rows.join(full, "key", "left_anti"), distance, words).unionAll(dense).distinct(), "simhash-links")
+    discard(dense)
+    return out
+
+
+def _classes(rows: DataFrame, distance: int, words: int, sought: int | None, recall: float) -> DataFrame:
+    """A stashed table (fp, component_id, keep): the smallest id of the component, and the number n of the row that stays. rows: stashed,
+    with n, id, tie, fp and the fingerprint's words."""
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tie", "n")).alias("first")
+    distinct = stash(rows.groupBy("fp", *_names(words)).agg(first), "simhash-distinct")
+    n = distinct.count()
+    links = near_links(distinct, distance, plan_all(n, distance, words) if sought is None else plan_for(n, words, sought, recall), words)
     roots = connected_components(links, "a", "b")
-    rooted = stash(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "smallest", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
-    first = F.min(F.struct(F.col("smallest").isNull().alias("none"), "smallest", "fp"))
-    best = stash(rooted.groupBy("root").agg(first.alias("first")), "simhash-best")  # a table, so that a large group's rows can be split in the join
-    classes = rooted.join(best, "root").select("fp", F.col("first.smallest").alias("component_id"), (F.col("fp") == F.col("first.fp")).alias("first"))
-    classes = stash(classes, "simhash-classes")
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = stash(rooted, "simhash-rooted")
+    first = F.min(F.struct("first.none", "first.id", "fp", "first.n"))
+    best = stash(rooted.groupBy("root").agg(first.alias("best")), "simhash-best")  # a table, so that a large group's rows can be split in the join
+    classes = stash(rooted.join(best, "root").select("fp", F.col("best.id").alias("component_id"), F.col("best.n").alias("keep")), "simhash-classes")
     for old in (distinct, links, roots, rooted, best):
         discard(old)
-    stays = F.col("first") & F.col("doc_id").eqNullSafe(F.col("component_id"))
-    return rows.join(classes, "fp").select("doc_id", *names, "component_id", stays.alias("stays"))
+    return classes
+
+
+def near_duplicates(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, distance: int = 4, words: int = 1, sought: int | None = None, recall: float = 0.95
+) -> DataFrame:
+    """One row per row of df: doc_id, w0, ... (the fingerprint's words as signed longs), component_id (the smallest id that links
+    lead to, itself included) and stays (true for one row of each component: the smallest id, then the smallest fingerprint).
+
+    Fingerprints have ``words`` words of 64 bits and link at up to ``distance`` differing bits: all pairs, or, if ``sought`` is
+    given, those that the tables of plan_for() find. Null texts count as empty. Texts without words have fingerprint zero and are
+    linked like any other. A text may be of any length; all of its shingles count. Rows that repeat an id each get a row, and
+    of rows with id and fingerprint of the one that stays, one stays. Null ids are kept and are no component's smallest id
+    unless all of its ids are null. An empty table gives no rows. Other columns are not read, whatever their names.
+    """
+    require(df, id_col, text_col)
+    names = _names(words)
+    made = df.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), width, seed, words).alias("f"), F.monotonically_increasing_id().alias("n"))
+    rows = stash(made.select("n", "id", F.lit(0).alias("tie"), "f.*").withColumn("fp", node(words)), "simhash")
+    classes = _classes(rows, distance, words, sought, recall)
+    return rows.join(classes, "fp").select(F.col("id").alias("doc_id"), *names, "component_id", (F.col("n") == F.col("keep")).alias("stays"))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, seed: int = 42, distance: int = 48, words: int = 4, sought: int | None = 39, recall: float = 0.95) -> DataFrame:
+    """The rows of df, with its columns, less all but one of each component of near_duplicates(): the smallest id stays, then the smallest
+    fingerprint, then the smallest hash of the whole row. Nulls, repeats, ties and long texts are as there; columns may have any
+    names. Texts are fingerprinted once and not shuffled where the rows that go are few enough to be broadcast by Spark."""
+    require(df, id_col, text_col)
+    names = _names(words)
+    rows = numbered(df, "near-rows", F.col(id_col).alias("id"), F.xxhash64(*df.columns).alias("tie"), fingerprint(F.col(text_col), width, seed, words).alias("f"))
+    flat = rows.select("n", "id", "tie", "f.*").withColumn("fp", node(words))
+    classes = _classes(flat.select("n", "id", "tie", "fp", *names), distance, words, sought, recall)
+    gone = stash(flat.select("n", "fp").join(classes, "fp").where("n <> keep").select("n"), "near-gone")
+    return rows.join(gone, "n", "left_anti").select("row.*")

@@ -16,7 +16,7 @@ def brute(rows, items, keep_language):
     rows = [min(g, key=lambda r: (-len(r["text"] or ""), r["doc_id"])) for g in groups.values()]
     ids = [r["doc_id"] for r in rows]
     near = corpus_pipeline.NEAR
-    fps = [sum(brute_fingerprint(r["text"], near["width"], near["seed"] + i) << 64 * i for i in range(near["words"])) for r in rows]
+    fps = [brute_fingerprint(r["text"], near["width"], near["seed"], near["words"]) for r in rows]
     part = brute_components(ids, fps, near["distance"])
     rows = [r for r, c in zip(rows, part, strict=True) if c == r["doc_id"]]
     hit = {h[0] for h in brute_hits([(r["doc_id"], r["text"]) for r in rows], items) if h[2]}

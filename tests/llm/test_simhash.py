@@ -10,13 +10,27 @@ from quarry.llm import simhash
 from quarry.llm.components import connected_components
 
 
-def brute_fingerprint(text, width=4, seed=42):
-    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    if not words:
+def brute_fingerprint(text, width=4, seed=42, words=1):
+    tokens = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not tokens:
         return 0
-    parts = [" ".join(words[i : i + width]) for i in range(len(words) - width + 1)] if len(words) >= width else [" ".join(words)]
+    parts = [" ".join(tokens[i : i + width]) for i in range(len(tokens) - width + 1)] if len(tokens) >= width else [" ".join(tokens)]
     hashes = [xxhash.xxh64_intdigest(p.encode(), seed) for p in parts]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    out = 0
+    for w in range(words):
+        own = [again(h, w) for h in hashes]
+        out |= sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in own) > len(own)) << 64 * w
+    return out
+
+
+def again(h, word):
+    """splitmix64's finaliser, in Python's integers."""
+    if word:
+        h = (h + word * 0x9E3779B97F4A7C15) % 2**64
+        h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+        h = (h ^ (h >> 27)) * 0x94D049BB133111EB % 2**64
+        h ^= h >> 31
+    return h
 
 
 def brute_components(ids, fps, distance=4):
@@ -41,8 +55,10 @@ def brute_components(ids, fps, distance=4):
 TEXTS = ["", None, " ", "a", "A b", "É É x y z", "w" * 700 + " b c d e", "one two three four", "one two three four five"] + [" ".join(f"word{(i * j) % 97}" for i in range(j)) for j in range(1, 700, 37)]
 
 
-def test_fingerprints_match_brute_force():
-    assert [int(x) for x in simhash.fingerprints(TEXTS)] == [brute_fingerprint(t) for t in TEXTS]
+@pytest.mark.parametrize("words", [1, 4])
+def test_fingerprints_match_brute_force(words):
+    got = simhash.fingerprints(TEXTS, words=words)
+    assert [sum(int(x) << 64 * w for w, x in enumerate(row)) for row in got] == [brute_fingerprint(t, words=words) for t in TEXTS]
 
 
 def test_vectorised_hash_of_every_length():
@@ -57,25 +73,60 @@ def test_vectorised_hash_of_every_length():
 @pytest.mark.parametrize("n", [100, 10**7, 10**11])
 def test_every_plan_finds_every_pair(n, distance, words):
     """Whatever bits differ, the balls meet in some segment."""
-    plan = simhash.plan_segments(n, distance, words)
-    assert sum(bits for _, _, bits, _ in plan) == 64 * words
+    plan = simhash.plan_all(n, distance, words)
+    assert sorted(b for bits, _ in plan for b in bits) == list(range(64 * words))
     rng = random.Random(2)
     for _ in range(3000):
-        bits = rng.sample(range(64 * words), distance)
-        assert any(sum(64 * w + at <= b < 64 * w + at + width for b in bits) <= 2 * ball for w, at, width, ball in plan)
-
-
-def test_balls_of_a_pair_meet():
-    for (_, _, mask, flips), bits in zip(simhash.balls([(0, 0, 10, 1), (0, 0, 12, 2)]), (10, 12), strict=True):
-        rng = random.Random(1)
+        differing = set(rng.sample(range(64 * words), distance))
+        assert any(len(differing.intersection(bits)) <= 2 * ball for bits, ball in plan)
+
+
+@pytest.mark.parametrize("n", [100, 10**5, 10**7, 10**9])
+def test_plan_with_recall(n):
+    """As many pairs at the sought distance meet as was asked for; keys grow with n, and work far more slowly."""
+    plan = simhash.plan_for(n, 4, 39, 0.95)
+    rng, met = random.Random(5), 0
+    for _ in range(2000):
+        differing = set(rng.sample(range(256), 39))
+        met += any(len(differing.intersection(bits)) <= 2 * ball for bits, ball in plan)
+    assert met > 0.935 * 2000
+    look_ups, unlike = simhash.work(plan, n)
+    assert all(ball >= 1 and len(set(bits)) == len(bits) <= 44 for bits, ball in plan)
+    assert look_ups < 60 * max(1, n / 1000) ** 0.25 and unlike < 3000 * max(1, n / 10**5) ** 0.3
+
+
+def test_segment_values_and_balls_of_a_pair():
+    rng = random.Random(1)
+    fp = np.array([[rng.getrandbits(64) for _ in range(2)] for _ in range(50)], np.uint64)
+    for bits in (tuple(range(3, 17)), tuple(range(60, 70)), (1, 5, 64, 99, 127)):
+        want = [sum((int(f[b // 64]) >> b % 64 & 1) << k for k, b in enumerate(bits)) for f in fp]
+        assert simhash.segment_values(fp, bits).tolist() == want
+    for size, radius in ((10, 1), (12, 2)):
+        flips = simhash.ball(size, radius)
+        assert len(flips) == simhash.ball_size(size, radius)
         for _ in range(200):
-            a = rng.getrandbits(bits) & mask
-            b = a
-            for i in rng.sample(range(bits), 2 * (2 if bits == 12 else 1)):
+            a = b = rng.getrandbits(size)
+            for i in rng.sample(range(size), 2 * radius):
                 b ^= 1 << i
             assert set((np.uint64(a) ^ flips).tolist()) & set((np.uint64(b) ^ flips).tolist())
 
 
+def links_frame(spark, fps, words):
+    signed = [[(x - 2**64 if x >= 2**63 else x) for x in ((f >> 64 * w) & (2**64 - 1) for w in range(words))] for f in fps]
+    schema = "doc_id long, " + ", ".join(f"w{w} long" for w in range(words))
+    return spark.createDataFrame([(i, *s) for i, s in enumerate(signed)], schema).withColumn("fp", simhash.node(words))
+
+
+def components_of(df, links, n):
+    by = {r["doc_id"]: r["fp"] for r in df.select("doc_id", "fp").collect()}
+    roots = {r["node"]: r["root"] for r in connected_components(links, "a", "b").collect()}
+    got = {}
+    for i in range(n):
+        got.setdefault(roots.get(by[i], by[i]), []).append(i)
+    smallest = {i: min(g) for g in got.values() for i in g}
+    return [smallest[i] for i in range(n)]
+
+
 @pytest.mark.parametrize("distance,words", [(4, 1), (23, 2)])
 def test_components_match_brute_force(spark, distance, words):
     rng = random.Random(4)
@@ -87,21 +138,57 @@ def test_components_match_brute_force(spark, distance, words):
         for b in rng.sample(range(size), rng.randrange(2 * distance)):
             f ^= 1 << b
         fps.append(f)
-    ids = list(range(900))
-    signed = [[(x - 2**64 if x >= 2**63 else x) for x in ((f >> 64 * w) & (2**64 - 1) for w in range(words))] for f in fps]
-    schema = "doc_id long, " + ", ".join(f"w{w} long" for w in range(words))
-    df = spark.createDataFrame([(i, *s) for i, s in zip(ids, signed, strict=True)], schema).withColumn("fp", simhash.node(words))
-    links = simhash.near_links(df.select("fp", *(f"w{w}" for w in range(words))).distinct(), distance, len(set(fps)), words)
-    by = {r["doc_id"]: r["fp"] for r in df.select("doc_id", "fp").collect()}
-    value = {by[i]: fps[i] for i in ids}
+    df = links_frame(spark, fps, words)
+    links = simhash.near_links(df.drop("doc_id").distinct(), distance, simhash.plan_all(len(set(fps)), distance, words), words)
+    value = {r["fp"]: fps[r["doc_id"]] for r in df.collect()}
     assert all((value[r.a] ^ value[r.b]).bit_count() <= distance and r.a != r.b for r in links.collect())
-    roots = {r["node"]: r["root"] for r in connected_components(links, "a", "b").collect()}
-    want = brute_components(ids, fps, distance)
-    got = {}
-    for i in ids:
-        got.setdefault(roots.get(by[i], by[i]), []).append(i)
-    smallest = {i: min(g) for g in got.values() for i in g}
-    assert [smallest[i] for i in ids] == want
+    assert components_of(df, links, 900) == brute_components(range(900), fps, distance)
+
+
+def families(rng, words, distance):
+    """One large family of copies, one whose members reach each other only through others, and texts of their own."""
+    size = 64 * words
+    a, b = rng.getrandbits(size), rng.getrandbits(size)
+    fps = []
+    for _ in range(300):
+        f = a
+        for k in rng.sample(range(size), rng.randrange(distance)):
+            f ^= 1 << k
+        fps.append(f)
+    for i in range(300):  # each some bits further on than the last, some steps being too long
+        for k in rng.sample(range(size), distance + 1 if i % 50 == 0 else rng.randrange(1, distance)):
+            b ^= 1 << k
+        fps.append(b)
+    return fps + [rng.getrandbits(size) for _ in range(100)]
+
+
+@pytest.mark.parametrize("distance,words", [(4, 1), (9, 2)])
+@pytest.mark.parametrize("hot,leaders", [(40, 64), (8, 3)])
+def test_crowded_entries_are_split_without_loss(spark, distance, words, hot, leaders):
+    fps = list(dict.fromkeys(families(random.Random(9), words, distance)))
+    df = links_frame(spark, fps, words)
+    plan = simhash.plan_all(len(fps), distance, words)
+    own = df.drop("doc_id")
+    assert simhash.crowded(own, plan, words, hot).count() > 0
+    entries = simhash.look_ups(own, plan, words).groupBy("key").count().where(f"count > {hot}").select("key")
+    assert entries.join(simhash.crowded(own, plan, words, hot), "key", "left_anti").count() == 0
+    links = simhash.near_links(own, distance, plan, words, hot, leaders)
+    assert components_of(df, links, len(fps)) == brute_components(range(len(fps)), fps, distance)
+
+
+def test_no_task_gets_a_whole_crowded_entry(spark, monkeypatch):
+    """What is compared in one piece stays below the bound, though one entry has 300 members."""
+    fps = list(dict.fromkeys(families(random.Random(9), 1, 4)))
+    df = links_frame(spark, fps, 1)
+    real, sizes = simhash._verified, []
+
+    def seen(rows, *more):
+        sizes.append(rows.groupBy("key").count().agg(F.max("count")).first()[0] or 0)
+        return real(rows, *more)
+
+    monkeypatch.setattr(simhash, "_verified", seen)
+    simhash.near_links(df.drop("doc_id"), 4, simhash.plan_all(len(fps), 4, 1), 1, 40, 4)
+    assert len(sizes) == 2 and max(sizes) <= 80  # two blocks of 20 and what hashing makes of it
 
 
 def test_query_and_edge_cases(spark):
@@ -114,8 +201,12 @@ def test_query_and_edge_cases(spark):
     want = sorted(((d, f"{f:016x}", c) for (d, _), f, c in zip(rows, fps, brute_components([d for d, _ in rows], fps), strict=True)), key=repr)
     assert got == want
     assert simhash.near_duplicates(df.limit(0)).count() == 0
-    stays = simhash.near_duplicates(df).where("stays").select("doc_id", "w0").distinct().count()
-    assert stays == len(set(brute_components(range(len(rows)), fps)))
+    stays = simhash.near_duplicates(df).where("stays")
+    assert stays.count() == len(set(brute_components(range(len(rows)), fps)))
+    kept = simhash.keep_one(df.withColumn("n", F.lit("x")), width=4, distance=4, words=1, sought=None)
+    assert kept.columns == ["doc_id", "text", "w0", "n"] and kept.count() == stays.count()
+    assert sorted(map(str, [r.doc_id for r in kept.collect()])) == sorted(map(str, [r.doc_id for r in stays.collect()]))
+    assert simhash.keep_one(df.limit(0)).count() == 0
 
 
 def test_path_graph_components(spark):
