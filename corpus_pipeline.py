@@ -2,69 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import small_batches, stash, table, tokenizer_path
+from quarry.llm.common import numbered, small_batches, stash, table, tokenizer_path
 from quarry.llm.decontaminate import contamination
-from quarry.llm.exact_dedup import deduplicate, squeezed_sha256
+from quarry.llm.exact_dedup import deduplicate
 from quarry.llm.language import UNKNOWN, has_letter, predict, train_language_model
 from quarry.llm.packing import pack
-from quarry.llm.simhash import fingerprint, near_duplicates
+from quarry.llm.simhash import keep_one
 
 #: A text whose best language has less than this mean probability over its positions is rejected.
 LEAST_SCORE = 0.35
 
 
-def _key(*parts: Column) -> Column:
-    return F.concat_ws(":", *(F.coalesce(p.cast("string"), F.lit("-")) for p in parts))
-
-
-def _only(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose key is in kept (one column, ``__key``), one row for each key; the columns of docs."""
-    keyed = docs.withColumn("__key", key)
-    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and texts in no language that the labelled rows show. Without labels to learn from, only
-    texts without a letter are dropped."""
+    texts without a letter are dropped. Null and empty texts have no letter; whole texts are judged, however long; each row by
+    itself, so that repeats and ties play no part; other columns may have any names and nulls; an empty table stays empty."""
     small_batches(spark)
     model = train_language_model(docs)
     if model is None:
         return docs.where(F.pandas_udf(lambda s: s.map(has_letter), "boolean")(F.col("text")))
-    found = docs.withColumn("__language", predict(model, F.col("text")))
-    return found.where((F.col("__language.lang_pred") != UNKNOWN) & (F.col("__language.score") >= LEAST_SCORE)).select(*docs.columns)
+    found = docs.select(F.struct(*docs.columns).alias("row"), predict(model, F.col("text")).alias("found"))
+    return found.where((F.col("found.lang_pred") != UNKNOWN) & (F.col("found.score") >= LEAST_SCORE)).select("row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the longest original of equal texts, then the smallest doc_id."""
+    """Keeps one row of each group of equal texts: the longest original, then the smallest doc_id (nulls last), then the smallest hash of
+    the whole row. Null texts count as empty and form one group with them; contents of any length are compared whole; rows
+    that repeat in every column are copies like any other; an empty table stays empty."""
     small_batches(spark)
-    kept = deduplicate(docs).where("kept").select(_key(F.col("doc_id"), F.col("text_sha256"), F.col("keep_chars")).alias("__key"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return _only(docs, _key(F.col("doc_id"), squeezed_sha256(text), F.length(text)), kept)
+    rows = numbered(docs, "exact-rows", F.length(F.coalesce("text", F.lit(""))).alias("chars"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*docs.columns).alias("tie")).alias("order"))
+    found = deduplicate(rows.select("n", F.col("row.text").alias("text")), "n").where("group_size > 1").select(F.col("doc_id").alias("n"), "keep_id", "keep_chars")
+    copies = stash(found.join(rows.select("n", "chars", "order"), "n"), "exact-copies")
+    best = copies.where("chars = keep_chars").groupBy("keep_id").agg(F.min(F.struct("order", "n"))["n"].alias("stays"))
+    gone = stash(copies.join(best, "keep_id").where("n <> stays").select("n"), "exact-gone")
+    return rows.join(gone, "n", "left_anti").select("row.*")
 
 
-#: Near-duplicates: shingles of five words, fingerprints of 128 bits, at least 0.82 of them equal (105 of 128).
-NEAR = {"width": 5, "seed": 42, "words": 2, "distance": 23}
+#: Near-duplicates: shingles of five words; fingerprints of 256 bits that link at 48 differing bits (0.81 agree). A pair with a
+#: resemblance of 0.8 is expected to differ in 39 of them: such a pair meets in some table with a probability of 0.95.
+NEAR = {"width": 5, "seed": 42, "words": 4, "distance": 48, "sought": 39, "recall": 0.95}
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, the smallest doc_id."""
+    """Keeps one document of each group of near-duplicates, the smallest doc_id. Nulls, repeats, ties and long texts: see keep_one()."""
     small_batches(spark)
-    kept = near_duplicates(docs, **NEAR).where("stays").select(_key(F.col("doc_id"), F.col("w0"), F.col("w1")).alias("__key"))
-    return _only(docs, _key(F.col("doc_id"), *(fingerprint(F.col("text"), NEAR["width"], NEAR["seed"] + i) for i in range(NEAR["words"]))), kept)
+    return keep_one(docs, **NEAR)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold ten consecutive words (or all words of a shorter item) of the benchmark."""
+    """Drops documents that hold ten consecutive words (or all words of a shorter item) of the benchmark. Null and empty texts have no
+    words and stay; whole texts are searched; each row by itself, so that repeats and ties play no part; other columns may
+    have any names and nulls; an empty table, or an empty benchmark, changes nothing."""
     small_batches(spark)
-    found = docs.withColumn("__found", contamination(table(spark, sf_dir, "benchmark"), F.col("text"), null_ids=True))
-    return found.where(F.col("__found.n_hit") == 0).select(*docs.columns)
+    found = docs.select(F.struct(*docs.columns).alias("row"), contamination(table(spark, sf_dir, "benchmark"), F.col("text"), null_ids=True).alias("found"))
+    return found.where(F.col("found.n_hit") == 0).select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 4096 tokens."""
+    """Packs what is left into sequences of 4096 tokens. Null texts are empty: their one token is the end. Repeated rows and ids are packed
+    each for itself; longer texts are cut and no token is lost; other columns are not read; an empty table gives no rows."""
     small_batches(spark)
     return pack(docs, tokenizer_path("word_bpe_49k.json"))
 
