@@ -3,11 +3,12 @@
 Nodes are hosts and their parent domains. Edges are the pages' absolute links (weighted by their number) and, so that
 hosts of one domain inform each other, host to parent domain and back. Trust is a personalised PageRank from the
 hosts whose pages an allow rule judges; distrust is the same over reversed edges from the hosts that a block rule judges.
-A host is blocked where its distrust exceeds its trust; each has the same total over all hosts.
+A host is blocked where its distrust exceeds its trust; each has a total of 1 over all hosts, so that they compare.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -55,38 +56,52 @@ def edges(pages: DataFrame) -> DataFrame:
     return linked.unionByName(up).unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def page_rank(graph: DataFrame, nodes: DataFrame, seed: Column, rounds: int, damping: float) -> DataFrame:
-    """Personalised PageRank (node, rank) over (src, dst, n): restarts at nodes in proportion to ``seed``; what has no way out
-    restarts as well. nodes has node and the columns of seed. Each round is one join and one aggregation, and every fourth
-    ends in a table in the shared folder."""
+def page_rank(graph: DataFrame, nodes: DataFrame, seed: Column, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+    """Personalised PageRank (node, rank) over (src, dst, n): a walk that restarts at nodes in proportion to ``seed``, with probability
+    1 - damping and from where there is no way out. Ranks add up to 1, or are 0 where there is no seed. nodes has node and
+    the columns of seed.
+
+    What walks visit before their first restart is summed up, step by step; restarts repeat it, so that this sum over its
+    total is the rank, dead ends included. All steps still to come add at most damping / (1 - damping) of what the last one
+    did: it ends when that is below ``tolerance`` of the total, however many steps it takes. A step is one join and one
+    aggregation, and every sixth ends in a table in the shared folder."""
     total = nodes.agg(F.sum(seed)).first()[0] or 0.0
-    base = stash(nodes.select("node", (seed / F.lit(total if total else 1.0)).alias("restart")), "restart")
+    if not total:
+        return nodes.select("node", F.lit(0.0).alias("rank"))
+    base = stash(nodes.select("node", (seed / F.lit(total)).alias("visits")).where("visits > 0"), "restart")
     out = graph.groupBy("src").agg(F.sum("n").alias("out"))
-    share = stash(graph.join(out, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("p")), "shares")
-    rank, tables = base.select("node", F.col("restart").alias("rank")), []
-    for k in range(rounds):
-        moved = share.join(rank, share["src"] == rank["node"]).groupBy("dst").agg(F.sum(F.col("p") * F.col("rank")).alias("got"))
-        rank = base.join(moved, base["node"] == moved["dst"], "left").select("node", (F.lit(1 - damping) * F.col("restart") + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        if k % 4 == 3 or k == rounds - 1:
-            rank = stash(rank, "rank")
-            for t in tables:
-                discard(t)
-            tables = [rank]
-    discard(base)
-    discard(share)
+    share = stash(graph.join(out, "src").select("src", "dst", (F.lit(damping) * F.col("n") / F.col("out")).alias("p")), "shares")
+    step, sums, seen, more = base, base, 1.0, 1.0  # visits of the last step, and of all
+    while more * damping / (1 - damping) > tolerance * seen:
+        steps = []
+        for _ in range(6):
+            step = share.join(step, share["src"] == step["node"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("p") * F.col("visits")).alias("visits"))
+            steps.append(step)
+        every = functools.reduce(DataFrame.unionAll, [x.withColumn("last", F.lit(k == 5)) for k, x in enumerate(steps)])
+        six = stash(every.groupBy("node").agg(F.sum("visits").alias("visits"), F.sum(F.when(F.col("last"), F.col("visits"))).alias("last")), "steps")
+        new = stash(sums.unionAll(six.select("node", "visits")).groupBy("node").agg(F.sum("visits").alias("visits")), "visits")
+        got, more = six.agg(F.coalesce(F.sum("visits"), F.lit(0.0)), F.coalesce(F.sum("last"), F.lit(0.0))).first()
+        seen += got
+        if sums is not base:
+            discard(sums)
+            discard(before)
+        step, sums, before = six.where("last is not null").select("node", F.col("last").alias("visits")), new, six
+    rank = stash(nodes.join(sums, "node", "left").select("node", (F.coalesce("visits", F.lit(0.0)) / F.lit(seen)).alias("rank")), "rank")
+    for old in (base, share, sums, before):
+        discard(old)
     return rank
 
 
-def judge_hosts(judged: DataFrame, graph: DataFrame, rounds: int = 12, damping: float = 0.85) -> DataFrame:
+def judge_hosts(judged: DataFrame, graph: DataFrame, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
     """(host, trust, distrust, blocked) for each host. judged: pages with host, and rule verdicts (null: none)."""
     seeds = judged.where("host <> ''").groupBy(F.col("host").alias("node")).agg(F.count_if(F.col("verdict") == "allow").cast("double").alias("good"), F.count_if(F.col("verdict") == "block").cast("double").alias("bad"))
     every = graph.select(F.col("src").alias("node")).union(graph.select(F.col("dst").alias("node"))).union(seeds.select("node")).distinct()
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
     nodes = stash(every.join(seeds, "node", "left").select("node", zero("good"), zero("bad")), "nodes")
     back = graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    trust = page_rank(graph, nodes, F.col("good"), rounds, damping).withColumnRenamed("rank", "trust")
-    distrust = page_rank(back, nodes, F.col("bad"), rounds, damping).withColumnRenamed("rank", "distrust")
-    both = trust.join(distrust, "node").select(F.col("node").alias("host"), "trust", "distrust", (F.col("distrust") > F.col("trust")).alias("blocked"))
+    trust = page_rank(graph, nodes, F.col("good"), damping, tolerance).withColumnRenamed("rank", "trust")
+    distrust = page_rank(back, nodes, F.col("bad"), damping, tolerance).withColumnRenamed("rank", "distrust")
+    both = trust.join(distrust, "node").select(F.col("node").alias("host"), "trust", "distrust", (F.col("distrust") > F.col("trust") * (1 + tolerance)).alias("blocked"))
     return stash(both, "hosts")
 
 
@@ -94,7 +109,8 @@ def judge_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """One row per row of pages: page_id, host, path, rule, verdict, trust, distrust.
 
     A null url and one without ``://`` have an empty host and path; such pages, and hosts that neither trust nor distrust
-    reaches, are allowed. Equal scores allow. Rows may repeat, ids may be null. An empty table gives no rows.
+    reaches, are allowed. Equal scores (to within the ranks' tolerance) allow. Rows may repeat, ids may be null; a url and a page may
+    be of any length, all of its links count; null pages have none; other columns are not read. An empty table gives no rows.
     """
     require(pages, id_col, url_col, html_col)
     host, path = host_and_path(F.col(url_col))

@@ -1,9 +1,10 @@
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
-from quarry.llm.url_filter import RULES, edges, judge_pages
+from quarry.llm.url_filter import RULES, edges, judge_hosts, judge_pages
 
 
 def host_path(url):
@@ -46,19 +47,22 @@ def brute_edges(pages):
     return dict(n)
 
 
-def brute_rank(graph, nodes, seed, rounds=12, damping=0.85):
-    out = defaultdict(float)
-    for (a, _), n in graph.items():
-        out[a] += n
-    total = sum(seed.values()) or 1.0
-    restart = {x: seed.get(x, 0) / total for x in nodes}
-    rank = dict(restart)
-    for _ in range(rounds):
-        got = defaultdict(float)
-        for (a, b), n in graph.items():
-            got[b] += n / out[a] * rank[a]
-        rank = {x: (1 - damping) * restart[x] + damping * got[x] for x in nodes}
-    return rank
+def brute_rank(graph, nodes, seed, damping=0.85):
+    """The stationary distribution of the walk, from its whole transition matrix: follow a link with probability damping; with the rest,
+    and always from a node without links, restart."""
+    names = sorted(nodes)
+    at = {x: i for i, x in enumerate(names)}
+    start = np.array([seed.get(x, 0.0) for x in names])
+    if not start.sum():
+        return dict.fromkeys(names, 0.0)
+    start /= start.sum()
+    links = np.zeros((len(names), len(names)))
+    for (a, b), n in graph.items():
+        links[at[a], at[b]] += n
+    walk = np.array([damping * row / row.sum() + (1 - damping) * start if row.sum() else start for row in links])
+    values, vectors = np.linalg.eig(walk.T)
+    rank = np.real(vectors[:, np.argmin(abs(values - 1))])
+    return dict(zip(names, rank / rank.sum(), strict=True))
 
 
 PAGES = [
@@ -84,13 +88,41 @@ def test_against_brute_force(spark):
     for d, url, _ in PAGES:
         h, p = host_path(url)
         r = rule(h, p)
-        want.add((d, h, p, r and r[1], r[0] if r else "block" if h and distrust[h] > trust[h] else "allow"))
+        want.add((d, h, p, r and r[1], r[0] if r else "block" if h and distrust[h] > trust[h] * 1.000001 else "allow"))
     assert out == want
     assert {v for *_, r, v in want if r is None} == {"allow", "block"}  # the method decides both ways here
     got = {(e.src, e.dst): e.n for e in edges(df.selectExpr("lower(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1)) host", "html")).collect()}
     assert got == graph
 
 
+def test_totals_and_long_chains(spark):
+    """Dead ends lose nothing, and trust reaches hosts at any distance."""
+    chain = [(f"h{i}", f"h{i + 1}", 1.0) for i in range(60)]
+    graph = {(a, b): n for a, b, n in [*chain, ("x", "sink", 1.0), ("y", "sink", 1.0), ("x", "y", 3.0)]}
+    judged = [("h0", "allow"), ("x", "allow"), ("y", "block"), ("sink", "block"), ("alone", None)]
+    df = spark.createDataFrame([(*k, n) for k, n in graph.items()], "src string, dst string, n double")
+    out = {r.host: r for r in judge_hosts(spark.createDataFrame(judged, "host string, verdict string"), df, tolerance=1e-9).collect()}
+    nodes = {x for e in graph for x in e} | {"alone"}
+    trust = brute_rank(graph, nodes, {"h0": 1, "x": 1})
+    distrust = brute_rank({(b, a): n for (a, b), n in graph.items()}, nodes, {"y": 1, "sink": 1})
+    assert out.keys() == nodes
+    for h, r in out.items():
+        assert abs(r.trust - trust[h]) < 1e-8 and abs(r.distrust - distrust[h]) < 1e-8
+    assert out["h60"].trust > 0
+    for side in ("trust", "distrust"):
+        assert abs(sum(r[side] for r in out.values()) - 1) < 1e-9
+    none = judge_hosts(spark.createDataFrame([("x", None)], "host string, verdict string"), df).collect()
+    assert {(r.trust, r.distrust, r.blocked) for r in none} == {(0.0, 0.0, False)}
+
+
+def test_long_urls_pages_and_clashing_names(spark):
+    far = '<p>' + "x" * 200_000 + '<a href="https://far.net/">'
+    rows = [(1, "https://seed.org/" + "a/" * 50_000, far), (2, "https://far.net", None), (3, "https://a." + "b." * 300 + "net/", "")]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, host string, trust string")
+    out = {r.page_id: r for r in judge_pages(df).collect()}
+    assert out[1].rule == "org/" and len(out[1].path) == 100_001 and out[2].trust > 0 and out[3].verdict == "allow"
+
+
 def test_counts_and_empty_table(spark):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     assert judge_pages(df).count() == len(PAGES)
