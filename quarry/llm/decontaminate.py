@@ -8,15 +8,17 @@ block, and direct comparison of the words confirms an occurrence.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import require
+from quarry.llm.common import numbered, require, stash
 
 #: Bytes that separate words, after A-Z are lower-cased: \x00-\x2F, \x3A-\x60, \x7B-\x7F. Fixed value of the contract.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -85,27 +87,30 @@ def _windows(window: int):
     return run
 
 
-def pattern_blocks(benchmark: DataFrame, window: int, patterns_at_once: int, id_col: str = "item_id", text_col: str = "text", null_ids: bool = False) -> Iterator[list[tuple[bytes, list[str | None]]]]:
-    """The benchmark's distinct windows with the ids (as strings) of their items, in blocks of bounded size."""
+def pattern_table(benchmark: DataFrame, window: int, patterns_at_once: int, id_col: str = "item_id", text_col: str = "text", null_ids: bool = False) -> tuple[DataFrame, int]:
+    """A stashed table (pattern, item, block) of the benchmark's distinct windows with the ids (as strings) of their items, and the
+    number of blocks. A pattern is in one block; blocks have about patterns_at_once rows or fewer."""
     require(benchmark, id_col, text_col)
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text"))
     items = items if null_ids else items.where("item is not null")
-    rows = items.mapInPandas(_windows(window), "pattern binary, item string").distinct()
+    rows = stash(items.mapInPandas(_windows(window), "pattern binary, item string").distinct(), "patterns")
     n = rows.count()
     blocks = max(1, -(-2 * n // patterns_at_once)) if n > patterns_at_once else 1
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("pattern"), F.lit(blocks)))
-    for k in range(blocks):
-        found: dict[bytes, list[str | None]] = defaultdict(list)
-        for r in rows.where(F.col("block") == k).toLocalIterator():
-            found[bytes(r["pattern"])].append(r["item"])
-        yield sorted(found.items())
+    return rows.withColumn("block", F.pmod(F.xxhash64("pattern"), F.lit(blocks))), blocks
+
+
+def patterns_of(table: DataFrame, block: int) -> list[tuple[bytes, list[str | None]]]:
+    found: dict[bytes, list[str | None]] = defaultdict(list)
+    for r in table.where(F.col("block") == block).toLocalIterator():
+        found[bytes(r["pattern"])].append(r["item"])
+    return sorted(found.items(), key=lambda x: x[0])
 
 
 _HITS = "struct<n_words long, hits array<long>, items array<string>>"
 
 
-def _scan(spark: SparkSession, patterns: list[tuple[bytes, list[str | None]]], block: int):
-    sent = spark.sparkContext.broadcast(patterns)  # at most patterns_at_once windows
+def _scan(sent: Broadcast, block: int):
+    """The search for one block of patterns as a column function."""
 
     @F.pandas_udf(_HITS)
     def run(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -131,37 +136,56 @@ def _scan(spark: SparkSession, patterns: list[tuple[bytes, list[str | None]]], b
     return run
 
 
-def _merge():
+def _merged(*columns):
+    """From the number of words and, for each block, a text's hits and items."""
+
     @F.pandas_udf("struct<n_words long, n_hit long, n_items long, items_sha256 string, items array<string>>")
-    def run(it: Iterator[tuple[pd.DataFrame, ...]]) -> Iterator[pd.DataFrame]:
-        for blocks in it:
-            blocks = blocks if isinstance(blocks, tuple) else (blocks,)
+    def run(it: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for f in it:
             rows = []
-            for parts in zip(*(zip(b["n_words"], b["hits"], b["items"], strict=True) for b in blocks), strict=True):
-                runs = sorted((h[i], h[i + 1]) for _, h, _ in parts for i in range(0, len(h), 2))
+            for n_words, hits, items in zip(*f, strict=True):
+                runs = sorted((h[i], h[i + 1]) for h in hits for i in range(0, len(h), 2))
                 hit = end = 0
                 for a, b in runs:
                     hit += max(0, b - max(a, end))
                     end = max(end, b)
-                own = {x for p in parts for x in p[2]}
-                items = sorted(own - {None})
-                rows.append((parts[0][0], hit, len(own), hashlib.sha256(",".join(items).encode()).hexdigest(), items))
+                own = {x for i in items for x in i}
+                named = sorted(own - {None})
+                rows.append((n_words, hit, len(own), hashlib.sha256(",".join(named).encode()).hexdigest(), named))
             yield pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items_sha256", "items"])
 
-    return run
+    return run(*columns)
 
 
-def contamination(benchmark: DataFrame, text: Column, window: int = 10, block: int = 3, patterns_at_once: int = 500_000, null_ids: bool = False) -> Column:
-    """A struct column (n_words, n_hit, n_items, items_sha256, items) for a text column.
+def contamination(
+    df: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = 10, block: int = 3, patterns_at_once: int = 500_000, null_ids: bool = False
+) -> DataFrame:
+    """(row, found) for each row of df: the row as a struct, so that no names clash, and a struct n_words, n_hit, n_items, items_sha256,
+    items.
 
     Words are runs of ASCII letters and digits and of all non-ASCII characters, A-Z lower-cased. A word is hit if it
-    lies in an occurrence of any window. Null and empty texts have no words; items without words have no window; items
-    that repeat an id count once. Items with a null id are left out unless ``null_ids``: then their windows hit as any
-    others do, and together they count as one item that is not in the list. An empty benchmark hits nothing.
-
-    The benchmark may be of any size: its windows are counted, and each block of at most about ``patterns_at_once`` is
-    broadcast and searched for in the same pass over the texts; nothing is shuffled.
+    lies in an occurrence of any window. Null and empty texts have no words; whole texts are searched, of any length; items
+    without words have no window; items that repeat an id count once. Items with a null id are left out unless
+    ``null_ids``: then their windows hit as any others do, and together they count as one item that is not in the list.
+    Rows of df may repeat. An empty benchmark hits nothing; an empty df gives no rows.
+
+    The benchmark may be of any size: at most about ``patterns_at_once`` windows are on the driver and in a worker at a time. With
+    so few, the search is a projection and nothing is shuffled. More are searched for block by block, each a pass over the
+    texts that writes what it hit; a block is freed before the next is read.
     """
-    spark = benchmark.sparkSession
-    scans = [_scan(spark, p, block)(text) for p in pattern_blocks(benchmark, window, patterns_at_once, null_ids=null_ids)]
-    return _merge()(*scans)
+    require(df, text_col)
+    spark = df.sparkSession
+    patterns, blocks = pattern_table(benchmark, window, patterns_at_once, null_ids=null_ids)
+    if blocks == 1:
+        sent = spark.sparkContext.broadcast(patterns_of(patterns, 0))
+        hit = df.select(F.struct(*df.columns).alias("row"), _scan(sent, block)(F.col(text_col)).alias("h"))
+        return hit.select("row", _merged("h.n_words", F.array("h.hits"), F.array("h.items")).alias("found"))
+    rows, parts = numbered(df, "scanned", F.lit(0).alias("_")).drop("_"), []
+    for k in range(blocks):
+        sent = spark.sparkContext.broadcast(patterns_of(patterns, k))
+        hit = rows.select("n", _scan(sent, block)(F.col(f"row.{text_col}")).alias("h")).select("n", "h.*")
+        parts.append(stash(hit if k == 0 else hit.where(F.size("hits") > 0), "hits"))  # the first has every row
+        sent.destroy()
+    every = functools.reduce(DataFrame.unionAll, parts)
+    found = every.groupBy("n").agg(F.max("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.collect_list("items").alias("items"))
+    return rows.join(found.select("n", _merged("n_words", "hits", "items").alias("found")), "n").select("row", "found")

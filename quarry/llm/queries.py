@@ -49,9 +49,8 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contamination(table(spark, sf_dir, "benchmark"), F.col("text"), window=10, null_ids=True)
-    out = table(spark, sf_dir, "documents").select("doc_id", found.alias("found"))
-    return out.select("doc_id", "found.n_words", "found.n_hit", "found.n_items", "found.items_sha256", (F.col("found.n_hit") > 0).alias("contaminated"))
+    out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10, null_ids=True)
+    return out.select("row.doc_id", "found.n_words", "found.n_hit", "found.n_items", "found.items_sha256", (F.col("found.n_hit") > 0).alias("contaminated"))
 
 
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,9 @@ import re
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarry.llm import queries
+from quarry.llm import decontaminate, queries
 from quarry.llm.decontaminate import WuManber, contamination, windows_of, words_of
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -58,8 +57,10 @@ DOCS = [
 @pytest.mark.parametrize("at_once", [500_000, 7])
 def test_matches_brute_force(spark, at_once):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    df = spark.createDataFrame([(*d, 1) for d in DOCS], "doc_id long, text string, items int")
-    found = df.select("doc_id", contamination(items, F.col("text"), patterns_at_once=at_once).alias("c")).select("doc_id", "c.n_words", "c.n_hit", "c.n_items", "c.items_sha256")
+    df = spark.createDataFrame([(*d, 1) for d in DOCS], "doc_id long, text string, found int")
+    found = contamination(df, items, patterns_at_once=at_once)
+    assert found.select("row.*").columns == df.columns
+    found = found.select("row.doc_id", "found.n_words", "found.n_hit", "found.n_items", "found.items_sha256")
     assert sorted(map(tuple, found.collect()), key=repr) == brute(DOCS, [i for i in ITEMS if i[0] is not None])
 
 
@@ -74,8 +75,8 @@ def test_items_without_an_id_hit_as_in_the_sql(spark, tmp_path):
     want = sorted(duck.execute(queries.oracle_sql()["op8_decontaminate"]).fetchall())
     assert sorted(map(tuple, queries.op8_decontaminate(spark, str(tmp_path)).collect())) == want
     assert (11, 3, 3, 1, hashlib.sha256(b"").hexdigest(), True) in want
-    found = spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", contamination(spark.read.parquet(f"{tmp_path}/benchmark.parquet"), F.col("text"), patterns_at_once=30, null_ids=True).alias("c"))
-    assert sorted((*r, r[2] > 0) for r in found.select("doc_id", "c.n_words", "c.n_hit", "c.n_items", "c.items_sha256").collect()) == want
+    found = contamination(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/benchmark.parquet"), patterns_at_once=30, null_ids=True)
+    assert sorted((*r, r[2] > 0) for r in found.select("row.doc_id", "found.n_words", "found.n_hit", "found.n_items", "found.items_sha256").collect()) == want
     kept = corpus_pipeline.decontaminate(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
     assert sorted(r["doc_id"] for r in kept.collect()) == [r[0] for r in want if not r[5]]
 
@@ -83,8 +84,45 @@ def test_items_without_an_id_hit_as_in_the_sql(spark, tmp_path):
 def test_empty_tables(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     df = spark.createDataFrame(DOCS, "doc_id long, text string")
-    assert df.limit(0).select(contamination(items, F.col("text"))).count() == 0
-    assert {r[0] for r in df.select(contamination(items.limit(0), F.col("text")).n_hit).collect()} == {0}
+    assert contamination(df.limit(0), items).count() == 0 and contamination(df.limit(0), items, patterns_at_once=7).count() == 0
+    assert {r[0] for r in contamination(df, items.limit(0)).select("found.n_hit").collect()} == {0}
+
+
+def test_one_block_is_held_at_a_time(spark, monkeypatch):
+    """Many blocks: each is of bounded size, and gone before the next is read."""
+    items = spark.createDataFrame([(i, " ".join(f"p{i}x{j}" for j in range(30))) for i in range(60)], "item_id long, text string")
+    df = spark.createDataFrame([(i, f"before p{i}x3 " + " ".join(f"p{i}x{j}" for j in range(5, 20)) + " after") for i in range(60)], "doc_id long, text string")
+    live, most, blocks = set(), [], []
+    real = decontaminate.patterns_of
+
+    def read(table, block):
+        assert not live, "the last block is still held"
+        blocks.append(real(table, block))
+        return blocks[-1]
+
+    class Watched:
+        def __init__(self, value):
+            self.inner = send(value)
+            live.add(id(self))
+            most.append(len(live))
+
+        @property
+        def value(self):
+            return self.inner.value
+
+        def destroy(self):
+            live.discard(id(self))
+            self.inner.destroy()
+
+        def __reduce__(self):
+            return self.inner.__reduce__()
+
+    send = spark.sparkContext.broadcast
+    monkeypatch.setattr(decontaminate, "patterns_of", read)
+    monkeypatch.setattr(spark.sparkContext, "broadcast", Watched)
+    found = contamination(df, items, patterns_at_once=100).select("row.doc_id", "found.n_hit", "found.n_items").collect()
+    assert sorted(map(tuple, found)) == [(i, 15, 1) for i in range(60)]
+    assert len(blocks) == 26 and max(most) == 1 and max(map(len, blocks)) < 100 and not live
 
 
 def test_windows():
