@@ -57,7 +57,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     words and stay; whole texts are searched; each row by itself, so that repeats and ties play no part; other columns may
     have any names and nulls; an empty table, or an empty benchmark, changes nothing."""
     small_batches(spark)
-    found = docs.select(F.struct(*docs.columns).alias("row"), contamination(table(spark, sf_dir, "benchmark"), F.col("text"), null_ids=True).alias("found"))
+    found = contamination(docs, table(spark, sf_dir, "benchmark"), null_ids=True)
     return found.where(F.col("found.n_hit") == 0).select("row.*")
 
 
