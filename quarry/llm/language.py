@@ -1,8 +1,8 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Each byte looks up its input contribution, two recurrences run over fixed windows of a text in both directions, and a
-linear layer on both states labels every position with language probabilities. A document's probabilities are the mean
-over its positions. The network is trained in numpy by backpropagation through time, on the driver, from a bounded
+Each byte looks up its input contribution, two recurrences run over a text in both directions, and a linear layer on both states
+labels every position with language probabilities. A document's probabilities are the mean over its positions. Texts
+longer than a window are read in windows that overlap, so that every position has context on both sides. The network is trained in numpy by backpropagation through time, on the driver, from a bounded
 sample of labelled snippets; its few thousand weights travel to the executors.
 """
 
@@ -126,30 +126,39 @@ class BiGru:
         return loss
 
 
-def windows(texts: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Whole texts cut into windows (time, windows), padded at the end, and the text of each window."""
-    n = np.array([-(-len(t) // width) for t in texts])
+def windows(texts: list[np.ndarray], width: int, margin: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whole texts cut into windows (time, windows), padded at the end; the text of each window, and which of its positions count.
+
+    Neighbouring windows share 2 * margin bytes; of these the first half counts in the earlier one and the second in the later
+    one, so that each byte counts once, with at least ``margin`` bytes of the text on either side."""
+    step = width - 2 * margin
+    n = np.array([0 if not len(t) else 1 + max(0, -(-(len(t) - width) // step)) for t in texts], np.int64)
     out = np.full((int(n.sum()), width), PAD, np.int16)
-    flat, at = out.reshape(-1), 0
+    counts = np.ones(out.shape, bool)
+    at = 0
     for t, k in zip(texts, n.tolist(), strict=True):
-        flat[at : at + len(t)] = t
-        at += k * width
-    return np.ascontiguousarray(out.T), np.repeat(np.arange(len(texts)), n)
+        for w in range(k):
+            own = t[w * step : w * step + width]
+            out[at, : len(own)] = own
+            at += 1
+        counts[at - k + 1 : at, :margin] = False
+        counts[at - k : max(at - k, at - 1), width - margin :] = False
+    return np.ascontiguousarray(out.T), np.repeat(np.arange(len(texts)), n), np.ascontiguousarray((counts & (out != PAD)).T)
 
 
-def pooled(model: BiGru, texts: list[np.ndarray], width: int, at_once: int = 768) -> np.ndarray:
+def pooled(model: BiGru, texts: list[np.ndarray], width: int, margin: int = 0, at_once: int = 768) -> np.ndarray:
     """Mean position probabilities of each text (zeros for an empty one). Holds at_once windows' states at a time."""
     total = np.zeros((len(texts), len(model.labels)))
     group, held = [], 0
 
     def run(docs: list[int]) -> None:
-        x, of = windows([texts[d] for d in docs], width)
+        x, of, counts = windows([texts[d] for d in docs], width, margin)
         of = np.array(docs)[of]
         for a in range(0, x.shape[1], at_once):
-            own = x[:, a : a + at_once]
-            p = model.probabilities(own)
-            p *= (own != PAD)[:, :, None]
-            np.add.at(total, of[a : a + at_once], p.sum(0))
+            own = slice(a, a + at_once)
+            p = model.probabilities(x[:, own])
+            p *= counts[:, own, None]
+            np.add.at(total, of[own], p.sum(0))
 
     for d, t in enumerate(texts):
         group.append(d)
@@ -165,12 +174,13 @@ def pooled(model: BiGru, texts: list[np.ndarray], width: int, at_once: int = 768
 def train_language_model(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_rows: int = 2400, snippet: int = 480, width: int = 48, hold_out: tuple[int, int] = (3, 1), hidden: int = 10, steps: int = 260
 ) -> BiGru | None:
-    """Trains on at most about sample_rows labelled rows (the same number for each label, chosen by a hash of the id), a
-    snippet of each from a hashed place. Rows of the held-out fold are never read. None if no row is labelled."""
+    """Trains on at most about sample_rows labelled rows (the same number for each label, chosen by a hash of id and text), a
+    snippet of so many characters of each from a hashed place. Rows of the held-out fold are never read. None if no row is
+    labelled, or no sampled snippet has a letter."""
     require(df, id_col, text_col, label_col)
     fold = crc_mod(F.col(id_col), hold_out[0])
     rows = df.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & (F.coalesce(fold, F.lit(0)) != hold_out[1]))
-    h = F.xxhash64(F.col(id_col).cast("string"))
+    h = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
     rows = rows.select(
         F.col(label_col).cast("string").alias("label"), h.alias("h"),
         F.substring(F.col(text_col), (1 + F.pmod(h, F.greatest(F.length(text_col) - snippet, F.lit(1)))).cast("int"), F.lit(snippet)).alias("part"),
@@ -188,15 +198,16 @@ def train_language_model(
     found = found[[has_letter(t) for t in found["part"]]]
     if not len(found):
         return None
-    x, of = windows([bytes_of(t) for t in found["part"]], width)
+    x, of, _ = windows([bytes_of(t) for t in found["part"]], width)
     y = np.array([labels.index(v) for v in found["label"]])[of]
     model = BiGru(labels, hidden)
     model.train(x, y, steps)
     return model
 
 
-def predict(model: BiGru | None, text: Column, width: int = 96) -> Column:
-    """A struct column (lang_pred, score) from whole texts. Null texts and texts without a letter are ``und`` with score 0,
+def predict(model: BiGru | None, text: Column, width: int = 192, margin: int = 16) -> Column:
+    """A struct column (lang_pred, score) from whole texts of any length: a task holds a batch of texts and the states of some
+    windows. Null texts and texts without a letter are ``und`` with score 0,
     and so is every text when there was nothing to learn from. Ties go to the first label in order."""
 
     @F.pandas_udf("struct<lang_pred string, score double>")
@@ -205,7 +216,7 @@ def predict(model: BiGru | None, text: Column, width: int = 96) -> Column:
             lang, score = [UNKNOWN] * len(s), np.zeros(len(s))
             own = [i for i, t in enumerate(s) if has_letter(t)] if model else []
             if own:
-                p = pooled(model, [bytes_of(s.iloc[i]) for i in own], width)
+                p = pooled(model, [bytes_of(s.iloc[i]) for i in own], width, margin)
                 best = p.argmax(1)
                 score[own] = np.clip(p[np.arange(len(own)), best], 0, 1)
                 for i, k in zip(own, best.tolist(), strict=True):
@@ -217,8 +228,9 @@ def predict(model: BiGru | None, text: Column, width: int = 96) -> Column:
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", hold_out: tuple[int, int] = (3, 1)) -> DataFrame:
-    """One row per row of df: doc_id, held_out, lang_pred, score. Rows may repeat; null ids are in no fold (held_out is null's
-    fold: false); an empty table gives no rows. Label, source and id are no inputs of a prediction."""
+    """One row per row of df: doc_id, held_out, lang_pred, score. Rows may repeat, ids may be repeated by other texts; null ids are in no
+    fold (held_out is false); texts may be null, empty or of any length; of equally probable languages the first in order is
+    said; other columns are not read; an empty table gives no rows. Label, source and id are no inputs of a prediction."""
     model = train_language_model(df, id_col, text_col, label_col, hold_out=hold_out)
     out = df.select(F.col(id_col).alias("doc_id"), F.coalesce(crc_mod(F.col(id_col), hold_out[0]) == hold_out[1], F.lit(False)).alias("held_out"), predict(model, F.col(text_col)).alias("p"))
     return out.select("doc_id", "held_out", "p.lang_pred", "p.score")

@@ -35,17 +35,39 @@ def test_gradients_by_differences():
             assert abs((losses[0] - losses[1]) / 2e-3 - grad[k][at]) < 2e-3, (k, at)
 
 
-def test_pooling_reads_every_byte_once():
+@pytest.mark.parametrize("margin", [0, 16])
+def test_pooling_reads_every_byte_once(margin):
     model = BiGru(["a", "b"], hidden=4)
-    texts = [bytes_of(t) for t in ("x" * 1000, "ab", "", "é" * 77)]
-    got = pooled(model, texts, 96, at_once=3)
-    assert np.allclose(got.sum(1), [1, 1, 0, 1], atol=1e-5)
-    x, of = windows(texts, 96)
-    assert (x != language.PAD).sum() == sum(map(len, texts)) and of.tolist() == [0] * 11 + [1, 3, 3]
-    alone = pooled(model, [texts[3]], 96)
+    texts = [bytes_of(t) for t in ("x" * 1000, "ab", "", "é" * 77, "y" * 96, "z" * 97)]
+    got = pooled(model, texts, 96, margin, at_once=3)
+    assert np.allclose(got.sum(1), [1, 1, 0, 1, 1, 1], atol=1e-5)
+    alone = pooled(model, [texts[3]], 96, margin)
     assert np.allclose(alone[0], got[3], atol=1e-5)
 
 
+def test_windows_overlap_and_count_each_byte_once():
+    rng = np.random.default_rng(3)
+    for width, margin in ((96, 0), (96, 16), (10, 3), (7, 0)):
+        texts = [rng.integers(0, 256, n).astype(np.uint8) for n in (0, 1, width - 1, width, width + 1, 5 * width, 777, width + margin)]
+        x, of, counts = windows(texts, width, margin)
+        for d, t in enumerate(texts):
+            own = [x[counts[:, k], k] for k in np.flatnonzero(of == d)]
+            assert np.concatenate([*own, np.empty(0, np.int16)]).tolist() == t.tolist()
+            for k, w in enumerate(np.flatnonzero(of == d)):
+                first, last = np.flatnonzero(counts[:, w])[[0, -1]]
+                assert k == 0 or first >= margin  # context before
+                assert k == (of == d).sum() - 1 or last < width - margin  # and after
+
+
+def test_windows_change_little():
+    """A position with context says about what it says in the whole text."""
+    rng = np.random.default_rng(4)
+    model = BiGru(["a", "b", "c"], hidden=6)
+    texts = [rng.integers(97, 123, n).astype(np.uint8) for n in (300, 5000)]
+    whole = [pooled(model, [t], len(t))[0] for t in texts]
+    assert np.abs(pooled(model, texts, 192, 16) - whole).max() < 0.002
+
+
 @pytest.fixture(scope="module")
 def result(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -68,6 +90,25 @@ def test_label_source_and_held_out_rows_are_not_used(spark):
     assert sorted(map(tuple, identify(docs).collect())) == sorted(map(tuple, identify(other).collect()))
 
 
+def test_rows_that_share_an_id_all_count(spark):
+    """Thousands of labelled rows under one id are as good a sample as any."""
+    word = {"en": "the house and the garden ", "de": "das Haus und der Garten "}
+    learnt = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 3 != 1)
+    rows = [(learnt, f"{word[n] * 3}{i}", n) for i in range(2000) for n in word]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train_language_model(df, sample_rows=200, steps=120)
+    out = df.where("text like '%7'").select("lang", language.predict(model, F.col("text")).alias("p"))
+    assert out.where("lang = p.lang_pred").count() == out.count() > 300
+
+
+def test_very_long_text(spark, result):
+    docs, _ = result
+    model = language.train_language_model(docs)
+    german = docs.where("lang = 'de' and length(text) > 500").first().text
+    df = spark.createDataFrame([(1, (german + " ") * (3_000_000 // len(german)))], "doc_id long, text string")
+    assert df.select(language.predict(model, F.col("text")).alias("p")).first().p.lang_pred == "de"
+
+
 def test_edge_cases(spark):
     learnt = [i for i in range(100, 140) if zlib.crc32(str(i).encode()) % 3 != 1]
     rows = [(i, t, n) for i, (t, n) in zip(learnt, [("the house and the garden", "en"), ("das Haus und der Garten", "de")] * 3, strict=False)]
