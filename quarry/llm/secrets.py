@@ -221,8 +221,10 @@ class Scanner:
 
     def __init__(self, field: Field, remember: int = 250_000, block: int = 1 << 17):
         self.field, self.remember, self.block = field, remember, block
-        t = field.w["between"]
-        self.certain = 2 * float(t.max() - t.min()) + 1e-6
+        # what two transitions can repay at most; a text's first token has its own instead of the one before it
+        t, first = field.w["between"], field.w["first"]
+        inner = float(t.max() - t.min())
+        self.certain = inner + max(inner, float(first.max() - first.min())) + 1e-6
         self.known: dict[str, int] = {}
         self.outlines: dict[tuple, np.ndarray] = {}
         self.scores, self.contexts = np.zeros((1024, 3)), np.zeros(1024, np.int64)
@@ -354,13 +356,13 @@ def examples(rng: np.random.Generator, n: int) -> list[tuple[list[str], list[int
     return out
 
 
-def train_field(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 600, around: int = 7, written: int = 4000, hold_out: tuple[int, int] = (3, 1), seed: int = 5) -> Field:
-    """Trains on the sample_rows texts outside the held-out fold, chosen by hashes of their ids: stretches
-    around what the fixed patterns find and as many others, of at most 4000 characters each; and on written examples."""
+def train_field(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 600, around: int = 7, written: int = 4000, stretch: int = 4000, hold_out: tuple[int, int] = (3, 1), seed: int = 5) -> Field:
+    """Trains on the sample_rows texts outside the held-out fold, chosen by hashes of id and text: of each a ``stretch`` of so many
+    characters from a hashed place, around what the fixed patterns find and at two other places; and on written examples."""
     require(df, id_col, text_col)
-    h = F.xxhash64(F.col(id_col).cast("string"))
-    at = (1 + F.pmod(h, F.greatest(F.length(text_col) - 4000, F.lit(1)))).cast("int")
-    rows = df.where(F.col(text_col).isNotNull() & (F.coalesce(crc_mod(F.col(id_col), hold_out[0]), F.lit(0)) != hold_out[1])).select(h.alias("h"), F.substring(F.col(text_col), at, F.lit(4000)).alias("part"))
+    h = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+    at = (1 + F.pmod(h, F.greatest(F.length(text_col) - stretch, F.lit(1)))).cast("int")
+    rows = df.where(F.col(text_col).isNotNull() & (F.coalesce(crc_mod(F.col(id_col), hold_out[0]), F.lit(0)) != hold_out[1])).select(h.alias("h"), F.substring(F.col(text_col), at, F.lit(stretch)).alias("part"))
     # about twice as many as needed by the hash alone, so that little is sorted
     share = min(1.0, 2 * (sample_rows + 20) / max(1, rows.count()))
     near = rows.where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < share * (1 << 30))
@@ -374,7 +376,7 @@ def train_field(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         hit = [any(m.start() < b and a < m.end() and (k != 0 or m.end() >= b) for a, b, k in base) for m in tokens]
         tags = [O if not x else B for x in hit]
         centres = [j for j, x in enumerate(hit) if x] + rng.integers(0, len(tokens), 2).tolist()
-        for c in centres[:40]:
+        for c in centres:
             own = range(max(0, c - around), min(len(tokens), c + around + 1))
             sequences.append(([tokens[j].group() for j in own], [tags[j] for j in own], text))
     sequences += [(t, y, " ".join(t)) for t, y in examples(rng, written)]
@@ -420,12 +422,17 @@ def find(field: Field, text: Column) -> Column:
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of df: doc_id and spans. Rows may repeat, ids may be null, other columns are not read."""
+    """One row per row of df: doc_id and spans (start, end, kind, in code points), by start and then kind.
+
+    Null and empty texts have no spans. Rows may repeat, and ids be repeated or null; spans of two kinds at one place both stay,
+    in the order of KINDS; whole texts are read, of any length: a task holds a batch of texts and the scores of a bounded
+    number of tokens. Other columns are not read, whatever their names. An empty table gives no rows."""
     return df.select(F.col(id_col).alias("doc_id"), find(train_field(df, id_col, text_col), F.col(text_col)).alias("spans"))
 
 
 def digests(df: DataFrame) -> DataFrame:
-    """The counts and digests of scan()'s result."""
+    """The counts and digests of scan()'s result, one row per row: n_assign, n_access, n_hex, base_sha256, spans. Without spans the counts
+    are 0 and the texts empty; nulls, ties, repeats and empty tables are as in scan()."""
     names = F.array(*map(F.lit, KINDS))
     said = lambda keep: F.array_join(F.transform(F.filter("spans", keep), lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
     of_kind = lambda k: lambda x: x["kind"] == k

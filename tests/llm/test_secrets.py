@@ -1,5 +1,6 @@
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -103,6 +104,69 @@ def test_finds_planted_and_leaves_clean(field):
     assert hit > 0.95 * n and wrong < 0.03 * n
 
 
+ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def planted(rng):
+    """A secret of a shape, and in a setting, that the written examples have or have not: (text, start, end of the secret in it)."""
+    draw = lambda s, n: "".join(rng.choice(list(s), n))
+    secret = [
+        lambda: draw(ALNUM + "+/", 40), lambda: "github_pat_" + draw(ALNUM, 22) + "_" + draw(ALNUM, 40), lambda: "xoxp-" + draw("0123456789", 12) + "-" + draw("0123456789", 12) + "-" + draw("0123456789abcdef", 32),
+        lambda: "eyJ" + draw(ALNUM, 33) + "." + draw(ALNUM, 80) + "." + draw(ALNUM + "-_", 43), lambda: "sk_live_" + draw(ALNUM, 24), lambda: "AIza" + draw(ALNUM + "-_", 35), lambda: draw("0123456789ABCDEF", 40), lambda: "glpat-" + draw(ALNUM + "-_", 20),
+        lambda: "SG." + draw(ALNUM, 22) + "." + draw(ALNUM, 43), lambda: draw("0123456789abcdef", 8) + "-" + "-".join(draw("0123456789abcdef", 4) for _ in range(3)) + "-" + draw("0123456789abcdef", 12),
+    ][rng.integers(10)]()
+    before, after = [("api_key = ", ""), ('"token": "', '",'), ("", ""), ("export SERVICE_KEY=", ""), ("Authorization: Bearer ", ""), ("use ", " here"), ("key: '", "'"), ("--auth-token ", "")][rng.integers(8)]
+    return before + secret + after, len(before), len(before) + len(secret)
+
+
+def test_recall_and_precision_on_held_out_texts(spark):
+    """Secrets planted into texts of the corpus that training has not seen. What is found elsewhere, and is no base span, is wrong."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    scanner, rng = Scanner(train_field(df)), np.random.default_rng(21)
+    texts = [r.text for r in df.orderBy("doc_id").collect() if r.text and zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    assert len(texts) > 250
+    n = hit = wrong = found_all = clean = touched = 0
+    for text in texts:
+        tokens = text.split(" ")
+        said, a, b = planted(rng)
+        at = int(rng.integers(len(tokens) + 1))
+        head = " ".join(tokens[:at]) + " " * (at > 0)
+        own = head + said + (" " + " ".join(tokens[at:]) if at < len(tokens) else "")
+        a, b = a + len(head), b + len(head)
+        spans, base = scanner.spans([own])[0], base_spans(own)
+        n += 1
+        hit += any(x < b and a < y for x, y in spans) or any(x <= a and b <= y for x, y, _ in base)
+        found_all += len(spans)
+        wrong += sum(not (x < b and a < y) and not any(x < d and c < y for c, d, _ in base) for x, y in spans)
+        clean += 1
+        touched += bool(uncovered(scanner.spans([text])[0], base_spans(text)))
+    print(f"recall {hit / n:.3f} of {n}, precision {1 - wrong / found_all:.3f} of {found_all}, texts without a planted secret with an added span {touched / clean:.3f}")
+    assert hit >= 0.9 * n and wrong <= 0.1 * found_all
+
+
+def test_pruning_is_exact_whatever_a_text_begins_with(field):
+    other = Field()
+    other.w = {k: v.copy() for k, v in field.w.items()}
+    other.w["first"][B] += 30
+    texts = ["plain words of a line", "the", "key = " + "ab12" * 9, "and so on " * 20]
+    scanner = Scanner(other)
+    for text in texts:
+        got = [O] * len(text.split())
+        runs = list(scanner.runs(text))
+        for (first, _), tags in zip(runs, other.decode([e for _, e in runs]), strict=True):
+            got[first : first + len(tags)] = tags.tolist()
+        assert got == viterbi(other, text) and got[0] == B
+
+
+def test_one_id_for_all_rows(spark):
+    rows = [(1, f"line {i} password = {'x1Y2' * 4}{i:04d} and more words") for i in range(300)] + [(None, None), (1, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = digests(scan(df)).collect()
+    assert len(out) == len(rows) and sum(r.n_assign for r in out) == 300
+    empty = [r for r in out if r.n_assign == 0]
+    assert len(empty) == 2 and all(r.spans == "" and r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in empty)
+
+
 def test_longer_spans_of_the_field_stay(spark, field):
     base = [(2, 6, 2), (3, 5, 0), (6, 9, 2), (20, 30, 1)]
     every = [(a, b) for a in range(32) for b in range(a + 1, 33)]
