@@ -56,6 +56,13 @@ def keyword_metrics(results: DataFrame, totals: DataFrame, k: int = 5) -> DataFr
     return per.join(totals, "query_id", "left").select("query_id", "hit", "precision", (F.col("n") / F.greatest(F.coalesce("relevant", F.lit(0)), F.lit(1))).alias("recall"), "mrr")
 
 
+def mean(column: str) -> Column:
+    """The mean of a metric between 0 and 1, or of a flag, at 4 places: of millionths, in whole numbers, so that no order of summing
+    and no way of rounding changes it."""
+    millionths = F.sum(F.round(F.col(column).cast("double") * 1_000_000).cast("long"))
+    return (F.floor((2 * millionths + 100 * F.count(column)) / (200 * F.count(column))) / 10_000).alias(column)
+
+
 def average_precision(flags: DataFrame) -> DataFrame:
     """(query_id, ap) from (query_id, rank, fits); 0 without a relevant result."""
     running = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -119,8 +119,7 @@ def tier1_by_pipeline(spark: SparkSession, d: str) -> DataFrame:
     for name, results in runs.items():
         one = _tier1(spark, d, results).withColumn("model", F.lit(name))
         out = one if out is None else out.unionByName(one)
-    mean = lambda c: F.round(F.avg(c), 4).alias(c)
-    return out.withColumn("hit", F.col("hit").cast("double")).groupBy("model").agg(*map(mean, ("hit", "precision", "recall", "mrr")))
+    return out.groupBy("model").agg(*map(M.mean, ("hit", "precision", "recall", "mrr")))
 
 
 def keyword_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -160,8 +159,7 @@ def keyword_by_method(spark: SparkSession, d: str) -> DataFrame:
         found = results.select("query_id", "id", "rank").join(docs(spark, d).select("id", F.coalesce("text", F.lit("")).alias("document")), "id").join(queries.select("query_id", "keyword"), "query_id")
         one = M.keyword_metrics(found, totals, 5).withColumn("method", F.lit(name))
         out = one if out is None else out.unionByName(one)
-    mean = lambda c: F.round(F.avg(c), 4).alias(c)
-    return out.withColumn("hit", F.col("hit").cast("double")).groupBy("method").agg(*map(mean, ("hit", "precision", "recall", "mrr")))
+    return out.groupBy("method").agg(*map(M.mean, ("hit", "precision", "recall", "mrr")))
 
 
 def collection_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -194,6 +192,9 @@ _LONG = "list_distinct(list_filter({}, lambda w: length(w) > 3))"
 _a, _b = _LONG.format(WORDS.format("d.text")), _LONG.format(WORDS.format("b.text"))
 _JACCARD = f"len(list_intersect({_a}, {_b})) / greatest(len(list_distinct(list_concat({_a}, {_b}))), 1)"
 _FITS = f"(lower(b.text) <> '' AND (d.doc_id::VARCHAR = lower(b.text) OR contains(lower(coalesce(d.text, '')), lower(b.text)) OR contains(lower(b.text), lower(coalesce(d.text, ''))) OR {_JACCARD} > 0.4))"
+#: As relevance.mean(), of a number between 0 and 1.
+_mean = lambda c: f"((2 * sum(round(({c})::DOUBLE * 1000000)::BIGINT) + 100 * count({c})) // (200 * count({c}))) / 10000"
+_means = lambda *names: ", ".join(f"{_mean(n)} AS {n}" for n in names)
 _OUT = " SELECT query_id, id, round(score, 4) AS score, rank FROM {}"
 _RERANK = """,
 rr AS (
@@ -215,7 +216,7 @@ _SCOPE = "coalesce(try_cast(regexp_extract(source, '[0-9]+') AS INT), 0) % 12 =
 
 def _pipeline(name: str, label: str) -> str:
     body = _TIER1.format(fits=_FITS, name=name).replace("fit AS", f"fit_{name} AS").replace("FROM fit GROUP", f"FROM fit_{name} GROUP")
-    return body, f"SELECT '{label}' AS model, round(avg(hit::INT), 4) AS hit, round(avg(precision), 4) AS precision, round(avg(recall), 4) AS recall, round(avg(mrr), 4) AS mrr FROM m{name}"
+    return body, f"SELECT '{label}' AS model, {_means('hit', 'precision', 'recall', 'mrr')} FROM m{name}"
 
 
 _PARTS = [_pipeline("dn", "Vector"), _pipeline("bm", "BM25"), _pipeline("hy", "Hybrid")]
@@ -255,9 +256,9 @@ t AS (SELECT query_id, count(*) AS relevant FROM k JOIN documents ON contains(lo
 a AS (SELECT 'Vector' AS method, query_id, id, rank FROM dn WHERE rank <= 5 UNION ALL SELECT 'BM25', query_id, id, rank FROM bm WHERE rank <= 5 UNION ALL SELECT 'Hybrid', query_id, id, rank FROM hy),
 f AS (SELECT method, a.query_id, rank, contains(lower(coalesce(text, '')), keyword) AS has FROM a JOIN k USING (query_id) JOIN documents ON doc_id = id),
 m AS (
-  SELECT method, query_id, bool_or(has)::INT AS hit, count(*) FILTER (has) / least(5, count(*)) AS precision, count(*) FILTER (has) / greatest(coalesce(any_value(relevant), 0), 1) AS recall, coalesce(1 / min(rank) FILTER (has), 0.0) AS mrr
+  SELECT method, query_id, bool_or(has) AS hit, count(*) FILTER (has) / least(5, count(*)) AS precision, count(*) FILTER (has) / greatest(coalesce(any_value(relevant), 0), 1) AS recall, coalesce(1 / min(rank) FILTER (has), 0.0) AS mrr
   FROM f LEFT JOIN t USING (query_id) GROUP BY ALL)
-SELECT method, round(avg(hit), 4) AS hit, round(avg(precision), 4) AS precision, round(avg(recall), 4) AS recall, round(avg(mrr), 4) AS mrr FROM m GROUP BY method""",
+SELECT method, {_means('hit', 'precision', 'recall', 'mrr')} FROM m GROUP BY method""",
     "collection_stats": "SELECT count(*) AS n, min(len(embedding))::INT AS least_dimension, max(len(embedding))::INT AS most_dimension, count(DISTINCT label) AS labels FROM embeddings",
     "vectors_by_id": "SELECT vec_id AS id, label, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels)",
     "filtered_by_two": "SELECT doc_id, n_chars FROM documents WHERE lang = 'de' AND source = 'src3'",
