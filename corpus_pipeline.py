@@ -36,7 +36,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = numbered(docs, "exact-rows", F.length(F.coalesce("text", F.lit(""))).alias("chars"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*docs.columns).alias("tie")).alias("order"))
     found = deduplicate(rows.select("n", F.col("row.text").alias("text")), "n").where("group_size > 1").select(F.col("doc_id").alias("n"), "keep_id", "keep_chars")
     copies = stash(found.join(rows.select("n", "chars", "order"), "n"), "exact-copies")
-    best = copies.where("chars = keep_chars").groupBy("keep_id").agg(F.min(F.struct("order", "n"))["n"].alias("stays"))
+    best = stash(copies.where("chars = keep_chars").groupBy("keep_id").agg(F.min(F.struct("order", "n"))["n"].alias("stays")), "exact-best")  # a table, so that a large group's rows can be split in the join
     gone = stash(copies.join(best, "keep_id").where("n <> stays").select("n"), "exact-gone")
     return rows.join(gone, "n", "left_anti").select("row.*")
 
