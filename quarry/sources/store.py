@@ -1,80 +1,160 @@
-"""A table kept as snapshots: every change reads the last snapshot and writes the next one, so readers never see half a change."""
+"""A table kept as snapshots of hash buckets: a change rewrites the buckets that its keys fall into, and readers see all of it or none."""
 
 from __future__ import annotations
 
+import json
+import tempfile
 import time
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: under spark.checkpoint.dir, else under the warehouse; on a single machine without
+    a checkpoint folder, a temporary one."""
+    conf = spark.sparkContext.getConf()
+    at = conf.get("spark.checkpoint.dir")
+    if not at:
+        at = tempfile.gettempdir() if conf.get("spark.master", "").startswith("local") and "cluster" not in conf.get("spark.master") else spark.conf.get("spark.sql.warehouse.dir")
+    return f"{at.rstrip('/')}/quarry-{uuid.uuid4().hex}"
+
+
 class Store:
-    """Snapshots ``v=<n>`` under a folder; ``key`` names a row. Restoring an earlier one is reading it."""
+    """Snapshots under a folder; ``key`` names a row. ``snapshots/<n>`` says which folder holds each bucket, ``data/<n>/_bucket=<b>`` has the
+    rows that snapshot n wrote. Buckets that a change does not touch are shared by the snapshots."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str, key: str, buckets: int = 64):
+        self.spark, self.folder, self.schema, self.key, self.buckets = spark, folder.rstrip("/"), schema, key, buckets
+        self.columns = spark.createDataFrame([], schema).columns
+
+    def _path(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.folder, *parts)))
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str, key: str):
-        self.spark, self.folder, self.schema, self.key = spark, folder.rstrip("/"), schema, key
+    def _fs(self):
+        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _versions(self) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-        done = [n for n in names if n.startswith("v=") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}/_SUCCESS"))]
-        return sorted(int(n[2:]) for n in done)
+    def _names(self, part: str) -> list[int]:
+        path = self._path(part)
+        return sorted(int(s.getPath().getName()) for s in self._fs().listStatus(path) if s.getPath().getName().isdigit()) if self._fs().exists(path) else []
+
+    def versions(self) -> list[int]:
+        return self._names("snapshots")
+
+    def _snapshot(self, version: int | None = None) -> dict:
+        """{"buckets": how many, "at": {bucket: folder}}; empty before the first change."""
+        there = self.versions()
+        if not there:
+            return {"buckets": self.buckets, "at": {}}
+        text = self.spark.read.text(f"{self.folder}/snapshots/{there[-1] if version is None else version}", wholetext=True).first()[0]
+        return json.loads(text)
+
+    def _publish(self, n: int, snapshot: dict) -> int:
+        """One file, not to be overwritten: of two writers of the same snapshot one fails."""
+        out = self._fs().create(self._path("snapshots", str(n)), False)
+        out.write(bytearray(json.dumps(snapshot).encode()))
+        out.close()
+        return n
+
+    def _rows(self, snapshot: dict, only: set[int] | None = None) -> DataFrame:
+        paths = [f"{self.folder}/data/{n}/_bucket={b}" for b, n in snapshot["at"].items() if only is None or int(b) in only]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def read(self, version: int | None = None) -> DataFrame:
         """A snapshot (the last by default), with columns that it lacks as nulls."""
-        there = self._versions()
-        if not there:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v={there[-1] if version is None else version}")
+        return self._rows(self._snapshot(version))
+
+    def _bucket(self, n: int) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(n)).cast("int")
+
+    def _write(self, rows: DataFrame, snapshot: dict, touched: set[int]) -> int:
+        """The next snapshot, whose touched buckets hold these rows."""
+        n = max([0, *self.versions(), *self._names("data")]) + 1
+        rows.select(*self.columns, self._bucket(snapshot["buckets"]).alias("_bucket")).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{self.folder}/data/{n}")
+        made = {s.getPath().getName().removeprefix("_bucket=") for s in self._fs().listStatus(self._path("data", str(n)))}
+        kept = {b: at for b, at in snapshot["at"].items() if int(b) not in touched}
+        return self._publish(n, {"buckets": snapshot["buckets"], "at": kept | {b: n for b in made if b.isdigit()}})
 
     def write(self, rows: DataFrame) -> int:
-        n = (self._versions() or [0])[-1] + 1
-        rows.select(*self.spark.createDataFrame([], self.schema).columns).write.mode("overwrite").parquet(f"{self.folder}/v={n}")
-        return n
+        """Replaces all rows."""
+        return self._write(rows, {"buckets": self.buckets, "at": {}}, set())
+
+    def change(self, upserts: DataFrame | None = None, gone: DataFrame | None = None) -> int:
+        """Rows replace those of the same key; those whose key is in ``gone`` are dropped. Only the buckets of these keys are read and
+        written: they are collected, and there are no more than ``buckets`` of them."""
+        snapshot = self._snapshot()
+        keys = [df.select(self.key) for df in (upserts, gone) if df is not None]
+        keys = keys[0] if len(keys) == 1 else keys[0].unionAll(keys[1])
+        touched = {r[0] for r in keys.select(self._bucket(snapshot["buckets"])).distinct().collect()}
+        rows = self._rows(snapshot, touched).join(keys, self.key, "left_anti")
+        return self._write(rows if upserts is None else rows.unionByName(upserts.select(*self.columns)), snapshot, touched)
 
     def upsert(self, rows: DataFrame) -> int:
-        """Rows replace those of the same key."""
-        return self.write(self.read().join(rows.select(self.key), self.key, "left_anti").unionByName(rows))
+        return self.change(rows)
 
     def delete(self, gone: DataFrame) -> int:
         """Drops the rows that match ``gone`` on its columns."""
-        return self.write(self.read().join(gone, gone.columns, "left_anti"))
+        return self.change(gone=self.read().join(gone, gone.columns, "left_semi").select(self.key))
 
     def rebuild(self, change: Callable[[DataFrame], DataFrame]) -> int:
         """Another index over the same rows, such as new embeddings."""
         return self.write(change(self.read()))
 
+    def restore(self, version: int) -> int:
+        """An earlier snapshot becomes the last one; no data are copied."""
+        return self._publish(max(self.versions() + self._names("data")) + 1, self._snapshot(version))
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Deletes all but the last snapshots, and the data that no snapshot left refers to."""
+        old, left = self.versions()[:-keep], self.versions()[-keep:]
+        for n in old:
+            self._fs().delete(self._path("snapshots", str(n)), False)
+        used = {(n, b) for v in left for b, n in self._snapshot(v)["at"].items()}
+        for n in self._names("data"):
+            if n > left[-1]:
+                continue  # a write that goes on
+            for s in self._fs().listStatus(self._path("data", str(n))):
+                name = s.getPath().getName()
+                if name.startswith("_bucket=") and (n, name.removeprefix("_bucket=")) not in used:
+                    self._fs().delete(s.getPath(), True)
+
+
+RECORDS = "chunk_id string, document_name string, version string, version_date date, page_number int, section_header string, source_file string, chunk_index int, checksum string, changed_flag int, ingested_at timestamp"
+VECTORS = "chunk_id string, source_file string, chunk_index int, version string, version_date date, checksum string, text string, embedding array<double>"
+
+
+def cached_embeddings(changed: DataFrame, vectors: DataFrame, embed: Callable) -> DataFrame:
+    """Adds ``embedding``: that of a stored row of equal content, else by the model. Only stored rows of wanted contents are grouped."""
+    wanted = vectors.join(changed.select("checksum").distinct(), "checksum", "left_semi")
+    met = changed.join(wanted.groupBy("checksum").agg(F.first("embedding").alias("embedding")), "checksum", "left")
+    new = met.where("embedding is null").drop("embedding").withColumn("embedding", embed(F.col("text")))
+    return new.unionByName(met.where("embedding is not null"))
+
 
 def ingest(chunks: DataFrame, records: Store, vectors: Store, embed: Callable, force: bool = False) -> DataFrame:
-    """Brings both stores to the scanned chunks; returns the stats of each version and file.
+    """Brings both stores to the scanned chunks; returns the stats of each version and file, from the snapshot that it wrote.
 
     Only changed chunks are embedded, from the vectors of equal content where there are any; (file, index) pairs that the scan
-    lacks are deleted, whole files and the tails of files that became shorter alike."""
+    lacks are deleted, whole files and the tails of files that became shorter alike. The records of all chunks are written
+    anew, with their flag and time; of the vectors only the buckets that hold a change."""
     from quarry.operators.changes import classify_incremental, ingest_stats, latest
 
-    prior = latest(records.read(), ["source_file", "chunk_index"], "checksum", "ingested_at").select("source_file", "chunk_index", "checksum")
+    place = ["source_file", "chunk_index"]
+    prior = latest(records.read(), place, "checksum", "ingested_at").select(*place, "checksum")
     flagged = classify_incremental(chunks, prior)
     if force:
         flagged = flagged.withColumn("changed", F.lit(True))
     flagged = flagged.persist()
-    stats = flagged.sparkSession.createDataFrame(ingest_stats(flagged, "version", "source_file").collect(), "version string, source_file string, total long, updated long, skipped long")
-    gone = records.read().select("source_file", "chunk_index").distinct().join(flagged.select("source_file", "chunk_index"), ["source_file", "chunk_index"], "left_anti")
     changed = flagged.where("changed")
-    cache = vectors.read().groupBy("checksum").agg(F.first("embedding").alias("embedding"))
-    met = changed.join(cache, "checksum", "left")
-    new = met.where("embedding is null").drop("embedding").withColumn("embedding", embed(F.col("text"))).unionByName(met.where("embedding is not null"))
-    kept = vectors.read().join(gone, ["source_file", "chunk_index"], "left_anti").join(changed.select("source_file", "chunk_index"), ["source_file", "chunk_index"], "left_anti")
-    columns = vectors.spark.createDataFrame([], vectors.schema).columns
-    vectors.write(kept.unionByName(new.select(*columns)))
-    records.write(flagged.withColumn("changed_flag", F.col("changed").cast("int")).withColumn("ingested_at", F.current_timestamp()))
+    stored = vectors.read().select("chunk_id", *place)
+    # what stands at a changed place, under whatever id, and what stands at a place that is no more
+    gone = stored.join(flagged.where("not changed").select(*place), place, "left_anti").select("chunk_id")
+    vectors.change(cached_embeddings(changed, vectors.read(), embed), gone)
+    n = records.write(flagged.withColumn("changed_flag", F.col("changed").cast("int")).withColumn("ingested_at", F.current_timestamp()))
     flagged.unpersist()
-    return stats
-
-
-RECORDS = "chunk_id string, document_name string, version string, version_date date, page_number int, section_header string, source_file string, chunk_index int, checksum string, changed_flag int, ingested_at timestamp"
-VECTORS = "chunk_id string, source_file string, chunk_index int, version string, version_date date, checksum string, text string, embedding array<double>"
+    return ingest_stats(records.read(n).withColumn("changed", F.col("changed_flag") == 1), "version", "source_file")
 
 
 def timed(action: Callable[[], object]) -> tuple[object, float]:
@@ -98,3 +178,24 @@ def write_csv(df: DataFrame, path: str, places: int | None = None) -> None:
 
 def write_json(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def report_lines(df: DataFrame, places: int = 4, order: str | None = None) -> DataFrame:
+    """A small report as lines for a console: a heading, a rule and one line a row, in columns of equal width."""
+    shown = df.select(*(F.format_string(f"%.{places}f", c).alias(c) if t == "double" else F.col(c).cast("string").alias(c) for c, t in df.dtypes))
+    wide = shown.agg(*(F.greatest(F.max(F.length(c)), F.lit(len(c))).alias(c) for c in df.columns))
+    line = lambda cells: F.rtrim(F.array_join(F.array(*cells), " | "))
+    padded = lambda v, c: F.rpad(v, F.col(f"w.{c}"), F.lit(" "))
+    both = shown.join(wide.select(F.struct(*df.columns).alias("w")), F.lit(True))  # one row
+    key = F.col(order or df.columns[0])
+    rows = both.select(F.lit(2).alias("part"), key.alias("key"), line([padded(F.coalesce(c, F.lit("")), c) for c in df.columns]).alias("line"))
+    only = wide.select(F.struct(*df.columns).alias("w"))
+    head = only.select(F.lit(0).alias("part"), F.lit("").alias("key"), line([padded(F.lit(c), c) for c in df.columns]).alias("line"))
+    rule = only.select(F.lit(1).alias("part"), F.lit("").alias("key"), F.array_join(F.array(*(F.expr(f"repeat('-', w.`{c}`)") for c in df.columns)), "-+-").alias("line"))
+    return head.unionAll(rule).unionAll(rows).orderBy("part", "key")
+
+
+def show(df: DataFrame, places: int = 4) -> None:
+    """Prints a report. Reports are small by construction."""
+    for r in report_lines(df, places).collect():
+        print(r["line"])

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators.retrieval import hashed_embedding
 from quarry.sources import readers
-from quarry.sources.store import RECORDS, VECTORS, Store, compare_updates, ingest, write_csv, write_json
+from quarry.sources.store import RECORDS, VECTORS, Store, compare_updates, ingest, show, write_csv, write_json
 from quarry.streaming.ingest import ingest_stream
 
 PARA = "A paragraph of some length about {}. It has two sentences."
@@ -64,7 +64,7 @@ def test_change_truth(spark, tmp_path):
 
 
 def stores(spark, folder):
-    return Store(spark, f"{folder}/records", RECORDS, "chunk_id"), Store(spark, f"{folder}/vectors", VECTORS, "chunk_id")
+    return Store(spark, f"{folder}/records", RECORDS, "chunk_id", 4), Store(spark, f"{folder}/vectors", VECTORS, "chunk_id", 4)
 
 
 def scan(spark, folder):
@@ -106,6 +106,10 @@ def test_store_mutations_and_sinks(spark, tmp_path):
     assert [r.k for r in s.read().collect()] == ["a"]
     s.rebuild(lambda df: df.withColumn("v", F.col("v") * 2))
     assert s.read().first().v == 2.0 and s.read(2).count() == 3
+    assert s.restore(2) == 5 and s.read().count() == 3 and s.read(4).count() == 1
+    s.restore(4)
+    s.vacuum(1)
+    assert s.versions() == [6] and s.read().first().v == 2.0
     wider = Store(spark, str(tmp_path / "s"), "k string, v double, f string, extra int", "k")
     assert wider.read().first().extra is None
     write_csv(s.read(), str(tmp_path / "csv"), 4)
@@ -115,10 +119,33 @@ def test_store_mutations_and_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "json")).first().k == "a"
 
 
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"), "k long, v long", "k", 16)
+    s.write(spark.range(400).selectExpr("id k", "id v"))
+    assert len(s._snapshot()["at"]) == 16
+    n = s.upsert(spark.createDataFrame([(7, 70), (1000, 1)], "k long, v long"))
+    fresh = [b for b, at in s._snapshot()["at"].items() if at == n]
+    assert 1 <= len(fresh) <= 2 and s.read().count() == 401 and s.read().where("k = 7").first().v == 70
+    gone = s._snapshot()
+    s.delete(spark.range(1001).selectExpr("id k"))
+    assert s.read().count() == 0 and s._snapshot()["at"] == {} and s.read(1).count() == 400
+    assert s.restore(n) and s._snapshot() == gone
+    s.vacuum(2)
+    assert s.read().count() == 401
+    with pytest.raises(Exception, match="exist"):
+        s._publish(s.versions()[-1], gone)
+
+
+def test_report_lines(spark, capsys):
+    df = spark.createDataFrame([("BM25", 0.5, 3), ("A longer name", 0.25, None)], "model string, hit double, n long")
+    show(df, 2)
+    assert capsys.readouterr().out.splitlines() == ["model         | hit  | n", "--------------+------+--", "A longer name | 0.25 |", "BM25          | 0.50 | 3"]
+
+
 def test_stream_catches_up(spark, tmp_path):
     files = tmp_path / "in"
     files.mkdir()
-    store = Store(spark, str(tmp_path / "kb"), readers.CHUNKS + ", embedding array<double>", "chunk_id")
+    store = Store(spark, str(tmp_path / "kb"), readers.CHUNKS + ", embedding array<double>", "chunk_id", 4)
     run = lambda: ingest_stream(spark, str(files), str(tmp_path / "cp"), store, hashed_embedding, 1).awaitTermination(120)
     put(files, "a 5.3.1.md", PARA.format("a"))
     put(files, "b 5.3.1.md", PARA.format("b"))
