@@ -8,7 +8,6 @@ A host is blocked where its distrust exceeds its trust; each has a total of 1 ov
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -56,43 +55,40 @@ def edges(pages: DataFrame) -> DataFrame:
     return linked.unionByName(up).unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def page_rank(graph: DataFrame, nodes: DataFrame, seed: Column, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+def page_rank(graph: DataFrame, nodes: DataFrame, seed: Column, damping: float = 0.85, tolerance: float = 1e-5) -> DataFrame:
     """Personalised PageRank (node, rank) over (src, dst, n): a walk that restarts at nodes in proportion to ``seed``, with probability
     1 - damping and from where there is no way out. Ranks add up to 1, or are 0 where there is no seed. nodes has node and
     the columns of seed.
 
     What walks visit before their first restart is summed up, step by step; restarts repeat it, so that this sum over its
-    total is the rank, dead ends included. All steps still to come add at most damping / (1 - damping) of what the last one
-    did: it ends when that is below ``tolerance`` of the total, however many steps it takes. A step is one join and one
-    aggregation, and every sixth ends in a table in the shared folder."""
+    total is the rank, dead ends included. A step more is one join and one aggregation; every fifth ends in a table in the
+    shared folder. All steps to come add at most so much of what the last five did as five steps of pure damping leave of
+    it: it ends when that is below ``tolerance`` of the total, however many steps it takes."""
     total = nodes.agg(F.sum(seed)).first()[0] or 0.0
     if not total:
         return nodes.select("node", F.lit(0.0).alias("rank"))
     base = stash(nodes.select("node", (seed / F.lit(total)).alias("visits")).where("visits > 0"), "restart")
     out = graph.groupBy("src").agg(F.sum("n").alias("out"))
     share = stash(graph.join(out, "src").select("src", "dst", (F.lit(damping) * F.col("n") / F.col("out")).alias("p")), "shares")
-    step, sums, seen, more = base, base, 1.0, 1.0  # visits of the last step, and of all
-    while more * damping / (1 - damping) > tolerance * seen:
-        steps = []
-        for _ in range(6):
-            step = share.join(step, share["src"] == step["node"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("p") * F.col("visits")).alias("visits"))
-            steps.append(step)
-        every = functools.reduce(DataFrame.unionAll, [x.withColumn("last", F.lit(k == 5)) for k, x in enumerate(steps)])
-        six = stash(every.groupBy("node").agg(F.sum("visits").alias("visits"), F.sum(F.when(F.col("last"), F.col("visits"))).alias("last")), "steps")
-        new = stash(sums.unionAll(six.select("node", "visits")).groupBy("node").agg(F.sum("visits").alias("visits")), "visits")
-        got, more = six.agg(F.coalesce(F.sum("visits"), F.lit(0.0)), F.coalesce(F.sum("last"), F.lit(0.0))).first()
-        seen += got
-        if sums is not base:
-            discard(sums)
-            discard(before)
-        step, sums, before = six.where("last is not null").select("node", F.col("last").alias("visits")), new, six
-    rank = stash(nodes.join(sums, "node", "left").select("node", (F.coalesce("visits", F.lit(0.0)) / F.lit(seen)).alias("rank")), "rank")
-    for old in (base, share, sums, before):
+    visits, seen, left = base, 1.0, damping**5
+    while True:
+        last = visits
+        for _ in range(5):
+            moved = share.join(visits, share["src"] == visits["node"]).select(F.col("dst").alias("node"), (F.col("p") * F.col("visits")).alias("visits"))
+            visits = base.unionAll(moved).groupBy("node").agg(F.sum("visits").alias("visits"))
+        visits = stash(visits, "visits")
+        if last is not base:
+            discard(last)
+        before, seen = seen, visits.agg(F.sum("visits")).first()[0]
+        if (seen - before) * left / (1 - left) <= tolerance * seen:
+            break
+    rank = stash(nodes.join(visits, "node", "left").select("node", (F.coalesce("visits", F.lit(0.0)) / F.lit(seen)).alias("rank")), "rank")
+    for old in (base, share, visits):
         discard(old)
     return rank
 
 
-def judge_hosts(judged: DataFrame, graph: DataFrame, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+def judge_hosts(judged: DataFrame, graph: DataFrame, damping: float = 0.85, tolerance: float = 1e-5) -> DataFrame:
     """(host, trust, distrust, blocked) for each host. judged: pages with host, and rule verdicts (null: none)."""
     seeds = judged.where("host <> ''").groupBy(F.col("host").alias("node")).agg(F.count_if(F.col("verdict") == "allow").cast("double").alias("good"), F.count_if(F.col("verdict") == "block").cast("double").alias("bad"))
     every = graph.select(F.col("src").alias("node")).union(graph.select(F.col("dst").alias("node"))).union(seeds.select("node")).distinct()
