@@ -107,13 +107,13 @@ def typos(text: Column, key: Column, seed: int = 0) -> Column:
     four characters get an inner letter swapped, deleted or doubled."""
     words = F.split(_strip(text), r"\s+")
     eligible = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.length(F.get(words, i)) > 4)
-    draw = lambda salt, i: F.xxhash64(key, F.lit(seed), F.lit(salt), i)
-    order = F.array_sort(F.transform(eligible, lambda i: F.struct(draw(1, i).alias("h"), i.alias("i"))))
+    draw = lambda salt, i: F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)), F.lit(salt), i.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+    order = F.array_sort(F.transform(eligible, lambda i: F.struct(draw("1", i).alias("h"), i.alias("i"))))
     chosen = F.transform(F.slice(order, 1, 2), lambda x: x["i"])
 
     def edit(w: Column, i: Column) -> Column:
-        at = (1 + F.pmod(draw(2, i), F.length(w) - 2)).cast("int")  # 0-based, an inner letter
-        kind = F.pmod(draw(3, i), F.lit(3))
+        at = (1 + F.pmod(draw("2", i), F.length(w) - 2)).cast("int")  # 0-based, an inner letter
+        kind = F.pmod(draw("3", i), F.lit(3))
         a, b, c, d = F.substring(w, F.lit(1), at), F.substring(w, at + 1, F.lit(1)), F.substring(w, at + 2, F.lit(1)), F.substring(w, at + 3, F.length(w))
         return F.when(kind == 0, F.concat(a, c, b, d)).when(kind == 1, F.concat(a, c, d)).otherwise(F.concat(a, b, b, c, d))
 

@@ -3,6 +3,8 @@ from a prompt column to a text column may stand in for ``extract_answer``."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,42 @@ def answer(question: Column, docs: Column) -> Column:
     return F.when(F.size(docs) == 0, NO_DOCUMENTS).otherwise(extract_answer(question, context(docs)))
 
 
+#: What a prompt asks for, and the note on a version.
+TASK = "Answer the question from the documents below and from nothing else. Say so if they do not hold the answer. Be brief and exact."
+NOTE = "[Version: the question is about release {version}. Prefer what its documents say.]"
+#: What each judge is asked. Braces name the prompt's parts.
+JUDGES = {
+    "faithfulness": "Is the answer faithful to the context, all of it?\n\nContext:\n{context}\n\nAnswer:\n{answer}",
+    "answer_relevancy": "How relevant is the answer to the question?\n\nQuestion:\n{question}\n\nAnswer:\n{answer}",
+    "context_recall": "How much of the ground truth does the context hold?\n\nGround truth:\n{truth}\n\nContext:\n{context}",
+    "noise_sensitivity": "How far did documents without relevance mislead the answer?\n\nQuestion:\n{question}\n\nAnswer:\n{answer}\n\nContext:\n{context}",
+}
+_REPLY = '\n\nReply with one JSON object: {"reasoning": "...", "score": a number from 0 to 1}'
+#: The scores of the canned judge (fixed values).
+CANNED = {"faithfulness": 0.95, "answer_relevancy": 0.90, "context_recall": 0.92, "noise_sensitivity": 0.05}
+
+
+def prompt(question: Column, docs: Column, version: Column | None = None) -> Column:
+    """The prompt of an answer from an array of structs (rank, text, version): the task, a note where a version is asked for, the documents
+    with their versions, the question."""
+    note = F.lit("") if version is None else F.coalesce(F.concat(F.replace(F.lit(NOTE), F.lit("{version}"), version), F.lit("\n\n")), F.lit(""))
+    return F.concat(F.lit(TASK + "\n\n"), note, F.lit("Context:\n"), context(docs, versioned=version is not None), F.lit("\nQuestion: "), question, F.lit("\nAnswer:"))
+
+
+def judge_prompt(kind: str, **parts: Column) -> Column:
+    """The prompt of one of JUDGES. Parts that are null count as empty."""
+    pieces = re.split(r"\{(\w+)\}", JUDGES[kind])
+    return F.concat(*(F.coalesce(parts[x], F.lit("")) if i % 2 else F.lit(x) for i, x in enumerate(pieces) if x), F.lit(_REPLY))
+
+
+def canned_reply(prompt: Column) -> Column:
+    """The deterministic judge: a fixed score for each kind of prompt, told by its first line; no reply to others."""
+    out = F.lit(None).cast("string")
+    for kind, text in JUDGES.items():
+        out = F.when(prompt.startswith(text.partition("\n")[0]), F.lit('{"reasoning": "canned", "score": %.2f}' % CANNED[kind])).otherwise(out)
+    return out
+
+
 def parse_score(reply: Column, default: float = 0.5) -> Column:
     """``score`` of the first JSON object, else the first of 0.x, 1.0, 0 and 1, else the default."""
     block = F.regexp_extract(reply, r"(?s)(\{.*?\})", 1)

@@ -6,6 +6,8 @@ an order is needed it is (source_file, chunk_index, chunk_id).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ def detect_changes(chunks: DataFrame, pairs: DataFrame, embeddings: DataFrame |
     (chunk_id, embedding) have a cosine of at least ``least``. What is left is deleted or added.
     """
     clean = deduplicate_chunks(chunks).withColumn("name_key", normalised_name(F.col("document_name"))).withColumn("header_key", F.lower(F.trim("section_header")))
-    sides = {s: clean.join(F.broadcast(pairs), F.col("version") == F.col(s)).select("old", "new", "chunk_id", "chunk_index", "checksum", "source_file", "name_key", "header_key") for s in ("old", "new")}
+    sides = {s: clean.join(pairs, F.col("version") == F.col(s)).select("old", "new", "chunk_id", "chunk_index", "checksum", "source_file", "name_key", "header_key") for s in ("old", "new")}
     pair, by_name, by_index = ["old", "new"], ["old", "new", "name_key", "header_key"], ["old", "new", "chunk_index"]
 
     def match(keys: list[str], rows: dict[str, DataFrame], last: bool) -> DataFrame:
@@ -65,11 +67,18 @@ def detect_changes(chunks: DataFrame, pairs: DataFrame, embeddings: DataFrame |
     return pairs.join(n, pair, "left").select(*pair, *map(zero, ("added", "deleted", "modified", "detected")))
 
 
+def fetch_embeddings(stored: DataFrame, texts: DataFrame, embed: Callable) -> DataFrame:
+    """(chunk_id, embedding) of every chunk of texts (chunk_id, text): as stored (chunk_id, embedding), else made from its text. Only what is
+    missing is made."""
+    made = texts.join(stored.where("embedding is not null").select("chunk_id"), "chunk_id", "left_anti").select("chunk_id", embed(F.col("text")).alias("embedding"))
+    return stored.where("embedding is not null").join(texts.select("chunk_id"), "chunk_id", "left_semi").select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding")).unionByName(made)
+
+
 def within_tolerance(detected: DataFrame, truth: DataFrame) -> DataFrame:
     """(old, new, detected, actual, correct). truth: (old, new, added, deleted, modified, total), possibly without a pair: then what
     was detected is right. Half rounds to even, as the tolerances are defined."""
     t = truth.select("old", "new", *(F.coalesce(c, F.lit(0)).alias(f"t_{c}") for c in ("added", "deleted", "modified", "total")))
-    both = detected.join(F.broadcast(t), ["old", "new"], "left")
+    both = detected.join(t, ["old", "new"], "left")
     actual = F.coalesce("t_total", "detected")
     total = F.greatest(F.lit(2), F.bround(0.2 * actual, 0))
     right = F.abs(F.col("detected") - actual) <= total
@@ -93,7 +102,7 @@ def change_scores(chunks: DataFrame, pairs: DataFrame, detected: Column, embeddi
     embeddings (chunk_id, embedding) are given."""
     rows = deduplicate_chunks(chunks).select("version", "source_file", "chunk_index", "chunk_id", "checksum")
     side = lambda s: rows.select(F.col("version").alias(s), "source_file", "chunk_index", F.col("chunk_id").alias(f"{s}_id"), F.col("checksum").alias(f"{s}_sum"))
-    both = side("old").join(F.broadcast(pairs), "old").join(side("new"), ["new", "source_file", "chunk_index"])
+    both = side("old").join(pairs, "old").join(side("new"), ["new", "source_file", "chunk_index"])
     if embeddings is not None:
         for s in ("old", "new"):
             both = both.join(embeddings.select(F.col("chunk_id").alias(f"{s}_id"), F.col("embedding").alias(f"{s}_e")), f"{s}_id", "left")
@@ -134,8 +143,18 @@ def consecutive_pairs(versions: DataFrame) -> DataFrame:
 
 
 def history(chunks: DataFrame, targets: DataFrame, keys: tuple[str, ...] = ("document_name", "chunk_index")) -> DataFrame:
-    """As of each target (target, target_date): the latest record of each key dated up to then. Targets are a dozen dates, so each
-    record is met by those not before it and not after the key's next record: no record is compared with another."""
+    """As of each target (target, target_date): the latest record of each key dated up to then. A record is seen from its own date to
+    that of the key's next record; the targets in between are found in the sorted list of all targets' dates, which is one value
+    (a version calendar: its size is checked), so that no record is compared with another and nothing is broadcast."""
     w = Window.partitionBy(*keys).orderBy("version_date", *ORDER)
     spans = chunks.withColumn("until", F.lead("version_date").over(w))
-    return spans.join(F.broadcast(targets), (F.col("version_date") <= F.col("target_date")) & (F.col("until").isNull() | (F.col("until") > F.col("target_date")))).drop("until")
+    n = targets.count()
+    if n > MOST_TARGETS:
+        raise ValueError(f"{n} targets; at most {MOST_TARGETS} dates are looked up at once")
+    dates = F.array(*(F.struct(F.lit(r["target"]).alias("target"), F.lit(r["target_date"]).alias("target_date")) for r in targets.collect()))
+    seen = F.filter(dates, lambda t: (t["target_date"] >= F.col("version_date")) & (F.col("until").isNull() | (F.col("until") > t["target_date"])))
+    return spans.withColumn("t", F.explode(seen)).select(*chunks.columns, "t.target", "t.target_date")
+
+
+#: Target dates that are looked up at once.
+MOST_TARGETS = 1000

@@ -93,8 +93,9 @@ def noise_sensitivity(answer: Column, query: Column, relevant: Column, noise: Co
 
 
 def blend(heuristic: Column, judged: Column | None = None) -> Column:
-    """Half heuristic, half judged where a judge said something; rounded to 4 places."""
-    return F.round(heuristic if judged is None else F.coalesce(0.5 * judged + 0.5 * heuristic, heuristic), 4)
+    """Half heuristic, half judged where a judge said something; rounded to 4 places, half up, as decimals."""
+    both = heuristic if judged is None else F.coalesce(0.5 * judged + 0.5 * heuristic, heuristic)
+    return F.round(both.cast("decimal(12,8)"), 4).cast("double")
 
 
 def latency(column: str, *groups: str):
@@ -114,6 +115,13 @@ def leakage_rate(flags: DataFrame) -> DataFrame:
     return flags.agg(F.count("*").alias("total"), F.count_if("leak").alias("leaks"), F.coalesce(F.round(F.avg(F.col("leak").cast("double")), 4), F.lit(0.0)).alias("leakage_rate"))
 
 
+def with_query_text(results: DataFrame, queries: DataFrame) -> DataFrame:
+    """Results (query_id, query, ...) whose text is null or empty take that of the query set (query_id, query); else it is empty."""
+    known = queries.select("query_id", F.col("query").alias("_text"))
+    text = F.coalesce(F.when(F.col("query") != "", F.col("query")), "_text", F.lit(""))
+    return results.join(known, "query_id", "left").withColumn("query", text).drop("_text")
+
+
 def category_metrics(facts: DataFrame) -> DataFrame:
     """One row for each query category that occurs. facts: (query, retrieved_chunks, temporal_leak, retrieval_latency_ms)."""
     good = (F.col("retrieved_chunks") > 0) & ~F.col("temporal_leak")

@@ -259,15 +259,43 @@ def above(results: DataFrame, least: float = 0.2, k: int = 5) -> DataFrame:
     return ranked(kept.withColumnRenamed("rank", "was"), 1 << 30, F.col("was")).drop("was")
 
 
+def _holding(words: list[str]):
+    """Batches of (low) -> (word, relevant): how many of the texts hold each word as a substring; every text is read once for all words."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        search, n, texts = ahocorasick.Automaton(), Counter(), 0
+        for w in words:
+            if w:
+                search.add_word(w, w)
+        search.make_automaton()
+        for f in frames:
+            for text in f["low"]:
+                texts += 1
+                if len(search):
+                    n.update({w for _, w in search.iter(text)})
+        if "" in words:
+            n[""] = texts  # in every text
+        yield pd.DataFrame({"word": pd.Series(list(n), dtype=object), "relevant": pd.Series(list(n.values()), dtype="int64")})
+
+    return run
+
+
 def keyword_totals(docs: DataFrame, queries: DataFrame, at_once: int = 10_000) -> DataFrame:
-    """(query_id, relevant): how many documents hold each query's keyword as a substring. Each block of at most about ``at_once``
-    keywords is one pass over the documents, with one partial count for each keyword and task."""
-    n = queries.count()
+    """(query_id, relevant): how many documents hold each query's keyword as a substring, case aside; keywords in none are left out. Each block of
+    at most about ``at_once`` keywords goes to the tasks as one automaton and is one pass over the documents; a task passes on one
+    number for each keyword that it met."""
+    keys = queries.select("query_id", F.lower("keyword").alias("word")).where("word is not null")
+    n = keys.select("word").distinct().count()
     blocks = max(1, -(-2 * n // at_once)) if n > at_once else 1
-    keys, low = queries.select("query_id", "keyword"), spread(docs.select("text")).select(F.lower("text").alias("low"))
-    parts = [keys if blocks == 1 else keys.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
-    counts = [low.join(F.broadcast(k), F.contains("low", "keyword")).groupBy("query_id").agg(F.count("*").alias("relevant")) for k in parts]
-    return functools.reduce(DataFrame.unionAll, counts)
+    low = spread(docs.where("text is not null").select("text")).select(F.lower("text").alias("low"))
+    counts = []
+    for b in range(blocks):
+        own = keys.select("word").distinct().where(F.pmod(F.xxhash64("word"), F.lit(blocks)) == b)
+        counts.append(low.mapInPandas(_holding([r["word"] for r in own.collect()]), "word string, relevant long"))
+    total = functools.reduce(DataFrame.unionAll, counts).groupBy("word").agg(F.sum("relevant").alias("relevant"))
+    return keys.join(total, "word").select("query_id", "relevant")
 
 
 def lexical_score(query: Column, text: Column) -> Column:

@@ -9,8 +9,9 @@ from quarry.functions.classify import ANCHORS, CHANGE_VERBS, COMPARISON, CROSS_V
 from quarry.functions.vectors import cosine
 from quarry.operators import answers as A
 from quarry.operators import relevance as M
-from quarry.operators.retrieval import hashed_embedding
-from quarry.plans.tables import FACTS_SQL, WORDS, facts, table
+from quarry.operators.retrieval import bm25, hashed_embedding
+from quarry.plans.tables import CAL_SQL, DOC_VERSION_SQL, FACTS_SQL, WORDS, asked, bm25_sql, calendar_at, docs, facts, source_version, table
+from quarry.sources.store import report_lines
 
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
@@ -46,9 +47,10 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stage_latency_avg(spark: SparkSession, d: str) -> DataFrame:
-    """Means of a day's stages: the value of an event is its total, and fixed shares of it are the stages."""
-    e = table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), (F.col("value") * 0.7).alias("embedding_ms"), (F.col("value") * 0.3).alias("retrieval_ms"), F.col("value").alias("total_ms"))
-    return e.groupBy("day").agg(*(F.round(F.avg(c), 9).alias(c) for c in ("embedding_ms", "retrieval_ms", "total_ms")))
+    """Means of a day's stages: the number in an event's properties is one stage, its value the other."""
+    first = F.get_json_object("props", "$.k").cast("double")
+    e = table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), first.alias("embedding_ms"), F.col("value").alias("retrieval_ms"), (first + F.col("value")).alias("total_ms"))
+    return e.groupBy("day").agg(*(F.round(F.avg(c), 6).alias(c) for c in ("embedding_ms", "retrieval_ms", "total_ms")))
 
 
 def classify_queries(spark: SparkSession, d: str) -> DataFrame:
@@ -63,6 +65,41 @@ def query_category_metrics(spark: SparkSession, d: str) -> DataFrame:
     return M.category_metrics(facts(spark, d))
 
 
+def query_text_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Results without a query's text take it from the query set, where that has it."""
+    f = facts(spark, d)
+    results = f.select("query_id", F.when(F.col("query_id") % 3 == 0, "").when(F.col("query_id") % 7 == 0, F.lit(None)).otherwise(F.col("query")).alias("query"))
+    known = M.with_query_text(results, f.where("query_id % 9 <> 0").select("query_id", "query"))
+    return known.select("query_id", "query", classify_query(F.col("query")).alias("category"))
+
+
+def console_report(spark: SparkSession, d: str) -> DataFrame:
+    """The distribution of categories as lines for a console."""
+    return report_lines(category_distribution(spark, d), 1)
+
+
+def judged_blend(spark: SparkSession, d: str) -> DataFrame:
+    """The answer metrics, half by heuristics and half by a judge, here the canned one: its replies to the four prompts, parsed."""
+    t = _turns(spark, d).where("answer is not null")
+    noise = F.filter(F.array("earlier"), lambda x: x.isNotNull())
+    said = lambda kind: A.parse_score(A.canned_reply(A.judge_prompt(kind, question=F.col("question"), answer=F.col("answer"), context=F.col("question"), truth=F.col("question"))))
+    near = F.when(F.col("answer") == "", 0.0).otherwise(cosine(hashed_embedding(F.col("question")), hashed_embedding(F.col("answer"))))
+    heuristics = {
+        "faithfulness": M.faithfulness(F.col("answer"), F.col("question")), "answer_relevancy": near,
+        "context_recall": M.context_recall(F.col("question"), F.col("answer")), "noise_sensitivity": M.noise_sensitivity(F.col("answer"), F.lit(""), F.array("question"), noise),
+    }
+    return t.select("conv_id", "turn", *(M.blend(F.round(h, 6), said(kind)).alias(kind) for kind, h in heuristics.items()))
+
+
+def versioned_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Each query's prompt from its first documents, with a note on the version asked for; queries without one have no note."""
+    found = bm25(docs(spark, d), asked(spark, d), 3).select("query_id", "id", "rank").join(docs(spark, d).select("id", "text", source_version().alias("version")), "id")
+    rows = A.gather(found, "version").join(asked(spark, d).select("query_id", F.col("text").alias("question")), "query_id")
+    target = F.when(F.col("query_id") % 4 != 0, calendar_at(F.col("query_id")))
+    prompt = A.prompt(F.col("question"), F.col("docs"), target)
+    return rows.select("query_id", F.length(prompt).alias("n_chars"), F.sha2(prompt, 256).alias("digest"))
+
+
 def classify_failures(spark: SparkSession, d: str) -> DataFrame:
     return M.issues(facts(spark, d)).select("query_id", "query", "expected_version", "retrieved_version", "retrieved_chunks", "failure_category", "notes")
 
@@ -102,7 +139,7 @@ def foreign_key_lookup(spark: SparkSession, d: str) -> DataFrame:
     return lines.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_orderkey").agg(F.count("*").alias("lines"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
-QUERIES = {f.__name__: f for f in (faithfulness, context_recall, answer_relevancy, noise_sensitivity, latency_percentiles, stage_latency_avg, classify_queries, category_distribution, query_category_metrics, classify_failures, failure_summary, llm_fallback_answer, parse_scores, set_ops, foreign_key_lookup)}
+QUERIES = {f.__name__: f for f in (faithfulness, context_recall, answer_relevancy, noise_sensitivity, latency_percentiles, stage_latency_avg, classify_queries, category_distribution, query_category_metrics, query_text_fallback, console_report, judged_blend, versioned_prompts, classify_failures, failure_summary, llm_fallback_answer, parse_scores, set_ops, foreign_key_lookup)}
 
 _TURNS = """WITH t AS (SELECT conv_id, turn, text AS question, lead(text) OVER w AS answer, lag(text) OVER w AS earlier FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"""
 _CONTENT = r"list_distinct(list_filter(regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z0-9]{{4,}}')))"
@@ -137,7 +174,7 @@ FROM p LEFT JOIN d USING (conv_id, turn) LEFT JOIN n nq ON nq.conv_id = p.conv_i
 m AS (SELECT *, list_filter(nw, lambda w: NOT list_contains(rw, w)) AS mis FROM c)
 SELECT conv_id, turn, round(CASE WHEN len(mis) = 0 OR len(aw) = 0 THEN 0.0 ELSE len(list_intersect(aw, mis)) / len(aw) END, 6) AS noise_sensitivity FROM m""",
     "latency_percentiles": """SELECT event_type, round(quantile_cont(value, 0.5), 3) AS p50, round(quantile_cont(value, 0.95), 3) AS p95, round(quantile_cont(value, 0.99), 3) AS p99, round(avg(value), 3) AS mean, round(min(value), 3) AS min, round(max(value), 3) AS max, count(value) AS n FROM events GROUP BY event_type""",
-    "stage_latency_avg": "SELECT strftime(ts, '%Y-%m-%d') AS day, round(avg(value * 0.7), 9) AS embedding_ms, round(avg(value * 0.3), 9) AS retrieval_ms, round(avg(value), 9) AS total_ms FROM events GROUP BY 1",
+    "stage_latency_avg": "SELECT day, round(avg(k), 6) AS embedding_ms, round(avg(value), 6) AS retrieval_ms, round(avg(k + value), 6) AS total_ms FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, value, json_extract_string(props, '$.k')::DOUBLE AS k FROM events) GROUP BY day",
     "classify_queries": _CLASSED + " SELECT query_id, category FROM cf",
     "category_distribution": _CLASSED + _SHARES.format("category", "cf"),
     "query_category_metrics": _CLASSED + """ SELECT category, count(*) AS number_of_queries, count(*) FILTER (good) AS successful_retrievals, round(100 * avg(good::INT), 1) AS retrieval_accuracy, round(100 * avg(temporal_leak::INT), 1) AS temporal_leakage_rate,
@@ -157,4 +194,18 @@ SELECT conv_id, turn, CASE WHEN best = '' THEN 'I could not find the answer in t
     "set_ops": """SELECT 'labelled' AS what, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT 'unlabelled', count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
 UNION ALL SELECT 'both', count(*) FROM (SELECT source FROM documents WHERE lang = 'en' INTERSECT SELECT source FROM documents WHERE lang <> 'en') UNION ALL SELECT 'either', count(DISTINCT source) FROM documents WHERE lang IS NOT NULL UNION ALL SELECT 'concatenated', 2 * count(*) FROM documents""",
     "foreign_key_lookup": "SELECT l_orderkey, count(*) AS lines, round(sum(l_quantity), 2) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY l_orderkey",
+    "query_text_fallback": _CLASSED + """, g AS (SELECT query_id, CASE WHEN (query_id % 3 = 0 OR query_id % 7 = 0) AND query_id % 9 = 0 THEN '' ELSE query END AS query, category AS was FROM cf)
+SELECT query_id, query, CASE WHEN query = '' THEN 'General Fact Query' ELSE was END AS category FROM g""",
+    "console_report": _CLASSED + f""", r AS ({_SHARES.format("category", "cf")}),
+t AS (SELECT category, n::VARCHAR AS n, printf('%.1f', share) AS share FROM r),
+w AS (SELECT greatest(max(length(category)), 8) AS a, greatest(max(length(n)), 1) AS b, greatest(max(length(share)), 5) AS c FROM t)
+SELECT 0 AS part, '' AS key, rtrim(rpad('category', a::INT, ' ') || ' | ' || rpad('n', b::INT, ' ') || ' | ' || rpad('share', c::INT, ' ')) AS line FROM w
+UNION ALL SELECT 1, '', repeat('-', a) || '-+-' || repeat('-', b) || '-+-' || repeat('-', c) FROM w
+UNION ALL SELECT 2, category, rtrim(rpad(category, a::INT, ' ') || ' | ' || rpad(n, b::INT, ' ') || ' | ' || rpad(share, c::INT, ' ')) FROM t, w""",
 }
+_half = lambda score, c: f"round(CAST(0.5 * {score} + 0.5 * {c} AS DECIMAL(12,8)), 4)::DOUBLE AS {c}"
+SQL["judged_blend"] = "SELECT conv_id, turn, " + ", ".join(_half(s, c) for c, s in A.CANNED.items()) + " FROM " + " JOIN ".join(f"({SQL[c]}) m{i}" + (" USING (conv_id, turn)" if i else "") for i, c in enumerate(A.CANNED))
+SQL["versioned_prompts"] = f"""WITH {CAL_SQL}, {bm25_sql(3)},
+l AS (SELECT query_id, string_agg('- Document [' || rank || '] (Version ' || {DOC_VERSION_SQL} || '): ' || text || chr(10), '' ORDER BY rank) AS said FROM bm JOIN documents ON doc_id = id GROUP BY query_id),
+p AS (SELECT query_id, '{A.TASK}' || chr(10) || chr(10) || CASE WHEN query_id % 4 <> 0 THEN replace('{A.NOTE}', '{{version}}', (SELECT list(version ORDER BY o) FROM (SELECT version, row_number() OVER () AS o FROM cal))[1 + query_id % 12]) || chr(10) || chr(10) ELSE '' END || 'Context:' || chr(10) || said || chr(10) || 'Question: ' || text || chr(10) || 'Answer:' AS prompt FROM l JOIN benchmark ON item_id = query_id)
+SELECT query_id, length(prompt) AS n_chars, sha256(prompt) AS digest FROM p"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions.text import typos
 from quarry.operators import relevance as M
 from quarry.operators import retrieval as R
-from quarry.plans.tables import CAL_SQL, WORDS, asked, bm25_sql, dense_sql, docs, fuse_sql, query_vectors, source_version, table, vectors
+from quarry.plans.tables import CAL_SQL, WORDS, asked, bm25_sql, dense_sql, docs, fuse_sql, query_vectors, source_version, table, typos_sql, vectors
 
 ROW = ("query_id", "id", "score", "rank")
 
@@ -36,7 +36,7 @@ def knn_hit_precision_recall_mrr(spark: SparkSession, d: str) -> DataFrame:
     fits = F.col("label") == F.col("query_label")
     per = found.groupBy("query_id", "query_label").agg(F.count_if(fits).alias("n"), F.coalesce(F.round(1 / F.min(F.when(fits, F.col("rank"))), 6), F.lit(0.0)).alias("mrr"))
     sizes = v.groupBy(F.col("label").alias("query_label")).agg(F.count("*").alias("relevant"))
-    return per.join(F.broadcast(sizes), "query_label").select("query_id", (F.col("n") > 0).alias("hit"), (F.col("n") / 5).alias("precision"), F.round(F.col("n") / F.col("relevant"), 6).alias("recall"), "mrr")
+    return per.join(sizes, "query_label").select("query_id", (F.col("n") > 0).alias("hit"), (F.col("n") / 5).alias("precision"), F.round(F.col("n") / F.col("relevant"), 6).alias("recall"), "mrr")
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -96,6 +96,14 @@ def version_fallback_topk(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", "id", "rank", F.col("normalised").alias("score"), "fallback")
 
 
+def first_queries(spark: SparkSession, d: str) -> DataFrame:
+    """What the first twenty of the queries, by id, are given to answer from: three documents of their version, else of any."""
+    documents = docs(spark, d).withColumn("version", source_version())
+    queries = asked(spark, d).orderBy("query_id").limit(20)
+    scoped = R.bm25(documents, queries, 3, where=R.version_scope(F.col("version"), F.lit(None).cast("date"), "v3.5.4")).where("score > 0")
+    return R.with_fallback(scoped, queries, lambda left: R.bm25(documents, left, 3)).select("query_id", "id", "rank", "fallback")
+
+
 def jaccard_relevance(spark: SparkSession, d: str) -> DataFrame:
     """Whether each of a query's first five documents fits the query's text."""
     found = _with_texts(spark, d, R.bm25(docs(spark, d), asked(spark, d), 5))
@@ -113,7 +121,7 @@ def tier1_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 def tier1_by_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """Means of the metrics over all queries of each pipeline."""
-    dense, sparse = (x.persist() for x in _sides(spark, d, 15))
+    dense, sparse = _sides(spark, d, 15)
     runs = {"Vector": dense.where("rank <= 5").select(*ROW), "BM25": sparse.where("rank <= 5").select("query_id", "id", F.col("normalised").alias("score"), "rank"), "Hybrid": R.fuse(dense, sparse, 5, "0.5")}
     out = None
     for name, results in runs.items():
@@ -152,7 +160,7 @@ def keyword_by_method(spark: SparkSession, d: str) -> DataFrame:
     words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
     queries = asked(spark, d).withColumn("keyword", F.get(words, F.lit(0)))
     totals = R.keyword_totals(docs(spark, d), queries)
-    dense, sparse = (x.persist() for x in _sides(spark, d, 15))
+    dense, sparse = _sides(spark, d, 15)
     runs = {"Vector": dense.where("rank <= 5"), "BM25": sparse.where("rank <= 5"), "Hybrid": R.fuse(dense, sparse, 5, "0.5")}
     out = None
     for name, results in runs.items():
@@ -178,7 +186,7 @@ def filtered_by_two(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where((F.col("lang") == "de") & (F.col("source") == "src3")).select("doc_id", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (vector_topk_cosine, vector_topk_l2, vector_topk_filtered, knn_hit_precision_recall_mrr, bm25_topk, bm25_topk_source, dense_topk, hybrid_topk, hybrid_distance_topk, threshold_hybrid_topk, rerank_topk, hybrid_rerank_topk, threshold_rerank_topk, version_fallback_topk, jaccard_relevance, tier1_metrics, tier1_by_pipeline, keyword_metrics, keyword_by_method, context_precision_ap, robustness, collection_stats, vectors_by_id, filtered_by_two)}
+QUERIES = {f.__name__: f for f in (vector_topk_cosine, vector_topk_l2, vector_topk_filtered, knn_hit_precision_recall_mrr, bm25_topk, bm25_topk_source, dense_topk, hybrid_topk, hybrid_distance_topk, threshold_hybrid_topk, rerank_topk, hybrid_rerank_topk, threshold_rerank_topk, version_fallback_topk, first_queries, jaccard_relevance, tier1_metrics, tier1_by_pipeline, keyword_metrics, keyword_by_method, context_precision_ap, robustness, collection_stats, vectors_by_id, filtered_by_two)}
 
 _KNN = """WITH s AS (
   SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, q.label AS query_label, round({score}, 12) AS score
@@ -211,6 +219,7 @@ m{name} AS (
   FROM fit GROUP BY query_id)"""
 _HYBRID = "WITH " + bm25_sql(15) + ",\n" + dense_sql(15) + ",\n" + fuse_sql(5, "0.5")
 _WIDE = lambda alpha: "WITH " + bm25_sql(60) + ",\n" + dense_sql(60) + ",\n" + fuse_sql(20, alpha)
+_FIRST = "(SELECT * FROM benchmark ORDER BY item_id LIMIT 20)"
 _SCOPE = "coalesce(try_cast(regexp_extract(source, '[0-9]+') AS INT), 0) % 12 = 10"
 
 
@@ -259,6 +268,10 @@ m AS (
   SELECT method, query_id, bool_or(has) AS hit, count(*) FILTER (has) / least(5, count(*)) AS precision, count(*) FILTER (has) / greatest(coalesce(any_value(relevant), 0), 1) AS recall, coalesce(1 / min(rank) FILTER (has), 0.0) AS mrr
   FROM f LEFT JOIN t USING (query_id) GROUP BY ALL)
 SELECT method, {_means('hit', 'precision', 'recall', 'mrr')} FROM m GROUP BY method""",
+    "robustness": "WITH a AS (WITH " + bm25_sql(5) + " SELECT * FROM bm), b AS (WITH " + bm25_sql(5, queries=typos_sql("benchmark")) + """ SELECT * FROM bm),
+sa AS (SELECT query_id, list(id) AS x FROM a GROUP BY query_id), sb AS (SELECT query_id, list(id) AS y FROM b GROUP BY query_id)
+SELECT query_id, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 4) AS robustness FROM sa JOIN sb USING (query_id)""",
+    "first_queries": "WITH a AS (WITH " + bm25_sql(3, _SCOPE, queries=_FIRST) + " SELECT * FROM bm WHERE score > 0), z AS (WITH " + bm25_sql(3, queries=_FIRST) + " SELECT * FROM bm) SELECT query_id, id, rank, false AS fallback FROM a UNION ALL SELECT query_id, id, rank, true FROM z WHERE query_id NOT IN (SELECT query_id FROM a)",
     "collection_stats": "SELECT count(*) AS n, min(len(embedding))::INT AS least_dimension, max(len(embedding))::INT AS most_dimension, count(DISTINCT label) AS labels FROM embeddings",
     "vectors_by_id": "SELECT vec_id AS id, label, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels)",
     "filtered_by_two": "SELECT doc_id, n_chars FROM documents WHERE lang = 'de' AND source = 'src3'",

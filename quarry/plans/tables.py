@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.versions import CALENDAR, PAIRS, version_date
@@ -39,10 +39,10 @@ def source_version() -> Column:
 
 
 def chunk_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a chunk: its source is the file, its language the document, its place in both the chunk index."""
+    """Every document as a chunk: its source is the file, its language the document, and its id gives the chunk index, so that files have
+    chunks at the same places."""
     d = table(spark, sf_dir, "documents").withColumn("version", source_version())
-    w = Window.partitionBy("source", "lang").orderBy("doc_id")
-    rows = d.select("doc_id", F.col("lang").alias("document_name"), "version", version_date(F.col("version")).alias("version_date"), F.col("source").alias("source_file"), (F.row_number().over(w) - 1).alias("chunk_index"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("checksum"))
+    rows = d.select("doc_id", F.col("lang").alias("document_name"), "version", version_date(F.col("version")).alias("version_date"), F.col("source").alias("source_file"), F.expr("doc_id div 40").alias("chunk_index"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("checksum"))
     return rows.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chunk_id"), "document_name", "version", "version_date", F.concat(F.lit("Section "), (F.col("chunk_index") + 1).cast("string")).alias("section_header"), "source_file", "chunk_index", "checksum")
 
 
@@ -63,10 +63,11 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VERSIONS = "[" + ", ".join(f"'{v}'" for v, _ in CALENDAR) + "]"
 CAL_SQL = "cal(version, version_date) AS (VALUES " + ", ".join(f"('{v}', DATE '{d}')" for v, d in CALENDAR) + ")"
 PAIRS_SQL = 'pairs("old", "new") AS (VALUES ' + ", ".join(f"('{a}', '{b}')" for a, b in PAIRS) + ")"
+DOC_VERSION_SQL = f"({_VERSIONS})[1 + coalesce(try_cast(regexp_extract(source, '[0-9]+') AS INT), 0) % 12]"
 CHUNKS_SQL = f"""{CAL_SQL},
 cv0 AS (
-  SELECT doc_id, 'd' || doc_id AS chunk_id, lang AS document_name, ({_VERSIONS})[1 + coalesce(try_cast(regexp_extract(source, '[0-9]+') AS INT), 0) % 12] AS version,
-         source AS source_file, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1 AS chunk_index, sha256(coalesce(text, '')) AS checksum
+  SELECT doc_id, 'd' || doc_id AS chunk_id, lang AS document_name, {DOC_VERSION_SQL} AS version,
+         source AS source_file, doc_id // 40 AS chunk_index, sha256(coalesce(text, '')) AS checksum
   FROM documents),
 cv AS (SELECT cv0.*, version_date, 'Section ' || (chunk_index + 1) AS section_header FROM cv0 JOIN cal USING (version))"""
 FACTS_SQL = f"""{CAL_SQL},
@@ -80,8 +81,12 @@ facts AS (
 WORDS = r"list_filter(regexp_split_to_array(lower(coalesce({}, '')), '\s+'), lambda w: w <> '')"
 
 
-def bm25_sql(k: int, where: str = "true", all_statistics: bool = False) -> str:
-    """CTEs up to bm(query_id, id, score, rank, normalised)."""
+def words_sql(column: str) -> str:
+    return WORDS.format(column)
+
+
+def bm25_sql(k: int, where: str = "true", all_statistics: bool = False, queries: str = "benchmark") -> str:
+    """CTEs up to bm(query_id, id, score, rank, normalised). queries: a table with item_id and text."""
     return f"""dw AS (SELECT doc_id AS id, {WORDS.format("text")} AS words, ({where}) AS wanted FROM documents),
 siz AS (SELECT id, len(words) AS size, wanted FROM dw WHERE {"true" if all_statistics else "wanted"}),
 st AS (SELECT count(*) AS n, avg(size) AS mean FROM siz),
@@ -89,14 +94,14 @@ tok AS (SELECT id, unnest(words) AS term FROM dw WHERE {"true" if all_statistics
 tf AS (SELECT id, term, count(*) AS tf FROM tok GROUP BY ALL),
 idf AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), st),
 fl AS (SELECT avg(idf) * 0.25 AS f FROM idf),
-qtok AS (SELECT item_id AS query_id, unnest({WORDS.format("text")}) AS term FROM benchmark),
+qtok AS (SELECT item_id AS query_id, unnest({WORDS.format("text")}) AS term FROM {queries}),
 qt AS (SELECT query_id, term, count(*) AS qtf FROM qtok GROUP BY ALL),
 sc AS (
   SELECT query_id, id, round(sum(qtf * (CASE WHEN idf < 0 THEN f ELSE idf END) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / mean))), 9) AS score
   FROM qt JOIN idf USING (term) JOIN tf USING (term) JOIN siz USING (id), fl, st WHERE wanted GROUP BY query_id, id),
 bm0 AS (
   SELECT q.query_id, d.id, coalesce(score, 0.0) AS score, row_number() OVER (PARTITION BY q.query_id ORDER BY coalesce(score, 0.0) DESC, d.id) AS rank
-  FROM (SELECT DISTINCT item_id AS query_id FROM benchmark) q CROSS JOIN (SELECT id FROM siz WHERE wanted) d LEFT JOIN sc USING (query_id, id)),
+  FROM (SELECT DISTINCT item_id AS query_id FROM {queries}) q CROSS JOIN (SELECT id FROM siz WHERE wanted) d LEFT JOIN sc USING (query_id, id)),
 bm AS (
   SELECT query_id, id, score, rank, round(score / (CASE WHEN best > 0 THEN best ELSE 1 END), 4) AS normalised
   FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM bm0 WHERE rank <= {k}))"""
@@ -119,3 +124,39 @@ def fuse_sql(k: int, alpha: str, name: str = "hy") -> str:
          round(CAST('{alpha}' AS DECIMAL(4,2)) * coalesce(CAST(round(dn.score, 4) AS DECIMAL(12,4)), 0) + (1 - CAST('{alpha}' AS DECIMAL(4,2))) * coalesce(CAST(bm.normalised AS DECIMAL(12,4)), 0), 4)::DOUBLE AS score
   FROM dn FULL OUTER JOIN bm USING (query_id, id)),
 {name} AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dr NULLS LAST, br, id) AS rank FROM {name}0) WHERE rank <= {k})"""
+
+
+_SPACE = r"[ \t\n\x0B\f\r]"
+_LAST = "length(list_last(string_split(acc, chr(31))))"
+
+
+def chunks_sql(source: str) -> str:
+    """CTEs up to chunks(id, chunk_index, text) of source (id, text). Paragraphs and the sentences of long ones come as one list, each with a
+    mark: P, a paragraph; F, a long one's first sentence; S, its others. The fold keeps chunks as one text, chr(31) between them."""
+    strip = lambda c: rf"regexp_replace({c}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+    sentences = rf"list_filter(string_split(regexp_replace(p, '([.!?]){_SPACE}+', '\1' || chr(30), 'g'), chr(30)), lambda x: x <> '')"
+    return rf"""paras AS (
+  SELECT id, list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '\n{{2,}}'), lambda p: {strip("p")}), lambda p: p <> '') AS ps FROM {source}),
+marked AS (
+  SELECT id, flatten(list_transform(ps, lambda p: CASE WHEN length(p) <= 800 THEN ['P' || p] ELSE list_transform({sentences}, lambda x, i: CASE WHEN i = 1 THEN 'F' ELSE 'S' END || x) END)) AS ms FROM paras),
+folded AS (
+  SELECT id, list_reduce(list_concat([''], ms), lambda acc, x: CASE
+    WHEN acc = '' THEN substr(x, 2)
+    WHEN x[1] = 'P' AND {_LAST} + length(x) + 1 <= 800 THEN acc || chr(10) || chr(10) || substr(x, 2)
+    WHEN x[1] = 'S' AND {_LAST} + length(x) <= 800 THEN acc || ' ' || substr(x, 2)
+    ELSE acc || chr(31) || substr(x, 2) END) AS said FROM marked),
+listed AS (SELECT id, list_filter(string_split(said, chr(31)), lambda c: length({strip("c")}) > 20) AS cs FROM folded),
+chunks AS (SELECT id, unnest(range(len(cs))) AS chunk_index, unnest(cs) AS text FROM listed)"""
+
+
+def typos_sql(source: str) -> str:
+    """A subquery (item_id, text) with the typos of source (item_id, text)."""
+    draw = lambda salt, i: f"('0x' || substr(md5(item_id || ':0:{salt}:' || ({i})), 1, 8))::BIGINT"
+    at = f"(1 + {draw(2, 'i - 1')} % (length(x) - 2))"
+    a, b, c, rest = f"substr(x, 1, {at})", f"substr(x, {at} + 1, 1)", f"substr(x, {at} + 2, 1)", f"substr(x, {at} + 3)"
+    edit = f"CASE {draw(3, 'i - 1')} % 3 WHEN 0 THEN {a} || {c} || {b} || {rest} WHEN 1 THEN {a} || {c} || {rest} ELSE {a} || {b} || {b} || {c} || {rest} END"
+    return rf"""(
+  SELECT item_id, CASE WHEN len(w) < 2 OR len(el) = 0 THEN text ELSE array_to_string(list_transform(w, lambda x, i: CASE WHEN list_contains(ch, i - 1) THEN {edit} ELSE x END), ' ') END AS text
+  FROM (SELECT *, list_transform(list_sort(list_transform(el, lambda e: {{'h': {draw(1, 'e')}, 'i': e}}))[1:2], lambda z: z.i) AS ch
+    FROM (SELECT *, list_filter(range(len(w)), lambda e: length(w[e + 1]) > 4) AS el
+      FROM (SELECT item_id, text, regexp_split_to_array(regexp_replace(text, '^{_SPACE}+|{_SPACE}+$', '', 'g'), '{_SPACE}+') AS w FROM {source}))))"""
