@@ -55,50 +55,55 @@ def edges(pages: DataFrame) -> DataFrame:
     return linked.unionByName(up).unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def page_rank(graph: DataFrame, nodes: DataFrame, seed: Column, damping: float = 0.85, tolerance: float = 1e-5) -> DataFrame:
-    """Personalised PageRank (node, rank) over (src, dst, n): a walk that restarts at nodes in proportion to ``seed``, with probability
-    1 - damping and from where there is no way out. Ranks add up to 1, or are 0 where there is no seed. nodes has node and
-    the columns of seed.
+def page_rank(graph: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-4) -> DataFrame:
+    """Personalised PageRanks (side, node, rank) of a few graphs at once, which ``side`` tells apart: (side, src, dst, n) and (side,
+    node, weight). A walk follows links by their n with probability ``damping``; else, and from where there is no way out, it
+    restarts at a node by its weight. The ranks of a side add up to 1; a node that no walk visits has no row.
 
     What walks visit before their first restart is summed up, step by step; restarts repeat it, so that this sum over its
     total is the rank, dead ends included. A step more is one join and one aggregation; every fifth ends in a table in the
     shared folder. All steps to come add at most so much of what the last five did as five steps of pure damping leave of
     it: it ends when that is below ``tolerance`` of the total, however many steps it takes."""
-    total = nodes.agg(F.sum(seed)).first()[0] or 0.0
-    if not total:
-        return nodes.select("node", F.lit(0.0).alias("rank"))
-    base = stash(nodes.select("node", (seed / F.lit(total)).alias("visits")).where("visits > 0"), "restart")
-    out = graph.groupBy("src").agg(F.sum("n").alias("out"))
-    share = stash(graph.join(out, "src").select("src", "dst", (F.lit(damping) * F.col("n") / F.col("out")).alias("p")), "shares")
-    visits, seen, left = base, 1.0, damping**5
+    total = lambda df, c: {r["side"]: r["s"] for r in df.groupBy("side").agg(F.sum(c).alias("s")).collect()}  # noqa: E731  # a row a side
+    over = lambda by: F.create_map(*(F.lit(x) for pair in by.items() for x in pair))[F.col("side")]
+    seeds = seeds.where("weight > 0")
+    weights = total(seeds, "weight")
+    if not weights:
+        return seeds.select("side", "node", F.col("weight").alias("rank"))
+    base = stash(seeds.select("side", "node", (F.col("weight") / over(weights)).alias("visits")), "restart")
+    out = graph.groupBy("side", "src").agg(F.sum("n").alias("out"))
+    share = stash(graph.join(out, ["side", "src"]).select("side", F.col("src").alias("node"), "dst", (F.lit(damping) * F.col("n") / F.col("out")).alias("p")), "shares")
+    visits, seen, left = base, dict.fromkeys(weights, 1.0), damping**5
     while True:
         last = visits
         for _ in range(5):
-            moved = share.join(visits, share["src"] == visits["node"]).select(F.col("dst").alias("node"), (F.col("p") * F.col("visits")).alias("visits"))
-            visits = base.unionAll(moved).groupBy("node").agg(F.sum("visits").alias("visits"))
+            moved = share.join(visits, ["side", "node"]).select("side", F.col("dst").alias("node"), (F.col("p") * F.col("visits")).alias("visits"))
+            visits = base.unionAll(moved).groupBy("side", "node").agg(F.sum("visits").alias("visits"))
         visits = stash(visits, "visits")
         if last is not base:
             discard(last)
-        before, seen = seen, visits.agg(F.sum("visits")).first()[0]
-        if (seen - before) * left / (1 - left) <= tolerance * seen:
+        before, seen = seen, total(visits, "visits")
+        if all((seen[k] - before[k]) * left / (1 - left) <= tolerance * seen[k] for k in seen):
             break
-    rank = stash(nodes.join(visits, "node", "left").select("node", (F.coalesce("visits", F.lit(0.0)) / F.lit(seen)).alias("rank")), "rank")
+    rank = stash(visits.select("side", "node", (F.col("visits") / over(seen)).alias("rank")), "rank")
     for old in (base, share, visits):
         discard(old)
     return rank
 
 
-def judge_hosts(judged: DataFrame, graph: DataFrame, damping: float = 0.85, tolerance: float = 1e-5) -> DataFrame:
+def judge_hosts(judged: DataFrame, graph: DataFrame, damping: float = 0.85, tolerance: float = 1e-4) -> DataFrame:
     """(host, trust, distrust, blocked) for each host. judged: pages with host, and rule verdicts (null: none)."""
-    seeds = judged.where("host <> ''").groupBy(F.col("host").alias("node")).agg(F.count_if(F.col("verdict") == "allow").cast("double").alias("good"), F.count_if(F.col("verdict") == "block").cast("double").alias("bad"))
-    every = graph.select(F.col("src").alias("node")).union(graph.select(F.col("dst").alias("node"))).union(seeds.select("node")).distinct()
-    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
-    nodes = stash(every.join(seeds, "node", "left").select("node", zero("good"), zero("bad")), "nodes")
-    back = graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    trust = page_rank(graph, nodes, F.col("good"), damping, tolerance).withColumnRenamed("rank", "trust")
-    distrust = page_rank(back, nodes, F.col("bad"), damping, tolerance).withColumnRenamed("rank", "distrust")
-    both = trust.join(distrust, "node").select(F.col("node").alias("host"), "trust", "distrust", (F.col("distrust") > F.col("trust") * (1 + tolerance)).alias("blocked"))
-    return stash(both, "hosts")
+    seeds = judged.where("host <> ''").groupBy(F.col("host").alias("node"), "verdict").agg(F.count("*").cast("double").alias("weight"))
+    seeds = stash(seeds, "seeds")
+    side = F.when(F.col("verdict") == "allow", 0).when(F.col("verdict") == "block", 1)
+    back = graph.select(F.lit(1).alias("side"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
+    rank = page_rank(graph.select(F.lit(0).alias("side"), "src", "dst", "n").unionAll(back), seeds.where("verdict is not null").select(side.alias("side"), "node", "weight"), damping, tolerance)
+    every = graph.select(F.col("src").alias("node")).union(graph.select(F.col("dst").alias("node"))).union(seeds.select("node")).select("node", F.lit(None).cast("int").alias("side"), F.lit(0.0).alias("rank"))
+    sided = lambda k: F.sum(F.when(F.col("side") == k, F.col("rank")).otherwise(0.0))
+    both = every.unionAll(rank.select("node", "side", "rank")).groupBy(F.col("node").alias("host")).agg(sided(0).alias("trust"), sided(1).alias("distrust"))
+    out = stash(both.withColumn("blocked", F.col("distrust") > F.col("trust") * (1 + tolerance)), "hosts")
+    discard(seeds)
+    return out
 
 
 def judge_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:

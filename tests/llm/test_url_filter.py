@@ -88,7 +88,7 @@ def test_against_brute_force(spark):
     for d, url, _ in PAGES:
         h, p = host_path(url)
         r = rule(h, p)
-        want.add((d, h, p, r and r[1], r[0] if r else "block" if h and distrust[h] > trust[h] * 1.00001 else "allow"))
+        want.add((d, h, p, r and r[1], r[0] if r else "block" if h and distrust[h] > trust[h] * 1.0001 else "allow"))
     assert out == want
     assert {v for *_, r, v in want if r is None} == {"allow", "block"}  # the method decides both ways here
     got = {(e.src, e.dst): e.n for e in edges(df.selectExpr("lower(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1)) host", "html")).collect()}
