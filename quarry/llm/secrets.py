@@ -222,9 +222,8 @@ class Scanner:
     def __init__(self, field: Field, remember: int = 250_000, block: int = 1 << 17):
         self.field, self.remember, self.block = field, remember, block
         # what two transitions can repay at most; a text's first token has its own instead of the one before it
-        t, first = field.w["between"], field.w["first"]
-        inner = float(t.max() - t.min())
-        self.certain = inner + max(inner, float(first.max() - first.min())) + 1e-6
+        inner, first = (float(x.max() - x.min()) for x in (field.w["between"], field.w["first"]))
+        self.certain, self.certain_first = 2 * inner + 1e-6, inner + first + 1e-6
         self.known: dict[str, int] = {}
         self.outlines: dict[tuple, np.ndarray] = {}
         self.scores, self.contexts = np.zeros((1024, 3)), np.zeros(1024, np.int64)
@@ -263,7 +262,10 @@ class Scanner:
             ctx = np.zeros(end - at + 3, np.int64)
             ctx[2 - (at - a) : 2 - (at - a) + len(ids)] = self.contexts[ids]
             e = self.field.emissions(self.scores[ids[at - a : at - a + end - at]], ctx, file)
-            may = np.flatnonzero(e[:, O] - np.maximum(e[:, B], e[:, I]) <= self.certain)
+            ahead = e[:, O] - np.maximum(e[:, B], e[:, I])
+            if not at:
+                ahead[0] += self.certain - self.certain_first
+            may = np.flatnonzero(ahead <= self.certain)
             for run in np.split(may, np.flatnonzero(np.diff(may) > 1) + 1):
                 if len(run):
                     if held and held[0] + sum(map(len, held[1])) == at + run[0]:
