@@ -5,14 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import quarry.llm
-
-cloudpickle.register_pickle_by_value(quarry.llm)  # executors need no installed copy of this package
-
 
 #: Rows that go to a Python worker at once. Texts are long; the default of 10,000 rows makes workers large.
 BATCH_ROWS = 1000
@@ -44,17 +39,25 @@ def give_back() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, the warehouse's, or on a single machine (in
+    tests) a temporary one."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
+        single = sc.master.startswith("local") and "cluster" not in sc.master
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-") if single else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/quarry-checkpoints")
         at = sc.getCheckpointDir()
     return at.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/quarry-{tag}-{uuid.uuid4().hex}"
+    """A new path for a table of this application: all of them are in one folder, which can be deleted when its results are stored."""
+    path = f"{shared_dir(spark)}/quarry-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+_made: list[str] = []  # in the order of making
 
 
 def stash(df: DataFrame, tag: str) -> DataFrame:
@@ -67,6 +70,25 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def mark() -> int:
+    """A moment, for sweep()."""
+    return len(_made)
+
+
+def sweep(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Deletes what was put into the shared folder since mark(), but for one stashed table: for callers that have stored a result, of which
+    nothing else is read any more."""
+    for path in _made[since:]:
+        if path != keep._quarry_path:
+            delete(spark, path)
+    _made[since:] = [keep._quarry_path]
+
+
 def numbered(df: DataFrame, tag: str, *more: Column) -> DataFrame:
     """A stashed table (n, row, *more): df's rows as structs, so that no names clash, each with a number of its own."""
     return stash(df.select(F.monotonically_increasing_id().alias("n"), F.struct(*df.columns).alias("row"), *more), tag)
@@ -74,9 +96,7 @@ def numbered(df: DataFrame, tag: str, *more: Column) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Deletes a stashed table that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._quarry_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(df.sparkSession, df._quarry_path)
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:

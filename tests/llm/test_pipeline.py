@@ -1,8 +1,12 @@
+import os
+import random
 import re
 import zlib
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from quarry.llm import queries
+from quarry.llm import common, queries
 from tests.llm.test_decontaminate import brute as brute_hits
 from tests.llm.test_simhash import brute_components, brute_fingerprint
 
@@ -58,6 +62,61 @@ def test_stages_with_nulls_repeats_and_empty_tables(spark, small):
             assert out.count() == len(rows)
 
 
+def test_columns_may_have_any_name(spark, small):
+    """Names that the stages use themselves, and types of all kinds."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(40)
+    names = ["row", "n", "found", "id", "tie", "fp", "w0", "stays", "keep_id", "order", "chars", "__key"]
+    more = docs.select("*", *(F.lit(i).alias(x) for i, x in enumerate(names)), F.array(F.lit(1)).alias("f"), F.struct(F.lit("x").alias("y")).alias("h"))
+    for (name, stage), plain in zip(corpus_pipeline.STAGES[:-1], corpus_pipeline.STAGES[:-1], strict=True):
+        out = stage(spark, more, small)
+        assert out.columns == more.columns, name
+        assert sorted(r["doc_id"] for r in out.collect()) == sorted(r["doc_id"] for r in plain[1](spark, docs, small).collect())
+        assert out.where("n <> 1 or found <> 2 or h.y <> 'x'").count() == 0
+    assert corpus_pipeline.packing(spark, more, small).count() > 0
+
+
+def test_what_stays_does_not_depend_on_the_order(spark, small):
+    text = "the house and the garden are by the river and the old mill"
+    rows = [(1, text, lang, source, n) for lang in ("en", "de") for source in ("a", "b") for n in (1, 2)] + [(None, text, "en", "a", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for stage in (corpus_pipeline.exact, corpus_pipeline.near):
+        kept = {tuple(stage(spark, spark.createDataFrame(own, schema).repartition(k), small).collect()[0]) for k, own in ((1, rows), (3, rows[::-1]), (2, rows[4:] + rows[:4]))}
+        assert len(kept) == 1 and kept.pop()[0] == 1
+        assert stage(spark, spark.createDataFrame(rows, schema), small).count() == 1
+
+
+def test_run_leaves_nothing_but_what_its_result_reads(spark, tmp_path, small):
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{small}/{name}.parquet").limit(60).write.parquet(f"{tmp_path}/{name}.parquet")
+    since = common.mark()
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    left = [p.rsplit("/", 1)[-1].rsplit("-", 1)[0] for p in common._made[since:] if os.path.exists(p.removeprefix("file:"))]
+    assert [x for x in left if x.startswith("stage-")] == ["stage-decontaminate"] and not any(x.startswith(("near", "exact", "simhash")) for x in left)
+    assert out.count() > 0
+
+
+def test_near_copies_are_caught(spark, small):
+    """Copies with some words replaced, of a resemblance of 0.8 or more by words of five: nine in ten go, whatever the place of the changes."""
+    rng = random.Random(3)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 600").orderBy("doc_id").limit(250).collect()]
+    shingles = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    rows, copies = [], 0
+    for i, text in enumerate(texts):
+        words = text.lower().split()
+        own = list(words)
+        for _ in range(max(1, int(len(words) * rng.uniform(0.002, 0.025)))):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+        a, b = shingles(words), shingles(own)
+        rows.append((2 * i, text, "en", "s", 1))
+        if len(a & b) >= 0.8 * len(a | b):
+            rows.append((2 * i + 1, " ".join(own), "en", "s", 1))
+            copies += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.near(spark, docs, small).collect()}
+    missed = sum(1 for r in rows if r[0] % 2 and r[0] in kept)
+    assert copies > 150 and missed <= 0.1 * copies
+
+
 def test_without_labels_only_texts_without_a_letter_go(spark, small):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     held = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 3 == 1)
