@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import numbered, small_batches, stash, table, tokenizer_path
+from quarry.llm.common import mark, numbered, small_batches, stash, sweep, table, tokenizer_path
 from quarry.llm.decontaminate import contamination
 from quarry.llm.exact_dedup import deduplicate
 from quarry.llm.language import UNKNOWN, has_letter, predict, train_language_model
@@ -75,7 +75,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Applies the stages to documents. What a stage wrote on its way, and its input, are deleted once its result is stored."""
+    docs, since = table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir), f"stage-{name}")
+        sweep(spark, since, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
