@@ -10,7 +10,7 @@ from quarry.functions.vectors import cosine
 from quarry.operators import answers as A
 from quarry.operators import relevance as M
 from quarry.operators.retrieval import bm25, hashed_embedding
-from quarry.plans.tables import CAL_SQL, DOC_VERSION_SQL, FACTS_SQL, WORDS, asked, bm25_sql, calendar_at, docs, facts, source_version, table
+from quarry.plans.tables import CAL_SQL, CONTENT, DOC_VERSION_SQL, FACTS_SQL, WORDS, answer_sql, any_sql, asked, bm25_sql, calendar_at, docs, facts, less_sql, share_sql, source_version, table
 from quarry.sources.store import report_lines
 
 
@@ -142,27 +142,22 @@ def foreign_key_lookup(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (faithfulness, context_recall, answer_relevancy, noise_sensitivity, latency_percentiles, stage_latency_avg, classify_queries, category_distribution, query_category_metrics, query_text_fallback, console_report, judged_blend, versioned_prompts, classify_failures, failure_summary, llm_fallback_answer, parse_scores, set_ops, foreign_key_lookup)}
 
 _TURNS = """WITH t AS (SELECT conv_id, turn, text AS question, lead(text) OVER w AS answer, lag(text) OVER w AS earlier FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"""
-_CONTENT = r"list_distinct(list_filter(regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z0-9]{{4,}}')))"
-_list = lambda words: "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
-_less = lambda words, stop: f"list_filter({words}, lambda w: NOT list_contains({_list(stop)}, w))"
-_any = lambda c, words: "(" + " OR ".join(f"contains({c}, '" + w.replace("'", "''") + "')" for w in words) + ")"
-_share = lambda c: f"CASE WHEN len({c}) = 0 THEN 1.0 ELSE len(list_filter({c}, lambda w: contains(ctx, w))) / len({c}) END"
 _V = r"(^|[^a-z0-9_])v?[0-9]+\.[0-9]+(\.[0-9]+)?($|[^a-z0-9_])"
-_CATEGORY = f"""CASE WHEN {_any("q", COMPARISON)} THEN 'Comparison Query' WHEN {_any("q", CROSS_VERSION)} THEN 'Cross-Version Query' WHEN regexp_matches(q, '{_V}') OR {_any("q", VERSION_WORDS)} THEN 'Version-Specific Query'
-  WHEN {_any("q", CHANGE_VERBS + FEATURE_WORDS)} THEN 'Feature/Change Query' ELSE 'General Fact Query' END"""
+_CATEGORY = f"""CASE WHEN {any_sql("q", COMPARISON)} THEN 'Comparison Query' WHEN {any_sql("q", CROSS_VERSION)} THEN 'Cross-Version Query' WHEN regexp_matches(q, '{_V}') OR {any_sql("q", VERSION_WORDS)} THEN 'Version-Specific Query'
+  WHEN {any_sql("q", CHANGE_VERBS + FEATURE_WORDS)} THEN 'Feature/Change Query' ELSE 'General Fact Query' END"""
 _CLASSED = f"WITH {FACTS_SQL}, cf AS (SELECT *, {_CATEGORY} AS category FROM (SELECT *, lower(query) AS q FROM facts))"
 _SHARES = " SELECT {0}, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 1) AS share FROM {1} GROUP BY {0}"
 _note = lambda k: "'" + NOTES[k].replace("{expected}", "' || expected_version || '").replace("{retrieved}", "' || retrieved_version || '").replace("{n}", "' || retrieved_chunks || '").replace("{k}", "5") + "'"
 _FAILED = f"""WITH {FACTS_SQL},
-g AS (SELECT *, retrieved_version <> 'none' AND retrieved_version = expected_version AS ok, NOT (regexp_matches(lower(query), '{_V}') OR {_any("lower(query)", ANCHORS)}) AS vague FROM facts WHERE retrieved_chunks = 0 OR temporal_leak OR retrieved_chunks < 5),
+g AS (SELECT *, retrieved_version <> 'none' AND retrieved_version = expected_version AS ok, NOT (regexp_matches(lower(query), '{_V}') OR {any_sql("lower(query)", ANCHORS)}) AS vague FROM facts WHERE retrieved_chunks = 0 OR temporal_leak OR retrieved_chunks < 5),
 fl AS (SELECT *, CASE WHEN retrieved_chunks = 0 THEN ['No Relevant Chunk Retrieved', {_note("none")}] WHEN temporal_leak OR NOT ok THEN ['Wrong Version Retrieved', {_note("version")}]
   WHEN retrieved_chunks < 5 AND vague THEN ['Ambiguous Query', {_note("few")}] WHEN retrieved_chunks < 5 THEN ['Sparse Coverage', {_note("sparse")}] WHEN vague THEN ['Ambiguous Query', {_note("ambiguous")}] ELSE ['Wrong Chunk Retrieved', {_note("chunk")}] END AS f FROM g)"""
 
 SQL = {
-    "faithfulness": _TURNS + f""", c AS (SELECT conv_id, turn, lower(answer) AS a, lower(coalesce(question, '')) AS ctx, {_less(_CONTENT.format("answer"), M.ANSWER_STOP)} AS ws FROM t WHERE answer IS NOT NULL)
-SELECT conv_id, turn, round(CASE WHEN {_any("a", M.REFUSALS)} THEN 1.0 ELSE {_share("ws")} END, 6) AS faithfulness FROM c""",
-    "context_recall": _TURNS + f""", c AS (SELECT conv_id, turn, lower(answer) AS ctx, {_less(_CONTENT.format("question"), M.TRUTH_STOP)} AS ws FROM t WHERE answer IS NOT NULL)
-SELECT conv_id, turn, round({_share("ws")}, 6) AS context_recall FROM c""",
+    "faithfulness": _TURNS + f""", c AS (SELECT conv_id, turn, lower(answer) AS a, lower(coalesce(question, '')) AS ctx, {less_sql(CONTENT.format("answer"), M.ANSWER_STOP)} AS ws FROM t WHERE answer IS NOT NULL)
+SELECT conv_id, turn, round(CASE WHEN {any_sql("a", M.REFUSALS)} THEN 1.0 ELSE {share_sql("ws")} END, 6) AS faithfulness FROM c""",
+    "context_recall": _TURNS + f""", c AS (SELECT conv_id, turn, lower(answer) AS ctx, {less_sql(CONTENT.format("question"), M.TRUTH_STOP)} AS ws FROM t WHERE answer IS NOT NULL)
+SELECT conv_id, turn, round({share_sql("ws")}, 6) AS context_recall FROM c""",
     "answer_relevancy": _TURNS + f""", p AS (SELECT conv_id, turn, question, answer FROM t WHERE answer IS NOT NULL),
 w AS (SELECT conv_id, turn, 'q' AS side, unnest({WORDS.format("question")}) AS term FROM p UNION ALL SELECT conv_id, turn, 'a', unnest({WORDS.format("answer")}) FROM p),
 v AS (SELECT conv_id, turn, side, ('0x' || substr(md5(term), 1, 4))::INT % 64 AS b, count(*) AS c FROM w GROUP BY ALL),
@@ -170,7 +165,7 @@ n AS (SELECT conv_id, turn, side, sum(c * c) AS s FROM v GROUP BY ALL),
 d AS (SELECT x.conv_id, x.turn, sum(x.c * y.c) AS dot FROM v x JOIN v y USING (conv_id, turn, b) WHERE x.side = 'q' AND y.side = 'a' GROUP BY ALL)
 SELECT p.conv_id, p.turn, round(coalesce(CASE WHEN answer = '' THEN 0.0 ELSE dot / sqrt(nq.s * na.s) END, 0.0), 6) AS answer_relevancy
 FROM p LEFT JOIN d USING (conv_id, turn) LEFT JOIN n nq ON nq.conv_id = p.conv_id AND nq.turn = p.turn AND nq.side = 'q' LEFT JOIN n na ON na.conv_id = p.conv_id AND na.turn = p.turn AND na.side = 'a'""",
-    "noise_sensitivity": _TURNS + f""", c AS (SELECT conv_id, turn, {_CONTENT.format("answer")} AS aw, {_CONTENT.format("question")} AS rw, {_CONTENT.format("earlier")} AS nw FROM t WHERE answer IS NOT NULL),
+    "noise_sensitivity": _TURNS + f""", c AS (SELECT conv_id, turn, {CONTENT.format("answer")} AS aw, {CONTENT.format("question")} AS rw, {CONTENT.format("earlier")} AS nw FROM t WHERE answer IS NOT NULL),
 m AS (SELECT *, list_filter(nw, lambda w: NOT list_contains(rw, w)) AS mis FROM c)
 SELECT conv_id, turn, round(CASE WHEN len(mis) = 0 OR len(aw) = 0 THEN 0.0 ELSE len(list_intersect(aw, mis)) / len(aw) END, 6) AS noise_sensitivity FROM m""",
     "latency_percentiles": """SELECT event_type, round(quantile_cont(value, 0.5), 3) AS p50, round(quantile_cont(value, 0.95), 3) AS p95, round(quantile_cont(value, 0.99), 3) AS p99, round(avg(value), 3) AS mean, round(min(value), 3) AS min, round(max(value), 3) AS max, count(value) AS n FROM events GROUP BY event_type""",
@@ -182,14 +177,7 @@ SELECT conv_id, turn, round(CASE WHEN len(mis) = 0 OR len(aw) = 0 THEN 0.0 ELSE
 FROM (SELECT *, retrieved_chunks > 0 AND NOT temporal_leak AS good FROM cf) GROUP BY category""",
     "classify_failures": _FAILED + " SELECT query_id, query, expected_version, retrieved_version, retrieved_chunks, f[1] AS failure_category, f[2] AS notes FROM fl",
     "failure_summary": _FAILED + _SHARES.format("failure_category", "(SELECT f[1] AS failure_category FROM fl)"),
-    "llm_fallback_answer": _TURNS + r""", l AS (
-  SELECT conv_id, turn, lower(coalesce(earlier, '')) AS asked, list_filter(list_transform(string_split(coalesce(question, ''), chr(10)), lambda x: trim(regexp_replace(trim(x, ' 	' || chr(13)), '^[- ]+', ''), ' 	' || chr(13))), lambda x: x <> '') AS lines,
-         list_filter(regexp_split_to_array(lower(replace(coalesce(earlier, ''), '?', '')), '\s+'), lambda w: length(w) > 3) AS ws FROM t),
-h AS (SELECT *, list_filter(lines, lambda x: len(list_filter(ws, lambda w: contains(lower(x), w))) > 0) AS hits FROM l),
-b AS (SELECT *, CASE WHEN len(hits) > 0 THEN list_filter(hits, lambda x: length(x) = list_max(list_transform(hits, lambda y: length(y))))[1] ELSE coalesce(lines[1], '') END AS best FROM h),
-p AS (SELECT *, list_filter(string_split(best, '.'), lambda x: contains(lower(x), 'cast'))[1] AS part, list_filter(string_split(best, '.'), lambda x: contains(lower(x), 'directors') OR contains(lower(x), 'directed'))[1] AS dir FROM b)
-SELECT conv_id, turn, CASE WHEN best = '' THEN 'I could not find the answer in the provided documents.' WHEN contains(asked, 'directed by') THEN coalesce('Based on the context, ' || trim(dir) || '.', 'Synthesized answer: ' || best)
-  WHEN contains(asked, 'featuring') OR contains(asked, 'cast') THEN coalesce('The movie features cast members: ' || trim(replace(part, 'Cast:', '')) || '.', 'Synthesized answer: ' || best) ELSE 'Synthesized answer: ' || best END AS answer FROM p""",
+    "llm_fallback_answer": _TURNS + ", a AS (" + answer_sql("(SELECT conv_id, turn, question, earlier FROM t)", "coalesce(earlier, '')", "coalesce(question, '')") + ") SELECT conv_id, turn, answer FROM a",
     "parse_scores": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN round(printf('%.2f', value % 1)::DOUBLE, 6) ELSE 0.5 END AS score FROM events",
     "set_ops": """SELECT 'labelled' AS what, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT 'unlabelled', count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
 UNION ALL SELECT 'both', count(*) FROM (SELECT source FROM documents WHERE lang = 'en' INTERSECT SELECT source FROM documents WHERE lang <> 'en') UNION ALL SELECT 'either', count(DISTINCT source) FROM documents WHERE lang IS NOT NULL UNION ALL SELECT 'concatenated', 2 * count(*) FROM documents""",

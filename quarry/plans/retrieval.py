@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import typos
+from quarry.functions.vectors import cosine
+from quarry.operators import answers as A
 from quarry.operators import relevance as M
 from quarry.operators import retrieval as R
-from quarry.plans.tables import CAL_SQL, WORDS, asked, bm25_sql, dense_sql, docs, fuse_sql, query_vectors, source_version, table, typos_sql, vectors
+from quarry.plans.tables import CAL_SQL, CONTENT, WORDS, answer_sql, any_sql, asked, bm25_sql, dense_sql, docs, fuse_sql, less_sql, query_vectors, share_sql, source_version, table, typos_sql, vectors
 
 ROW = ("query_id", "id", "score", "rank")
 
@@ -47,9 +49,9 @@ def bm25_topk_source(spark: SparkSession, d: str) -> DataFrame:
     return R.bm25(docs(spark, d), asked(spark, d), 5, where=F.col("source") == "src0", statistics_of_all=True).select("query_id", "id", "rank", F.col("normalised").alias("score"))
 
 
-def _sides(spark: SparkSession, d: str, pool: int) -> tuple[DataFrame, DataFrame]:
+def _sides(spark: SparkSession, d: str, pool: int, queries: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     embedded = R.spread(docs(spark, d).select("id", "text")).select("id", R.hashed_embedding(F.col("text")).alias("embedding"))
-    queries = asked(spark, d)
+    queries = asked(spark, d) if queries is None else queries
     dense = R.knn(embedded, queries.select("query_id", R.hashed_embedding(F.col("text")).alias("embedding")), pool)
     return dense, R.bm25(docs(spark, d), queries, pool)
 
@@ -130,6 +132,37 @@ def tier1_by_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("model").agg(*map(M.mean, ("hit", "precision", "recall", "mrr")))
 
 
+def _runs(spark: SparkSession, d: str, queries: DataFrame) -> DataFrame:
+    """(model, query_id, id, rank): the first five of three pipelines."""
+    dense, sparse = _sides(spark, d, 15, queries)
+    five = lambda name, df: df.where("rank <= 5").select(F.lit(name).alias("model"), "query_id", "id", "rank")
+    return five("Vector", dense).unionAll(five("BM25", sparse)).unionAll(five("Hybrid", R.fuse(dense, sparse, 5, "0.5")))
+
+
+def tier2_by_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Means of the six answer metrics over all queries of each pipeline. A query is its own ground truth; answers are extracted."""
+    queries, key = asked(spark, d), ["model", "query_id"]
+    found = _runs(spark, d, queries).join(docs(spark, d).select("id", F.coalesce("text", F.lit("")).alias("text")), "id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
+    found = found.withColumn("fits", M.is_relevant(F.col("id"), F.lit(""), F.col("text"), F.col("query")))
+    per = found.groupBy(*key).agg(F.first("query").alias("query"), F.collect_list(F.struct("rank", "text", "fits")).alias("docs"), F.collect_set("id").alias("ids"))
+    per = per.withColumn("docs", F.array_sort("docs")).withColumn("answer", A.answer(F.col("query"), F.col("docs")))
+    texts = lambda keep: F.transform(F.filter("docs", keep), lambda x: x["text"])
+    context = F.array_join(texts(lambda x: F.lit(True)), " ")
+    running = Window.partitionBy(*key).orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = found.withColumn("p", F.count_if("fits").over(running) / F.col("rank")).groupBy(*key).agg(F.coalesce(F.avg(F.when(F.col("fits"), F.col("p"))), F.lit(0.0)).alias("context_precision"))
+    bent = queries.select("query_id", typos(F.col("text"), F.col("query_id")).alias("text"))
+    moved = _runs(spark, d, bent).groupBy(*key).agg(F.collect_set("id").alias("bent"))
+    every = per.join(at, key).join(moved, key, "left").select(
+        "model", M.faithfulness(F.col("answer"), context).alias("faithfulness"), cosine(R.hashed_embedding(F.col("query")), R.hashed_embedding(F.col("answer"))).alias("answer_relevancy"), "context_precision",
+        M.context_recall(F.col("query"), context).alias("context_recall"), M.noise_sensitivity(F.col("answer"), F.col("query"), texts(lambda x: x["fits"]), texts(lambda x: ~x["fits"])).alias("noise_sensitivity"),
+        M.robustness(F.col("ids"), F.coalesce("bent", F.array().cast("array<bigint>"))).alias("robustness"),
+    )
+    return every.groupBy("model").agg(*map(M.mean, TIER2))
+
+
+TIER2 = ("faithfulness", "answer_relevancy", "context_precision", "context_recall", "noise_sensitivity", "robustness")
+
+
 def keyword_metrics(spark: SparkSession, d: str) -> DataFrame:
     """The keyword is the query's longest word (the first of equally long ones)."""
     words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
@@ -186,7 +219,7 @@ def filtered_by_two(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where((F.col("lang") == "de") & (F.col("source") == "src3")).select("doc_id", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (vector_topk_cosine, vector_topk_l2, vector_topk_filtered, knn_hit_precision_recall_mrr, bm25_topk, bm25_topk_source, dense_topk, hybrid_topk, hybrid_distance_topk, threshold_hybrid_topk, rerank_topk, hybrid_rerank_topk, threshold_rerank_topk, version_fallback_topk, first_queries, jaccard_relevance, tier1_metrics, tier1_by_pipeline, keyword_metrics, keyword_by_method, context_precision_ap, robustness, collection_stats, vectors_by_id, filtered_by_two)}
+QUERIES = {f.__name__: f for f in (vector_topk_cosine, vector_topk_l2, vector_topk_filtered, knn_hit_precision_recall_mrr, bm25_topk, bm25_topk_source, dense_topk, hybrid_topk, hybrid_distance_topk, threshold_hybrid_topk, rerank_topk, hybrid_rerank_topk, threshold_rerank_topk, version_fallback_topk, first_queries, jaccard_relevance, tier1_metrics, tier1_by_pipeline, tier2_by_pipeline, keyword_metrics, keyword_by_method, context_precision_ap, robustness, collection_stats, vectors_by_id, filtered_by_two)}
 
 _KNN = """WITH s AS (
   SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, q.label AS query_label, round({score}, 12) AS score
@@ -228,6 +261,12 @@ def _pipeline(name: str, label: str) -> str:
     return body, f"SELECT '{label}' AS model, {_means('hit', 'precision', 'recall', 'mrr')} FROM m{name}"
 
 
+def _three(queries: str) -> str:
+    """The runs of three pipelines over a table of queries."""
+    five = " UNION ALL ".join(f"SELECT '{label}' AS model, query_id, id, rank FROM {name} WHERE rank <= 5" for label, name in (("Vector", "dn"), ("BM25", "bm"), ("Hybrid", "hy")))
+    return "WITH " + bm25_sql(15, queries=queries) + ",\n" + dense_sql(15) + ",\n" + fuse_sql(5, "0.5") + " " + five
+
+
 _PARTS = [_pipeline("dn", "Vector"), _pipeline("bm", "BM25"), _pipeline("hy", "Hybrid")]
 
 SQL = {
@@ -253,6 +292,26 @@ h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
     "jaccard_relevance": "WITH " + bm25_sql(5) + f" SELECT query_id, id, rank, {_FITS} AS fits FROM bm JOIN documents d ON d.doc_id = id JOIN benchmark b ON b.item_id = query_id",
     "tier1_metrics": "WITH " + bm25_sql(5) + ",\n" + _TIER1.format(fits=_FITS, name="bm") + " SELECT mbm.*, s.avg_similarity FROM mbm JOIN (SELECT query_id, round(avg(normalised), 4) AS avg_similarity FROM bm GROUP BY query_id) s USING (query_id)",
     "tier1_by_pipeline": _HYBRID + ",\n" + ",\n".join(p[0] for p in _PARTS) + "\n" + " UNION ALL ".join(p[1] for p in _PARTS),
+    "tier2_by_pipeline": f"""WITH a AS ({_three("benchmark")}), b AS ({_three(typos_sql("benchmark"))}),
+f AS (SELECT a.*, coalesce(d.text, '') AS text, b.text AS query, {_FITS} AS fits FROM a JOIN documents d ON d.doc_id = id JOIN benchmark b ON b.item_id = query_id),
+g AS (
+  SELECT model, query_id, any_value(query) AS question, list(id) AS ids, string_agg('- Document [' || rank || ']: ' || text || chr(10), '' ORDER BY rank) AS said, lower(string_agg(text, ' ' ORDER BY rank)) AS ctx,
+         coalesce(string_agg(text, ' ' ORDER BY rank) FILTER (fits), '') AS good, coalesce(string_agg(text, ' ' ORDER BY rank) FILTER (NOT fits), '') AS noise, count(*) FILTER (fits) AS n_good, count(*) FILTER (NOT fits) AS n_noise
+  FROM f GROUP BY ALL),
+w AS ({answer_sql("g", "question", "said")}),
+c AS (SELECT *, lower(answer) AS la, {less_sql(CONTENT.format("answer"), M.ANSWER_STOP)} AS fw, {less_sql(CONTENT.format("question"), M.TRUTH_STOP)} AS tw, {CONTENT.format("answer")} AS aw,
+  list_filter({CONTENT.format("noise")}, lambda x: NOT list_contains(list_concat({CONTENT.format("good")}, {CONTENT.format("question")}), x)) AS mis FROM w),
+tv AS (SELECT model, query_id, side, ('0x' || substr(md5(term), 1, 4))::INT % 64 AS k, count(*) AS c FROM (SELECT model, query_id, 'q' AS side, unnest({WORDS.format("question")}) AS term FROM w UNION ALL SELECT model, query_id, 'a', unnest({WORDS.format("answer")}) FROM w) GROUP BY ALL),
+tn AS (SELECT model, query_id, sum(c * c) FILTER (side = 'q') AS nq, sum(c * c) FILTER (side = 'a') AS na FROM tv GROUP BY ALL),
+td AS (SELECT x.model, x.query_id, sum(x.c * y.c) AS dot FROM tv x JOIN tv y USING (model, query_id, k) WHERE x.side = 'q' AND y.side = 'a' GROUP BY ALL),
+ap AS (SELECT model, query_id, coalesce(avg(p) FILTER (fits), 0.0) AS context_precision FROM (SELECT *, count(*) FILTER (fits) OVER (PARTITION BY model, query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) / rank AS p FROM f) GROUP BY ALL),
+sb AS (SELECT model, query_id, list(id) AS bent FROM b GROUP BY ALL),
+m AS (
+  SELECT model, CASE WHEN {any_sql("la", M.REFUSALS)} THEN 1.0 ELSE {share_sql("fw")} END AS faithfulness, coalesce(dot / sqrt(nq * na), 0.0) AS answer_relevancy, context_precision, {share_sql("tw")} AS context_recall,
+         CASE WHEN n_noise = 0 OR n_good = 0 OR len(mis) = 0 OR len(aw) = 0 THEN 0.0 ELSE len(list_intersect(aw, mis)) / len(aw) END AS noise_sensitivity,
+         len(list_intersect(ids, coalesce(bent, []))) / len(list_distinct(list_concat(ids, coalesce(bent, [])))) AS robustness
+  FROM c LEFT JOIN tn USING (model, query_id) LEFT JOIN td USING (model, query_id) JOIN ap USING (model, query_id) LEFT JOIN sb USING (model, query_id))
+SELECT model, {_means(*TIER2)} FROM m GROUP BY model""",
     "keyword_metrics": "WITH " + bm25_sql(5) + f""",
 k AS (SELECT item_id AS query_id, list_sort(list_transform({WORDS.format("text")}, lambda w, i: {{'n': -length(w), 'i': i, 'w': w}}))[1].w AS keyword FROM benchmark),
 f AS (SELECT bm.query_id, rank, contains(lower(coalesce(text, '')), keyword) AS has FROM bm JOIN k USING (query_id) JOIN documents ON doc_id = id),

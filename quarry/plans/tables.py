@@ -160,3 +160,33 @@ def typos_sql(source: str) -> str:
   FROM (SELECT *, list_transform(list_sort(list_transform(el, lambda e: {{'h': {draw(1, 'e')}, 'i': e}}))[1:2], lambda z: z.i) AS ch
     FROM (SELECT *, list_filter(range(len(w)), lambda e: length(w[e + 1]) > 4) AS el
       FROM (SELECT item_id, text, regexp_split_to_array(regexp_replace(text, '^{_SPACE}+|{_SPACE}+$', '', 'g'), '{_SPACE}+') AS w FROM {source}))))"""
+
+
+#: Distinct words of a text that are all ASCII letters and digits, four or longer.
+CONTENT = r"list_distinct(list_filter(regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z0-9]{{4,}}')))"
+
+
+def less_sql(words: str, stop: tuple[str, ...]) -> str:
+    listed = ", ".join("'" + w.replace("'", "''") + "'" for w in stop)
+    return f"list_filter({words}, lambda w: NOT list_contains([{listed}], w))"
+
+
+def any_sql(text: str, words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({text}, '" + w.replace("'", "''") + "')" for w in words) + ")"
+
+
+def share_sql(words: str) -> str:
+    """The share of words that ctx holds."""
+    return f"CASE WHEN len({words}) = 0 THEN 1.0 ELSE len(list_filter({words}, lambda w: contains(ctx, w))) / len({words}) END"
+
+
+def answer_sql(source: str, question: str, context: str) -> str:
+    """A query of source's columns and the extracted answer."""
+    strip = lambda c: rf"regexp_replace({c}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+    return rf"""SELECT * EXCLUDE (asked, lines, ws, hits, best, part, dir), CASE WHEN best = '' THEN 'I could not find the answer in the provided documents.' WHEN contains(asked, 'directed by') THEN coalesce('Based on the context, ' || {strip("dir")} || '.', 'Synthesized answer: ' || best)
+  WHEN contains(asked, 'featuring') OR contains(asked, 'cast') THEN coalesce('The movie features cast members: ' || {strip("replace(part, 'Cast:', '')")} || '.', 'Synthesized answer: ' || best) ELSE 'Synthesized answer: ' || best END AS answer
+FROM (SELECT *, list_filter(string_split(best, '.'), lambda x: contains(lower(x), 'cast'))[1] AS part, list_filter(string_split(best, '.'), lambda x: contains(lower(x), 'directors') OR contains(lower(x), 'directed'))[1] AS dir
+  FROM (SELECT *, CASE WHEN len(hits) > 0 THEN list_filter(hits, lambda x: length(x) = list_max(list_transform(hits, lambda y: length(y))))[1] ELSE coalesce(lines[1], '') END AS best
+    FROM (SELECT *, list_filter(lines, lambda x: len(list_filter(ws, lambda w: contains(lower(x), w))) > 0) AS hits
+      FROM (SELECT *, lower({question}) AS asked, list_filter(list_transform(string_split({context}, chr(10)), lambda x: {strip("regexp_replace(" + strip("x") + ", '^[- ]+', '')")}), lambda x: x <> '') AS lines,
+        list_filter(regexp_split_to_array(lower(replace({question}, '?', '')), '{_SPACE}+'), lambda w: length(w) > 3) AS ws FROM {source}))))"""
