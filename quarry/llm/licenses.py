@@ -2,8 +2,8 @@
 
 A text that no rule can match, by a gate made from the rules, is done. For the others each rule whose own keywords all
 occur is matched; detections carry the place, the label, the rule's priority and its weight. Sorted by place, they are resolved in one
-pass: a detection inside an earlier and longer one is suppressed, of two that overlap in part the higher priority
-stays. Everything is a projection: no row is multiplied, nothing is shuffled, no Python runs on the executors.
+pass: a detection inside a longer one that stays is suppressed, of two that overlap in part the higher priority
+stays, and what only a suppressed one would have suppressed stays as well. Everything is a projection: no row is multiplied, nothing is shuffled, no Python runs on the executors.
 """
 
 from __future__ import annotations
@@ -151,25 +151,40 @@ def _detections(text: Column, keywords: Column, table: list) -> Column:
     return F.flatten(F.transform(fired, places))
 
 
+def _settled(cluster: Column) -> Column:
+    """The detections of a cluster that stay: taken in order, each that overlaps none taken before. A detection is as telling as the most
+    telling one inside it, so that it comes before what it contains; of those that overlap in part the more telling comes
+    first, then the longer, then the earlier."""
+    inside = lambda d: F.array_min(F.transform(F.filter(cluster, lambda x: (x["at"] >= d["at"]) & (x["end"] <= d["end"])), lambda x: x["priority"]))
+    ranked = F.transform(cluster, lambda d: F.struct(inside(d).alias("tells"), (d["at"] - d["end"]).alias("minus_size"), *(d[c].alias(c) for c in ("at", "priority", "label", "end", "weight"))))
+    taken = F.filter(ranked, lambda d: F.lit(False))
+    free = lambda k, d: ~F.exists(k, lambda x: (x["at"] < d["end"]) & (d["at"] < x["end"]))
+    return F.aggregate(F.array_sort(ranked), taken, lambda k, d: F.when(free(k, d), F.array_append(k, d)).otherwise(k), lambda k: F.transform(k, _said))
+
+
+def _said(d: Column) -> Column:
+    return F.struct(d["label"].alias("label"), d["weight"].alias("weight"))
+
+
 def _resolved(found: Column) -> Column:
-    """struct<labels, score> after suppression, in one pass over the detections in the order of their places."""
-    ordered = F.array_sort(F.transform(found, lambda d: F.struct(d["at"].alias("at"), (-d["end"]).alias("minus_end"), d["priority"].alias("priority"), d["label"].alias("label"), d["weight"].alias("weight"))))
-    none = F.lit(None)
-    start = F.struct(F.lit(-1).alias("end"), F.lit(99).alias("priority"), none.cast("string").alias("label"), F.lit(0.0).alias("weight"), F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("score"))
-    add = lambda s: F.when(s["label"].isNull(), s["labels"]).otherwise(F.array_union(s["labels"], F.array(s["label"])))
+    """struct<labels, score> after suppression, in one pass over the detections in the order of their places. Those that overlap, one with
+    the next, are a cluster, which is settled by itself; distinct labels and weights are all that is kept of it."""
+    det = lambda d: F.struct(*(d[c].alias(c) for c in ("at", "end", "priority", "label", "weight")))
+    ordered = F.array_sort(F.transform(found, det))
+    kind, said = "array<struct<at:int,end:int,priority:int,label:string,weight:double>>", "array<struct<label:string,weight:double>>"
+    start = F.struct(F.lit(-1).alias("end"), F.array().cast(kind).alias("cluster"), F.array().cast(said).alias("out"))
+
+    def closed(s: Column) -> Column:
+        own = F.when(F.size(s["cluster"]) <= 1, F.transform(s["cluster"], _said)).otherwise(_settled(s["cluster"]))
+        return F.array_union(s["out"], own)
 
     def step(s: Column, d: Column) -> Column:
-        end = -d["minus_end"]
-        inside, beyond = end <= s["end"], d["at"] >= s["end"]
-        stays = inside | (~beyond & (d["priority"] >= s["priority"]))  # what is held stays, d goes
-        pick = lambda held, new: F.when(stays, held).otherwise(new)
-        return F.struct(
-            pick(s["end"], end).alias("end"), pick(s["priority"], d["priority"]).alias("priority"), pick(s["label"], d["label"]).alias("label"), pick(s["weight"], d["weight"]).alias("weight"),
-            F.when(stays | ~beyond, s["labels"]).otherwise(add(s)).alias("labels"),
-            F.when(stays | ~beyond, s["score"]).otherwise(F.greatest(s["score"], s["weight"])).alias("score"),
-        )
+        new = F.struct(d["end"].alias("end"), F.array(det(d)).alias("cluster"), closed(s).alias("out"))
+        more = F.struct(F.greatest(s["end"], d["end"]).alias("end"), F.array_append(s["cluster"], det(d)).alias("cluster"), s["out"].alias("out"))
+        return F.when(d["at"] >= s["end"], new).otherwise(more)
 
-    return F.aggregate(ordered, start, step, lambda s: F.struct(add(s).alias("labels"), F.greatest(s["score"], s["weight"]).alias("score")))
+    out = F.aggregate(ordered, start, step, closed)
+    return F.transform(F.array(out), lambda o: F.struct(F.array_distinct(F.transform(o, lambda x: x["label"])).alias("labels"), F.coalesce(F.array_max(F.transform(o, lambda x: x["weight"])), F.lit(0.0)).alias("score")))[0]
 
 
 def gate() -> tuple[list[str], str]:
@@ -195,7 +210,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
     Null counts as empty. Base places are the fixed phrases as consecutive words; base labels always stay among the
     labels. score is the largest weight of a rule that was kept, 1 if there is a base place, 0 without any label. Rows
-    may repeat, ids may be null, other columns are not read; an empty table gives no rows.
+    may repeat, ids may be null, other columns are not read; whole texts are matched, of any length; an empty table gives no rows.
     """
     require(df, id_col, text_col)
     low = F.col("low")

@@ -1,9 +1,11 @@
+import random
 import re
 import re._constants as sre
 
 import pytest
+from pyspark.sql import functions as F
 
-from quarry.llm.licenses import rules, scan
+from quarry.llm.licenses import _resolved, rules, scan
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -90,6 +92,43 @@ def test_names_and_addresses_without_padding(spark):
     assert {r.doc_id: r.labels for r in scan(spark.createDataFrame([(t, t) for t in ALONE], "doc_id string, text string")).collect()} == ALONE
 
 
+def settle(found):
+    """Suppression by its definition, over all detections of a text at once."""
+    tells = lambda d: min(x[2] for x in found if d[0] <= x[0] and x[1] <= d[1])
+    kept = []
+    for d in sorted(found, key=lambda d: (tells(d), d[0] - d[1], d[0], d[2], d[3])):
+        if all(x[1] <= d[0] or d[1] <= x[0] for x in kept):
+            kept.append(d)
+    return {d[3] for d in kept}, max((d[4] for d in kept), default=0.0)
+
+
+def test_suppression_against_its_definition(spark):
+    rng, rows = random.Random(6), [(0, [])]
+    for i in range(1, 400):
+        places = [(a, a + rng.randint(1, 12), rng.randint(1, 7), rng.choice("abcdef"), rng.choice([0.7, 0.9, 1.0])) for a in (rng.randrange(60) for _ in range(rng.randint(1, 14)))]
+        rows.append((i, places))
+    kind = "id int, found array<struct<at:int,end:int,priority:int,label:string,weight:double>>"
+    out = spark.createDataFrame(rows, kind).select("id", _resolved(F.col("found")).alias("r")).collect()
+    assert {r.id: (set(r.r.labels), r.r.score) for r in out} == {i: settle(found) for i, found in rows}
+    # b is inside a; c, more telling, overlaps a at its end and replaces it: b comes back
+    back = [(0, 10, 7, "a", 0.7), (0, 4, 7, "b", 0.7), (8, 20, 6, "c", 0.7)]
+    assert settle(back)[0] == {"b", "c"}
+    assert set(spark.createDataFrame([(1, back)], kind).select(_resolved(F.col("found")).alias("r")).first().r.labels) == {"b", "c"}
+
+
+def test_every_rule_gives_its_own_label(spark):
+    """What a rule matches, with nothing beside it, gets that rule's label or one that is told by more of the text or a better rule."""
+    every = rules()
+    own = [(i, example(re._parser.parse(regex), " ")) for i, (_, _, regex, _, _) in enumerate(every)]
+    own = [(i, t) for i, t in own if re.search(every[i][2], t)]
+    assert len(own) > 400
+    for r in scan(spark.createDataFrame(own, "doc_id int, text string")).collect():
+        label, _, regex, priority, _ = every[r.doc_id]
+        text = dict(own)[r.doc_id]
+        better = {x[0] for x in every if (m := re.search("(?i)" + x[2], text)) and (x[3] < priority or len(m[0]) >= len(re.search("(?i)" + regex, text)[0]))}
+        assert label in r.labels.split(",") or better & set(r.labels.split(",")), (label, text, r.labels)
+
+
 def test_plan_has_no_python(spark):
     df = spark.createDataFrame([(1, "mit license")], "doc_id long, text string")
     plan = scan(df)._jdf.queryExecution().executedPlan().toString()
