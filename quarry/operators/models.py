@@ -36,6 +36,43 @@ class HttpModel:
             return f"Error: {e}"
 
 
+def generate_api(model: str, url: str = "http://localhost:11434", **options) -> HttpModel:
+    """A local model server that completes prompts."""
+    return HttpModel(f"{url}/api/generate", lambda prompt: {"model": model, "prompt": prompt, "stream": False, **options}, lambda r: r["response"])
+
+
+def chat_api(model: str, key: str, url: str = "https://api.openai.com/v1", **options) -> HttpModel:
+    """A service of chat completions."""
+    body = lambda prompt: {"model": model, "messages": [{"role": "user", "content": prompt}], **options}
+    return HttpModel(f"{url}/chat/completions", body, lambda r: r["choices"][0]["message"]["content"], {"Authorization": f"Bearer {key}"})
+
+
+def messages_api(model: str, key: str, url: str = "https://api.anthropic.com/v1", max_tokens: int = 500, **options) -> HttpModel:
+    """A service of messages, whose replies are lists of parts."""
+    body = lambda prompt: {"model": model, "max_tokens": max_tokens, "messages": [{"role": "user", "content": prompt}], **options}
+    return HttpModel(f"{url}/messages", body, lambda r: "".join(p.get("text", "") for p in r["content"]), {"x-api-key": key, "anthropic-version": "2023-06-01"})
+
+
+class LocalModel:
+    """A text-generation pipeline on the worker, loaded when it is first asked. Needs the transformers package. A reply is what follows the
+    prompt; errors come back as text."""
+
+    def __init__(self, name: str, **options):
+        self.name, self.options, self.pipeline = name, {"max_new_tokens": 150, "do_sample": False} | options, None
+
+    def load(self) -> Callable:
+        from transformers import pipeline
+
+        return pipeline("text-generation", model=self.name)
+
+    def generate(self, prompt: str) -> str:
+        try:
+            self.pipeline = self.pipeline or self.load()
+            return self.pipeline(prompt, **self.options)[0]["generated_text"].removeprefix(prompt).strip()
+        except Exception as e:
+            return f"Error: {e}"
+
+
 def reachable(url: str, timeout: float = 2) -> bool:
     """Whether a service answers; callers choose the deterministic answers of ``answers`` otherwise."""
     try:

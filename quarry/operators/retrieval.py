@@ -196,6 +196,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.5, b: fl
     One pass counts in how many documents each term occurs, combined by task before the shuffle. A second one scores each
     document where it lies against a block of queries, and keeps k of each query and task: postings are never shuffled,
     and a frequent term costs no more than its occurrences. Queries of any number are taken in blocks.
+
+    The statistics and each block's weights are computed when this is called, not when the result is read; the documents are read
+    once for the statistics and once for each block of TEXT_QUERIES_AT_ONCE queries.
     """
     wanted = docs if where is None else docs.where(where)
     terms = spread((docs if statistics_of_all else wanted).select("text")).mapInPandas(_term_counts, "term binary, df long, words long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words")).persist()

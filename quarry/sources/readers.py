@@ -79,6 +79,33 @@ def page_chunks(pages: DataFrame, limit: int = 800) -> DataFrame:
     )
 
 
+def sqlite_records(spark: SparkSession, path: str, table: str = "chunk_versions", version: str | None = None) -> DataFrame:
+    """Records of chunks from SQLite files, of one version or of all: to bring an existing database into a store. Each file is read whole, by
+    one task, wherever it lies; columns that it lacks are null."""
+    names = [c.split()[0] for c in SQLITE.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import sqlite3
+
+        for f in frames:
+            for content in f["content"]:
+                db = sqlite3.connect(":memory:")
+                db.deserialize(bytes(content))
+                there = {r[1] for r in db.execute(f'PRAGMA table_info("{table}")')}
+                found = ", ".join(f'"{n}"' if n in there else f'NULL AS "{n}"' for n in names)
+                rows = db.execute(f'SELECT {found} FROM "{table}"' + (" WHERE version = ?" if version else ""), (version,) if version else ())
+                while part := rows.fetchmany(10_000):
+                    yield pd.DataFrame(part, columns=names).astype(object)
+                db.close()
+
+    read = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, SQLITE)
+    dated = {"version_date": "date", "ingested_at": "timestamp"}
+    return read.select(*(F.col(n).try_cast(dated[n]).alias(n) if n in dated else F.col(n) for n in names))
+
+
+SQLITE = "chunk_id string, document_name string, version string, version_date string, page_number int, section_header string, source_file string, chunk_index int, checksum string, changed_flag int, ingested_at string"
+
+
 def scalar(value: Column) -> Column:
     """Extended JSON as plain text: null is empty, objects give their $oid or $date (or its $numberLong), $binary gives [binary]."""
     json = lambda path: F.get_json_object(value, path)

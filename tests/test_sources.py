@@ -1,4 +1,5 @@
 import json
+import sqlite3
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,6 +137,20 @@ def test_only_touched_buckets_are_written(spark, tmp_path):
         s._publish(s.versions()[-1], gone)
 
 
+def test_sqlite_records(spark, tmp_path):
+    db = sqlite3.connect(tmp_path / "old.db")
+    db.execute("CREATE TABLE chunk_versions (chunk_id TEXT PRIMARY KEY, document_name TEXT, version TEXT, version_date TEXT, source_file TEXT, chunk_index INTEGER, checksum TEXT, ingested_at TEXT)")
+    db.executemany("INSERT INTO chunk_versions VALUES (?, 'd', ?, '2024-02-01', 'f.md', ?, 's', '2024-03-01T10:00:00')", [(f"c{i}", f"v{i % 2}", i) for i in range(30)])
+    db.commit()
+    db.close()
+    rows = readers.sqlite_records(spark, str(tmp_path / "old.db"))
+    assert rows.count() == 30 and readers.sqlite_records(spark, str(tmp_path / "old.db"), version="v1").count() == 15
+    store = Store(spark, str(tmp_path / "s"), RECORDS, "chunk_id", 4)
+    store.write(rows)
+    r = store.read().where("chunk_id = 'c7'").first()
+    assert (str(r.version_date), r.chunk_index, r.section_header, r.page_number, r.ingested_at.hour) == ("2024-02-01", 7, None, None, 10)
+
+
 def test_report_lines(spark, capsys):
     df = spark.createDataFrame([("BM25", 0.5, 3), ("A longer name", 0.25, None)], "model string, hit double, n long")
     show(df, 2)
