@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions import versions as V
 from quarry.operators.retrieval import hashed_embedding, spread
-from quarry.plans.tables import CAL_SQL, DOC_VERSION_SQL, chunks_sql, docs, source_version, words_sql
-from quarry.sources.readers import markdown_chunks
-from quarry.sources.store import RECORDS, VECTORS, Store, ingest, scratch
+from quarry.plans.tables import CAL_SQL, DOC_VERSION_SQL, chunks_sql, docs, source_version, strip_sql, words_sql
+from quarry.sources.readers import markdown_chunks, page_chunks
+from quarry.sources.store import RECORDS, VECTORS, Store, compare_updates, ingest, scratch
 
 #: What some files have gained when they are scanned again.
 ADDED = "A paragraph that the second scan finds. It is long enough to be kept."
@@ -63,7 +63,28 @@ def files_by_date(spark: SparkSession, d: str) -> DataFrame:
     return files(spark, d).select("source_file", version.alias("version"), V.version_date(version).cast("string").alias("version_date")).orderBy("version_date", "source_file")
 
 
-QUERIES = {f.__name__: f for f in (ingest_twice_stats, ingest_twice_records, ingest_twice_vectors, restored_store, files_by_date)}
+def update_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks that a full and an incremental ingestion of the second scan embed."""
+    folder, again = scratch(spark), markdown_chunks(files(spark, d, True))
+    fresh = Store(spark, f"{folder}/records", RECORDS, "chunk_id", 16), Store(spark, f"{folder}/vectors", VECTORS, "chunk_id", 16)
+    n = compare_updates(lambda: ingest(again, *fresh, hashed_embedding, force=True), lambda: _twice(spark, d)[2])
+    return spark.createDataFrame([("full", int(n["chunks_processed_full"])), ("incremental", int(n["chunks_processed_incremental"]))], "mode string, chunks long")
+
+
+def paged_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as files of two pages, the first with a heading of one of four kinds: chunks, their headers and places over the file."""
+    rows = docs(spark, d).select("id", F.coalesce("text", F.lit("")).alias("text"))
+    heading = F.element_at(F.array(*(F.concat(F.lit(a), F.col("id").cast("string"), F.lit(b)) for a, b in HEADINGS)), (F.col("id") % len(HEADINGS) + 1).cast("int"))
+    pages = F.array(F.struct(F.lit(1).alias("page"), F.concat(heading, F.lit("\n\n"), "text").alias("text")), F.struct(F.lit(2).alias("page"), F.substring("text", 100, 900).alias("text")))
+    paged = spread(rows).select(F.concat(F.lit("g"), F.col("id").cast("string"), F.lit("_3.5.4.pdf")).alias("source_file"), F.explode(pages).alias("p")).select("source_file", "p.page", "p.text")
+    return page_chunks(paged).select("chunk_id", "document_name", "version", F.col("version_date").cast("string").alias("version_date"), "page_number", "section_header", "chunk_index", "checksum")
+
+
+#: What stands around a number in the headings of paged documents.
+HEADINGS = (("# Part ", " #"), ("CHAPTER ", ""), ("Some words of part ", " follow:"), ("not a heading, number ", " of this"))
+
+
+QUERIES = {f.__name__: f for f in (ingest_twice_stats, ingest_twice_records, ingest_twice_vectors, restored_store, update_comparison, files_by_date, paged_chunks)}
 
 _FILES = f"""WITH {CAL_SQL},
 f1 AS (SELECT doc_id AS id, {DOC_VERSION_SQL} AS version, coalesce(text, '') AS text FROM documents),
@@ -73,10 +94,24 @@ c2 AS (WITH {chunks_sql("f2")} SELECT id, chunk_index, text, sha256(text) AS che
 named AS (SELECT f1.id, version, version_date::VARCHAR AS version_date, 'doc' || id || ' ' || substr(version, 2) || '.md' AS source_file FROM f1 JOIN cal USING (version)),
 seen AS (SELECT c2.*, named.* EXCLUDE (id), (c1.checksum IS DISTINCT FROM c2.checksum)::INT AS changed_flag FROM c2 JOIN named USING (id) LEFT JOIN c1 USING (id, chunk_index))"""
 
+_HEADING = "CASE id % 4 " + " ".join(f"WHEN {i} THEN '{a}' || id || '{b}'" for i, (a, b) in enumerate(HEADINGS)) + " END"
+_PAGED = rf"""WITH src AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents),
+pg AS (SELECT id, 1 AS page, {_HEADING} || chr(10) || chr(10) || text AS text FROM src UNION ALL SELECT id, 2, substr(text, 100, 900) FROM src),
+ps AS (SELECT id, page, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n{{2,}}'), lambda p: {strip_sql("p")}), lambda p: p <> '') AS ps FROM pg),
+fo AS (SELECT id, page, list_reduce(list_concat([''], ps), lambda acc, x: CASE WHEN acc = '' THEN x WHEN length(list_last(string_split(acc, chr(31)))) + length(x) + 2 <= 800 THEN acc || chr(10) || chr(10) || x ELSE acc || chr(31) || x END) AS said FROM ps),
+li AS (SELECT id, page, list_filter(string_split(said, chr(31)), lambda c: c <> '') AS cs FROM fo),
+ch AS (SELECT id, page, unnest(range(len(cs))) AS pos, unnest(cs) AS text FROM li),
+nu AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY page, pos) - 1 AS i, list_filter(list_transform(string_split(text, chr(10)), lambda x: {strip_sql("x")}), lambda x: x <> '') AS lines FROM ch),
+he AS (SELECT *, list_filter(lines, lambda x: starts_with(x, '#') OR (length(x) < 60 AND ((regexp_replace(x, '\P{{L}}', '', 'g') <> '' AND x = upper(x)) OR (regexp_matches(x, '\p{{Lu}}') AND NOT regexp_matches(x, '(^|\P{{L}})\p{{Ll}}|\p{{L}}\p{{Lu}}')) OR ends_with(x, ':'))))[1] AS h FROM nu)
+SELECT 'g' || id || '_3.5.4.pdf__v3.5.4_p' || page || '_c' || i AS chunk_id, 'g' || id AS document_name, 'v3.5.4' AS version, '2024-12-18' AS version_date, page AS page_number,
+       coalesce(CASE WHEN starts_with(h, '#') THEN {strip_sql("regexp_replace(h, '^#+', '')")} ELSE regexp_replace(h, ':+$', '') END, 'Section Page ' || page) AS section_header, i AS chunk_index, sha256(text) AS checksum FROM he"""
+
 SQL = {
     "ingest_twice_stats": _FILES + " SELECT version, count(*) AS total, sum(changed_flag)::BIGINT AS updated, sum(1 - changed_flag)::BIGINT AS skipped FROM seen GROUP BY version",
     "ingest_twice_records": _FILES + " SELECT source_file || '__' || version || '__chunk_' || chunk_index AS chunk_id, regexp_replace(source_file, '.md$', '') AS document_name, version, version_date, 'Section ' || (chunk_index + 1) AS section_header, source_file, chunk_index, checksum, changed_flag FROM seen",
     "ingest_twice_vectors": _FILES + f" SELECT source_file || '__' || version || '__chunk_' || chunk_index AS chunk_id, version, checksum, length(text) AS n_chars, 64 AS dimensions, len({words_sql('text')})::DOUBLE AS words FROM seen",
     "restored_store": _FILES + " SELECT version, count(*) AS chunks, count(DISTINCT source_file) AS files, max(checksum) AS last_checksum FROM c1 JOIN named USING (id) GROUP BY version",
+    "update_comparison": _FILES + " SELECT 'full' AS mode, count(*) AS chunks FROM seen UNION ALL SELECT 'incremental', sum(changed_flag)::BIGINT FROM seen",
+    "paged_chunks": _PAGED,
     "files_by_date": _FILES + " SELECT source_file, version, version_date FROM named",
 }

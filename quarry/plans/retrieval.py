@@ -10,6 +10,7 @@ from quarry.functions.vectors import cosine
 from quarry.operators import answers as A
 from quarry.operators import relevance as M
 from quarry.operators import retrieval as R
+from quarry.operators.models import timed_knn
 from quarry.plans.tables import CAL_SQL, CONTENT, WORDS, answer_sql, any_sql, asked, bm25_sql, dense_sql, docs, fuse_sql, less_sql, query_vectors, share_sql, source_version, table, typos_sql, vectors
 
 ROW = ("query_id", "id", "score", "rank")
@@ -60,6 +61,14 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     return _shown(_sides(spark, d, 5)[0])
 
 
+def timed_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The same, stage by stage with their times, of which only that they were taken is shown."""
+    embedded = R.spread(docs(spark, d).select("id", "text")).select("id", R.hashed_embedding(F.col("text")).alias("embedding"))
+    found, ms = timed_knn(asked(spark, d), embedded, R.hashed_embedding, 5)
+    stages = ", ".join(sorted(k for k, v in ms.items() if v > 0))
+    return _shown(found).withColumn("timed", F.lit(stages))
+
+
 def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
     return R.fuse(*_sides(spark, d, 15), 5, "0.5")
 
@@ -219,7 +228,7 @@ def filtered_by_two(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where((F.col("lang") == "de") & (F.col("source") == "src3")).select("doc_id", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (vector_topk_cosine, vector_topk_l2, vector_topk_filtered, knn_hit_precision_recall_mrr, bm25_topk, bm25_topk_source, dense_topk, hybrid_topk, hybrid_distance_topk, threshold_hybrid_topk, rerank_topk, hybrid_rerank_topk, threshold_rerank_topk, version_fallback_topk, first_queries, jaccard_relevance, tier1_metrics, tier1_by_pipeline, tier2_by_pipeline, keyword_metrics, keyword_by_method, context_precision_ap, robustness, collection_stats, vectors_by_id, filtered_by_two)}
+QUERIES = {f.__name__: f for f in (vector_topk_cosine, vector_topk_l2, vector_topk_filtered, knn_hit_precision_recall_mrr, bm25_topk, bm25_topk_source, dense_topk, timed_topk, hybrid_topk, hybrid_distance_topk, threshold_hybrid_topk, rerank_topk, hybrid_rerank_topk, threshold_rerank_topk, version_fallback_topk, first_queries, jaccard_relevance, tier1_metrics, tier1_by_pipeline, tier2_by_pipeline, keyword_metrics, keyword_by_method, context_precision_ap, robustness, collection_stats, vectors_by_id, filtered_by_two)}
 
 _KNN = """WITH s AS (
   SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, q.label AS query_label, round({score}, 12) AS score
@@ -279,6 +288,7 @@ SELECT query_id, n > 0 AS hit, n / 5 AS precision, round(n / relevant, 6) AS rec
     "bm25_topk": "WITH " + bm25_sql(5) + " SELECT query_id, id, rank, normalised AS score FROM bm",
     "bm25_topk_source": "WITH " + bm25_sql(5, "source = 'src0'", True) + " SELECT query_id, id, rank, normalised AS score FROM bm",
     "dense_topk": "WITH " + bm25_sql(5) + ",\n" + dense_sql(5) + _OUT.format("dn"),
+    "timed_topk": "WITH " + bm25_sql(5) + ",\n" + dense_sql(5) + " SELECT query_id, id, round(score, 4) AS score, rank, 'embedding_ms, retrieval_ms, total_ms' AS timed FROM dn",
     "hybrid_topk": _HYBRID + " SELECT query_id, id, score, rank FROM hy",
     "hybrid_distance_topk": "WITH " + bm25_sql(20) + ",\n" + dense_sql(20) + """,
 da2 AS (SELECT query_id, id, coalesce(1 - (1 - score) / nullif(max(1 - score) OVER (PARTITION BY query_id), 0), 0.0) AS dense FROM dn),

@@ -130,13 +130,16 @@ _SPACE = r"[ \t\n\x0B\f\r]"
 _LAST = "length(list_last(string_split(acc, chr(31))))"
 
 
+def strip_sql(column: str) -> str:
+    return f"regexp_replace({column}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+
+
 def chunks_sql(source: str) -> str:
     """CTEs up to chunks(id, chunk_index, text) of source (id, text). Paragraphs and the sentences of long ones come as one list, each with a
     mark: P, a paragraph; F, a long one's first sentence; S, its others. The fold keeps chunks as one text, chr(31) between them."""
-    strip = lambda c: rf"regexp_replace({c}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
     sentences = rf"list_filter(string_split(regexp_replace(p, '([.!?]){_SPACE}+', '\1' || chr(30), 'g'), chr(30)), lambda x: x <> '')"
     return rf"""paras AS (
-  SELECT id, list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '\n{{2,}}'), lambda p: {strip("p")}), lambda p: p <> '') AS ps FROM {source}),
+  SELECT id, list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '\n{{2,}}'), lambda p: {strip_sql("p")}), lambda p: p <> '') AS ps FROM {source}),
 marked AS (
   SELECT id, flatten(list_transform(ps, lambda p: CASE WHEN length(p) <= 800 THEN ['P' || p] ELSE list_transform({sentences}, lambda x, i: CASE WHEN i = 1 THEN 'F' ELSE 'S' END || x) END)) AS ms FROM paras),
 folded AS (
@@ -145,7 +148,7 @@ folded AS (
     WHEN x[1] = 'P' AND {_LAST} + length(x) + 1 <= 800 THEN acc || chr(10) || chr(10) || substr(x, 2)
     WHEN x[1] = 'S' AND {_LAST} + length(x) <= 800 THEN acc || ' ' || substr(x, 2)
     ELSE acc || chr(31) || substr(x, 2) END) AS said FROM marked),
-listed AS (SELECT id, list_filter(string_split(said, chr(31)), lambda c: length({strip("c")}) > 20) AS cs FROM folded),
+listed AS (SELECT id, list_filter(string_split(said, chr(31)), lambda c: length({strip_sql("c")}) > 20) AS cs FROM folded),
 chunks AS (SELECT id, unnest(range(len(cs))) AS chunk_index, unnest(cs) AS text FROM listed)"""
 
 
@@ -182,11 +185,10 @@ def share_sql(words: str) -> str:
 
 def answer_sql(source: str, question: str, context: str) -> str:
     """A query of source's columns and the extracted answer."""
-    strip = lambda c: rf"regexp_replace({c}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
-    return rf"""SELECT * EXCLUDE (asked, lines, ws, hits, best, part, dir), CASE WHEN best = '' THEN 'I could not find the answer in the provided documents.' WHEN contains(asked, 'directed by') THEN coalesce('Based on the context, ' || {strip("dir")} || '.', 'Synthesized answer: ' || best)
-  WHEN contains(asked, 'featuring') OR contains(asked, 'cast') THEN coalesce('The movie features cast members: ' || {strip("replace(part, 'Cast:', '')")} || '.', 'Synthesized answer: ' || best) ELSE 'Synthesized answer: ' || best END AS answer
+    return rf"""SELECT * EXCLUDE (asked, lines, ws, hits, best, part, dir), CASE WHEN best = '' THEN 'I could not find the answer in the provided documents.' WHEN contains(asked, 'directed by') THEN coalesce('Based on the context, ' || {strip_sql("dir")} || '.', 'Synthesized answer: ' || best)
+  WHEN contains(asked, 'featuring') OR contains(asked, 'cast') THEN coalesce('The movie features cast members: ' || {strip_sql("replace(part, 'Cast:', '')")} || '.', 'Synthesized answer: ' || best) ELSE 'Synthesized answer: ' || best END AS answer
 FROM (SELECT *, list_filter(string_split(best, '.'), lambda x: contains(lower(x), 'cast'))[1] AS part, list_filter(string_split(best, '.'), lambda x: contains(lower(x), 'directors') OR contains(lower(x), 'directed'))[1] AS dir
   FROM (SELECT *, CASE WHEN len(hits) > 0 THEN list_filter(hits, lambda x: length(x) = list_max(list_transform(hits, lambda y: length(y))))[1] ELSE coalesce(lines[1], '') END AS best
     FROM (SELECT *, list_filter(lines, lambda x: len(list_filter(ws, lambda w: contains(lower(x), w))) > 0) AS hits
-      FROM (SELECT *, lower({question}) AS asked, list_filter(list_transform(string_split({context}, chr(10)), lambda x: {strip("regexp_replace(" + strip("x") + ", '^[- ]+', '')")}), lambda x: x <> '') AS lines,
+      FROM (SELECT *, lower({question}) AS asked, list_filter(list_transform(string_split({context}, chr(10)), lambda x: {strip_sql("regexp_replace(" + strip_sql("x") + ", '^[- ]+', '')")}), lambda x: x <> '') AS lines,
         list_filter(regexp_split_to_array(lower(replace({question}, '?', '')), '{_SPACE}+'), lambda w: length(w) > 3) AS ws FROM {source}))))"""
