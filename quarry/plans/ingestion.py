@@ -63,6 +63,13 @@ def files_by_date(spark: SparkSession, d: str) -> DataFrame:
     return files(spark, d).select("source_file", version.alias("version"), V.version_date(version).cast("string").alias("version_date")).orderBy("version_date", "source_file")
 
 
+def rebuilt_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The store of vectors after its embeddings were made anew by another model, here one of eight dimensions."""
+    vectors = _twice(spark, d)[1]
+    vectors.rebuild(lambda df: df.withColumn("embedding", hashed_embedding(F.col("text"), 8)))
+    return vectors.read().groupBy("version").agg(F.count("*").alias("chunks"), F.max(F.size("embedding")).alias("dimensions"), F.sum(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)).alias("words"))
+
+
 def update_comparison(spark: SparkSession, d: str) -> DataFrame:
     """Chunks that a full and an incremental ingestion of the second scan embed."""
     folder, again = scratch(spark), markdown_chunks(files(spark, d, True))
@@ -84,7 +91,7 @@ def paged_chunks(spark: SparkSession, d: str) -> DataFrame:
 HEADINGS = (("# Part ", " #"), ("CHAPTER ", ""), ("Some words of part ", " follow:"), ("not a heading, number ", " of this"))
 
 
-QUERIES = {f.__name__: f for f in (ingest_twice_stats, ingest_twice_records, ingest_twice_vectors, restored_store, update_comparison, files_by_date, paged_chunks)}
+QUERIES = {f.__name__: f for f in (ingest_twice_stats, ingest_twice_records, ingest_twice_vectors, restored_store, rebuilt_vectors, update_comparison, files_by_date, paged_chunks)}
 
 _FILES = f"""WITH {CAL_SQL},
 f1 AS (SELECT doc_id AS id, {DOC_VERSION_SQL} AS version, coalesce(text, '') AS text FROM documents),
@@ -111,6 +118,7 @@ SQL = {
     "ingest_twice_records": _FILES + " SELECT source_file || '__' || version || '__chunk_' || chunk_index AS chunk_id, regexp_replace(source_file, '.md$', '') AS document_name, version, version_date, 'Section ' || (chunk_index + 1) AS section_header, source_file, chunk_index, checksum, changed_flag FROM seen",
     "ingest_twice_vectors": _FILES + f" SELECT source_file || '__' || version || '__chunk_' || chunk_index AS chunk_id, version, checksum, length(text) AS n_chars, 64 AS dimensions, len({words_sql('text')})::DOUBLE AS words FROM seen",
     "restored_store": _FILES + " SELECT version, count(*) AS chunks, count(DISTINCT source_file) AS files, max(checksum) AS last_checksum FROM c1 JOIN named USING (id) GROUP BY version",
+    "rebuilt_vectors": _FILES + f" SELECT version, count(*) AS chunks, 8 AS dimensions, sum(len({words_sql('text')}))::DOUBLE AS words FROM seen GROUP BY version",
     "update_comparison": _FILES + " SELECT 'full' AS mode, count(*) AS chunks FROM seen UNION ALL SELECT 'incremental', sum(changed_flag)::BIGINT FROM seen",
     "paged_chunks": _PAGED,
     "files_by_date": _FILES + " SELECT source_file, version, version_date FROM named",

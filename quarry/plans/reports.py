@@ -11,7 +11,7 @@ from quarry.operators import answers as A
 from quarry.operators import relevance as M
 from quarry.operators.retrieval import bm25, hashed_embedding
 from quarry.plans.tables import CAL_SQL, CONTENT, DOC_VERSION_SQL, FACTS_SQL, WORDS, answer_sql, any_sql, asked, bm25_sql, calendar_at, docs, facts, less_sql, share_sql, source_version, table
-from quarry.sources.store import report_lines
+from quarry.sources.store import report_lines, scratch, write_csv, write_json
 
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
@@ -78,6 +78,28 @@ def console_report(spark: SparkSession, d: str) -> DataFrame:
     return report_lines(category_distribution(spark, d), 1)
 
 
+def csv_sink(spark: SparkSession, d: str) -> DataFrame:
+    """The failure categories as a CSV file with a header, as it is read again: text."""
+    path = scratch(spark)
+    write_csv(failure_summary(spark, d), path, 2)
+    return spark.read.csv(path, header=True)
+
+
+def json_sink(spark: SparkSession, d: str) -> DataFrame:
+    """Latencies by event type as a JSON file, as it is read again."""
+    path = scratch(spark)
+    write_json(latency_percentiles(spark, d), path)
+    return spark.read.schema("event_type string, p50 double, p95 double, p99 double, mean double, min double, max double, n long").json(path)
+
+
+def parse_flag_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Judges' replies made of every event, of which three flags are read: JSON, lines of words, too few of them, nothing of use."""
+    i = F.col("event_id")
+    reply = F.when(i % 4 == 0, '{"relevance": [true, false, true, true]} and so on').when(i % 4 == 1, "1. Yes, it is\n2. No\nmaybe\n3. true").when(i % 4 == 2, "No.\nno opinion\nTRUE").otherwise("nothing to say")
+    flags = A.parse_flags(reply, 3)
+    return table(spark, d, "events").select("event_id", *(F.get(flags, F.lit(k)).alias(f"flag_{k}") for k in range(3)))
+
+
 def judged_blend(spark: SparkSession, d: str) -> DataFrame:
     """The answer metrics, half by heuristics and half by a judge, here the canned one: its replies to the four prompts, parsed."""
     t = _turns(spark, d).where("answer is not null")
@@ -139,7 +161,7 @@ def foreign_key_lookup(spark: SparkSession, d: str) -> DataFrame:
     return lines.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_orderkey").agg(F.count("*").alias("lines"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
-QUERIES = {f.__name__: f for f in (faithfulness, context_recall, answer_relevancy, noise_sensitivity, latency_percentiles, stage_latency_avg, classify_queries, category_distribution, query_category_metrics, query_text_fallback, console_report, judged_blend, versioned_prompts, classify_failures, failure_summary, llm_fallback_answer, parse_scores, set_ops, foreign_key_lookup)}
+QUERIES = {f.__name__: f for f in (faithfulness, context_recall, answer_relevancy, noise_sensitivity, latency_percentiles, stage_latency_avg, classify_queries, category_distribution, query_category_metrics, query_text_fallback, csv_sink, json_sink, parse_flag_lists, console_report, judged_blend, versioned_prompts, classify_failures, failure_summary, llm_fallback_answer, parse_scores, set_ops, foreign_key_lookup)}
 
 _TURNS = """WITH t AS (SELECT conv_id, turn, text AS question, lead(text) OVER w AS answer, lag(text) OVER w AS earlier FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"""
 _V = r"(^|[^a-z0-9_])v?[0-9]+\.[0-9]+(\.[0-9]+)?($|[^a-z0-9_])"
@@ -191,6 +213,9 @@ SELECT 0 AS part, '' AS key, rtrim(rpad('category', a::INT, ' ') || ' | ' || rpa
 UNION ALL SELECT 1, '', repeat('-', a) || '-+-' || repeat('-', b) || '-+-' || repeat('-', c) FROM w
 UNION ALL SELECT 2, category, rtrim(rpad(category, a::INT, ' ') || ' | ' || rpad(n, b::INT, ' ') || ' | ' || rpad(share, c::INT, ' ')) FROM t, w""",
 }
+SQL["csv_sink"] = f"SELECT failure_category, n::VARCHAR AS n, printf('%.2f', share) AS share FROM ({SQL['failure_summary']})"
+SQL["json_sink"] = SQL["latency_percentiles"]
+SQL["parse_flag_lists"] = "SELECT event_id, event_id % 4 < 2 AS flag_0, false AS flag_1, event_id % 4 < 3 AS flag_2 FROM events"
 _half = lambda score, c: f"round(CAST(0.5 * {score} + 0.5 * {c} AS DECIMAL(12,8)), 4)::DOUBLE AS {c}"
 SQL["judged_blend"] = "SELECT conv_id, turn, " + ", ".join(_half(s, c) for c, s in A.CANNED.items()) + " FROM " + " JOIN ".join(f"({SQL[c]}) m{i}" + (" USING (conv_id, turn)" if i else "") for i, c in enumerate(A.CANNED))
 SQL["versioned_prompts"] = f"""WITH {CAL_SQL}, {bm25_sql(3)},
