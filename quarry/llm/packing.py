@@ -234,8 +234,10 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is the ids of its text, then end_id; null texts are empty and give the end alone. Only longer documents
-    are cut. A sequence holds whole pieces without gaps. Rows that repeat an id are documents of their own. An empty
-    table gives no rows. Ids must be integers or null. The tokenizer's file must be at the same path on every executor.
+    are cut, and texts may be of any length. A sequence holds whole pieces without gaps; pieces of equal length are alike, and
+    take their places in the order of tasks and rows. Rows that repeat an id are documents of their own. Other columns are
+    not read, whatever their names. An empty table gives no rows. Ids must be integers or null. The tokenizer's file must be
+    at the same path on every executor.
     """
     require(df, id_col, text_col)
     spark = df.sparkSession

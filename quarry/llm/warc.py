@@ -255,7 +255,12 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
-    """Writes all pages to archives in the shared folder and reads them back. An empty table gives no rows."""
+    """Writes all pages to archives in the shared folder and reads them back: one row per row of pages.
+
+    Null pages have an empty payload, null urls none. Of equal payloads the largest page_id is the response; rows that repeat it
+    are responses as well, and null ids never are, unless all ids of the payload are null: then each is its own response. A page may
+    be of any length that a record can hold (2 GB); an archive is closed after the record that fills it. Other columns are not
+    read, whatever their names. An empty table gives no rows."""
     spark = pages.sparkSession
     folder = fresh_path(spark, "warc")
     manifest = write_archives(pages, folder, **options)
