@@ -2,9 +2,14 @@
 
 A word's probability is summed over all its segmentations into vocabulary pieces by the forward recursion in log space.
 The vocabulary is an existing one with a score for each piece, never trained here. Its scores weight the segmentations
-twice: as they are (vocabulary_score, to which the end, a token without a piece, adds nothing), and as the prior of piece probabilities learned from the training part of the corpus
-(score): expected counts over all segmentations of each training word, smoothed by that prior. A text's log10 probability is the
-sum over its words, and of one end token; pieces that begin a word carry its mark, so that a text is one sequence of pieces.
+twice: as they are (vocabulary_score, to which the end, a token without a piece, adds nothing), and as the prior of piece
+probabilities learned from the training part of the corpus (lattice_score): expected counts over all segmentations of each
+training word, smoothed by that prior. Pieces that begin a word carry its mark, so that these are probabilities of words.
+
+What the model learns grows with the corpus: in the lattice of ``score`` each word of the training texts has one arc more, across
+the whole word, weighted by the word's share of them; the pieces' paths have the weight that is left for new words (as Witten
+and Bell estimate it: distinct words over words and distinct words). A text's log10 probability is the sum over its words,
+each of which follows with the probability that a text goes on, and of one end token.
 
 What a text needs is a function of its words' counts. Frequent words, a bounded list, are known to every task; the
 rest are joined by word in Spark, so the word table may be of any size and no word gathers a share of the corpus.
@@ -177,13 +182,17 @@ def _by_vocabulary(sent):
 
 
 def _by_corpus(sent):
-    """Adds the log10 probability under the learned weights."""
+    """Adds the log10 probabilities under the learned weights: of the pieces' paths, and with the arc across the word."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        *weights, log_end = sent.value
-        lattice = Lattice(*weights)
+        log_p, byte, goes_on, ends, new, known = sent.value
+        lattice = Lattice(log_p, byte)
         for f in frames:
-            yield f.assign(score=[(log_end if w == END else lattice.forward(bytes(w).decode())) / LN10 for w in f["word"]])
+            paths = np.array([0.0 if w == END else lattice.forward(bytes(w).decode()) for w in f["word"]])
+            is_end = np.array([w == END for w in f["word"]], bool)
+            with np.errstate(divide="ignore"):  # an arc that is not there has log 0
+                both = np.logaddexp(np.log(new) + paths, np.log(known * f["c"].to_numpy(np.float64)))
+            yield f.assign(lattice=np.where(is_end, ends, goes_on + paths) / LN10, score=np.where(is_end, ends, goes_on + both) / LN10)
         del lattice
         give_back()
 
@@ -196,7 +205,7 @@ class _Head(dict):
 
 
 #: What is summed over a text's tokens, with Spark types.
-SUMS = {"known": "long", "base": "double", "vocabulary": "double", "score": "double"}
+SUMS = {"known": "long", "base": "double", "vocabulary": "double", "lattice": "double", "score": "double"}
 
 
 def _document_parts(head):
@@ -252,7 +261,8 @@ def _at_most(words: DataFrame, column: str, most: int) -> DataFrame:
 def score_texts(
     df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", hold_out: tuple[int, int] = (7, 2), frequent: int = 100_000
 ) -> DataFrame:
-    """One row per row of df: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, vocabulary_score, score.
+    """One row per row of df: doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
+    vocabulary_score, lattice_score, score.
 
     The base is the add-one unigram model over whole words: (c + 1) / (N + V + 1) for each token. Null texts are empty: their
     one token is the end. Rows that repeat an id are texts of their own; ids may be of any type, null ids are in the training
@@ -278,16 +288,17 @@ def score_texts(
     total, weight = sum(got.values()), 5000.0  # the prior counts as so many uses
     is_end = F.col("word") == F.lit(bytearray(END))
     ends = float(weighed.where(is_end).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
-    # after each piece the text goes on or ends
-    log_end = math.log((ends + 1) / (total + ends + 2))
-    on = math.log1p(-math.exp(log_end))
-    log_p = {p: on + math.log((got.get(p, 0.0) + weight * math.exp(q)) / (total + weight)) for p, q in v.prior.items()}
-    sent = spark.sparkContext.broadcast((log_p, v.byte, log_end))
+    log_p = {p: math.log((got.get(p, 0.0) + weight * math.exp(q)) / (total + weight)) for p, q in v.prior.items()}
+    # a text ends or goes on; a word is a known one, or any by its pieces
+    end, n_tokens, distinct = (ends + 1) / (n_train + 2), n_train - ends, n_words - (ends > 0)
+    new = distinct / (n_tokens + distinct) if n_tokens else 1.0
+    known = (1 - new) / n_tokens if n_tokens else 0.0  # of each time that the word occurs
+    sent = spark.sparkContext.broadcast((log_p, v.byte, math.log1p(-end), math.log(end), new, known))
     ordered = weighed.where("word is not null").select("word", "c", "n", "vocabulary").sortWithinPartitions("word")
-    scored = stash(ordered.mapInPandas(_by_corpus(sent), f"{word}, score double"), "word-scores")
+    scored = stash(ordered.mapInPandas(_by_corpus(sent), f"{word}, lattice double, score double"), "word-scores")
     discard(weighed)
     log_unit = math.log10(n_train + n_words + 1)
-    token = scored.select("word", "n", (F.col("c") > 0).cast("long").alias("known"), (F.log10(F.col("c") + 1) - log_unit).alias("base"), "vocabulary", "score")
+    token = scored.select("word", "n", (F.col("c") > 0).cast("long").alias("known"), (F.log10(F.col("c") + 1) - log_unit).alias("base"), "vocabulary", "lattice", "score")
     top = _at_most(token, "n", frequent).toPandas()  # at most ``frequent`` words
     head = spark.sparkContext.broadcast(([bytes(w) for w in top["word"]], *(top[x].to_numpy() for x in SUMS)))
     made = rows.mapInArrow(_document_parts(head), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, row long, held_out boolean, word binary, k long, tokens long, " + ", ".join(map(" ".join, SUMS.items())))
@@ -298,5 +309,5 @@ def score_texts(
     plus = lambda x: F.col(x) + F.coalesce(f"rare_{x}", F.lit(0))
     return texts.select(
         "doc_id", "held_out", F.col("tokens").alias("n_tokens"), plus("known").alias("n_known"), F.lit(int(n_train)).cast("long").alias("train_tokens"),
-        plus("base").alias("base_score"), plus("vocabulary").alias("vocabulary_score"), plus("score").alias("score"),
+        plus("base").alias("base_score"), plus("vocabulary").alias("vocabulary_score"), plus("lattice").alias("lattice_score"), plus("score").alias("score"),
     )

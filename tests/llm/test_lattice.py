@@ -70,13 +70,28 @@ def test_every_training_word_is_fitted(spark):
     v = Vocabulary(PATH)
     uses = expected(v.prior, v.byte, [(w, 1.0) for w in train])
     total, ends = sum(uses.values()), sum(not held(d) for d, _ in texts)
-    log_end = math.log((ends + 1) / (total + ends + 2))
-    on = math.log1p(-math.exp(log_end))
-    fitted = Lattice({p: on + math.log((uses.get(p, 0.0) + 5000 * math.exp(q)) / (total + 5000)) for p, q in v.prior.items()}, v.byte)
+    fitted = Lattice({p: math.log((uses.get(p, 0.0) + 5000 * math.exp(q)) / (total + 5000)) for p, q in v.prior.items()}, v.byte)
+    end = (ends + 1) / (len(train) + ends + 2)
     out = score_texts(spark.createDataFrame(texts, "doc_id long, text string"), PATH).where("doc_id < 1003").collect()
     for r in out:
-        want = (sum(map(fitted.forward, texts[r.doc_id - 1000][1].split())) + log_end) / LN10
-        assert math.isclose(r.score, want, rel_tol=1e-9)
+        words = texts[r.doc_id - 1000][1].split()
+        paths = [math.log1p(-end) + fitted.forward(w) for w in words]
+        assert math.isclose(r.lattice_score, (sum(paths) + math.log(end)) / LN10, rel_tol=1e-9)
+        # half of the words and distinct words are new ones: each was seen once
+        arcs = [math.log((1 - end) * (0.5 * (not held(r.doc_id)) / len(train) + 0.5 * math.exp(fitted.forward(w)))) for w in words]
+        assert math.isclose(r.score, (sum(arcs) + math.log(end)) / LN10, rel_tol=1e-9)
+
+
+def test_words_have_a_distribution(spark):
+    """Over all words of a small vocabulary's letters, the paths of pieces add up to 1, and so do the words that the model knows or not."""
+    pieces = {MARK: 0.1, MARK + "a": 0.3, "a": 0.2, "b": 0.25, "ab": 0.15}
+    lattice = Lattice({p: math.log(x) for p, x in pieces.items()}, -50.0)
+    total, words = 0.0, [""]
+    for _ in range(14):
+        words = [w + c for w in words for c in "ab"]
+        total += sum(math.exp(lattice.forward(w)) for w in words)
+    left = 1 - total - pieces[MARK]  # longer words, and the mark alone, which is no word
+    assert 0 < left < 0.03
 
 
 def test_vocabulary_is_a_distribution():
@@ -137,22 +152,24 @@ def test_whole_table(spark):
     got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in out), key=repr)
     assert got == brute_base([(r.doc_id, r.text) for r in df.collect()], 4)
     unseen = [r for r in out if r.held_out and r.n_tokens > 50]
-    assert len(unseen) > 60 and sum(r.score > r.vocabulary_score for r in unseen) > 0.9 * len(unseen)
+    assert len(unseen) > 60
+    for better, worse in (("lattice_score", "vocabulary_score"), ("score", "lattice_score")):
+        assert sum(r[better] > r[worse] for r in unseen) > 0.9 * len(unseen)
 
 
 def test_vocabulary_score_and_ids_of_any_type(spark):
-    """Without training texts the corpus adds nothing but that a piece goes on or ends alike."""
+    """Without training texts the corpus adds nothing but that a text goes on or ends alike."""
     held = [str(d) for d in range(200) if zlib.crc32(str(d).encode()) % 7 == 2][:3]
     df = spark.createDataFrame([(d, f"some words {d} and é") for d in held], "doc_id string, text string")
     out = score_texts(df, PATH).collect()
     assert sorted(r.doc_id for r in out) == sorted(held)
     v = Vocabulary(PATH)
-    own, on = Lattice(v.prior, v.byte), Lattice({p: math.log(0.5) + q for p, q in v.prior.items()}, v.byte)
+    own = Lattice(v.prior, v.byte)
     for r in out:
         words = f"some words {r.doc_id} and é".split()
         assert r.held_out and r.n_known == r.train_tokens == 0
         assert math.isclose(r.vocabulary_score * LN10, sum(map(own.forward, words)))
-        assert math.isclose(r.score * LN10, sum(map(on.forward, words)) + math.log(0.5))
+        assert math.isclose(r.score * LN10, sum(map(own.forward, words)) + (len(words) + 1) * math.log(0.5)) and math.isclose(r.score, r.lattice_score)
 
 
 def test_bounds_and_empty_table(spark):
