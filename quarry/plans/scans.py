@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import sqlite3
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.plans.tables import CHUNKS_SQL, chunk_versions, table
+from quarry.functions.versions import CALENDAR
+from quarry.plans.tables import CAL_SQL, CHUNKS_SQL, chunk_versions, chunks_sql, table
 from quarry.sources import readers
 from quarry.sources.store import scratch
 
@@ -61,10 +65,49 @@ def scanned_truth(spark: SparkSession, d: str) -> DataFrame:
     return readers.change_truth(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (scanned_movies, scanned_comments, scanned_queries, scanned_truth)}
+def _put(spark: SparkSession, path: str, data: bytes) -> None:
+    """One small file, wherever the path leads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, False)
+    out.write(bytearray(data))
+    out.close()
+
+
+def scanned_markdown(spark: SparkSession, d: str) -> DataFrame:
+    """Every nation as a markdown file of some version, with long and short paragraphs and either kind of line end: its chunks."""
+    folder = scratch(spark)
+    for r in table(spark, d, "nation").orderBy("n_nationkey").collect():  # 25 rows
+        k, name, end = r["n_nationkey"], r["n_name"], "\r\n" if r["n_nationkey"] % 2 else "\n"
+        text = [f"# {name}", f"The land of {name} has its own rules. " * (20 + k), "Short.", f"What is new in {name}? Little! " * (k + 1)]
+        _put(spark, f"{folder}/land of {name} {CALENDAR[k % len(CALENDAR)][0][1:]}.md", (end * 2).join(text).encode())
+    _put(spark, f"{folder}/read me.txt", b"no markdown, however long this text may be")
+    found = readers.markdown_chunks(readers.markdown_files(spark, folder))
+    return found.select("chunk_id", "document_name", "version", F.col("version_date").cast("string").alias("version_date"), "section_header", "source_file", "chunk_index", "checksum")
+
+
+def scanned_sqlite(spark: SparkSession, d: str) -> DataFrame:
+    """Every nation as a record in an SQLite file, of which one version is read."""
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE TABLE chunk_versions (chunk_id TEXT, source_file TEXT, version TEXT, version_date TEXT, chunk_index INTEGER, checksum TEXT)")
+    rows = table(spark, d, "nation").collect()  # 25 rows
+    db.executemany("INSERT INTO chunk_versions VALUES (?, ?, ?, '2024-02-01', ?, ?)", [(f"c{r['n_nationkey']}", r["n_name"], f"v{r['n_regionkey']}", r["n_nationkey"], hashlib.sha256(r["n_name"].encode()).hexdigest()) for r in rows])
+    db.commit()
+    path = f"{scratch(spark)}/old.db"
+    _put(spark, path, db.serialize())
+    db.close()
+    return readers.sqlite_records(spark, path, version="v1").select("chunk_id", "source_file", F.col("version_date").cast("string").alias("version_date"), "chunk_index", "checksum", F.coalesce("document_name", F.lit("none")).alias("document_name"))
+
+
+QUERIES = {f.__name__: f for f in (scanned_markdown, scanned_sqlite, scanned_movies, scanned_comments, scanned_queries, scanned_truth)}
 
 _PART = "concat_ws('. ', 'Title: ' || p_name, CASE WHEN p_partkey % 3 <> 0 THEN 'Genres: ' || replace(p_type, ' ', ', ') END, 'Cast: ' || p_brand || ', ' || p_name, CASE WHEN p_partkey % 5 <> 0 THEN 'Directors: ' || p_brand END, 'Writers: ' || trim(string_split(p_name, '(')[1]), 'Year: ' || (1900 + p_size), 'Awards: ' || p_size || ' wins.')"
 SQL = {
+    "scanned_markdown": f"""WITH {CAL_SQL}, nat AS (SELECT n_nationkey AS id, n_name AS name, (SELECT list(version ORDER BY o) FROM (SELECT version, row_number() OVER () AS o FROM cal))[1 + n_nationkey % {len(CALENDAR)}] AS version FROM nation),
+src AS (SELECT id, '# ' || name || chr(10) || chr(10) || repeat('The land of ' || name || ' has its own rules. ', 20 + id) || chr(10) || chr(10) || 'Short.' || chr(10) || chr(10) || repeat('What is new in ' || name || '? Little! ', id + 1) AS text FROM nat),
+{chunks_sql("src")},
+n2 AS (SELECT id, 'land of ' || name || ' ' || substr(version, 2) AS stem, version, version_date::VARCHAR AS version_date FROM nat JOIN cal USING (version))
+SELECT stem || '.md__' || version || '__chunk_' || chunk_index AS chunk_id, replace(stem, '_', ' ') AS document_name, version, version_date, 'Section ' || (chunk_index + 1) AS section_header, stem || '.md' AS source_file, chunk_index, sha256(text) AS checksum FROM chunks JOIN n2 USING (id)""",
+    "scanned_sqlite": "SELECT 'c' || n_nationkey AS chunk_id, n_name AS source_file, '2024-02-01' AS version_date, n_nationkey AS chunk_index, sha256(n_name) AS checksum, 'none' AS document_name FROM nation WHERE n_regionkey = 1",
     "scanned_movies": f"""SELECT 'movie_' || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'x' END || p_partkey AS id, {_PART} AS text, 'movies' AS source, p_name AS title, 1900 + p_size AS year, CASE WHEN p_partkey % 3 <> 0 THEN replace(p_type, ' ', ', ') ELSE '' END AS genres,
   CASE WHEN p_partkey % 5 <> 0 THEN p_brand ELSE '' END AS directors, CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE p_size END AS runtime, CASE WHEN p_partkey % 6 <> 0 THEN p_partkey ELSE 0 END AS num_mflix_comments, CASE WHEN p_partkey % 7 <> 0 THEN round(p_retailprice, 2) ELSE 0 END AS imdb_rating, p_partkey * 3 AS imdb_votes, p_size AS award_wins, 'movie' AS type FROM part""",
     "scanned_comments": """SELECT 'comment_' || k AS id, text, 'comments' AS source, role AS name, role || '@example.com' AS email, conv_id::VARCHAR AS movie_id, (k * 7)::VARCHAR AS date FROM (SELECT *, conv_id * 1000 + turn AS k FROM conversations) WHERE k % 5 <> 0 AND regexp_matches(text, '[^ \\t\\n\\x0B\\f\\r]')""",
