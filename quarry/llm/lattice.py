@@ -135,6 +135,7 @@ class Lattice:
 
 _NONE: dict = {}
 DISTINCT = 200_000  # words that a task counts before it passes them on
+WORDS_A_TASK = 100_000  # distinct words whose segmentations one task sums: some seconds
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,13 +276,15 @@ def score_texts(
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(crc_mod(F.col(id_col), hold_out[0]) == hold_out[1], F.lit(False)).alias("held_out"))
     counts = rows.select("text", (~F.col("held_out")).alias("train")).mapInArrow(_count_words, "word binary, c long, n long")
     words = stash(counts.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "words")
-    n_train, n_words = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    n_train, n_words, every = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count("*")).first()
+    # so many words a task, however small their files; sorted, so that words share beginnings
+    dealt = lambda df: df.repartition(1 + every // WORDS_A_TASK, "word").sortWithinPartitions("word")
 
-    # under the vocabulary's own weights; sorted, so that words share beginnings
+    # under the vocabulary's own weights
     v = Vocabulary(vocabulary)
     word = "word binary, c long, n long, vocabulary double"
     sent = spark.sparkContext.broadcast((v.prior, v.byte))
-    weighed = stash(words.sortWithinPartitions("word").mapInPandas(_by_vocabulary(sent), f"{word}, piece string, uses double"), "words-weighed")
+    weighed = stash(dealt(words).mapInPandas(_by_vocabulary(sent), f"{word}, piece string, uses double"), "words-weighed")
     discard(words)
     # piece probabilities: at most as many rows as the vocabulary has pieces
     got = {r["piece"]: r["uses"] for r in weighed.where("piece is not null").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()}
@@ -294,8 +297,7 @@ def score_texts(
     new = distinct / (n_tokens + distinct) if n_tokens else 1.0
     known = (1 - new) / n_tokens if n_tokens else 0.0  # of each time that the word occurs
     sent = spark.sparkContext.broadcast((log_p, v.byte, math.log1p(-end), math.log(end), new, known))
-    ordered = weighed.where("word is not null").select("word", "c", "n", "vocabulary").sortWithinPartitions("word")
-    scored = stash(ordered.mapInPandas(_by_corpus(sent), f"{word}, lattice double, score double"), "word-scores")
+    scored = stash(dealt(weighed.where("word is not null").select("word", "c", "n", "vocabulary")).mapInPandas(_by_corpus(sent), f"{word}, lattice double, score double"), "word-scores")
     discard(weighed)
     log_unit = math.log10(n_train + n_words + 1)
     token = scored.select("word", "n", (F.col("c") > 0).cast("long").alias("known"), (F.log10(F.col("c") + 1) - log_unit).alias("base"), "vocabulary", "lattice", "score")
