@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,11 +54,18 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, tag: str) -> str:
     """A new path for a table of this application: all of them are in one folder, which can be deleted when its results are stored."""
     path = f"{shared_dir(spark)}/quarry-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    _made.append(path)
+    made().append(path)
     return path
 
 
-_made: list[str] = []  # in the order of making
+_own = threading.local()
+
+
+def made() -> list[str]:
+    """Paths in the order of making, of this thread: what others run at the same time is theirs."""
+    if not hasattr(_own, "paths"):
+        _own.paths = []
+    return _own.paths
 
 
 def stash(df: DataFrame, tag: str) -> DataFrame:
@@ -77,16 +85,16 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def mark() -> int:
     """A moment, for sweep()."""
-    return len(_made)
+    return len(made())
 
 
 def sweep(spark: SparkSession, since: int, keep: DataFrame) -> None:
     """Deletes what was put into the shared folder since mark(), but for one stashed table: for callers that have stored a result, of which
     nothing else is read any more."""
-    for path in _made[since:]:
+    for path in made()[since:]:
         if path != keep._quarry_path:
             delete(spark, path)
-    _made[since:] = [keep._quarry_path]
+    made()[since:] = [keep._quarry_path]
 
 
 def numbered(df: DataFrame, tag: str, *more: Column) -> DataFrame:

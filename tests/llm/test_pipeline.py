@@ -90,7 +90,7 @@ def test_run_leaves_nothing_but_what_its_result_reads(spark, tmp_path, small):
         spark.read.parquet(f"{small}/{name}.parquet").limit(60).write.parquet(f"{tmp_path}/{name}.parquet")
     since = common.mark()
     out = corpus_pipeline.run(spark, str(tmp_path))
-    left = [p.rsplit("/", 1)[-1].rsplit("-", 1)[0] for p in common._made[since:] if os.path.exists(p.removeprefix("file:"))]
+    left = [p.rsplit("/", 1)[-1].rsplit("-", 1)[0] for p in common.made()[since:] if os.path.exists(p.removeprefix("file:"))]
     assert [x for x in left if x.startswith("stage-")] == ["stage-decontaminate"] and not any(x.startswith(("near", "exact", "simhash")) for x in left)
     assert out.count() > 0
 
