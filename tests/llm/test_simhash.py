@@ -162,8 +162,7 @@ def families(rng, words, distance):
     return fps + [rng.getrandbits(size) for _ in range(100)]
 
 
-@pytest.mark.parametrize("distance,words", [(4, 1), (9, 2)])
-@pytest.mark.parametrize("hot,leaders", [(40, 64), (8, 3)])
+@pytest.mark.parametrize("distance,words,hot,leaders", [(4, 1, 8, 3), (9, 2, 40, 64)])
 def test_crowded_entries_are_split_without_loss(spark, distance, words, hot, leaders):
     fps = list(dict.fromkeys(families(random.Random(9), words, distance)))
     df = links_frame(spark, fps, words)
