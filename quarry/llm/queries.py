@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import table, tokenizer_path
 from quarry.llm.decontaminate import contamination
+from quarry.llm.divergence import audit
 from quarry.llm.exact_dedup import deduplicate
 from quarry.llm.language import identify
 from quarry.llm.lattice import score_texts
 from quarry.llm.licenses import scan as scan_licenses
 from quarry.llm.packing import pack
+from quarry.llm.rolling import document_windows
 from quarry.llm.secrets import digests
 from quarry.llm.secrets import scan as scan_secrets
 from quarry.llm.simhash import as_hex, near_duplicates
@@ -61,8 +63,17 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(table(spark, sf_dir, "documents")).drop("keep_chars")
 
 
+def op11_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_windows(table(spark, sf_dir, "documents"), windows=(600, 43200))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), least_docs=10, top=10)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_language_id, op3_urls, op4_secrets, op5_lattice, op6_warc, op7_licenses, op8_decontaminate, op9_pack, op10_exact_dedup)}
+    every = op1_simhash, op2_language_id, op3_urls, op4_secrets, op5_lattice, op6_warc, op7_licenses, op8_decontaminate, op9_pack, op10_exact_dedup, op11_rolling, op13_divergence
+    return {f.__name__: f for f in every}
 
 
 #: DuckDB. Only what SQL expresses for whole tables.
@@ -116,5 +127,50 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+#: crc32 bit by bit: eight steps for each digit.
+_OP11 = r"""
+WITH c AS (
+  SELECT doc_id, text, lang, source,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i::INTEGER, 1))::BIGINT)),
+           lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) AS h
+  FROM documents),
+e AS (SELECT doc_id, lang, source, length(text)::BIGINT AS chars, (10 * ((doc_id + h % 10000) - (((doc_id + h % 10000) % 6) + 6) % 6))::BIGINT AS event_s FROM c),
+w AS (
+  SELECT doc_id, event_s, 600 AS window_s, count(*) OVER r AS n_events, sum(chars) OVER r AS total, count(DISTINCT lang) OVER r AS n_langs, list(chars) OVER r AS every
+  FROM e WINDOW r AS (PARTITION BY source ORDER BY event_s RANGE BETWEEN 600 PRECEDING AND 1 PRECEDING)
+  UNION ALL
+  SELECT doc_id, event_s, 43200, count(*) OVER r, sum(chars) OVER r, count(DISTINCT lang) OVER r, list(chars) OVER r
+  FROM e WINDOW r AS (PARTITION BY source ORDER BY event_s RANGE BETWEEN 43200 PRECEDING AND 1 PRECEDING)),
+s AS (SELECT * EXCLUDE (every), list_sort(list_filter(coalesce(every, []), lambda x: x IS NOT NULL)) AS v FROM w)
+SELECT doc_id, window_s::BIGINT AS window_s, event_s, n_events::BIGINT AS n_events, coalesce(total, 0)::BIGINT AS sum_chars, n_langs::BIGINT AS n_langs,
+       v[((len(v) + 1) // 2)::INTEGER] AS median_chars, v[((90 * len(v) + 99) // 100)::INTEGER] AS high_chars
+FROM s
+"""
+
+_OP13 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS n, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+t AS (SELECT n, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM t GROUP BY ALL HAVING count(DISTINCT n) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+size AS (SELECT lang, source, coalesce(sum(c), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v, sum(total) AS total FROM kept GROUP BY ALL),
+p AS (
+  SELECT lang, source, term, coalesce(c, 0) AS c, 1 + ((1000000000::HUGEINT * (coalesce(c, 0) + 2)) // (size.total + 2 * v)) AS p, 1 + ((1000000000::HUGEINT * (kept.total + 2)) // (v.total + 2 * v)) AS q
+  FROM size JOIN v USING (lang) JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT a.lang, a.source AS one, b.source AS two, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS s
+             FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) x ON x.lang = a.lang AND one = a.source AND two = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE c > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM found)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM r WHERE part = 'pair' OR rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": _OP6, "op8_decontaminate": _OP8, "op10_exact_dedup": _OP10}
+    return {"op6_warc": _OP6, "op8_decontaminate": _OP8, "op10_exact_dedup": _OP10, "op11_rolling": _OP11, "op13_divergence": _OP13}
