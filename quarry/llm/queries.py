@@ -12,6 +12,7 @@ from quarry.llm.exact_dedup import deduplicate
 from quarry.llm.language import identify
 from quarry.llm.lattice import score_texts
 from quarry.llm.licenses import scan as scan_licenses
+from quarry.llm.minhash import near_duplicates as minhash_duplicates
 from quarry.llm.packing import pack
 from quarry.llm.rolling import document_windows
 from quarry.llm.secrets import digests
@@ -67,12 +68,16 @@ def op11_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_windows(table(spark, sf_dir, "documents"), windows=(600, 43200))
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"), least_docs=10, top=10)
 
 
 def queries() -> dict:
-    every = op1_simhash, op2_language_id, op3_urls, op4_secrets, op5_lattice, op6_warc, op7_licenses, op8_decontaminate, op9_pack, op10_exact_dedup, op11_rolling, op13_divergence
+    every = op1_simhash, op2_language_id, op3_urls, op4_secrets, op5_lattice, op6_warc, op7_licenses, op8_decontaminate, op9_pack, op10_exact_dedup, op11_rolling, op12_minhash, op13_divergence
     return {f.__name__: f for f in every}
 
 
@@ -147,6 +152,20 @@ SELECT doc_id, window_s::BIGINT AS window_s, event_s, n_events::BIGINT AS n_even
 FROM s
 """
 
+_OP12 = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT n, doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i::INTEGER] || ' ' || w[i::INTEGER + 1])) END AS s FROM d),
+t AS (SELECT n, unnest(s) AS t FROM s),
+shared AS (SELECT a.n AS a, b.n AS b, count(*) AS meet FROM t a JOIN t b ON a.t = b.t AND a.n <> b.n GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN s x ON x.n = a JOIN s y ON y.n = b WHERE 100 * meet >= 80 * (len(x.s) + len(y.s) - meet)),
+reach AS (SELECT n AS a, n AS b FROM s UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+root AS (SELECT reach.a AS n, min(s.doc_id) AS component_id FROM reach JOIN s ON s.n = reach.b GROUP BY ALL)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN root USING (n)
+"""
+
 _OP13 = r"""
 WITH d AS (
   SELECT row_number() OVER () AS n, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
@@ -173,4 +192,4 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank F
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": _OP6, "op8_decontaminate": _OP8, "op10_exact_dedup": _OP10, "op11_rolling": _OP11, "op13_divergence": _OP13}
+    return {"op6_warc": _OP6, "op8_decontaminate": _OP8, "op10_exact_dedup": _OP10, "op11_rolling": _OP11, "op12_minhash": _OP12, "op13_divergence": _OP13}
