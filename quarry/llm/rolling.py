@@ -198,8 +198,8 @@ def _crowded(points: DataFrame, tiles: Column, crowded: DataFrame, windows: Sequ
     kind = "g string, tile long, chunk long, t long, w long, n long, total long, m long"
 
     def weigh(rows: DataFrame, labels: bool = False) -> DataFrame:
-        parts = rows.select(*keys, "chunk").distinct()
-        times = asked.join(parts, same(asked, parts)).select(asked["g"], asked["tile"], "chunk", "t")
+        parts = rows.select(F.col("g").alias("of"), F.col("tile").alias("at"), F.col("chunk").alias("part")).distinct()
+        times = asked.join(parts, F.col("g").eqNullSafe(F.col("of")) & (F.col("tile") == F.col("at"))).select(*keys, F.col("part").alias("chunk"), "t")
         return times.groupBy(*keys, "chunk").cogroup(rows.groupBy(*keys, "chunk")).applyInArrow(_weighed(windows, length, labels), kind)
 
     weighed = stash(weigh(valued), "crowded-weights")
