@@ -8,8 +8,9 @@ A host is blocked where its distrust exceeds its trust; each has a total of 1 ov
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,17 +42,30 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES
     return out
 
 
+def _parents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host) -> (src, dst): a.b.c to b.c, and so on, but to no last label alone. A host of many labels goes out in several batches."""
+    src, dst, held = [], [], 0
+    form = lambda: pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(dst, pa.string())], ["src", "dst"])
+    for batch in batches:
+        for host in batch.column(0):
+            host, at = host.as_py(), 0
+            while (dot := host.find(".", at)) >= 0 and host.find(".", dot + 1) >= 0:
+                src.append(host[at:])
+                dst.append(host[dot + 1 :])
+                held, at = held + len(src[-1]) + len(dst[-1]), dot + 1
+                if held > 1 << 20:
+                    yield form()
+                    src, dst, held = [], [], 0
+    yield form()
+
+
 def edges(pages: DataFrame) -> DataFrame:
     """(src, dst, n) between hosts; pages have host and html."""
     link = r"(?i)<a\b[^>]*?\bhref\s*=\s*[\"']?([a-z][a-z0-9+.-]*:)?(//[^/?#\"'\s>]+)"
     found = pages.where("host <> ''").select("host", F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(link), F.lit(2))).alias("to"))
-    linked = found.select(F.col("host").alias("src"), ascii_lower(F.substring(F.col("to"), 3, 1 << 20)).alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("n"))
+    linked = found.select(F.col("host").alias("src"), ascii_lower(F.expr("substring(to, 3)")).alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("n"))
     hosts = pages.where("host <> ''").select("host").distinct().union(linked.select("dst")).distinct()
-    # a.b.c -> b.c -> c: each host's chain of parents, without the last label alone
-    labels = F.split("host", r"\.")
-    chain = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda k: F.array_join(F.slice(labels, k, 1000), "."))
-    up = hosts.select(chain.alias("c")).select(F.explode(F.arrays_zip(F.expr("slice(c, 1, greatest(size(c) - 1, 0))").alias("src"), F.expr("slice(c, 2, 1000)").alias("dst"))).alias("e"))
-    up = up.select("e.src", "e.dst").where("src is not null and dst is not null and src <> dst").distinct().withColumn("n", F.lit(1.0))
+    up = hosts.mapInArrow(_parents, "src string, dst string").distinct().withColumn("n", F.lit(1.0))
     return linked.unionByName(up).unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 

@@ -3,8 +3,9 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from quarry.llm.url_filter import RULES, edges, judge_hosts, judge_pages
+from quarry.llm.url_filter import RULES, edges, host_and_path, judge_hosts, judge_pages
 
 
 def host_path(url):
@@ -123,6 +124,14 @@ def test_long_urls_pages_and_clashing_names(spark):
     assert out[1].rule == "org/" and len(out[1].path) == 100_001 and out[2].trust > 0 and out[3].verdict == "allow"
 
 
+def test_hosts_of_many_labels_have_every_parent(spark):
+    long = ".".join(f"l{i}" for i in range(3000))
+    pages = [("https://" + long + "/x", None), ("https://b.c.d.e", f'<a href="//{"z" * (1 << 20)}.y.x.w">'), ("https://one", ""), ("https://a..b.", ""), ("https://two.labels", "")]
+    df = spark.createDataFrame(pages, "url string, html string")
+    rows = df.select(host_and_path(F.col("url"))[0].alias("host"), "html")
+    assert {(r.src, r.dst): r.n for r in edges(rows).toLocalIterator()} == brute_edges(pages)
+
+
 def test_counts_and_empty_table(spark):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     assert judge_pages(df).count() == len(PAGES)
