@@ -196,6 +196,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "utf-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("key"))
     groups = rows.where(F.octet_length("payload") >= least_bytes).groupBy("key").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
+    groups = stash(groups, "payload-groups")  # a table, so that the rows of a frequent payload can be split in the join
     typed = rows.join(groups, "key", "left").select("page_id", "url", "payload", "first")
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,7 +218,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             close()
         yield pd.DataFrame(done, columns=["name", "records"])
 
-    return stash(typed.mapInPandas(write, "name string, records long"), "manifest")
+    manifest = stash(typed.mapInPandas(write, "name string, records long"), "manifest")
+    discard(groups)
+    return manifest
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
