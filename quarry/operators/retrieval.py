@@ -13,11 +13,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import lower_words
 from quarry.functions.vectors import sigmoid
+from quarry.sources.store import stored
 
 #: Query vectors (of up to 1024 dimensions) that one task holds at once: 64 MB.
 QUERIES_AT_ONCE = 8192
@@ -37,6 +38,17 @@ def spread(df: DataFrame, bytes_a_core: int = 8 << 20) -> DataFrame:
     return df.repartition(cores) if size < cores * bytes_a_core else df
 
 
+def in_turn(spark: SparkSession, one: Callable[[int], DataFrame | None], blocks: int) -> DataFrame | None:
+    """The results of all blocks. Where there are several, each is stored before the next one is made, so that the driver holds what goes
+    to the tasks (weights, vectors, words) of one block at a time."""
+    out = []
+    for b in range(blocks):
+        df = one(b)
+        if df is not None:
+            out.append(df if blocks == 1 else stored(df))
+    return functools.reduce(DataFrame.unionAll, out) if out else None
+
+
 class _Best:
     """The k best (score, id) of each query so far, by score and then by id."""
 
@@ -82,22 +94,25 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosin
 
     A metadata filter goes before the ranking, so that it reaches the scan. Each task keeps k candidates of each
     query; only those are shuffled. score: cosine, or minus the squared distance. Null vectors are left out. Queries
-    are taken in blocks of QUERIES_AT_ONCE, so their number has no limit either.
+    are taken in blocks of about QUERIES_AT_ONCE, one after the other, so their number has no limit either: the results of
+    several blocks are stored when this is called.
     """
     rows = vectors.where("embedding is not null") if where is None else vectors.where(where & F.col("embedding").isNotNull())
     rows = rows.select(F.col("id").cast("long"), "embedding")
     n = queries.count()
     blocks = max(1, -(-n // QUERIES_AT_ONCE))
-    out = []
-    for b in range(blocks):
-        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+
+    def one(block: int) -> DataFrame | None:
+        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
         held = own.select(F.col("query_id").cast("long"), "embedding").where("embedding is not null").orderBy("query_id").toPandas()
-        if len(held):
-            matrix = np.stack(held["embedding"].to_numpy()).astype(np.float64)
-            out.append(rows.mapInPandas(_nearest(held["query_id"].tolist(), matrix, k, metric), "query_id long, id long, score double"))
-    if not out:
-        return rows.select(F.lit(0).cast("long").alias("query_id"), "id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    return ranked(functools.reduce(DataFrame.unionAll, out), k, F.desc("score"), F.col("id"))
+        if not len(held):
+            return None
+        matrix = np.stack(held["embedding"].to_numpy()).astype(np.float64)
+        found = rows.mapInPandas(_nearest(held["query_id"].tolist(), matrix, k, metric), "query_id long, id long, score double")
+        return ranked(found, k, F.desc("score"), F.col("id"))
+
+    out = in_turn(vectors.sparkSession, one, blocks)
+    return rows.select(F.lit(0).cast("long").alias("query_id"), "id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0) if out is None else out
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -208,25 +223,38 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.5, b: fl
     floor = (idf.agg(F.avg("idf")).first()[0] or 0.0) * epsilon
     n_queries = queries.count()
     blocks = max(1, -(-2 * n_queries // TEXT_QUERIES_AT_ONCE)) if n_queries > TEXT_QUERIES_AT_ONCE else 1
-    out = []
-    for q in range(blocks):
-        own = (queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == q)).select(F.col("query_id").cast("long"), "text").orderBy("query_id").collect()
+
+    def one(block: int) -> DataFrame | None:
+        own = (queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)).select(F.col("query_id").cast("long"), "text").orderBy("query_id").collect()
         if not own:
-            continue
-        asked = [Counter(words_of(r["text"])) for r in own]
-        place = {w: i for i, w in enumerate(sorted({w for c in asked for w in c}))}
-        known = docs.sparkSession.createDataFrame([(bytearray(w),) for w in place], "term binary")
-        weights = np.zeros((max(1, len(place)), len(own)))
-        for r in idf.join(F.broadcast(known), "term").collect():  # at most the block's terms
-            w = bytes(r["term"])
-            for i, c in enumerate(asked):
-                if w in c:
-                    weights[place[w], i] = c[w] * (floor if r["idf"] < 0 else r["idf"])
-        out.append(spread(wanted.where("id is not null").select(F.col("id").cast("long"), "text")).mapInPandas(_okapi([r["query_id"] for r in own], place, weights, mean, k, k1, b), "query_id long, id long, score double"))
+            return None
+        place, weights = weights_of(own, idf, floor)
+        scored = spread(wanted.where("id is not null").select(F.col("id").cast("long"), "text")).mapInPandas(_okapi([r["query_id"] for r in own], place, weights, mean, k, k1, b), "query_id long, id long, score double")
+        return ranked(scored, k, F.desc("score"), F.col("id"))
+
+    first = in_turn(docs.sparkSession, one, blocks)
     terms.unpersist()
-    if not out:
+    if first is None:
         return wanted.select(F.lit(0).cast("long").alias("query_id"), "id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"), F.lit(0.0).alias("normalised")).limit(0)
-    first = ranked(functools.reduce(DataFrame.unionAll, out), k, F.desc("score"), F.col("id"))
+    return normalised(first)
+
+
+def weights_of(queries: list, idf: DataFrame, floor: float) -> tuple[dict[bytes, int], np.ndarray]:
+    """The words of a block of queries (query_id, text), and their weights, (words, queries). idf: (term, idf) of all words."""
+    asked = [Counter(words_of(r["text"])) for r in queries]
+    place = {w: i for i, w in enumerate(sorted({w for c in asked for w in c}))}
+    known = idf.sparkSession.createDataFrame([(bytearray(w),) for w in place], "term binary")
+    weights = np.zeros((max(1, len(place)), len(queries)))
+    for r in idf.join(F.broadcast(known), "term").collect():  # at most the block's terms
+        w = bytes(r["term"])
+        for i, c in enumerate(asked):
+            if w in c:
+                weights[place[w], i] = c[w] * (floor if r["idf"] < 0 else r["idf"])
+    return place, weights
+
+
+def normalised(first: DataFrame) -> DataFrame:
+    """Adds the score over the best one of the query."""
     best = F.max("score").over(Window.partitionBy("query_id"))
     return first.withColumn("normalised", F.round(F.col("score") / F.when(best > 0, best).otherwise(1.0), 4))
 
@@ -293,12 +321,13 @@ def keyword_totals(docs: DataFrame, queries: DataFrame, at_once: int = 10_000) -
     n = keys.select("word").distinct().count()
     blocks = max(1, -(-2 * n // at_once)) if n > at_once else 1
     low = spread(docs.where("text is not null").select("text")).select(F.lower("text").alias("low"))
-    counts = []
-    for b in range(blocks):
-        own = keys.select("word").distinct().where(F.pmod(F.xxhash64("word"), F.lit(blocks)) == b)
-        counts.append(low.mapInPandas(_holding([r["word"] for r in own.collect()]), "word string, relevant long"))
-    total = functools.reduce(DataFrame.unionAll, counts).groupBy("word").agg(F.sum("relevant").alias("relevant"))
-    return keys.join(total, "word").select("query_id", "relevant")
+
+    def one(block: int) -> DataFrame:
+        own = keys.select("word").distinct().where(F.pmod(F.xxhash64("word"), F.lit(blocks)) == block)
+        held = low.mapInPandas(_holding([r["word"] for r in own.collect()]), "word string, relevant long")
+        return held.groupBy("word").agg(F.sum("relevant").alias("relevant"))
+
+    return keys.join(in_turn(docs.sparkSession, one, blocks), "word").select("query_id", "relevant")
 
 
 def lexical_score(query: Column, text: Column) -> Column:

@@ -10,7 +10,9 @@ from quarry.functions.vectors import cosine
 from quarry.operators import answers as A
 from quarry.operators import relevance as M
 from quarry.operators import retrieval as R
+from quarry.operators import text_index, vector_index
 from quarry.operators.models import timed_knn
+from quarry.sources.store import scratch
 from quarry.plans.tables import CAL_SQL, CONTENT, WORDS, answer_sql, any_sql, asked, bm25_sql, dense_sql, docs, fuse_sql, less_sql, query_vectors, share_sql, source_version, table, typos_sql, vectors
 
 ROW = ("query_id", "id", "score", "rank")
@@ -212,6 +214,41 @@ def keyword_by_method(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("method").agg(*map(M.mean, ("hit", "precision", "recall", "mrr")))
 
 
+def _vector_index(spark: SparkSession, d: str) -> str:
+    folder = scratch(spark)
+    vector_index.build(vectors(spark, d), folder, lists=32, codes=16, values=256)
+    return folder
+
+
+def ann_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest vectors by an index of quantised residuals, half of whose lists each query probes."""
+    return _shown(vector_index.search(spark, _vector_index(spark, d), query_vectors(spark, d), 5, probes=16, refine=10))
+
+
+def ann_recall(spark: SparkSession, d: str) -> DataFrame:
+    """How many of the exact results the index finds: at least nine of ten."""
+    found = vector_index.search(spark, _vector_index(spark, d), query_vectors(spark, d), 5, probes=16, refine=10)
+    per = vector_index.recall(found, R.knn(vectors(spark, d), query_vectors(spark, d), 5))
+    return per.select("queries", (F.col("recall") >= 0.9).alias("reaches_nine_of_ten"))
+
+
+def _text_index(spark: SparkSession, d: str, queries: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    folder = scratch(spark)
+    text_index.build(docs(spark, d), folder)
+    return text_index.search(spark, folder, queries, k)
+
+
+def bm25_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """As bm25_topk, from postings in blocks of which those are scored whose bounds reach the best results."""
+    return _text_index(spark, d, asked(spark, d))[0].select("query_id", "id", "rank", F.col("normalised").alias("score"))
+
+
+def bm25_index_reads(spark: SparkSession, d: str) -> DataFrame:
+    """How many postings the queries' terms have, and whether fewer were scored."""
+    read = _text_index(spark, d, asked(spark, d))[1]
+    return read.agg(F.count("*").alias("queries"), F.sum("of").alias("postings"), (F.sum("postings") < F.sum("of")).alias("fewer_scored"))
+
+
 def collection_stats(spark: SparkSession, d: str) -> DataFrame:
     """Rows, dimensions and labels of the vectors."""
     return vectors(spark, d).agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("least_dimension"), F.max(F.size("embedding")).alias("most_dimension"), F.countDistinct("label").alias("labels"))
@@ -228,7 +265,7 @@ def filtered_by_two(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where((F.col("lang") == "de") & (F.col("source") == "src3")).select("doc_id", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (vector_topk_cosine, vector_topk_l2, vector_topk_filtered, knn_hit_precision_recall_mrr, bm25_topk, bm25_topk_source, dense_topk, timed_topk, hybrid_topk, hybrid_distance_topk, threshold_hybrid_topk, rerank_topk, hybrid_rerank_topk, threshold_rerank_topk, version_fallback_topk, first_queries, jaccard_relevance, tier1_metrics, tier1_by_pipeline, tier2_by_pipeline, keyword_metrics, keyword_by_method, context_precision_ap, robustness, collection_stats, vectors_by_id, filtered_by_two)}
+QUERIES = {f.__name__: f for f in (vector_topk_cosine, vector_topk_l2, vector_topk_filtered, knn_hit_precision_recall_mrr, bm25_topk, bm25_topk_source, dense_topk, timed_topk, hybrid_topk, hybrid_distance_topk, threshold_hybrid_topk, rerank_topk, hybrid_rerank_topk, threshold_rerank_topk, version_fallback_topk, first_queries, jaccard_relevance, tier1_metrics, tier1_by_pipeline, tier2_by_pipeline, keyword_metrics, keyword_by_method, context_precision_ap, robustness, ann_topk, ann_recall, bm25_index_topk, bm25_index_reads, collection_stats, vectors_by_id, filtered_by_two)}
 
 _KNN = """WITH s AS (
   SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, q.label AS query_label, round({score}, 12) AS score
@@ -341,6 +378,9 @@ SELECT method, {_means('hit', 'precision', 'recall', 'mrr')} FROM m GROUP BY met
 sa AS (SELECT query_id, list(id) AS x FROM a GROUP BY query_id), sb AS (SELECT query_id, list(id) AS y FROM b GROUP BY query_id)
 SELECT query_id, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 4) AS robustness FROM sa JOIN sb USING (query_id)""",
     "first_queries": "WITH a AS (WITH " + bm25_sql(3, _SCOPE, queries=_FIRST) + " SELECT * FROM bm WHERE score > 0), z AS (WITH " + bm25_sql(3, queries=_FIRST) + " SELECT * FROM bm) SELECT query_id, id, rank, false AS fallback FROM a UNION ALL SELECT query_id, id, rank, true FROM z WHERE query_id NOT IN (SELECT query_id FROM a)",
+    "ann_recall": "SELECT count(*) AS queries, true AS reaches_nine_of_ten FROM embeddings WHERE vec_id % 20 = 0",
+    "bm25_index_topk": "WITH " + bm25_sql(5) + " SELECT query_id, id, rank, normalised AS score FROM bm",
+    "bm25_index_reads": "WITH " + bm25_sql(5) + " SELECT (SELECT count(*) FROM benchmark) AS queries, count(*) AS postings, true AS fewer_scored FROM (SELECT DISTINCT query_id, term FROM qtok) JOIN tf USING (term)",
     "collection_stats": "SELECT count(*) AS n, min(len(embedding))::INT AS least_dimension, max(len(embedding))::INT AS most_dimension, count(DISTINCT label) AS labels FROM embeddings",
     "vectors_by_id": "SELECT vec_id AS id, label, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels)",
     "filtered_by_two": "SELECT doc_id, n_chars FROM documents WHERE lang = 'de' AND source = 'src3'",

@@ -13,15 +13,23 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, else under the warehouse; on a single machine without
-    a checkpoint folder, a temporary one."""
+    """A new folder that driver and executors share: under spark.checkpoint.dir; on a single machine without one, a temporary one."""
     conf = spark.sparkContext.getConf()
     at = conf.get("spark.checkpoint.dir")
     if not at:
-        at = tempfile.gettempdir() if conf.get("spark.master", "").startswith("local") and "cluster" not in conf.get("spark.master") else spark.conf.get("spark.sql.warehouse.dir")
+        if not conf.get("spark.master", "").startswith("local") or "cluster" in conf.get("spark.master"):
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster it has to name a folder that all executors share")
+        at = tempfile.gettempdir()
     return f"{at.rstrip('/')}/quarry-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Writes df to a new folder that all share, and reads it again: cuts lineage, survives lost executors."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Store:
     """Snapshots under a folder; ``key`` names a row. ``snapshots/<n>`` says which folder holds each bucket, ``data/<n>/_bucket=<b>`` has the
     rows that snapshot n wrote. Buckets that a change does not touch are shared by the snapshots."""

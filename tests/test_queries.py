@@ -13,6 +13,9 @@ from quarry.plans import catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+#: Trained or approximate: tested by brute force or held-out figures.
+WITHOUT_SQL = {"ann_topk"}
+
 
 @pytest.fixture(scope="module")
 def duck(small):
@@ -29,7 +32,7 @@ def plain(v):
     return str(v) if isinstance(v, dt.date) else int(v) if isinstance(v, int) and not isinstance(v, bool) else v
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.queries()))
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_query(spark, small, duck, name):
     df = catalogue.queries()[name](spark, small)
     rows = sorted((tuple(plain(r[c]) for c in sorted(df.columns)) for r in df.collect()), key=repr)
@@ -57,4 +60,4 @@ def test_without_the_optional_subpackage(tmp_path):
 
 
 def test_registry():
-    assert set(catalogue.oracle_sql()) == set(catalogue.queries())
+    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == WITHOUT_SQL
