@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.classify import CATEGORIES, classify_failure, classify_query
 from quarry.functions.text import contains_any, content_words, jaccard, long_words, share_contained
+from quarry.operators.selection import percentiles
 
 # Phrases and stop words (fixed values).
 REFUSALS = ("don't have", "not have", "not enough", "don't know", "could not find", "no information")
@@ -99,13 +100,15 @@ def blend(heuristic: Column, judged: Column | None = None) -> Column:
 
 
 def latency(column: str, *groups: str):
-    """p50, p95, p99 (linear interpolation), mean, min, max and count of a column; zeros for nothing."""
+    """p50, p95, p99 (linear interpolation, by selection), mean, min, max and count of a column; zeros for nothing."""
 
     def run(df: DataFrame) -> DataFrame:
-        p = F.percentile(column, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-        out = df.groupBy(*groups).agg(p.alias("p"), F.avg(column).alias("mean"), F.min(column).alias("min"), F.max(column).alias("max"), F.count(column).alias("n"))
-        at = lambda i: F.coalesce(F.round(F.get("p", F.lit(i)), 3), F.lit(0.0))
-        return out.select(*groups, at(0).alias("p50"), at(1).alias("p95"), at(2).alias("p99"), *(F.coalesce(F.round(c, 3), F.lit(0.0)).alias(c) for c in ("mean", "min", "max")), "n")
+        p = percentiles(df, column, groups, (0.5, 0.95, 0.99)).drop("n").toDF(*(f"_{g}" for g in groups), "p50", "p95", "p99")
+        rest = df.groupBy(*groups).agg(F.avg(column).alias("mean"), F.min(column).alias("min"), F.max(column).alias("max"), F.count(column).alias("n"))
+        same = F.lit(True)
+        for g in groups:
+            same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
+        return rest.join(p, same).select(*groups, *(F.coalesce(F.round(c, 3), F.lit(0.0)).alias(c) for c in ("p50", "p95", "p99", "mean", "min", "max")), "n")
 
     return run
 
@@ -125,15 +128,14 @@ def with_query_text(results: DataFrame, queries: DataFrame) -> DataFrame:
 def category_metrics(facts: DataFrame) -> DataFrame:
     """One row for each query category that occurs. facts: (query, retrieved_chunks, temporal_leak, retrieval_latency_ms)."""
     good = (F.col("retrieved_chunks") > 0) & ~F.col("temporal_leak")
-    p = lambda q: F.round(F.percentile("retrieval_latency_ms", F.lit(q)), 1)
     order = F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col("category"))
-    return (
-        facts.withColumn("category", classify_query(F.col("query"))).groupBy("category").agg(
-            F.count("*").alias("number_of_queries"), F.count_if(good).alias("successful_retrievals"), F.round(100 * F.avg(good.cast("double")), 1).alias("retrieval_accuracy"),
-            F.round(100 * F.avg(F.col("temporal_leak").cast("double")), 1).alias("temporal_leakage_rate"), F.round(F.avg("retrieval_latency_ms"), 1).alias("average_latency_ms"),
-            p(0.5).alias("p50_latency_ms"), p(0.95).alias("p95_latency_ms"), F.round(F.avg("retrieved_chunks"), 1).alias("average_retrieved_chunks"),
-        ).orderBy(F.desc("number_of_queries"), order)
+    classed = facts.withColumn("category", classify_query(F.col("query")))
+    p = percentiles(classed, "retrieval_latency_ms", ["category"], (0.5, 0.95)).select(F.col("category").alias("_category"), F.round("p0", 1).alias("p50_latency_ms"), F.round("p1", 1).alias("p95_latency_ms"))
+    rest = classed.groupBy("category").agg(
+        F.count("*").alias("number_of_queries"), F.count_if(good).alias("successful_retrievals"), F.round(100 * F.avg(good.cast("double")), 1).alias("retrieval_accuracy"),
+        F.round(100 * F.avg(F.col("temporal_leak").cast("double")), 1).alias("temporal_leakage_rate"), F.round(F.avg("retrieval_latency_ms"), 1).alias("average_latency_ms"), F.round(F.avg("retrieved_chunks"), 1).alias("average_retrieved_chunks"),
     )
+    return rest.join(p, F.col("category") == F.col("_category")).drop("_category").orderBy(F.desc("number_of_queries"), order)
 
 
 def issues(facts: DataFrame, k: int = 5) -> DataFrame:
