@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from quarry.operators import relevance as M
 from quarry.operators import retrieval as R
 from quarry.operators import text_index, vector_index
 from quarry.operators.models import timed_knn
-from quarry.sources.store import scratch
+from quarry.sources.store import scratch, stored
 from quarry.plans.tables import CAL_SQL, CONTENT, WORDS, answer_sql, any_sql, asked, bm25_sql, dense_sql, docs, fuse_sql, less_sql, query_vectors, share_sql, source_version, table, typos_sql, vectors
 
 ROW = ("query_id", "id", "score", "rank")
@@ -132,37 +134,49 @@ def tier1_metrics(spark: SparkSession, d: str) -> DataFrame:
     return _tier1(spark, d, R.bm25(docs(spark, d), asked(spark, d), 5), "normalised")
 
 
-def tier1_by_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """Means of the metrics over all queries of each pipeline."""
-    dense, sparse = _sides(spark, d, 15)
-    runs = {"Vector": dense.where("rank <= 5").select(*ROW), "BM25": sparse.where("rank <= 5").select("query_id", "id", F.col("normalised").alias("score"), "rank"), "Hybrid": R.fuse(dense, sparse, 5, "0.5")}
-    out = None
-    for name, results in runs.items():
-        one = _tier1(spark, d, results).withColumn("model", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("model").agg(*map(M.mean, ("hit", "precision", "recall", "mrr")))
+def _runs(spark: SparkSession, d: str, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first five of four pipelines over a set of queries (model, query_id, id, score, rank), and the texts (id, text) of all candidates. One dense
+    pass and one BM25 pass; candidates, their texts and the results are stored, so that no plan nests them."""
+    dense, sparse = map(stored, _sides(spark, d, 60, queries))
+    ids = dense.select("id").union(sparse.select("id")).distinct()
+    texts = stored(docs(spark, d).select("id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "id"))
+    first = lambda df, n=15: df.where(F.col("rank") <= n)
+    wide = stored(R.fuse(dense, sparse, 20, "0.5"))
+    reranked = R.rerank(wide.select("query_id", "id", "rank").join(texts, "id").join(queries.select("query_id", F.col("text").alias("query")), "query_id"), 5)
+    runs = {"Vector": first(dense, 5), "BM25": first(sparse, 5).withColumn("score", F.col("normalised")), "Hybrid": R.fuse(first(dense), first(sparse), 5, "0.5"), "Hybrid+Rerank": reranked}
+    parts = [df.select(F.lit(name).alias("model"), *ROW) for name, df in runs.items()]
+    return stored(functools.reduce(DataFrame.unionAll, parts)), texts
 
 
-def _runs(spark: SparkSession, d: str, queries: DataFrame) -> DataFrame:
-    """(model, query_id, id, rank): the first five of three pipelines."""
-    dense, sparse = _sides(spark, d, 15, queries)
-    five = lambda name, df: df.where("rank <= 5").select(F.lit(name).alias("model"), "query_id", "id", "rank")
-    return five("Vector", dense).unionAll(five("BM25", sparse)).unionAll(five("Hybrid", R.fuse(dense, sparse, 5, "0.5")))
+def tier1_by_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Means of the metrics over all queries of each pipeline."""
+    queries = asked(spark, d)
+    runs, texts = _runs(spark, d, queries)
+    # a run's query: the metrics are of each of them
+    named = runs.select("model", F.struct("model", "query_id").alias("query_id"), "id", "rank", F.col("score").alias("similarity"))
+    found = named.join(texts, "id").join(queries.select(F.col("query_id").alias("asked"), F.col("text").alias("query")), F.col("query_id.query_id") == F.col("asked")).withColumn("title", F.lit(""))
+    truths = found.select("query_id", F.col("query").alias("truth")).distinct()
+    return M.tier1(found, truths).select(F.col("query_id.model").alias("model"), "hit", "precision", "recall", "mrr").groupBy("model").agg(*map(M.mean, ("hit", "precision", "recall", "mrr")))
 
 
 def tier2_by_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """Means of the six answer metrics over all queries of each pipeline. A query is its own ground truth; answers are extracted."""
+    """Means of the six answer metrics over all queries of each pipeline. A query is its own ground truth; answers are extracted. Queries
+    and their perturbed forms are one set: even and odd ids."""
     queries, key = asked(spark, d), ["model", "query_id"]
-    found = _runs(spark, d, queries).join(docs(spark, d).select("id", F.coalesce("text", F.lit("")).alias("text")), "id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
-    found = found.withColumn("fits", M.is_relevant(F.col("id"), F.lit(""), F.col("text"), F.col("query")))
+    bent = queries.select("query_id", typos(F.col("text"), F.col("query_id")).alias("text"))
+    both = queries.select((2 * F.col("query_id")).alias("query_id"), "text").unionAll(bent.select((2 * F.col("query_id") + 1).alias("query_id"), "text"))
+    runs, texts_of = _runs(spark, d, stored(both))
+    odd = F.pmod("query_id", F.lit(2)) == 1
+    own = runs.withColumn("odd", odd).withColumn("query_id", F.floor(F.col("query_id") / 2))
+    found = own.where("not odd").join(texts_of, "id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
+    found = stored(found.withColumn("fits", M.is_relevant(F.col("id"), F.lit(""), F.col("text"), F.col("query"))))
     per = found.groupBy(*key).agg(F.first("query").alias("query"), F.collect_list(F.struct("rank", "text", "fits")).alias("docs"), F.collect_set("id").alias("ids"))
-    per = per.withColumn("docs", F.array_sort("docs")).withColumn("answer", A.answer(F.col("query"), F.col("docs")))
+    per = stored(per.withColumn("docs", F.array_sort("docs")).withColumn("answer", A.answer(F.col("query"), F.col("docs"))))
     texts = lambda keep: F.transform(F.filter("docs", keep), lambda x: x["text"])
     context = F.array_join(texts(lambda x: F.lit(True)), " ")
     running = Window.partitionBy(*key).orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at = found.withColumn("p", F.count_if("fits").over(running) / F.col("rank")).groupBy(*key).agg(F.coalesce(F.avg(F.when(F.col("fits"), F.col("p"))), F.lit(0.0)).alias("context_precision"))
-    bent = queries.select("query_id", typos(F.col("text"), F.col("query_id")).alias("text"))
-    moved = _runs(spark, d, bent).groupBy(*key).agg(F.collect_set("id").alias("bent"))
+    moved = own.where("odd").groupBy(*key).agg(F.collect_set("id").alias("bent"))
     every = per.join(at, key).join(moved, key, "left").select(
         "model", M.faithfulness(F.col("answer"), context).alias("faithfulness"), cosine(R.hashed_embedding(F.col("query")), R.hashed_embedding(F.col("answer"))).alias("answer_relevancy"), "context_precision",
         M.context_recall(F.col("query"), context).alias("context_recall"), M.noise_sensitivity(F.col("answer"), F.col("query"), texts(lambda x: x["fits"]), texts(lambda x: ~x["fits"])).alias("noise_sensitivity"),
@@ -203,15 +217,13 @@ def keyword_by_method(spark: SparkSession, d: str) -> DataFrame:
     """Keyword metrics of each method, averaged over all queries."""
     words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
     queries = asked(spark, d).withColumn("keyword", F.get(words, F.lit(0)))
-    totals = R.keyword_totals(docs(spark, d), queries)
-    dense, sparse = _sides(spark, d, 15)
-    runs = {"Vector": dense.where("rank <= 5"), "BM25": sparse.where("rank <= 5"), "Hybrid": R.fuse(dense, sparse, 5, "0.5")}
-    out = None
-    for name, results in runs.items():
-        found = results.select("query_id", "id", "rank").join(docs(spark, d).select("id", F.coalesce("text", F.lit("")).alias("document")), "id").join(queries.select("query_id", "keyword"), "query_id")
-        one = M.keyword_metrics(found, totals, 5).withColumn("method", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("method").agg(*map(M.mean, ("hit", "precision", "recall", "mrr")))
+    totals = R.keyword_totals(docs(spark, d), queries).select(F.col("query_id").alias("asked"), "relevant")
+    runs, texts = _runs(spark, d, asked(spark, d))
+    named = runs.select(F.struct("model", "query_id").alias("query_id"), "id", "rank")
+    found = named.join(texts.withColumnRenamed("text", "document"), "id").join(queries.select(F.col("query_id").alias("asked"), "keyword"), F.col("query_id.query_id") == F.col("asked"))
+    relevant = found.select("query_id", "asked").distinct().join(totals, "asked").select("query_id", "relevant")
+    per = M.keyword_metrics(found.drop("asked"), relevant, 5).withColumn("method", F.col("query_id.model"))
+    return per.groupBy("method").agg(*map(M.mean, ("hit", "precision", "recall", "mrr")))
 
 
 def _vector_index(spark: SparkSession, d: str) -> str:
@@ -287,10 +299,10 @@ _RERANK = """,
 rr AS (
   SELECT h.query_id, h.id, h.rank AS was, round(1 / (1 + exp(-(8 * (len(list_intersect(qw, dwords)) / len(qw)) - 4))), 4) AS score
   FROM {0} h JOIN (SELECT doc_id AS id, list_distinct({1}) AS dwords FROM documents) USING (id)
-  JOIN (SELECT item_id AS query_id, list_distinct({1}) AS qw FROM benchmark) USING (query_id)),
-rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, was) AS rank FROM rr) WHERE rank <= 5)
-SELECT query_id, id, score, rank FROM rk"""
-_rerank = lambda name: _RERANK.format(name, WORDS.format("text"))
+  JOIN (SELECT item_id AS query_id, list_distinct({1}) AS qw FROM {2}) USING (query_id)),
+rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, was) AS rank FROM rr) WHERE rank <= 5)"""
+_reranked = lambda name, queries="benchmark": _RERANK.format(name, WORDS.format("text"), queries)
+_rerank = lambda name: _reranked(name) + "\nSELECT query_id, id, score, rank FROM rk"
 _ABOVE = ",\nab AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM hy) WHERE CASE WHEN best >= 0.2 THEN score >= 0.2 ELSE rank <= 5 END)"
 _TIER1 = """fit AS (SELECT r.query_id, r.rank, {fits} AS fits FROM {name} r JOIN documents d ON d.doc_id = r.id JOIN benchmark b ON b.item_id = r.query_id WHERE rank <= 5),
 m{name} AS (
@@ -307,13 +319,19 @@ def _pipeline(name: str, label: str) -> str:
     return body, f"SELECT '{label}' AS model, {_means('hit', 'precision', 'recall', 'mrr')} FROM m{name}"
 
 
-def _three(queries: str) -> str:
-    """The runs of three pipelines over a table of queries."""
-    five = " UNION ALL ".join(f"SELECT '{label}' AS model, query_id, id, rank FROM {name} WHERE rank <= 5" for label, name in (("Vector", "dn"), ("BM25", "bm"), ("Hybrid", "hy")))
-    return "WITH " + bm25_sql(15, queries=queries) + ",\n" + dense_sql(15) + ",\n" + fuse_sql(5, "0.5") + " " + five
+_PIPELINES = (("Vector", "dn"), ("BM25", "bm"), ("Hybrid", "hy"), ("Hybrid+Rerank", "rk"))
+
+
+def _four(queries: str = "benchmark") -> str:
+    """CTEs of four pipelines over a table of queries."""
+    return "WITH " + bm25_sql(60, queries=queries) + ",\n" + dense_sql(60) + ",\n" + fuse_sql(5, "0.5", within=15) + ",\n" + fuse_sql(20, "0.5", "wide") + _reranked("wide", queries)
+
+
+def _runs_sql(queries: str) -> str:
+    return _four(queries) + " " + " UNION ALL ".join(f"SELECT '{label}' AS model, query_id, id, rank FROM {name} WHERE rank <= 5" for label, name in _PIPELINES)
 
 
-_PARTS = [_pipeline("dn", "Vector"), _pipeline("bm", "BM25"), _pipeline("hy", "Hybrid")]
+_PARTS = [_pipeline(name, label) for label, name in _PIPELINES]
 
 SQL = {
     "vector_topk_cosine": _knn() + _OUT.format("r"),
@@ -338,8 +356,8 @@ h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
     "version_fallback_topk": "WITH " + CAL_SQL + ", a AS (WITH " + bm25_sql(5, _SCOPE) + " SELECT * FROM bm WHERE score > 0), z AS (WITH " + bm25_sql(5) + " SELECT * FROM bm) SELECT query_id, id, rank, normalised AS score, false AS fallback FROM a UNION ALL SELECT query_id, id, rank, normalised, true FROM z WHERE query_id NOT IN (SELECT query_id FROM a)",
     "jaccard_relevance": "WITH " + bm25_sql(5) + f" SELECT query_id, id, rank, {_FITS} AS fits FROM bm JOIN documents d ON d.doc_id = id JOIN benchmark b ON b.item_id = query_id",
     "tier1_metrics": "WITH " + bm25_sql(5) + ",\n" + _TIER1.format(fits=_FITS, name="bm") + " SELECT mbm.*, s.avg_similarity FROM mbm JOIN (SELECT query_id, round(avg(normalised), 4) AS avg_similarity FROM bm GROUP BY query_id) s USING (query_id)",
-    "tier1_by_pipeline": _HYBRID + ",\n" + ",\n".join(p[0] for p in _PARTS) + "\n" + " UNION ALL ".join(p[1] for p in _PARTS),
-    "tier2_by_pipeline": f"""WITH a AS ({_three("benchmark")}), b AS ({_three(typos_sql("benchmark"))}),
+    "tier1_by_pipeline": _four() + ",\n" + ",\n".join(p[0] for p in _PARTS) + "\n" + " UNION ALL ".join(p[1] for p in _PARTS),
+    "tier2_by_pipeline": f"""WITH a AS ({_runs_sql("benchmark")}), b AS ({_runs_sql(typos_sql("benchmark"))}),
 f AS (SELECT a.*, coalesce(d.text, '') AS text, b.text AS query, {_FITS} AS fits FROM a JOIN documents d ON d.doc_id = id JOIN benchmark b ON b.item_id = query_id),
 g AS (
   SELECT model, query_id, any_value(query) AS question, list(id) AS ids, string_agg('- Document [' || rank || ']: ' || text || chr(10), '' ORDER BY rank) AS said, lower(string_agg(text, ' ' ORDER BY rank)) AS ctx,
@@ -365,10 +383,10 @@ f AS (SELECT bm.query_id, rank, contains(lower(coalesce(text, '')), keyword) AS
 t AS (SELECT query_id, count(*) AS relevant FROM k JOIN documents ON contains(lower(text), keyword) GROUP BY query_id)
 SELECT query_id, bool_or(has) AS hit, round(count(*) FILTER (has) / least(5, count(*)), 6) AS precision, round(count(*) FILTER (has) / greatest(coalesce(any_value(relevant), 0), 1), 6) AS recall, round(coalesce(1 / min(rank) FILTER (has), 0.0), 6) AS mrr
 FROM f LEFT JOIN t USING (query_id) GROUP BY query_id""",
-    "keyword_by_method": _HYBRID + f""",
+    "keyword_by_method": _four() + f""",
 k AS (SELECT item_id AS query_id, {WORDS.format("text")}[1] AS keyword FROM benchmark),
 t AS (SELECT query_id, count(*) AS relevant FROM k JOIN documents ON contains(lower(text), keyword) GROUP BY query_id),
-a AS (SELECT 'Vector' AS method, query_id, id, rank FROM dn WHERE rank <= 5 UNION ALL SELECT 'BM25', query_id, id, rank FROM bm WHERE rank <= 5 UNION ALL SELECT 'Hybrid', query_id, id, rank FROM hy),
+a AS ({" UNION ALL ".join(f"SELECT '{label}' AS method, query_id, id, rank FROM {name} WHERE rank <= 5" for label, name in _PIPELINES)}),
 f AS (SELECT method, a.query_id, rank, contains(lower(coalesce(text, '')), keyword) AS has FROM a JOIN k USING (query_id) JOIN documents ON doc_id = id),
 m AS (
   SELECT method, query_id, bool_or(has) AS hit, count(*) FILTER (has) / least(5, count(*)) AS precision, count(*) FILTER (has) / greatest(coalesce(any_value(relevant), 0), 1) AS recall, coalesce(1 / min(rank) FILTER (has), 0.0) AS mrr

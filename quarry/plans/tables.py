@@ -117,12 +117,12 @@ dn0 AS (SELECT query_id, id, round(dot / (ql.n * dl.n), 12) AS score FROM da JOI
 dn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM dn0) WHERE rank <= {k})"""
 
 
-def fuse_sql(k: int, alpha: str, name: str = "hy") -> str:
-    """A CTE, after bm and dn, with query_id, id, score, rank."""
+def fuse_sql(k: int, alpha: str, name: str = "hy", within: int = 1000) -> str:
+    """A CTE, after bm and dn, of which the first ``within`` of each query count, with query_id, id, score, rank."""
     return f"""{name}0 AS (
   SELECT query_id, id, dn.rank AS dr, bm.rank AS br,
          round(CAST('{alpha}' AS DECIMAL(4,2)) * coalesce(CAST(round(dn.score, 4) AS DECIMAL(12,4)), 0) + (1 - CAST('{alpha}' AS DECIMAL(4,2))) * coalesce(CAST(bm.normalised AS DECIMAL(12,4)), 0), 4)::DOUBLE AS score
-  FROM dn FULL OUTER JOIN bm USING (query_id, id)),
+  FROM (SELECT * FROM dn WHERE rank <= {within}) dn FULL OUTER JOIN (SELECT * FROM bm WHERE rank <= {within}) bm USING (query_id, id)),
 {name} AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dr NULLS LAST, br, id) AS rank FROM {name}0) WHERE rank <= {k})"""
 
 
