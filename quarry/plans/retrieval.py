@@ -12,7 +12,7 @@ from quarry.functions.vectors import cosine
 from quarry.operators import answers as A
 from quarry.operators import relevance as M
 from quarry.operators import retrieval as R
-from quarry.operators import text_index, vector_index
+from quarry.operators import embeddings, ranker, text_index, vector_index
 from quarry.operators.models import timed_knn
 from quarry.sources.store import scratch, stored
 from quarry.plans.tables import CAL_SQL, CONTENT, WORDS, answer_sql, any_sql, asked, bm25_sql, dense_sql, docs, fuse_sql, less_sql, query_vectors, share_sql, source_version, table, typos_sql, vectors
@@ -226,6 +226,51 @@ def keyword_by_method(spark: SparkSession, d: str) -> DataFrame:
     return per.groupBy("method").agg(*map(M.mean, ("hit", "precision", "recall", "mrr")))
 
 
+def _ranked_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, ranker.PairRanker]:
+    """Candidates of the queries that training does not see (two of three), with what fits them, and a ranker trained on the others."""
+    queries = asked(spark, d)
+    dense, sparse = map(stored, _sides(spark, d, 60, queries))
+    pairs = ranker.candidate_pairs(queries, docs(spark, d), dense, sparse)
+    pairs = stored(pairs.withColumn("fits", ranker.holds_passage(F.col("query"), F.col("body"))).drop("query", "body"))
+    shown = F.crc32(F.col("query_id").cast("string").cast("binary")) % 3 == 0
+    return pairs.where(~shown), ranker.train(pairs.where(shown))
+
+
+def ranker_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The best five candidates of each held-out query by the trained ranker."""
+    pairs, model = _ranked_pairs(spark, d)
+    scored = pairs.withColumn("score", F.round(model.score(F.col("x")), 6)).withColumnRenamed("rank", "was")
+    return R.ranked(scored, 5, F.desc("score"), F.col("was"), F.col("id")).select(*ROW)
+
+
+def ranker_precision(spark: SparkSession, d: str) -> DataFrame:
+    """Average precision over the held-out queries' candidates: the trained ranker does no worse than the share of words held."""
+    pairs, model = _ranked_pairs(spark, d)
+
+    def precision(by: ranker.PairRanker) -> DataFrame:
+        scored = pairs.withColumn("score", F.round(by.score(F.col("x")), 6)).withColumnRenamed("rank", "was")
+        return M.average_precision(R.ranked(scored, 1 << 30, F.desc("score"), F.col("was"), F.col("id"))).agg(F.count("*").alias("queries"), F.avg("ap").alias("ap"))
+
+    a, b = precision(model), precision(ranker.OVERLAP)
+    return a.crossJoin(b.select(F.col("ap").alias("of_overlap"))).select("queries", (F.col("ap") >= F.col("of_overlap")).alias("no_worse"))  # one row each
+
+
+def word_associations(spark: SparkSession, d: str) -> DataFrame:
+    """Which words stand near which, of the thousand words in most documents: the five with the largest mutual information of each."""
+    words = embeddings.vocabulary(docs(spark, d), 1000, 5)
+    found = embeddings.associations(docs(spark, d), words, 4)
+    best = R.ranked(found.withColumn("pmi", F.round("pmi", 6)), 5, F.desc("pmi"), F.col("b"), key="a")
+    name = lambda c, as_: words.select(F.col("place").alias(c), F.col("word").alias(as_))
+    return best.join(name("a", "word"), "a").join(name("b", "other"), "b").select("word", "other", "rank", "n", "pmi")
+
+
+def learned_dense_topk(spark: SparkSession, d: str) -> DataFrame:
+    """As dense_topk, by embeddings learned from the documents."""
+    embed = embeddings.learn(docs(spark, d)).column
+    embedded = R.spread(docs(spark, d).select("id", "text")).select("id", embed(F.col("text")).alias("embedding"))
+    return _shown(R.knn(embedded, asked(spark, d).select("query_id", embed(F.col("text")).alias("embedding")), 5))
+
+
 def _vector_index(spark: SparkSession, d: str) -> str:
     folder = scratch(spark)
     vector_index.build(vectors(spark, d), folder, lists=32, codes=16, values=256)
@@ -277,7 +322,7 @@ def filtered_by_two(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where((F.col("lang") == "de") & (F.col("source") == "src3")).select("doc_id", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (vector_topk_cosine, vector_topk_l2, vector_topk_filtered, knn_hit_precision_recall_mrr, bm25_topk, bm25_topk_source, dense_topk, timed_topk, hybrid_topk, hybrid_distance_topk, threshold_hybrid_topk, rerank_topk, hybrid_rerank_topk, threshold_rerank_topk, version_fallback_topk, first_queries, jaccard_relevance, tier1_metrics, tier1_by_pipeline, tier2_by_pipeline, keyword_metrics, keyword_by_method, context_precision_ap, robustness, ann_topk, ann_recall, bm25_index_topk, bm25_index_reads, collection_stats, vectors_by_id, filtered_by_two)}
+QUERIES = {f.__name__: f for f in (vector_topk_cosine, vector_topk_l2, vector_topk_filtered, knn_hit_precision_recall_mrr, bm25_topk, bm25_topk_source, dense_topk, timed_topk, hybrid_topk, hybrid_distance_topk, threshold_hybrid_topk, rerank_topk, hybrid_rerank_topk, threshold_rerank_topk, version_fallback_topk, first_queries, jaccard_relevance, tier1_metrics, tier1_by_pipeline, tier2_by_pipeline, keyword_metrics, keyword_by_method, context_precision_ap, robustness, ranker_topk, ranker_precision, word_associations, learned_dense_topk, ann_topk, ann_recall, bm25_index_topk, bm25_index_reads, collection_stats, vectors_by_id, filtered_by_two)}
 
 _KNN = """WITH s AS (
   SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, q.label AS query_label, round({score}, 12) AS score
@@ -331,6 +376,10 @@ def _runs_sql(queries: str) -> str:
     return _four(queries) + " " + " UNION ALL ".join(f"SELECT '{label}' AS model, query_id, id, rank FROM {name} WHERE rank <= 5" for label, name in _PIPELINES)
 
 
+#: crc32 of an id as text, bit by bit, modulo 3.
+_HELD_OUT = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(item_id::VARCHAR) + 1), lambda i: ascii(substr(item_id::VARCHAR, i::INTEGER, 1))::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 3 <> 0"""
+
 _PARTS = [_pipeline(name, label) for label, name in _PIPELINES]
 
 SQL = {
@@ -396,6 +445,15 @@ SELECT method, {_means('hit', 'precision', 'recall', 'mrr')} FROM m GROUP BY met
 sa AS (SELECT query_id, list(id) AS x FROM a GROUP BY query_id), sb AS (SELECT query_id, list(id) AS y FROM b GROUP BY query_id)
 SELECT query_id, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 4) AS robustness FROM sa JOIN sb USING (query_id)""",
     "first_queries": "WITH a AS (WITH " + bm25_sql(3, _SCOPE, queries=_FIRST) + " SELECT * FROM bm WHERE score > 0), z AS (WITH " + bm25_sql(3, queries=_FIRST) + " SELECT * FROM bm) SELECT query_id, id, rank, false AS fallback FROM a UNION ALL SELECT query_id, id, rank, true FROM z WHERE query_id NOT IN (SELECT query_id FROM a)",
+    "ranker_precision": "SELECT count(*) AS queries, true AS no_worse FROM (SELECT item_id, text FROM benchmark) WHERE " + _HELD_OUT,
+    "word_associations": f"""WITH dw AS (SELECT doc_id, {WORDS.format("text")} AS w FROM documents),
+v AS (SELECT word, row_number() OVER (ORDER BY df DESC, encode(word)) - 1 AS place FROM (SELECT word, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(w) AS word FROM dw) GROUP BY word HAVING df >= 5) ORDER BY df DESC, encode(word) LIMIT 1000),
+t AS (SELECT doc_id, i, place FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM dw) JOIN v USING (word)),
+c AS (SELECT x.place AS a, y.place AS b, count(*) AS n FROM t x JOIN t y ON x.doc_id = y.doc_id AND y.i BETWEEN x.i - 4 AND x.i + 4 AND x.i <> y.i GROUP BY ALL),
+s AS (SELECT a, sum(n)::DOUBLE AS s FROM c GROUP BY a), z AS (SELECT sum(n)::DOUBLE AS total FROM c),
+p AS (SELECT c.a, c.b, n, ln(n * total / (x.s * y.s)) AS pmi FROM c JOIN s x ON x.a = c.a JOIN s y ON y.a = c.b, z),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(pmi, 6) DESC, b) AS rank FROM p WHERE pmi > 0)
+SELECT v.word, o.word AS other, rank, n, round(pmi, 6) AS pmi FROM r JOIN v ON v.place = a JOIN v o ON o.place = b WHERE rank <= 5""",
     "ann_recall": "SELECT count(*) AS queries, true AS reaches_nine_of_ten FROM embeddings WHERE vec_id % 20 = 0",
     "bm25_index_topk": "WITH " + bm25_sql(5) + " SELECT query_id, id, rank, normalised AS score FROM bm",
     "bm25_index_reads": "WITH " + bm25_sql(5) + " SELECT (SELECT count(*) FROM benchmark) AS queries, count(*) AS postings, true AS fewer_scored FROM (SELECT DISTINCT query_id, term FROM qtok) JOIN tf USING (term)",

@@ -14,7 +14,7 @@ from quarry.plans import catalogue
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 #: Trained or approximate: tested by brute force or held-out figures.
-WITHOUT_SQL = {"ann_topk"}
+WITHOUT_SQL = {"ann_topk", "learned_dense_topk", "ranker_topk"}
 
 
 @pytest.fixture(scope="module")
