@@ -10,6 +10,7 @@ from quarry.operators.retrieval import hashed_embedding, spread
 from quarry.plans.tables import CAL_SQL, DOC_VERSION_SQL, chunks_sql, docs, source_version, strip_sql, words_sql
 from quarry.sources.readers import markdown_chunks, page_chunks
 from quarry.sources.store import RECORDS, VECTORS, Store, compare_updates, ingest, scratch
+from quarry.streaming.ingest import ingest_stream
 
 #: What some files have gained when they are scanned again.
 ADDED = "A paragraph that the second scan finds. It is long enough to be kept."
@@ -57,6 +58,29 @@ def restored_store(spark: SparkSession, d: str) -> DataFrame:
     return records.read().groupBy("version").agg(F.count("*").alias("chunks"), F.countDistinct("source_file").alias("files"), F.max("checksum").alias("last_checksum"))
 
 
+def _streamed(spark: SparkSession, d: str) -> tuple[Store, Store]:
+    """Both stores after a stream has met the files, was ended, and went on with their second scan. Files that are gone are no event."""
+    folder = scratch(spark)
+    records, vectors = Store(spark, f"{folder}/records", RECORDS, "chunk_id", 16), Store(spark, f"{folder}/vectors", VECTORS, "chunk_id", 16)
+    for scan in (False, True):
+        arrived = files(spark, d, scan).select("source_file", "text", F.lit(int(scan)).cast("timestamp").alias("arrived"), F.lit("").alias("path"))
+        arrived.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(arrived.schema).parquet(f"{folder}/in")
+        ingest_stream(stream, f"{folder}/checkpoint", records, vectors, hashed_embedding).awaitTermination()
+    return records, vectors
+
+
+def streamed_records(spark: SparkSession, d: str) -> DataFrame:
+    """The store of records after the stream: what the batch makes, and the chunks of files that are gone, as first seen."""
+    return _streamed(spark, d)[0].read().select("chunk_id", "version", "section_header", "source_file", "chunk_index", "checksum", "changed_flag")
+
+
+def streamed_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The store of vectors after the stream."""
+    rows = _streamed(spark, d)[1].read()
+    return rows.select("chunk_id", "checksum", F.length("text").alias("n_chars"), F.size("embedding").alias("dimensions"), F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x).alias("words"))
+
+
 def files_by_date(spark: SparkSession, d: str) -> DataFrame:
     """Files in the order of their versions' dates."""
     version = V.from_file_name(F.col("source_file"))
@@ -91,7 +115,7 @@ def paged_chunks(spark: SparkSession, d: str) -> DataFrame:
 HEADINGS = (("# Part ", " #"), ("CHAPTER ", ""), ("Some words of part ", " follow:"), ("not a heading, number ", " of this"))
 
 
-QUERIES = {f.__name__: f for f in (ingest_twice_stats, ingest_twice_records, ingest_twice_vectors, restored_store, rebuilt_vectors, update_comparison, files_by_date, paged_chunks)}
+QUERIES = {f.__name__: f for f in (ingest_twice_stats, ingest_twice_records, ingest_twice_vectors, restored_store, rebuilt_vectors, update_comparison, streamed_records, streamed_vectors, files_by_date, paged_chunks)}
 
 _FILES = f"""WITH {CAL_SQL},
 f1 AS (SELECT doc_id AS id, {DOC_VERSION_SQL} AS version, coalesce(text, '') AS text FROM documents),
@@ -101,6 +125,11 @@ c2 AS (WITH {chunks_sql("f2")} SELECT id, chunk_index, text, sha256(text) AS che
 named AS (SELECT f1.id, version, version_date::VARCHAR AS version_date, 'doc' || id || ' ' || substr(version, 2) || '.md' AS source_file FROM f1 JOIN cal USING (version)),
 seen AS (SELECT c2.*, named.* EXCLUDE (id), (c1.checksum IS DISTINCT FROM c2.checksum)::INT AS changed_flag FROM c2 JOIN named USING (id) LEFT JOIN c1 USING (id, chunk_index))"""
 
+_STREAMED = """,
+every AS (
+  SELECT version, source_file, chunk_index, checksum, text, changed_flag FROM seen
+  UNION ALL SELECT version, source_file, chunk_index, checksum, text, 1 FROM c1 JOIN named USING (id) WHERE id % 7 = 0)"""
+
 _HEADING = "CASE id % 4 " + " ".join(f"WHEN {i} THEN '{a}' || id || '{b}'" for i, (a, b) in enumerate(HEADINGS)) + " END"
 _PAGED = rf"""WITH src AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents),
 pg AS (SELECT id, 1 AS page, {_HEADING} || chr(10) || chr(10) || text AS text FROM src UNION ALL SELECT id, 2, substr(text, 100, 900) FROM src),
@@ -120,6 +149,8 @@ SQL = {
     "restored_store": _FILES + " SELECT version, count(*) AS chunks, count(DISTINCT source_file) AS files, max(checksum) AS last_checksum FROM c1 JOIN named USING (id) GROUP BY version",
     "rebuilt_vectors": _FILES + f" SELECT version, count(*) AS chunks, 8 AS dimensions, sum(len({words_sql('text')}))::DOUBLE AS words FROM seen GROUP BY version",
     "update_comparison": _FILES + " SELECT 'full' AS mode, count(*) AS chunks FROM seen UNION ALL SELECT 'incremental', sum(changed_flag)::BIGINT FROM seen",
+    "streamed_records": _FILES + _STREAMED + " SELECT source_file || '__' || version || '__chunk_' || chunk_index AS chunk_id, version, 'Section ' || (chunk_index + 1) AS section_header, source_file, chunk_index, checksum, changed_flag FROM every",
+    "streamed_vectors": _FILES + _STREAMED + f" SELECT source_file || '__' || version || '__chunk_' || chunk_index AS chunk_id, checksum, length(text) AS n_chars, 64 AS dimensions, len({words_sql('text')})::DOUBLE AS words FROM every",
     "paged_chunks": _PAGED,
     "files_by_date": _FILES + " SELECT source_file, version, version_date FROM named",
 }

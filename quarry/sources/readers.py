@@ -34,11 +34,19 @@ def markdown_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def markdown_chunks(files: DataFrame, limit: int = 800) -> DataFrame:
     """Rows of CHUNKS from (source_file, text); indices count what is left after short chunks are dropped."""
-    version = V.from_file_name(F.col("source_file"))
-    rows = files.select("source_file", version.alias("version"), F.posexplode(chunk_markdown(F.col("text"), limit)).alias("chunk_index", "text"))
+    return chunk_columns(files.select("source_file", F.posexplode(chunk_markdown(F.col("text"), limit)).alias("chunk_index", "text"))).select(*_CHUNK)
+
+
+_CHUNK = ("chunk_id", "document_name", "version", "version_date", "page_number", "section_header", "source_file", "chunk_index", "checksum", "text")
+
+
+def chunk_columns(chunks: DataFrame) -> DataFrame:
+    """The columns of CHUNKS from (source_file, chunk_index, text), and what else there is."""
+    rows = chunks.withColumn("version", V.from_file_name(F.col("source_file")))
     return rows.select(
         V.markdown_chunk_id(F.col("source_file"), F.col("version"), F.col("chunk_index")).alias("chunk_id"), V.markdown_document_name(F.col("source_file")).alias("document_name"), "version", V.version_date(F.col("version")).alias("version_date"),
         F.lit(1).alias("page_number"), F.concat(F.lit("Section "), (F.col("chunk_index") + 1).cast("string")).alias("section_header"), "source_file", "chunk_index", F.sha2("text", 256).alias("checksum"), "text",
+        *(c for c in chunks.columns if c not in _CHUNK),
     )
 
 

@@ -1,24 +1,70 @@
-"""Incremental ingestion as a stream of files: each micro-batch of markdown files goes through the batch operator."""
+"""Incremental ingestion as a stream of files, with the checksums of each file's chunks as state: a micro-batch knows which of its chunks
+are unchanged and which are no more, without reading a store."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quarry.sources.readers import file_name, markdown_chunks
-from quarry.sources.store import Store
+from quarry.functions.text import chunk_markdown
+from quarry.sources.readers import chunk_columns, file_name
+from quarry.sources.store import Store, cached_embeddings
 
+_FLAGGED = "source_file string, chunk_index int, text string, changed boolean"
 
-def ingest_stream(spark: SparkSession, folder: str, checkpoint: str, records: Store, embed: Callable, files_at_once: int = 1000) -> StreamingQuery:
-    """Reads new *.md files of a folder and upserts their chunks, each with its embedding. Ends when it has caught up; the
-    checkpoint makes the next run go on from there, and upserts make a repeated batch harmless."""
-    files = spark.readStream.schema("value string").option("wholetext", True).option("pathGlobFilter", "*.md").option("maxFilesPerTrigger", files_at_once).format("text").load(folder)
-    named = files.select(file_name().alias("source_file"), F.col("value").alias("text"))
 
-    def upsert(batch: DataFrame, _: int) -> None:
-        records.upsert(markdown_chunks(batch).withColumn("embedding", embed(F.col("text"))))
+def _flag(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Versions of one file (arrived, texts, sums) -> its chunks, each changed or not, and without a text what it no longer has. Of several
+    versions in a batch the one that arrived last counts. The state is a list of checksums."""
+    last = None
+    for f in frames:
+        own = f.sort_values(["arrived", "path"]).iloc[-1]
+        if last is None or (own["arrived"], own["path"]) > (last["arrived"], last["path"]):
+            last = own
+    texts, sums = list(last["texts"]), list(last["sums"])
+    old = list(state.get[0]) if state.exists else []
+    state.update((sums,))
+    n = max(len(old), len(texts))
+    yield pd.DataFrame({
+        "source_file": [key[0]] * n, "chunk_index": pd.Series(range(n), dtype="int32"), "text": pd.Series([texts[i] if i < len(texts) else None for i in range(n)], dtype=object),
+        "changed": pd.Series([i >= len(old) or i >= len(texts) or old[i] != sums[i] for i in range(n)], dtype=bool),
+    })
 
-    return named.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def flagged(files: DataFrame) -> DataFrame:
+    """A stream of files (source_file, text, arrived, path) -> a stream of (source_file, chunk_index, text, changed); text is null where a file
+    became shorter. State: one list of checksums a file, bounded by the file."""
+    cut = files.select("source_file", "arrived", "path", chunk_markdown(F.col("text")).alias("texts"))
+    sums = F.transform("texts", lambda t: F.sha2(t, 256)).alias("sums")
+    return cut.select("source_file", "arrived", "path", "texts", sums).groupBy("source_file").applyInPandasWithState(_flag, _FLAGGED, "sums array<string>", "update", GroupStateTimeout.NoTimeout)
+
+
+def apply(batch: DataFrame, records: Store, vectors: Store, embed: Callable) -> None:
+    """Brings both stores up to date with a micro-batch. Only changed chunks are embedded, from the vectors of equal content where there
+    are any; tails of files that became shorter are dropped; of unchanged chunks only the record's flag and time are written.
+    Doing it again changes nothing."""
+    rows = chunk_columns(batch.persist())
+    there, gone = rows.where("text is not null"), rows.where("text is null").select("chunk_id")
+    vectors.change(cached_embeddings(there.where("changed"), vectors.read(), embed), gone)
+    records.change(there.withColumn("changed_flag", F.col("changed").cast("int")).withColumn("ingested_at", F.current_timestamp()), gone)
+    batch.unpersist()
+
+
+def ingest_stream(files: DataFrame, checkpoint: str, records: Store, vectors: Store, embed: Callable) -> StreamingQuery:
+    """Ingests a stream of files (source_file, text, arrived, path). Ends when it has caught up; with the same checkpoint, the next run goes on
+    from there, with its state. A file that is no longer there is no event: such files are deleted from a store by name."""
+    return flagged(files).writeStream.outputMode("update").foreachBatch(lambda batch, _: apply(batch, records, vectors, embed)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def markdown_files(spark: SparkSession, folder: str, files_at_once: int = 1000) -> DataFrame:
+    """New *.md files of a folder and the folders in it, as a stream. A later version of a file arrives in another folder, under the same name:
+    a path is read once. Spark's file sources give no row for a file of no bytes: a file that is emptied needs a blank, or is deleted from
+    the stores by name."""
+    read = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").option("maxFilesPerTrigger", files_at_once)
+    rows = read.schema("path string, modificationTime timestamp, length long, content binary").load(folder)
+    return rows.select(file_name().alias("source_file"), F.col("content").cast("string").alias("text"), F.col("modificationTime").alias("arrived"), "path")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarry.operators.retrieval import hashed_embedding
 from quarry.sources import readers
 from quarry.sources.store import RECORDS, VECTORS, Store, compare_updates, ingest, show, write_csv, write_json
-from quarry.streaming.ingest import ingest_stream
+from quarry.streaming.ingest import ingest_stream, markdown_files
 
 PARA = "A paragraph of some length about {}. It has two sentences."
 
@@ -157,15 +157,30 @@ def test_report_lines(spark, capsys):
     assert capsys.readouterr().out.splitlines() == ["model         | hit  | n", "--------------+------+--", "A longer name | 0.25 |", "BM25          | 0.50 | 3"]
 
 
-def test_stream_catches_up(spark, tmp_path):
-    files = tmp_path / "in"
-    files.mkdir()
-    store = Store(spark, str(tmp_path / "kb"), readers.CHUNKS + ", embedding array<double>", "chunk_id", 4)
-    run = lambda: ingest_stream(spark, str(files), str(tmp_path / "cp"), store, hashed_embedding, 1).awaitTermination(120)
-    put(files, "a 5.3.1.md", PARA.format("a"))
-    put(files, "b 5.3.1.md", PARA.format("b"))
-    assert run()
-    put(files, "c 5.3.1.md", PARA.format("c"))
-    assert run()
-    assert sorted(r.source_file for r in store.read().collect()) == ["a 5.3.1.md", "b 5.3.1.md", "c 5.3.1.md"]
-    assert all(len(r.embedding) == 64 for r in store.read().collect())
+def test_stream_is_the_batch(spark, tmp_path):
+    """Two scans by the stream and by the batch leave the same stores: shorter files lose their tails, unchanged chunks are not embedded again."""
+    from quarry.sources.store import RECORDS, VECTORS, ingest
+
+    folder = tmp_path / "in"
+    stores = {s: tuple(Store(spark, str(tmp_path / s / k), schema, "chunk_id", 4) for k, schema in (("records", RECORDS), ("vectors", VECTORS))) for s in ("stream", "batch")}
+    embedded = []
+
+    def embed(text):
+        embedded.append(1)
+        return hashed_embedding(text)
+
+    long = lambda *marks: "\n\n".join(PARA.format(m) * 8 for m in marks)
+    scans = [{"a 5.3.1.md": long("p", "q", "r"), "b 5.3.1.md": long("s"), "c 5.3.2.md": long("t", "u")}, {"a 5.3.1.md": long("p", "x"), "b 5.3.1.md": long("s"), "c 5.3.2.md": "\n", "d 5.3.1.md": long("q")}]
+    for i, scan in enumerate(scans):
+        own = folder / f"scan{i}"
+        own.mkdir(parents=True)
+        for name, text in scan.items():
+            put(own, name, text)
+        assert ingest_stream(markdown_files(spark, str(folder), 2), str(tmp_path / "cp"), *stores["stream"], embed).awaitTermination(240)
+        ingest(readers.markdown_chunks(spark.createDataFrame(list(scan.items()), "source_file string, text string")), *stores["batch"], embed)
+        got = {s: [sorted(map(tuple, store.read().select(*columns).collect())) for store, columns in zip(pair, (("chunk_id", "checksum", "changed_flag", "version_date"), ("chunk_id", "checksum", "text", "embedding")), strict=True)] for s, pair in stores.items()}
+        for a, b in zip(got["stream"], got["batch"], strict=True):
+            assert [x for x in a if x not in b] == [] == [x for x in b if x not in a]
+            assert len(a) == len(b) > 0
+    flags = {r.chunk_id: r.changed_flag for r in stores["stream"][0].read().collect()}
+    assert sorted(flags.values()) != [1] * len(flags) and not any(k.startswith("c 5.3.2") for k in flags)
