@@ -7,13 +7,14 @@ import functools
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import typos
+from quarry.functions.text import jaccard, long_words, typos
 from quarry.functions.vectors import cosine
 from quarry.operators import answers as A
 from quarry.operators import relevance as M
 from quarry.operators import retrieval as R
 from quarry.operators import embeddings, ranker, text_index, vector_index
 from quarry.operators.models import timed_knn
+from quarry.operators.set_join import relevant_documents
 from quarry.sources.store import scratch, stored
 from quarry.plans.tables import CAL_SQL, CONTENT, WORDS, answer_sql, any_sql, asked, bm25_sql, dense_sql, docs, fuse_sql, less_sql, query_vectors, share_sql, source_version, table, typos_sql, vectors
 
@@ -226,6 +227,23 @@ def keyword_by_method(spark: SparkSession, d: str) -> DataFrame:
     return per.groupBy("method").agg(*map(M.mean, ("hit", "precision", "recall", "mrr")))
 
 
+def corpus_relevance(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents of the whole corpus fit each query by their words, a query being every document whose id is divisible by 20."""
+    rows = docs(spark, d).select("id", long_words(F.col("text")).alias("words"))
+    return relevant_documents(rows.where("id % 20 = 0").withColumnRenamed("id", "query_id"), rows)
+
+
+def corpus_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Of the documents of the whole corpus that fit each query, the share among its first five by BM25; 1 where none fits."""
+    queries = asked(spark, d)
+    words = lambda df, key: df.select(key, long_words(F.col("text")).alias("words"))
+    every = relevant_documents(words(queries, "query_id"), words(docs(spark, d), "id"), 0.2)
+    found = _with_texts(spark, d, R.bm25(docs(spark, d), queries, 5)).select("query_id", (jaccard(long_words(F.col("text")), long_words(F.col("query"))) > 0.2).alias("fits"))
+    hits = found.groupBy("query_id").agg(F.count_if("fits").alias("found"))
+    share = F.when(F.col("relevant") == 0, 1.0).otherwise(F.coalesce("found", F.lit(0)) / F.col("relevant"))
+    return every.join(hits, "query_id", "left").select("query_id", "relevant", F.round(share, 6).alias("recall"))
+
+
 def _ranked_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, ranker.PairRanker]:
     """Candidates of the queries that training does not see (two of three), with what fits them, and a ranker trained on the others."""
     queries = asked(spark, d)
@@ -322,7 +340,7 @@ def filtered_by_two(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where((F.col("lang") == "de") & (F.col("source") == "src3")).select("doc_id", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (vector_topk_cosine, vector_topk_l2, vector_topk_filtered, knn_hit_precision_recall_mrr, bm25_topk, bm25_topk_source, dense_topk, timed_topk, hybrid_topk, hybrid_distance_topk, threshold_hybrid_topk, rerank_topk, hybrid_rerank_topk, threshold_rerank_topk, version_fallback_topk, first_queries, jaccard_relevance, tier1_metrics, tier1_by_pipeline, tier2_by_pipeline, keyword_metrics, keyword_by_method, context_precision_ap, robustness, ranker_topk, ranker_precision, word_associations, learned_dense_topk, ann_topk, ann_recall, bm25_index_topk, bm25_index_reads, collection_stats, vectors_by_id, filtered_by_two)}
+QUERIES = {f.__name__: f for f in (vector_topk_cosine, vector_topk_l2, vector_topk_filtered, knn_hit_precision_recall_mrr, bm25_topk, bm25_topk_source, dense_topk, timed_topk, hybrid_topk, hybrid_distance_topk, threshold_hybrid_topk, rerank_topk, hybrid_rerank_topk, threshold_rerank_topk, version_fallback_topk, first_queries, jaccard_relevance, tier1_metrics, tier1_by_pipeline, tier2_by_pipeline, keyword_metrics, keyword_by_method, context_precision_ap, robustness, corpus_relevance, corpus_recall, ranker_topk, ranker_precision, word_associations, learned_dense_topk, ann_topk, ann_recall, bm25_index_topk, bm25_index_reads, collection_stats, vectors_by_id, filtered_by_two)}
 
 _KNN = """WITH s AS (
   SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, q.label AS query_label, round({score}, 12) AS score
@@ -445,6 +463,16 @@ SELECT method, {_means('hit', 'precision', 'recall', 'mrr')} FROM m GROUP BY met
 sa AS (SELECT query_id, list(id) AS x FROM a GROUP BY query_id), sb AS (SELECT query_id, list(id) AS y FROM b GROUP BY query_id)
 SELECT query_id, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 4) AS robustness FROM sa JOIN sb USING (query_id)""",
     "first_queries": "WITH a AS (WITH " + bm25_sql(3, _SCOPE, queries=_FIRST) + " SELECT * FROM bm WHERE score > 0), z AS (WITH " + bm25_sql(3, queries=_FIRST) + " SELECT * FROM bm) SELECT query_id, id, rank, false AS fallback FROM a UNION ALL SELECT query_id, id, rank, true FROM z WHERE query_id NOT IN (SELECT query_id FROM a)",
+    "corpus_relevance": f"""WITH s AS (SELECT doc_id AS id, {_LONG.format(WORDS.format("text"))} AS w FROM documents), t AS (SELECT id, unnest(w) AS t FROM s),
+p AS (SELECT q.id AS query_id, t.id, count(*) AS meet FROM t q JOIN t ON q.t = t.t WHERE q.id % 20 = 0 GROUP BY ALL),
+r AS (SELECT query_id, count(*) AS relevant FROM p JOIN s x ON x.id = query_id JOIN s y ON y.id = p.id WHERE meet / (len(x.w) + len(y.w) - meet) > 0.4 GROUP BY query_id)
+SELECT id AS query_id, coalesce(relevant, 0) AS relevant FROM s LEFT JOIN r ON r.query_id = id WHERE id % 20 = 0""",
+    "corpus_recall": "WITH " + bm25_sql(5) + f""",
+s AS (SELECT doc_id AS id, {_LONG.format(WORDS.format("text"))} AS w FROM documents), q AS (SELECT item_id AS query_id, {_LONG.format(WORDS.format("text"))} AS w FROM benchmark),
+p AS (SELECT query_id, id, count(*) AS meet FROM (SELECT query_id, unnest(w) AS t FROM q) JOIN (SELECT id, unnest(w) AS t FROM s) USING (t) GROUP BY ALL),
+f AS (SELECT query_id, id FROM p JOIN q USING (query_id) JOIN s USING (id) WHERE meet / (len(q.w) + len(s.w) - meet) > 0.2)
+SELECT query_id, count(f.id) AS relevant, CASE WHEN count(f.id) = 0 THEN 1.0 ELSE round(count(bm.id) / count(f.id), 6) END AS recall
+FROM q LEFT JOIN f USING (query_id) LEFT JOIN bm USING (query_id, id) GROUP BY query_id""",
     "ranker_precision": "SELECT count(*) AS queries, true AS no_worse FROM (SELECT item_id, text FROM benchmark) WHERE " + _HELD_OUT,
     "word_associations": f"""WITH dw AS (SELECT doc_id, {WORDS.format("text")} AS w FROM documents),
 v AS (SELECT word, row_number() OVER (ORDER BY df DESC, encode(word)) - 1 AS place FROM (SELECT word, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(w) AS word FROM dw) GROUP BY word HAVING df >= 5) ORDER BY df DESC, encode(word) LIMIT 1000),
