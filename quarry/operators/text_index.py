@@ -10,7 +10,6 @@ scores blocks in the order of their bounds, until no bound reaches the k-th best
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,63 +19,83 @@ from pyspark.sql import functions as F
 
 from quarry.operators.retrieval import TEXT_QUERIES_AT_ONCE, _Best, in_turn, normalised, ranked, spread, weights_of, words_of
 
-_POSTINGS = "shard long, term binary, n int, docs array<int>, tfs array<int>, block array<int>, most array<int>, least array<int>"
+_ROWS = "shard long, term binary, n int, docs array<int>, tfs array<int>, block array<int>, most array<int>, least array<int>, ids array<long>, sizes array<int>, docs_a_block int"
+
+
+class _Numbers(dict):
+    """Numbers words in the order in which they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _lists(values: np.ndarray, starts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)).astype(np.int32)), pa.array(values))
+
+
+def _shard(shard: int, ids: list, sizes: list[int], numbers: _Numbers, parts: list[tuple[np.ndarray, np.ndarray]], docs_a_block: int) -> Iterator[pa.RecordBatch]:
+    """The rows of one shard. parts: of each document, the numbers of its words and how often it has them."""
+    order = sorted(range(len(ids)), key=lambda i: (sizes[i], ids[i] is None, ids[i] or 0))
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    terms = sorted(numbers)
+    rank = np.empty(len(terms), np.int64)
+    rank[[numbers[t] for t in terms]] = np.arange(len(terms))
+    length = np.array(sizes, np.int32)[order]
+    none = lambda n, kind: pa.nulls(n, pa.list_(kind))
+    names = ["shard", "term", "n", "docs", "tfs", "block", "most", "least", "ids", "sizes", "docs_a_block"]
+    per = lambda n: [pa.array([shard] * n, pa.int64()), pa.array([docs_a_block] * n, pa.int32())]
+    if terms:
+        n = np.array([len(t) for t, _ in parts])
+        term, doc, tf = rank[np.concatenate([t for t, _ in parts])], np.repeat(place, n), np.concatenate([c for _, c in parts]).astype(np.int32)
+        by = np.argsort(term * len(ids) + doc)
+        term, doc, tf = term[by], doc[by], tf[by]
+        starts = np.searchsorted(term, np.arange(len(terms)))
+        block = doc // docs_a_block
+        heads = np.flatnonzero(np.diff(term * (len(ids) + 1) + block, prepend=-1))
+        most, least = np.maximum.reduceat(tf, heads), np.minimum.reduceat(length[doc], heads)
+        lists = [_lists(doc.astype(np.int32), starts), _lists(tf, starts), *(_lists(x, np.searchsorted(heads, starts)) for x in (block[heads].astype(np.int32), most, least))]
+        first, last = per(len(terms))
+        whole = pa.RecordBatch.from_arrays([first, pa.array(terms, pa.binary()), pa.array(np.diff(np.append(starts, len(term))).astype(np.int32)), *lists, none(len(terms), pa.int64()), none(len(terms), pa.int32()), last], names)
+        for at in range(0, len(terms), 10_000):
+            yield whole.slice(at, 10_000)
+    first, last = per(1)
+    yield pa.RecordBatch.from_arrays([first, pa.nulls(1, pa.binary()), pa.array([0], pa.int32()), *(none(1, pa.int32()) for _ in range(5)), pa.array([[ids[i] for i in order]], pa.list_(pa.int64())), pa.array([length], pa.list_(pa.int32())), last], names)
 
 
 def _shards(docs_a_shard: int, docs_a_block: int, words_a_shard: int):
-    """Batches (id, text) -> the rows of shards: of each term, and one without a term for the documents."""
-
-    def build(shard: int, held: list[tuple[int, Counter, int]]) -> pa.RecordBatch:
-        held.sort(key=lambda x: (x[2], x[0] is None, x[0] or 0))
-        terms: dict[bytes, tuple[list[int], list[int]]] = {}
-        for i, (_, tf, _) in enumerate(held):
-            for term, n in tf.items():
-                at = terms.setdefault(term, ([], []))
-                at[0].append(i)
-                at[1].append(n)
-        sizes = np.array([x[2] for x in held], np.int32)
-        rows = []
-        for term in sorted(terms):
-            docs, tfs = (np.array(x, np.int32) for x in terms[term])
-            block, start = np.unique(docs // docs_a_block, return_index=True)
-            rows.append((term, docs, tfs, block, np.maximum.reduceat(tfs, start), np.minimum.reduceat(sizes[docs], start), None, None))
-        rows.append((None, *[None] * 5, [x[0] for x in held], sizes))
-        lists = [pa.array([r[k] for r in rows], pa.list_(pa.int32())) for k in range(1, 6)]
-        n = pa.array([0 if r[1] is None else len(r[1]) for r in rows], pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array([shard] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.binary()), n, *lists, pa.array([r[6] for r in rows], pa.list_(pa.int64())), pa.array([r[7] for r in rows], pa.list_(pa.int32()))], ["shard", "term", "n", "docs", "tfs", "block", "most", "least", "ids", "sizes"])
+    """Batches (id, text) -> the rows of shards: of each term, in order, and one without a term for the documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, held, words = TaskContext.get().partitionId() << 24, [], 0
+        shard, ids, sizes, numbers, parts, held = TaskContext.get().partitionId() << 24, [], [], _Numbers(), [], 0
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = words_of(text.as_py())
-                held.append((i, Counter(own), len(own)))
-                words += len(held[-1][1])
-                if len(held) >= docs_a_shard or words >= words_a_shard:
-                    yield build(shard, held)
-                    shard, held, words = shard + 1, [], 0
-        if held:
-            yield build(shard, held)
+                words = words_of(text.as_py())
+                found, n = np.unique(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)), return_counts=True)
+                ids.append(i)
+                sizes.append(len(words))
+                parts.append((found, n))
+                held += len(found)
+                if len(ids) >= docs_a_shard or held >= words_a_shard:
+                    yield from _shard(shard, ids, sizes, numbers, parts, docs_a_block)
+                    shard, ids, sizes, numbers, parts, held = shard + 1, [], [], _Numbers(), [], 0
+        if ids:
+            yield from _shard(shard, ids, sizes, numbers, parts, docs_a_block)
 
     return run
 
 
 def build(docs: DataFrame, folder: str, docs_a_shard: int = 16_384, docs_a_block: int = 32, words_a_shard: int = 2_000_000) -> None:
     """Writes an index of docs (id, text) to a folder, reading each text once. Null texts are empty; rows with a null id are left out but
-    count in the statistics, as in `retrieval.bm25`. A shard is closed at ``docs_a_shard`` documents or ``words_a_shard`` postings."""
+    count in the statistics, as in `retrieval.bm25`. A shard is closed at ``docs_a_shard`` documents or ``words_a_shard`` postings.
+    Its rows are in the order of their terms, so that pages without a query's terms are skipped."""
     rows = spread(docs.select(F.col("id").cast("long").alias("id"), "text"))
-    every = rows.mapInArrow(_shards(docs_a_shard, docs_a_block, words_a_shard), _POSTINGS + ", ids array<long>, sizes array<int>")
-    every.write.mode("overwrite").parquet(f"{folder}/built")
-    made = docs.sparkSession.read.parquet(f"{folder}/built")
-    known = made.where("term is not null")
-    # sorted by term within files, so that row groups without a query's terms are skipped
-    known.drop("ids", "sizes").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
-    made.where("term is null").select("shard", "ids", "sizes", F.lit(docs_a_block).alias("docs_a_block")).write.mode("overwrite").parquet(f"{folder}/documents")
+    rows.mapInArrow(_shards(docs_a_shard, docs_a_block, words_a_shard), _ROWS).write.mode("overwrite").parquet(f"{folder}/rows")
+    known = docs.sparkSession.read.parquet(f"{folder}/rows").where("term is not null")
     known.groupBy("term").agg(F.sum("n").cast("long").alias("df")).write.mode("overwrite").parquet(f"{folder}/terms")
-    path = docs.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{folder}/built")
-    path.getFileSystem(docs.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _impact(tf: np.ndarray, size: np.ndarray, mean: float, k1: float, b: float) -> np.ndarray:
@@ -107,8 +126,10 @@ def _search(ids: list, place: dict[bytes, int], weights: np.ndarray, mean: float
             held = [(weights[at, q], docs, impact) for at, docs, impact in terms if weights[at, q]]
             order = np.argsort(-bounds[:, q], kind="stable")
             best, read, floor = _Best([ids[q]], k), 0, floors[q]
-            for i in range(0, n_blocks, at_once):
-                blocks = order[i : i + at_once]
+            i, step = 0, at_once
+            while i < n_blocks:
+                blocks = order[i : i + step]
+                i, step = i + step, min(2 * step, 32 * at_once)
                 blocks = np.sort(blocks[(bounds[blocks, q] > 0) & (bounds[blocks, q] >= floor - 1e-8)])
                 if not len(blocks):
                     break
@@ -142,7 +163,8 @@ def search(spark: SparkSession, folder: str, queries: DataFrame, k: int = 5, k1:
     shard is searched first; what it finds is a floor for all others. Documents without a query word score 0: where a query has too
     few others, those with the smallest ids follow. A collection most of whose terms are in most of its documents has a negative
     floor of weights, by which scores sink below 0: there a ValueError says so, and `retrieval.bm25` is to be used."""
-    postings, documents = spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/documents")
+    built = spark.read.parquet(f"{folder}/rows")
+    postings, documents = built.where("term is not null"), built.where("term is null")
     total = documents.agg(F.sum(F.size("ids")).alias("n"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("words"), F.max(F.struct(F.size("ids"), "shard"))["shard"].alias("largest"), F.first("docs_a_block").alias("docs_a_block")).first()
     docs_a_block = total["docs_a_block"] or 1
     n, mean = total["n"] or 0, (total["words"] or 0) / max(1, total["n"] or 0) or 1.0
