@@ -104,6 +104,7 @@ def _impact(tf: np.ndarray, size: np.ndarray, mean: float, k1: float, b: float)
 
 def _search(ids: list, place: dict[bytes, int], weights: np.ndarray, mean: float, k: int, k1: float, b: float, at_once: int, docs_a_block: int, floors: np.ndarray):
     """The rows of one shard -> the k best of each query, and a row without a document for what was read: (query, postings, of all).
+    A block is given up as soon as its best document cannot reach the floor by what the terms to come add at most there.
 
     floors: scores that the k-th best of each query is known to reach."""
 
@@ -119,12 +120,14 @@ def _search(ids: list, place: dict[bytes, int], weights: np.ndarray, mean: float
             at = place[term.as_py()]
             docs, tfs, block, most, least = (x.values.to_numpy() for x in (docs, tfs, block, most, least))
             own = np.flatnonzero(weights[at])
-            bounds[np.ix_(block, own)] += np.outer(_impact(most.astype(np.float64), least.astype(np.float64), mean, k1, b), weights[at, own])
-            terms.append((at, docs, _impact(tfs.astype(np.float64), sizes[docs], mean, k1, b)))
+            bound = _impact(most.astype(np.float64), least.astype(np.float64), mean, k1, b)
+            bounds[np.ix_(block, own)] += np.outer(bound, weights[at, own])
+            terms.append((at, docs, _impact(tfs.astype(np.float64), sizes[docs], mean, k1, b), block, bound))
         out: list[tuple] = []
         for q in range(len(ids)):
-            held = [(weights[at, q], docs, impact) for at, docs, impact in terms if weights[at, q]]
-            order = np.argsort(-bounds[:, q], kind="stable")
+            # the terms that can add most come first: what the others can add at most is left in `rest`
+            held = sorted(((weights[at, q], *x) for at, *x in terms if weights[at, q]), key=lambda x: -x[0] * x[4].max())
+            order, rest = np.argsort(-bounds[:, q], kind="stable"), bounds[:, q].copy()
             best, read, floor = _Best([ids[q]], k), 0, floors[q]
             i, step = 0, at_once
             while i < n_blocks:
@@ -133,22 +136,31 @@ def _search(ids: list, place: dict[bytes, int], weights: np.ndarray, mean: float
                 blocks = np.sort(blocks[(bounds[blocks, q] > 0) & (bounds[blocks, q] >= floor - 1e-8)])
                 if not len(blocks):
                     break
-                starts, slot = blocks * docs_a_block, np.full(n_blocks, -1)
-                slot[blocks] = np.arange(len(blocks))
-                score = np.zeros((len(blocks), docs_a_block))
-                for weight, docs, impact in held:
+                score, slot = np.zeros((len(blocks), docs_a_block)), np.full(n_blocks, -1)
+                for weight, docs, impact, block, bound in held:
+                    slot[:] = -1
+                    slot[blocks] = np.arange(len(blocks))
+                    starts = blocks * docs_a_block
                     a, z = np.searchsorted(docs, starts), np.searchsorted(docs, starts + docs_a_block)
                     n = z - a
                     at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
                     read += len(at)
                     score[slot[docs[at] // docs_a_block], docs[at] % docs_a_block] += weight * impact[at]  # a document has a term once
+                    here = slot[block] >= 0
+                    rest[block[here]] -= weight * bound[here]
+                    alive = score.max(1) + rest[blocks] >= floor - 1e-8
+                    if not alive.all():
+                        blocks, score = blocks[alive], score[alive]
+                        if not len(blocks):
+                            break
+                starts = blocks * docs_a_block
                 where, found = (starts[:, None] + np.arange(docs_a_block))[score > 0], np.round(score[score > 0], 9)
                 if (own := named[where]).any():
                     best.add(found[own][None], names[where[own]])
                 if best.scores.shape[1] >= k:
                     floor = max(floor, best.scores[0, k - 1])
             out += [(ids[q], int(r), float(s), 0, 0) for r, s in zip(best.rows[0], best.scores[0], strict=True) if s > 0]
-            out.append((ids[q], None, None, read, sum(len(docs) for _, docs, _ in held)))
+            out.append((ids[q], None, None, read, sum(len(docs) for _, docs, *_ in held)))
         kinds = ("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64()), ("postings", pa.int64()), ("of", pa.int64())
         return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(kinds)})
 
