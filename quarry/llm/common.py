@@ -40,13 +40,14 @@ def give_back() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, the warehouse's, or on a single machine (in
-    tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, on a single machine (in tests), a temporary
+    one."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
-        single = sc.master.startswith("local") and "cluster" not in sc.master
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-") if single else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/quarry-checkpoints")
+        if not sc.master.startswith("local") or "cluster" in sc.master:
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster it has to name a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
         at = sc.getCheckpointDir()
     return at.rstrip("/")
 
