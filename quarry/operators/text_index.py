@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.retrieval import TEXT_QUERIES_AT_ONCE, _Best, in_turn, normalised, ranked, spread, weights_of, words_of
+from quarry.sources.store import stored
 
 _ROWS = "shard long, term binary, n int, docs array<int>, tfs array<int>, block array<int>, most array<int>, least array<int>, ids array<long>, sizes array<int>, docs_a_block int"
 
@@ -212,6 +213,7 @@ def search(spark: SparkSession, folder: str, queries: DataFrame, k: int = 5, k1:
     if found is None:
         none = queries.select(F.col("query_id").cast("long").alias("query_id")).limit(0)
         return none.selectExpr("query_id", "0L as id", "0.0D as score", "0 as rank", "0.0D as normalised"), none.selectExpr("query_id", "0L as postings", "0L as of")
+    found = found if blocks > 1 else stored(found)  # k rows a query and shard, read three times
     read = found.where("id is null").groupBy("query_id").agg(F.sum("postings").alias("postings"), F.sum("of").alias("of"))
     # of the 2k documents with the smallest ids at least k score 0, where fewer than k score more
     least = documents.select(F.explode(F.slice(F.array_sort(F.filter("ids", lambda x: x.isNotNull())), 1, 2 * k)).alias("id")).orderBy("id").limit(2 * k)

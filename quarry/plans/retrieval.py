@@ -307,9 +307,9 @@ def ann_recall(spark: SparkSession, d: str) -> DataFrame:
     return per.select("queries", (F.col("recall") >= 0.9).alias("reaches_nine_of_ten"))
 
 
-def _text_index(spark: SparkSession, d: str, queries: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
+def _text_index(spark: SparkSession, d: str, queries: DataFrame, k: int = 5, **options: int) -> tuple[DataFrame, DataFrame]:
     folder = scratch(spark)
-    text_index.build(docs(spark, d), folder)
+    text_index.build(docs(spark, d), folder, **options)
     return text_index.search(spark, folder, queries, k)
 
 
@@ -319,8 +319,8 @@ def bm25_index_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_index_reads(spark: SparkSession, d: str) -> DataFrame:
-    """How many postings the queries' terms have, and whether fewer were scored."""
-    read = _text_index(spark, d, asked(spark, d))[1]
+    """How many postings the queries' terms have, and whether fewer were scored, in blocks of four documents."""
+    read = _text_index(spark, d, asked(spark, d), docs_a_block=4)[1]
     return read.agg(F.count("*").alias("queries"), F.sum("of").alias("postings"), (F.sum("postings") < F.sum("of")).alias("fewer_scored"))
 
 
