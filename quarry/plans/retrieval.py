@@ -319,7 +319,7 @@ def bm25_index_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_index_reads(spark: SparkSession, d: str) -> DataFrame:
-    """How many postings the queries' terms have, and whether fewer were scored, in blocks of four documents."""
+    """How many postings the queries' terms of any weight have, and whether fewer were scored, in blocks of four documents."""
     read = _text_index(spark, d, asked(spark, d), docs_a_block=4)[1]
     return read.agg(F.count("*").alias("queries"), F.sum("of").alias("postings"), (F.sum("postings") < F.sum("of")).alias("fewer_scored"))
 
@@ -484,7 +484,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(pmi, 6) DESC, b
 SELECT v.word, o.word AS other, rank, n, round(pmi, 6) AS pmi FROM r JOIN v ON v.place = a JOIN v o ON o.place = b WHERE rank <= 5""",
     "ann_recall": "SELECT count(*) AS queries, true AS reaches_nine_of_ten FROM embeddings WHERE vec_id % 20 = 0",
     "bm25_index_topk": "WITH " + bm25_sql(5) + " SELECT query_id, id, rank, normalised AS score FROM bm",
-    "bm25_index_reads": "WITH " + bm25_sql(5) + " SELECT (SELECT count(*) FROM benchmark) AS queries, count(*) AS postings, true AS fewer_scored FROM (SELECT DISTINCT query_id, term FROM qtok) JOIN tf USING (term)",
+    "bm25_index_reads": "WITH " + bm25_sql(5) + " SELECT (SELECT count(*) FROM benchmark) AS queries, count(*) AS postings, true AS fewer_scored FROM (SELECT DISTINCT query_id, term FROM qtok) JOIN tf USING (term) JOIN idf USING (term) WHERE idf <> 0",
     "collection_stats": "SELECT count(*) AS n, min(len(embedding))::INT AS least_dimension, max(len(embedding))::INT AS most_dimension, count(DISTINCT label) AS labels FROM embeddings",
     "vectors_by_id": "SELECT vec_id AS id, label, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels)",
     "filtered_by_two": "SELECT doc_id, n_chars FROM documents WHERE lang = 'de' AND source = 'src3'",
