@@ -23,17 +23,15 @@ def _flag(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
     versions in a batch the one that arrived last counts. The state is a list of checksums."""
     last = None
     for f in frames:
-        own = f.sort_values(["arrived", "path"]).iloc[-1]
-        if last is None or (own["arrived"], own["path"]) > (last["arrived"], last["path"]):
-            last = own
-    texts, sums = list(last["texts"]), list(last["sums"])
+        for own in f.itertuples(index=False):
+            if last is None or (own.arrived, own.path) > (last.arrived, last.path):
+                last = own
+    texts, sums = list(last.texts), list(last.sums)
     old = list(state.get[0]) if state.exists else []
     state.update((sums,))
-    n = max(len(old), len(texts))
-    yield pd.DataFrame({
-        "source_file": [key[0]] * n, "chunk_index": pd.Series(range(n), dtype="int32"), "text": pd.Series([texts[i] if i < len(texts) else None for i in range(n)], dtype=object),
-        "changed": pd.Series([i >= len(old) or i >= len(texts) or old[i] != sums[i] for i in range(n)], dtype=bool),
-    })
+    n, gone = max(len(old), len(texts)), max(0, len(old) - len(texts))
+    changed = [i >= len(old) or old[i] != x for i, x in enumerate(sums)] + [True] * gone
+    yield pd.DataFrame({"source_file": [key[0]] * n, "chunk_index": range(n), "text": texts + [None] * gone, "changed": changed})
 
 
 def flagged(files: DataFrame) -> DataFrame:
