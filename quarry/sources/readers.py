@@ -41,11 +41,12 @@ _CHUNK = ("chunk_id", "document_name", "version", "version_date", "page_number",
 
 
 def chunk_columns(chunks: DataFrame) -> DataFrame:
-    """The columns of CHUNKS from (source_file, chunk_index, text), and what else there is."""
+    """The columns of CHUNKS from (source_file, chunk_index, text), and what else there is. Where a checksum is given, the text is not needed."""
+    checksum = F.col("checksum") if "checksum" in chunks.columns else F.sha2("text", 256)
     rows = chunks.withColumn("version", V.from_file_name(F.col("source_file")))
     return rows.select(
         V.markdown_chunk_id(F.col("source_file"), F.col("version"), F.col("chunk_index")).alias("chunk_id"), V.markdown_document_name(F.col("source_file")).alias("document_name"), "version", V.version_date(F.col("version")).alias("version_date"),
-        F.lit(1).alias("page_number"), F.concat(F.lit("Section "), (F.col("chunk_index") + 1).cast("string")).alias("section_header"), "source_file", "chunk_index", F.sha2("text", 256).alias("checksum"), "text",
+        F.lit(1).alias("page_number"), F.concat(F.lit("Section "), (F.col("chunk_index") + 1).cast("string")).alias("section_header"), "source_file", "chunk_index", checksum.alias("checksum"), *(["text"] if "text" in chunks.columns else []),
         *(c for c in chunks.columns if c not in _CHUNK),
     )
 

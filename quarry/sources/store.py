@@ -89,11 +89,12 @@ class Store:
         """Replaces all rows."""
         return self._write(rows, {"buckets": self.buckets, "at": {}}, set())
 
-    def change(self, upserts: DataFrame | None = None, gone: DataFrame | None = None) -> int:
+    def change(self, upserts: DataFrame | None = None, gone: DataFrame | None = None, keys: DataFrame | None = None) -> int:
         """Rows replace those of the same key; those whose key is in ``gone`` are dropped. Only the buckets of these keys are read and
-        written: they are collected, and there are no more than ``buckets`` of them."""
+        written: they are collected, and there are no more than ``buckets`` of them. ``keys`` are those of the rows, where they are had
+        with less work than the rows."""
         snapshot = self._snapshot()
-        keys = [df.select(self.key) for df in (upserts, gone) if df is not None]
+        keys = [df.select(self.key) for df in (upserts if keys is None else keys, gone) if df is not None]
         keys = keys[0] if len(keys) == 1 else keys[0].unionAll(keys[1])
         touched = {r[0] for r in keys.select(self._bucket(snapshot["buckets"])).distinct().collect()}
         rows = self._rows(snapshot, touched).join(keys, self.key, "left_anti")

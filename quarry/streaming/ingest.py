@@ -1,62 +1,64 @@
-"""Incremental ingestion as a stream of files, with the checksums of each file's chunks as state: a micro-batch knows which of its chunks
-are unchanged and which are no more, without reading a store."""
+"""Incremental ingestion as a stream of files. The checksums of each file's chunks are a table beside the stream's checkpoint: a micro-batch
+joins them to know which of its chunks are unchanged and which are no more, and moves texts of changed chunks only."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarry.functions.text import chunk_markdown
 from quarry.sources.readers import chunk_columns, file_name
 from quarry.sources.store import Store, cached_embeddings
 
-_FLAGGED = "source_file string, chunk_index int, text string, changed boolean"
+#: The state: a file, the checksums of its chunks in their order, the batch that brought them, and what they were before it.
+SEEN = "source_file string, sums array<string>, batch long, earlier array<string>"
 
 
-def _flag(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Versions of one file (arrived, texts, sums) -> its chunks, each changed or not, and without a text what it no longer has. Of several
-    versions in a batch the one that arrived last counts. The state is a list of checksums."""
-    last = None
-    for f in frames:
-        for own in f.itertuples(index=False):
-            if last is None or (own.arrived, own.path) > (last.arrived, last.path):
-                last = own
-    texts, sums = list(last.texts), list(last.sums)
-    old = list(state.get[0]) if state.exists else []
-    state.update((sums,))
-    n, gone = max(len(old), len(texts)), max(0, len(old) - len(texts))
-    changed = [i >= len(old) or old[i] != x for i, x in enumerate(sums)] + [True] * gone
-    yield pd.DataFrame({"source_file": [key[0]] * n, "chunk_index": range(n), "text": texts + [None] * gone, "changed": changed})
+def cut(files: DataFrame) -> DataFrame:
+    """Files (source_file, text, arrived, path) -> (n, source_file, arrived, path, texts, sums), n a number of the row."""
+    rows = files.select("source_file", "arrived", "path", chunk_markdown(F.col("text")).alias("texts"))
+    return rows.withColumn("sums", F.transform("texts", lambda t: F.sha2(t, 256))).withColumn("n", F.monotonically_increasing_id())
 
 
-def flagged(files: DataFrame) -> DataFrame:
-    """A stream of files (source_file, text, arrived, path) -> a stream of (source_file, chunk_index, text, changed); text is null where a file
-    became shorter. State: one list of checksums a file, bounded by the file."""
-    cut = files.select("source_file", "arrived", "path", chunk_markdown(F.col("text")).alias("texts"))
-    sums = F.transform("texts", lambda t: F.sha2(t, 256)).alias("sums")
-    return cut.select("source_file", "arrived", "path", "texts", sums).groupBy("source_file").applyInPandasWithState(_flag, _FLAGGED, "sums array<string>", "update", GroupStateTimeout.NoTimeout)
+def flagged(files: DataFrame, seen: DataFrame, batch: int) -> DataFrame:
+    """Cut files and the state -> (n, source_file, sums, changed, batch, earlier), one row a file: of several versions in a batch the one that
+    arrived last counts. ``changed`` has one flag for each chunk, ``earlier`` the checksums before this batch, of which a batch that
+    is done again reminds. No text is moved."""
+    last = files.groupBy("source_file").agg(F.max_by(F.struct("n", "sums"), F.struct("arrived", "path", "n")).alias("last"))
+    before = seen.select("source_file", F.when(F.col("batch") == batch, F.col("earlier")).otherwise(F.col("sums")).alias("earlier"))
+    both = last.select("last.*", "source_file").join(before, "source_file", "left").withColumn("earlier", F.coalesce("earlier", F.array().cast("array<string>")))
+    changed = F.transform("sums", lambda x, i: ~F.get("earlier", i).eqNullSafe(x))
+    return both.select("n", "source_file", "sums", changed.alias("changed"), F.lit(batch).cast("long").alias("batch"), "earlier")
 
 
-def apply(batch: DataFrame, records: Store, vectors: Store, embed: Callable) -> None:
-    """Brings both stores up to date with a micro-batch. Only changed chunks are embedded, from the vectors of equal content where there
-    are any; tails of files that became shorter are dropped; of unchanged chunks only the record's flag and time are written.
-    Doing it again changes nothing."""
-    rows = chunk_columns(batch.persist())
-    there, gone = rows.where("text is not null"), rows.where("text is null").select("chunk_id")
-    vectors.change(cached_embeddings(there.where("changed"), vectors.read(), embed), gone)
+def apply(batch: DataFrame, number: int, seen: Store, records: Store, vectors: Store, embed: Callable) -> None:
+    """Brings both stores up to date with a micro-batch, then the state. Only changed chunks are embedded, from the vectors of equal content
+    where there are any; tails of files that became shorter are dropped; of unchanged chunks only the record's flag and time are
+    written. A batch of the same number may be done again, wherever it ended: that leaves the same stores."""
+    files = cut(batch).persist()
+    flags = flagged(files, seen.read(), number).persist()
+    zipped = lambda df, *c: df.select("source_file", F.posexplode(F.arrays_zip(*c)).alias("chunk_index", "c")).select("source_file", "chunk_index", "c.*")
+    there = chunk_columns(zipped(flags, "sums", "changed").withColumnRenamed("sums", "checksum"))
+    longer = flags.where(F.size("earlier") > F.size("sums"))
+    tails = longer.select("source_file", F.explode(F.sequence(F.size("sums"), F.size("earlier") - 1)).alias("chunk_index"))
+    gone = chunk_columns(tails.withColumn("checksum", F.lit(None).cast("string"))).select("chunk_id")
+    texts = files.drop("source_file", "sums").join(flags.where(F.exists("changed", lambda x: x)), "n")
+    changed = chunk_columns(zipped(texts, "texts", "sums", "changed").where("changed").withColumnsRenamed({"texts": "text", "sums": "checksum"}))
+    vectors.change(cached_embeddings(changed, vectors.read(), embed), gone, there.where("changed"))
     records.change(there.withColumn("changed_flag", F.col("changed").cast("int")).withColumn("ingested_at", F.current_timestamp()), gone)
-    batch.unpersist()
+    seen.change(flags)
+    flags.unpersist()
+    files.unpersist()
 
 
 def ingest_stream(files: DataFrame, checkpoint: str, records: Store, vectors: Store, embed: Callable) -> StreamingQuery:
     """Ingests a stream of files (source_file, text, arrived, path). Ends when it has caught up; with the same checkpoint, the next run goes on
     from there, with its state. A file that is no longer there is no event: such files are deleted from a store by name."""
-    return flagged(files).writeStream.outputMode("update").foreachBatch(lambda batch, _: apply(batch, records, vectors, embed)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    seen = Store(files.sparkSession, f"{checkpoint.rstrip('/')}/seen", SEEN, "source_file", records.buckets)
+    return files.writeStream.foreachBatch(lambda batch, number: apply(batch, number, seen, records, vectors, embed)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def markdown_files(spark: SparkSession, folder: str, files_at_once: int = 1000) -> DataFrame:

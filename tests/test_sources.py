@@ -184,3 +184,23 @@ def test_stream_is_the_batch(spark, tmp_path):
             assert len(a) == len(b) > 0
     flags = {r.chunk_id: r.changed_flag for r in stores["stream"][0].read().collect()}
     assert sorted(flags.values()) != [1] * len(flags) and not any(k.startswith("c 5.3.2") for k in flags)
+
+
+def test_batch_done_again(spark, tmp_path):
+    """A micro-batch that is done again, after its end too, leaves the same stores; of two versions of a file in it the later one counts."""
+    from quarry.sources.store import RECORDS, VECTORS
+    from quarry.streaming.ingest import SEEN, apply
+
+    seen, records, vectors = (Store(spark, str(tmp_path / k), schema, key, 4) for k, schema, key in (("seen", SEEN, "source_file"), ("records", RECORDS, "chunk_id"), ("vectors", VECTORS, "chunk_id")))
+    long = lambda *marks: "\n\n".join(PARA.format(m) * 8 for m in marks)
+    batch = lambda *rows: spark.createDataFrame(rows, "source_file string, text string, arrived int, path string")
+    apply(batch(("a 5.3.1.md", long("p", "q", "r"), 0, "x"), ("b 5.3.1.md", long("s"), 0, "y")), 0, seen, records, vectors, hashed_embedding)
+    second = batch(("a 5.3.1.md", long("p", "x"), 2, "x"), ("a 5.3.1.md", long("z"), 1, "y"), ("c 5.3.1.md", None, 1, "z"))
+    got = []
+    for _ in range(2):
+        apply(second, 1, seen, records, vectors, hashed_embedding)
+        got.append((sorted(map(tuple, records.read().drop("ingested_at").collect()), key=repr), sorted(map(tuple, vectors.read().collect()), key=repr)))
+    assert got[0] == got[1]
+    flags = {(r.source_file, r.chunk_index): r.changed_flag for r in records.read().collect()}
+    assert flags == {("a 5.3.1.md", 0): 0, ("a 5.3.1.md", 1): 1, ("b 5.3.1.md", 0): 1}
+    assert sorted(r.chunk_id for r in vectors.read().collect()) == sorted(r.chunk_id for r in records.read().collect())
