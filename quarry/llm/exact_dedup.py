@@ -3,13 +3,13 @@
 Texts are equal when they agree after deleting ASCII white space. Three steps, none of which ever holds more than
 ``memory_bytes`` of content:
 
-1. Each task combines its own rows: equal texts become one record with the ids of its members. A text that fills a
-   third of the table therefore sends one record per task through the shuffle, whatever the number of its copies.
-2. Records are dealt out by a hash of their content (the first Grace level). A task keeps an open-addressing table
-   that compares complete content. When the table outgrows its memory, its records and the rest of the stream go to
-   spill files by the next four bits of the hash, and each file is treated in the same way.
-3. Records come out with the row that stays; their member lists, which are bounded by one task's input, are dealt
-   out evenly before they are exploded.
+1. Each task combines its own rows: equal texts become one record with the ids of its members. The records are stored.
+2. Records without their members are dealt out by a hash of their content (the first Grace level). A text that fills a
+   third of the table therefore sends one row per task through the shuffle, whatever the number of its copies. A task
+   keeps an open-addressing table that compares complete content. When the table outgrows its memory, its records and
+   the rest of the stream go to spill files by the next four bits of the hash, and each file is treated in the same way.
+3. What was decided is joined to the stored records by their number, and member lists, which are bounded by the memory
+   of step 1, are exploded where they meet it: the ids of one text's copies never come to one task.
 
 Spill files live in the task's own temporary folder and in no other task's plan; a lost executor's tasks make them again.
 """
@@ -20,13 +20,14 @@ import hashlib
 import pickle
 import tempfile
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import give_back, require
+from quarry.llm.common import give_back, require, stash
 
 #: Deleted before texts are compared. Fixed value of the contract.
 WHITE = b" \t\n\x0b\x0c\r"
@@ -97,9 +98,10 @@ def _combine(memory_bytes: int):
                 pa.array(table.contents, pa.binary()),
                 pa.array([x[0] for x in info], pa.int64()),
                 pa.array([x[1] for x in info], pa.int64()),
+                pa.array([x[3] for x in info], pa.int32()),
                 pa.array([x[2] for x in info], pa.list_(pa.int64())),
             ],
-            ["h", "content", "best_chars", "best_id", "members"],
+            ["h", "content", "best_chars", "best_id", "best_at", "members"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,12 +112,12 @@ def _combine(memory_bytes: int):
                 content = squeezed(text)
                 e, new = table.find_or_add(_hash(hashlib.sha256(content).digest()), content)
                 if new:
-                    info.append([len(text), doc_id, [doc_id]])
+                    info.append([len(text), doc_id, [doc_id], 0])
                 else:
                     x = info[e]
                     x[2].append(doc_id)
                     if _order(len(text), doc_id) < _order(x[0], x[1]):
-                        x[0], x[1] = len(text), doc_id
+                        x[0], x[1], x[3] = len(text), doc_id, len(x[2]) - 1
                 table.bytes += 40
                 if table.bytes > memory_bytes:
                     yield flush(table, info)
@@ -136,31 +138,28 @@ class _Group:
 
 
 def _resolve(records: Iterator[tuple], memory_bytes: int, level: int, folder: str) -> Iterator[tuple]:
-    """Records (h, content, best_chars, best_id, members) of one bucket -> (members, keep_id, size, place of the kept row or -1, its characters, digest).
+    """Records (h, content, best_chars, best_id, record, members) of one bucket, the last two a number and a count -> (record, keep_id, size,
+    whether its best row stays, that row's characters, digest).
 
-    The member lists wait in a file, in the order of the records, until the bucket's groups are complete."""
+    The records without content wait in a file, in their order, until the bucket's groups are complete."""
     table, groups = ContentTable(), []
     with tempfile.TemporaryFile(dir=folder) as waiting:
-        n = 0
-        for h, content, chars, doc_id, members in records:
+        for h, content, chars, doc_id, record, members in records:
             e, new = table.find_or_add(h, content)
             if new:
                 groups.append(_Group())
             g = groups[e]
-            g.size += len(members)
-            if g.record < 0 or _order(chars, doc_id) < _order(g.chars, g.doc_id):
-                g.chars, g.doc_id, g.record = chars, doc_id, n
-            pickle.dump((e, chars, doc_id, members), waiting, pickle.HIGHEST_PROTOCOL)
-            n += 1
+            g.size += members
+            if g.record < 0 or (*_order(chars, doc_id), record) < (*_order(g.chars, g.doc_id), g.record):
+                g.chars, g.doc_id, g.record = chars, doc_id, record
+            pickle.dump((e, chars, doc_id, record, members), waiting, pickle.HIGHEST_PROTOCOL)
             if table.bytes > memory_bytes and len(table.contents) > 1 and FAN_BITS * (level + 1) <= 64:
                 yield from _spill(table, waiting, records, memory_bytes, level, folder)
                 return
-        waiting.seek(0)
-        for i in range(n):
-            e, _, _, members = pickle.load(waiting)
+        digests = [hashlib.sha256(c).hexdigest() for c in table.contents]
+        for e, _, _, record, _ in _stored(waiting):
             g = groups[e]
-            kept = members.index(g.doc_id) if g.record == i else -1
-            yield members, g.doc_id, g.size, kept, g.chars, hashlib.sha256(table.contents[e]).hexdigest()
+            yield record, g.doc_id, g.size, g.record == record, g.chars, digests[e]
 
 
 def _spill(table: ContentTable, waiting, records: Iterator[tuple], memory_bytes: int, level: int, folder: str) -> Iterator[tuple]:
@@ -168,11 +167,8 @@ def _spill(table: ContentTable, waiting, records: Iterator[tuple], memory_bytes:
     files = [tempfile.TemporaryFile(dir=folder) for _ in range(1 << FAN_BITS)]
     try:
         put = lambda r: pickle.dump(r, files[(r[0] >> (64 - FAN_BITS * (level + 1))) & (len(files) - 1)], pickle.HIGHEST_PROTOCOL)
-        end = waiting.tell()
-        waiting.seek(0)
-        while waiting.tell() < end:
-            e, chars, doc_id, members = pickle.load(waiting)
-            put((table.hashes[e], table.contents[e], chars, doc_id, members))
+        for e, *rest in _stored(waiting):
+            put((table.hashes[e], table.contents[e], *rest))
         waiting.truncate(0)
         for r in records:
             put(r)
@@ -194,27 +190,18 @@ def _stored(f) -> Iterator[tuple]:
 
 def _grace(memory_bytes: int, level: int = 0):
     """Step 2. Records of one partition -> decided records."""
-    names = ["h", "content", "best_chars", "best_id", "members"]
+    names = ["h", "content", "best_chars", "best_id", "record", "members"]
+    kinds = {"record": pa.int64(), "keep_id": pa.int64(), "group_size": pa.int64(), "keeps": pa.bool_(), "keep_chars": pa.int64(), "text_sha256": pa.string()}
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             yield from zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
 
-    def pack(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["members", "keep_id", "group_size", "kept_at", "keep_chars", "text_sha256"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held = [], 0
         with tempfile.TemporaryDirectory() as folder:
-            for row in _resolve(records(batches), memory_bytes, level, folder):
-                rows.append(row)
-                held += len(row[0])
-                if held >= 20_000:
-                    yield pack(rows)
-                    rows, held = [], 0
-        if rows:
-            yield pack(rows)
+            decided = _resolve(records(batches), memory_bytes, level, folder)
+            while rows := list(islice(decided, 20_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values(), strict=True)], list(kinds))
         give_back()
 
     return run
@@ -223,16 +210,15 @@ def _grace(memory_bytes: int, level: int = 0):
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory_bytes: int = 32 << 20) -> DataFrame:
     """One row per row of df: doc_id, keep_id, group_size, kept, keep_chars (code points of the row that stays), text_sha256. Other columns of df are not touched.
 
-    Null texts count as empty; empty texts form one group. In each group exactly one row has ``kept``: the longest
-    original text in code points, then the smallest id (null ids last). Rows that repeat both id and text of the kept
-    row are copies like any other: one of them is kept. An empty table gives no rows. Ids must be integers.
+    Null texts count as empty; empty texts form one group; texts may be of any length. In each group exactly one row has
+    ``kept``: the longest original text in code points, then the smallest id (null ids last). Rows that repeat both id and
+    text of the kept row are copies like any other: one of them is kept. An empty table gives no rows. Ids must be integers.
     """
     require(df, id_col, text_col)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    records = rows.mapInArrow(_combine(memory_bytes), "h long, content binary, best_chars long, best_id long, members array<long>")
-    decided = records.repartition("h").mapInArrow(_grace(memory_bytes), "members array<long>, keep_id long, group_size long, kept_at int, keep_chars long, text_sha256 string")
-    return (
-        decided.hint("rebalance")
-        .select("keep_id", "group_size", "kept_at", "keep_chars", "text_sha256", F.posexplode("members").alias("at", "doc_id"))
-        .select("doc_id", "keep_id", "group_size", (F.col("at") == F.col("kept_at")).alias("kept"), "keep_chars", "text_sha256")
-    )
+    combined = rows.mapInArrow(_combine(memory_bytes), "h long, content binary, best_chars long, best_id long, best_at int, members array<long>")
+    records = stash(combined.withColumn("record", F.monotonically_increasing_id()), "records")
+    bare = records.select("h", "content", "best_chars", "best_id", "record", F.size("members").alias("members"))
+    decided = bare.repartition("h").mapInArrow(_grace(memory_bytes), "record long, keep_id long, group_size long, keeps boolean, keep_chars long, text_sha256 string")
+    both = records.select("record", "best_at", "members").join(decided, "record").select("*", F.posexplode("members").alias("at", "doc_id"))
+    return both.select("doc_id", "keep_id", "group_size", (F.col("keeps") & (F.col("at") == F.col("best_at"))).alias("kept"), "keep_chars", "text_sha256")
