@@ -64,7 +64,7 @@ def _streamed(spark: SparkSession, d: str) -> tuple[Store, Store]:
     records, vectors = Store(spark, f"{folder}/records", RECORDS, "chunk_id", 16), Store(spark, f"{folder}/vectors", VECTORS, "chunk_id", 16)
     for scan in (False, True):
         arrived = files(spark, d, scan).select("source_file", "text", F.lit(int(scan)).cast("timestamp").alias("arrived"), F.lit("").alias("path"))
-        arrived.write.mode("append").parquet(f"{folder}/in")
+        arrived.write.mode("append").option("compression", "zstd").parquet(f"{folder}/in")
         stream = spark.readStream.schema(arrived.schema).parquet(f"{folder}/in")
         ingest_stream(stream, f"{folder}/checkpoint", records, vectors, hashed_embedding).awaitTermination()
     return records, vectors

@@ -80,7 +80,7 @@ class Store:
     def _write(self, rows: DataFrame, snapshot: dict, touched: set[int]) -> int:
         """The next snapshot, whose touched buckets hold these rows."""
         n = max([0, *self.versions(), *self._names("data")]) + 1
-        rows.select(*self.columns, self._bucket(snapshot["buckets"]).alias("_bucket")).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{self.folder}/data/{n}")
+        rows.select(*self.columns, self._bucket(snapshot["buckets"]).alias("_bucket")).hint("rebalance", "_bucket").write.partitionBy("_bucket").option("compression", "zstd").parquet(f"{self.folder}/data/{n}")
         made = {s.getPath().getName().removeprefix("_bucket=") for s in self._fs().listStatus(self._path("data", str(n)))}
         kept = {b: at for b, at in snapshot["at"].items() if int(b) not in touched}
         return self._publish(n, {"buckets": snapshot["buckets"], "at": kept | {b: n for b in made if b.isdigit()}})
@@ -135,9 +135,11 @@ VECTORS = "chunk_id string, source_file string, chunk_index int, version string,
 
 
 def cached_embeddings(changed: DataFrame, vectors: DataFrame, embed: Callable) -> DataFrame:
-    """Adds ``embedding``: that of a stored row of equal content, else by the model. Only stored rows of wanted contents are grouped."""
+    """Adds ``embedding``: that of a stored row of equal content, else by the model. Only stored rows of wanted contents are grouped. They
+    are written first: then their size is known, and where they are many, both sides are shuffled plainly, so that a frequent content's
+    rows can be split."""
     wanted = vectors.join(changed.select("checksum").distinct(), "checksum", "left_semi")
-    met = changed.join(wanted.groupBy("checksum").agg(F.first("embedding").alias("embedding")), "checksum", "left")
+    met = changed.join(stored(wanted.groupBy("checksum").agg(F.first("embedding").alias("embedding"))), "checksum", "left")
     new = met.where("embedding is null").drop("embedding").withColumn("embedding", embed(F.col("text")))
     return new.unionByName(met.where("embedding is not null"))
 

@@ -45,13 +45,14 @@ def apply(batch: DataFrame, number: int, seen: Store, records: Store, vectors: S
     longer = flags.where(F.size("earlier") > F.size("sums"))
     tails = longer.select("source_file", F.explode(F.sequence(F.size("sums"), F.size("earlier") - 1)).alias("chunk_index"))
     gone = chunk_columns(tails.withColumn("checksum", F.lit(None).cast("string"))).select("chunk_id")
-    texts = files.drop("source_file", "sums").join(flags.where(F.exists("changed", lambda x: x)), "n")
-    changed = chunk_columns(zipped(texts, "texts", "sums", "changed").where("changed").withColumnsRenamed({"texts": "text", "sums": "checksum"}))
-    vectors.change(cached_embeddings(changed, vectors.read(), embed), gone, there.where("changed"))
+    # records first: then the flags' size is known to the join with the texts
     records.change(there.withColumn("changed_flag", F.col("changed").cast("int")).withColumn("ingested_at", F.current_timestamp()), gone)
+    texts = files.join(flags.where(F.exists("changed", lambda x: x)).select("n", "changed"), "n")
+    changed = chunk_columns(zipped(texts, "texts", "sums", "changed").where("changed").withColumnsRenamed({"texts": "text", "sums": "checksum"})).persist()
+    vectors.change(cached_embeddings(changed, vectors.read(), embed), gone, there.where("changed"))
     seen.change(flags)
-    flags.unpersist()
-    files.unpersist()
+    for df in (changed, flags, files):
+        df.unpersist()
 
 
 def ingest_stream(files: DataFrame, checkpoint: str, records: Store, vectors: Store, embed: Callable) -> StreamingQuery:
