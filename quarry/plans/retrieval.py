@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import jaccard, long_words, typos
@@ -12,7 +12,7 @@ from quarry.functions.vectors import cosine
 from quarry.operators import answers as A
 from quarry.operators import relevance as M
 from quarry.operators import retrieval as R
-from quarry.operators import embeddings, ranker, text_index, vector_index
+from quarry.operators import embeddings, ranker, substring_index, text_index, vector_index
 from quarry.operators.models import timed_knn
 from quarry.operators.set_join import relevant_documents
 from quarry.sources.store import scratch, stored
@@ -189,16 +189,26 @@ def tier2_by_pipeline(spark: SparkSession, d: str) -> DataFrame:
 TIER2 = ("faithfulness", "answer_relevancy", "context_precision", "context_recall", "noise_sensitivity", "robustness")
 
 
+def _longest() -> Column:
+    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
+    return F.get(F.transform(F.array_sort(F.transform(words, lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w")))), lambda x: x["w"]), F.lit(0))
+
+
 def keyword_metrics(spark: SparkSession, d: str) -> DataFrame:
     """The keyword is the query's longest word (the first of equally long ones)."""
-    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
-    key = F.get(F.transform(F.array_sort(F.transform(words, lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w")))), lambda x: x["w"]), F.lit(0))
-    queries = asked(spark, d).withColumn("keyword", key)
+    queries = asked(spark, d).withColumn("keyword", _longest())
     found = R.bm25(docs(spark, d), queries, 5).join(docs(spark, d).select("id", F.coalesce("text", F.lit("")).alias("document")), "id").join(queries.select("query_id", "keyword"), "query_id")
     out = M.keyword_metrics(found, R.keyword_totals(docs(spark, d), queries), 5)
     return out.select("query_id", "hit", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "mrr")))
 
 
+def keyword_index_totals(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents hold each query's longest word, and its first two characters, by the index of trigrams."""
+    index = substring_index.build(docs(spark, d))
+    both = [asked(spark, d).select(F.struct("query_id", F.lit(part).alias("part")).alias("query_id"), k.alias("keyword")) for part, k in (("word", _longest()), ("start", F.substring(_longest(), 1, 2)))]
+    return index.totals(both[0].unionAll(both[1])).select("query_id.query_id", "query_id.part", "relevant")
+
+
 def context_precision_ap(spark: SparkSession, d: str) -> DataFrame:
     v, q = vectors(spark, d), query_vectors(spark, d)
     found = R.knn(v, q, 10).join(v.select("id", "label"), "id").join(q.select("query_id", "query_label"), "query_id")
@@ -340,7 +350,7 @@ def filtered_by_two(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where((F.col("lang") == "de") & (F.col("source") == "src3")).select("doc_id", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (vector_topk_cosine, vector_topk_l2, vector_topk_filtered, knn_hit_precision_recall_mrr, bm25_topk, bm25_topk_source, dense_topk, timed_topk, hybrid_topk, hybrid_distance_topk, threshold_hybrid_topk, rerank_topk, hybrid_rerank_topk, threshold_rerank_topk, version_fallback_topk, first_queries, jaccard_relevance, tier1_metrics, tier1_by_pipeline, tier2_by_pipeline, keyword_metrics, keyword_by_method, context_precision_ap, robustness, corpus_relevance, corpus_recall, ranker_topk, ranker_precision, word_associations, learned_dense_topk, ann_topk, ann_recall, bm25_index_topk, bm25_index_reads, collection_stats, vectors_by_id, filtered_by_two)}
+QUERIES = {f.__name__: f for f in (vector_topk_cosine, vector_topk_l2, vector_topk_filtered, knn_hit_precision_recall_mrr, bm25_topk, bm25_topk_source, dense_topk, timed_topk, hybrid_topk, hybrid_distance_topk, threshold_hybrid_topk, rerank_topk, hybrid_rerank_topk, threshold_rerank_topk, version_fallback_topk, first_queries, jaccard_relevance, tier1_metrics, tier1_by_pipeline, tier2_by_pipeline, keyword_metrics, keyword_by_method, keyword_index_totals, context_precision_ap, robustness, corpus_relevance, corpus_recall, ranker_topk, ranker_precision, word_associations, learned_dense_topk, ann_topk, ann_recall, bm25_index_topk, bm25_index_reads, collection_stats, vectors_by_id, filtered_by_two)}
 
 _KNN = """WITH s AS (
   SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, q.label AS query_label, round({score}, 12) AS score
@@ -450,6 +460,9 @@ f AS (SELECT bm.query_id, rank, contains(lower(coalesce(text, '')), keyword) AS
 t AS (SELECT query_id, count(*) AS relevant FROM k JOIN documents ON contains(lower(text), keyword) GROUP BY query_id)
 SELECT query_id, bool_or(has) AS hit, round(count(*) FILTER (has) / least(5, count(*)), 6) AS precision, round(count(*) FILTER (has) / greatest(coalesce(any_value(relevant), 0), 1), 6) AS recall, round(coalesce(1 / min(rank) FILTER (has), 0.0), 6) AS mrr
 FROM f LEFT JOIN t USING (query_id) GROUP BY query_id""",
+    "keyword_index_totals": f"""WITH k AS (SELECT item_id AS query_id, list_sort(list_transform({WORDS.format("text")}, lambda w, i: {{'n': -length(w), 'i': i, 'w': w}}))[1].w AS keyword FROM benchmark),
+p AS (SELECT query_id, 'word' AS part, keyword FROM k UNION ALL SELECT query_id, 'start', substr(keyword, 1, 2) FROM k)
+SELECT query_id, part, count(*) AS relevant FROM p JOIN documents ON contains(lower(text), keyword) GROUP BY ALL""",
     "keyword_by_method": _four() + f""",
 k AS (SELECT item_id AS query_id, {WORDS.format("text")}[1] AS keyword FROM benchmark),
 t AS (SELECT query_id, count(*) AS relevant FROM k JOIN documents ON contains(lower(text), keyword) GROUP BY query_id),

@@ -126,3 +126,30 @@ def test_one_block_is_held_at_a_time(spark, monkeypatch):
     keys = docs.select(F.col("id").alias("query_id"), F.col("text").alias("keyword"))
     whole = sorted(map(tuple, R.keyword_totals(docs, keys).collect()))
     assert sorted(map(tuple, R.keyword_totals(docs, keys, at_once=4).collect())) == whole
+
+
+def test_substrings_by_trigrams(spark, tmp_path):
+    """The index finds what a search through all texts does, from one shard or many, and after it was loaded again."""
+    from quarry.operators import substring_index
+
+    rows = [(i, t) for i, t in enumerate(t for _, t in texts(40, 6))] + [(90, None), (91, ""), (92, "ab"), (93, "\U0001f600x\U0001f600 É né"), (93, "\U0001f600x\U0001f600 É né"), (94, "aba" * 400_000)]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "id long, text string, gram string")
+    held = [t.lower() for _, t in rows if t is not None]
+    words = sorted({w for t in held[:9] for w in t.split()[:4]}) + ["", "a", "ab", "\U0001f600X\U0001f600", "é n", "nowhere", "bab" * 50, "bab" + "aab" * 2, held[3], None, "AB"]
+    keys = spark.createDataFrame(list(enumerate(words)), "query_id int, keyword string")
+    want = sorted((i, n) for i, w in enumerate(words) if w is not None and (n := sum(w.lower() in t for t in held)))
+    for shard in (50, 2_000_000):
+        index = substring_index.build(docs, str(tmp_path / str(shard)), shard)
+        assert sorted(map(tuple, index.totals(keys).collect())) == want
+    assert sorted(map(tuple, substring_index.load(spark, str(tmp_path / "50")).totals(keys, at_once=8).collect())) == want
+    assert index.postings.select("shard").distinct().count() < substring_index.load(spark, str(tmp_path / "50")).postings.select("shard").distinct().count()
+    # candidates are few beside all texts: a word that most texts lack is verified on those alone that hold its trigrams
+    word = spark.createDataFrame([("nowhere",), ("\U0001f600x\U0001f600",)], "word string")
+    assert index.candidates(word).count() == 2
+
+
+def test_substrings_of_nothing(spark):
+    from quarry.operators import substring_index
+
+    index = substring_index.build(spark.createDataFrame([], "text string"))
+    assert index.totals(spark.createDataFrame([(1, "abc"), (2, "")], "query_id int, keyword string")).collect() == []
