@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.retrieval import in_turn, keyword_totals, spread
@@ -27,9 +27,14 @@ def _codes(text: str) -> np.ndarray:
     return out[0] if len(out) == 1 else np.unique(np.concatenate(out))
 
 
-@F.pandas_udf("array<long>")
-def trigrams(texts: pd.Series) -> pd.Series:
-    return texts.map(_codes)
+def trigrams(text: Column) -> Column:
+    """Those of a column, as an array."""
+
+    @F.pandas_udf("array<long>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(_codes)
+
+    return run(text)
 
 
 def _postings(most: int):
@@ -91,7 +96,7 @@ class SubstringIndex:
     def candidates(self, words: DataFrame, lists: int = 4) -> DataFrame:
         """(n, words) of the texts that a bounded block of words (word), each of three characters or more, may stand in. Of each word
         its ``lists`` rarest trigrams are looked up; a word with a trigram that is nowhere has no candidates."""
-        grams = words.select("word", trigrams("word").alias("grams")).select("word", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+        grams = words.select("word", trigrams(F.col("word")).alias("grams")).select("word", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
         known = grams.join(self.counts, "gram").groupBy("word", "n").agg(F.array_sort(F.collect_list(F.struct("texts", "gram"))).alias("found"))
         rarest = F.transform(F.slice("found", 1, lists), lambda x: x["gram"])
         probes = {r["word"]: r["grams"] for r in known.where(F.size("found") == F.col("n")).select("word", rarest.alias("grams")).collect()}
