@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 
 from quarry.operators.retrieval import _term_counts, spread, words_of
 from quarry.sources.store import stored
+from quarry.workers import give_back
+
+#: Pairs of neighbouring words that a task holds at once: 8 MB, in a few copies.
+PAIRS_AT_ONCE = 1_000_000
 
 
 def vocabulary(docs: DataFrame, size: int = 20_000, least_docs: int = 5) -> DataFrame:
@@ -51,11 +55,13 @@ def _pairs(place: dict[bytes, int], window: int):
                     both = (a >= 0) & (b >= 0)
                     held.append(a[both] * v + b[both])
                     n += len(held[-1])
-                if n > 2_000_000:
+                if n > PAIRS_AT_ONCE:
                     yield flush()
                     held, n = [], 0
         if n:
             yield flush()
+        held = []
+        give_back()
 
     return run
 
