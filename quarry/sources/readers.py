@@ -141,7 +141,7 @@ def movie_text(title: str = "title") -> Column:
 
 def movies(spark: SparkSession, path: str) -> DataFrame:
     """(id, text, source, title, year, ...): a JSON array of movie documents, one row each."""
-    raw = spark.read.schema(MOVIE).json(path, multiLine=True)
+    raw = json_records(spark, path, MOVIE)
     joined = lambda c: F.coalesce(F.array_join(c, ", "), F.lit("")).alias(c)
     whole = lambda c: F.coalesce(F.when(F.col(c).rlike(r"^-?\d+$"), F.col(c).try_cast("int")), F.lit(0)).alias(c)
     return raw.select(
@@ -154,14 +154,15 @@ def movies(spark: SparkSession, path: str) -> DataFrame:
 
 def comments(spark: SparkSession, path: str) -> DataFrame:
     """(id, text, source, name, email, movie_id, date); comments of white space alone are dropped."""
-    raw = spark.read.schema(COMMENT).json(path, multiLine=True).where(F.col("text").rlike(r"\S"))
+    raw = json_records(spark, path, COMMENT).where(F.col("text").rlike(r"\S"))
     plain = [scalar(F.col(c)).alias(c) for c in ("name", "email", "movie_id", "date")]
     return raw.select(F.concat(F.lit("comment_"), scalar(F.col("_id"))).alias("id"), "text", F.lit("comments").alias("source"), *plain)
 
 
 def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON array of records, such as query sets."""
-    return spark.read.schema(schema).json(path, multiLine=True)
+    """A JSON array of records, such as query sets. The file is one line to Spark, up to a character that stands in no JSON: then it is parsed
+    from memory. With multiLine, Spark goes back to the file for each object or number that is wanted as text."""
+    return spark.read.schema(schema).json(path, lineSep="\x01")
 
 
 def change_truth(spark: SparkSession, path: str) -> DataFrame:

@@ -204,3 +204,20 @@ def test_batch_done_again(spark, tmp_path):
     flags = {(r.source_file, r.chunk_index): r.changed_flag for r in records.read().collect()}
     assert flags == {("a 5.3.1.md", 0): 0, ("a 5.3.1.md", 1): 1, ("b 5.3.1.md", 0): 1}
     assert sorted(r.chunk_id for r in vectors.read().collect()) == sorted(r.chunk_id for r in records.read().collect())
+
+
+def test_json_arrays_are_read_once(spark, tmp_path):
+    """As Spark's reader of JSON over several lines gives them, to the spelling of what is kept as text, without its going back to the file."""
+    schema = "_id string, n int, sub struct<a: string, b: int>, l array<string>"
+    texts = {"plain": '[{"_id": {"$oid": "1"}, "n": 1, "sub": {"a": 5, "b": 2}, "l": ["x", {"y": 1.50}]},\n {"_id": 7}]', "one": '{"_id": "o"}', "none": "[]", "empty": "", "blank": " \n", "broken": '[{"_id": "b"', "wrong": '[{"_id": "w", "n": "text", "sub": {"a": "k", "b": "no"}}, {"_id": "v", "n": 3}]', "other": "what", "marked": "\ufeff" + '{"_id": "o"}'}
+    texts["long"] = "[" + ",\n".join('{"_id": {"$oid": "%d"}, "n": %d}' % (i, i) for i in range(2000)) + "]\n"
+    for name, text in texts.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "f.json").write_text(text, encoding="utf-8")
+        old = spark.read.schema(schema).json(str(tmp_path / name), multiLine=True).collect()
+        assert sorted(map(str, readers.json_records(spark, str(tmp_path / name), schema).collect())) == sorted(map(str, old)), name
+    read = spark._jvm.org.apache.hadoop.fs.FileSystem.getLocal(spark._jsc.hadoopConfiguration()).getRawFileSystem()  # counts what all tasks of this process read
+    total = lambda: sum(s.getBytesRead() for s in read.getAllStatistics() if s.getScheme() == "file")
+    before = total()
+    readers.json_records(spark, str(tmp_path / "long"), schema).agg(F.max("_id")).collect()
+    assert total() - before < 3 * len(texts["long"])
