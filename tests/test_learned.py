@@ -3,10 +3,12 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import embeddings, ranker
+from quarry.operators.retrieval import knn, words_of
 
 
 def texts(n, seed):
@@ -107,3 +109,56 @@ def test_no_pairs(spark, window):
     docs = spark.createDataFrame([("a",), ("a",)], "text string")
     words = embeddings.vocabulary(docs, 10, 1)
     assert embeddings.associations(docs, words, window).count() == 0
+
+
+def test_words_found_as_they_are_split():
+    odd = [None, "", " ", " a  B\tc\x0b", "a\x1cb a\x85c a\xa0b", "\x0cΑΣ ΑΣ. İ ß\r\n", "a b \x00 a\x00b", "𝒳 é É"]
+    every = sorted({w for t in odd for w in words_of(t)})
+    place = {w: i for i, w in enumerate(every) if i % 4}
+    got = [(int(x), n) for at, words in embeddings._Found(place).parts(odd) for x, n in zip(at, np.repeat(np.arange(len(words)), words), strict=True) if x >= 0]
+    assert got == [(place[w], k) for k, t in enumerate(odd) for w in words_of(t) if w in place]
+
+
+def test_pairs_come_by_tiles(spark, monkeypatch):
+    """What is shuffled and stored is a row a tile, not one a pair; the product in tiles is that of the whole matrix."""
+    rng = random.Random(4)
+    corpus = [" ".join(f"w{int(rng.paretovariate(0.4)) % 700}" for _ in range(rng.randrange(60))) for _ in range(300)] + [None, "", "w1 w1 w1"]
+    docs = spark.createDataFrame([(t,) for t in corpus], "text string")
+    words = embeddings.vocabulary(docs, 600, 1)
+    names = [r.word for r in words.orderBy("place").collect()]
+    monkeypatch.setattr(embeddings, "PAIRS_AT_ONCE", 5000)
+    parts = list(embeddings._pairs({w.encode(): i for i, w in enumerate(names)}, 4)(iter([pa.RecordBatch.from_pydict({"text": pa.array(corpus, pa.string())})])))
+    assert all(p.num_rows <= 136 for p in parts)
+    counts, pmi = dense_matrix(corpus, names, 4)
+    matrix = embeddings.Pairs(docs, words, 4)
+    assert len(names) > 16 * 16 and matrix.stored.count() <= 136 < np.count_nonzero(pmi)
+    assert matrix.sums.tolist() == counts.sum(1).tolist()
+    got = {(r.a, r.b): r.n for r in matrix.rows().collect()}
+    assert got == {(a, b): counts[a, b] for a, b in zip(*(x.tolist() for x in np.nonzero(pmi)), strict=True)}
+    x = rng.random() * np.arange(len(names) * 5.0).reshape(-1, 5)
+    assert np.allclose(embeddings.multiply(matrix, x), pmi @ x)
+
+
+def test_each_text_is_embedded_once(spark):
+    texts = spark.createDataFrame([(1, "a b"), (2, None), (3, "b c")], "id long, text string")
+    embed = embeddings.WordVectors({b"a": 0, b"b": 1}, np.eye(2), np.ones(2)).column
+    found = knn(texts.select("id", embed(F.col("text")).alias("embedding")), texts.select(F.col("id").alias("query_id"), F.lit([1.0, 0.0]).alias("embedding")).limit(1), 3)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [r.id for r in found.orderBy("rank").collect()] == [1, 2, 3]
+    nulls = spark.createDataFrame([(1, None), (2, [1.0, 1.0]), (3, None)], "id long, embedding array<double>")
+    assert [r.id for r in knn(nulls, nulls.where("id > 1").withColumnRenamed("id", "query_id"), 3).collect()] == [2]
+
+
+def test_documents_of_words_are_combined(monkeypatch):
+    """Of a word there is a row whenever a task's memory is full, not one for each of its batches."""
+    rng = random.Random(6)
+    corpus = [" ".join(f"É{rng.randrange(90)}" for _ in range(rng.randrange(30))) + rng.choice(["", " ", "\t"]) for _ in range(400)] + [None, "", " "]
+    batches = lambda: (pa.RecordBatch.from_pydict({"text": pa.array(corpus[k : k + 50], pa.string())}) for k in range(0, len(corpus), 50))
+    want = Counter(w for t in corpus for w in set(words_of(t)))
+    for least, most in ((1_000_000, len(want)), (200, 5 * len(want))):
+        monkeypatch.setattr(embeddings, "TERMS_AT_ONCE", least)
+        rows = [r for b in embeddings._documents_of(batches()) for r in b.to_pylist()]
+        got = Counter()
+        for r in rows:
+            got[r["term"]] += r["df"]
+        assert got == want and len(rows) <= most
