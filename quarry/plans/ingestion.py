@@ -9,7 +9,7 @@ from quarry.functions import versions as V
 from quarry.operators.retrieval import hashed_embedding, spread
 from quarry.plans.tables import CAL_SQL, DOC_VERSION_SQL, chunks_sql, docs, source_version, strip_sql, words_sql
 from quarry.sources.readers import markdown_chunks, page_chunks
-from quarry.sources.store import RECORDS, VECTORS, Store, compare_updates, ingest, scratch
+from quarry.sources.store import RECORDS, VECTORS, Store, compare_updates, dropped, ingest, scratch
 from quarry.streaming.ingest import ingest_stream
 
 #: What some files have gained when they are scanned again.
@@ -67,6 +67,7 @@ def _streamed(spark: SparkSession, d: str) -> tuple[Store, Store]:
         arrived.write.mode("append").option("compression", "zstd").parquet(f"{folder}/in")
         stream = spark.readStream.schema(arrived.schema).parquet(f"{folder}/in")
         ingest_stream(stream, f"{folder}/checkpoint", records, vectors, hashed_embedding).awaitTermination()
+        dropped(spark, f"{folder}/in")  # a stream does not go back to files that it has read
     return records, vectors
 
 
